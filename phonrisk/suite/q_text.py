@@ -8,7 +8,7 @@ from phonrisk.functions import hangul as hg
 from phonrisk.functions import text as tx
 from phonrisk.operators import dims, stimuli, trials
 from phonrisk.suite.oracle_ctes import syl_parts
-from phonrisk.suite.registry import query
+from phonrisk.suite.registry import query, r6
 
 CHARS = "select text_id, i-1 idx, substr(text, cast(i as int), 1) ch from (select text_id, text, unnest(range(1, length(text)+1)) i from texts)"
 HAN = "unicode(ch) between 44032 and 55203"
@@ -134,7 +134,7 @@ def _(t):
     s = dims.similarity(t.spark)
     return (count_observations(obs, ["listener_id"]).join(F.broadcast(s), ["position", "target", "perceived"])  # 1,654 rows
             .groupBy("listener_id", "position")
-            .agg(F.round(F.sum(F.col("n") * F.col("similarity")) / F.sum("n"), 6).alias("mean_similarity")))
+            .agg(r6(F.sum(F.col("n") * F.col("similarity")) / F.sum("n")).alias("mean_similarity")))
 
 
 @query("h17_same_class", """select o.listener_id, o.position, count(*) n_substitutions, count(*) filter (where a.cls=b.cls) n_within_class
@@ -206,7 +206,7 @@ def _(t):
 
 @query("t03_balance_score", f"select listener_id, position, round(min(n)::double/max(n)*count(*)/(case any_value(position) when 'onset' then 19 when 'nucleus' then 21 else 8 end),6) balance from ({COV}) group by all")
 def _(t):
-    return stimuli.balance_score(_catalogs(t), ["listener_id"]).withColumn("balance", F.round("balance", 6))
+    return stimuli.balance_score(_catalogs(t), ["listener_id"]).withColumn("balance", r6("balance"))
 
 
 @query("t04_greedy_subset")
