@@ -28,7 +28,8 @@ def _order_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _bounded(df: DataFrame, keys: Sequence[str], max_group: int | None) -> bool:
+def is_bounded(df: DataFrame, keys: Sequence[str], max_group: int | None = None) -> bool:
+    """Whether every group fits one task; pass the answer on to spare repeated counts."""
     limit = MAX_GROUP if max_group is None else max_group
     return limit > 0 and largest_group(df, keys) <= limit
 
@@ -41,9 +42,9 @@ def _window(keys: Sequence[str], order: Sequence[str | Column]):
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *,
-              rn: str = "rn", total: str | None = None, max_group: int | None = None) -> DataFrame:
+              rn: str = "rn", total: str | None = None, bounded: bool | None = None) -> DataFrame:
     """``row_number`` within ``keys``; ``order`` must be total. Optionally the group size."""
-    if _bounded(df, keys, max_group):
+    if (is_bounded(df, keys) if bounded is None else bounded):
         out = df.withColumn(rn, F.row_number().over(_window(keys, order)).cast("long"))
         if total:
             base = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -78,9 +79,9 @@ def _spread_ranks(df, keys, order, rn, total):
 
 
 def with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cols: dict[str, str], *,
-             lead: bool = False, max_group: int | None = None, block: int = 500_000) -> DataFrame:
+             lead: bool = False, bounded: bool | None = None, block: int = 500_000) -> DataFrame:
     """Previous (or next) row's values: ``cols`` maps new name to source column."""
-    if _bounded(df, keys, max_group):
+    if (is_bounded(df, keys) if bounded is None else bounded):
         w = _window(keys, order)
         move = F.lead if lead else F.lag
         return df.select("*", *[move(F.col(src)).over(w).alias(new) for new, src in cols.items()])
@@ -99,39 +100,43 @@ def with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             .where("_spot.own").drop("_spot", "_rn"))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cols: dict[str, str], *,
-                max_group: int | None = None, block: int = 500_000) -> DataFrame:
-    """Inclusive running sums in order: ``cols`` maps new name to source column."""
-    if _bounded(df, keys, max_group):
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, str] | None = None,
+            maxes: dict[str, str] | None = None, *, bounded: bool | None = None, block: int = 500_000) -> DataFrame:
+    """Inclusive running sums and maxima in order: each maps new name to source column."""
+    sums, maxes = sums or {}, maxes or {}
+    jobs = [(new, src, F.sum) for new, src in sums.items()] + [(new, src, F.max) for new, src in maxes.items()]
+    if (is_bounded(df, keys) if bounded is None else bounded):
         w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(src).over(w).alias(new) for new, src in cols.items()])
+        return df.select("*", *[fn(src).over(w).alias(new) for new, src, fn in jobs])
     ranked = durable(_spread_ranks(df, keys, order, "_rn", None)
                      .withColumn("_blk", F.floor((F.col("_rn") - 1) / block)))
-    parts = ranked.groupBy(*keys, "_blk").agg(*[F.sum(src).alias(f"_t_{new}") for new, src in cols.items()])
+    parts = ranked.groupBy(*keys, "_blk").agg(*[fn(src).alias(f"_t_{new}") for new, src, fn in jobs])
     every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = every.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_bb"),
-        *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in cols])
+        *[fn(f"_t_{new}").over(before).alias(f"_b_{new}") for new, _, fn in jobs])
     cond = ranked["_blk"] == base["_bb"]
     for i, k in enumerate(keys):
         cond = cond & ranked[k].eqNullSafe(base[f"_k{i}"])
     inner = (Window.partitionBy(*keys, "_blk").orderBy("_rn")
              .rowsBetween(Window.unboundedPreceding, 0))
-    keep = df.columns
-    return ranked.join(base, cond).select(
-        *keep, *[(F.sum(src).over(inner) + F.col(f"_b_{new}")).alias(new) for new, src in cols.items()])
+    out = []
+    for new, src, fn in jobs:
+        own, base_value = fn(src).over(inner), F.col(f"_b_{new}")
+        out.append((own + F.coalesce(base_value, F.lit(0)) if fn is F.sum else F.greatest(own, base_value)).alias(new))
+    return ranked.join(base, cond).select(*df.columns, *out)
 
 
 def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, *,
-             out: str = "q", max_group: int | None = None) -> DataFrame:
+             out: str = "q", bounded: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantile per key, spread over tasks.
 
     Rows are reduced to distinct values with counts first; the two order statistics around
     the cut are then found from running counts.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    run = running_sum(counts, keys, [value], {"_to": "_c"}, max_group=max_group)
+    run = running(counts, keys, [value], {"_to": "_c"}, bounded=bounded)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
         joined = run.join(sizes, list(keys))

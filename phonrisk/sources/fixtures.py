@@ -106,7 +106,6 @@ from (select p_partkey v,
 
 def word_trials(d: Spark) -> str:
     e = "e.event_id"
-    n = f"(select count(*) from {d.table('part')})"
     return f"""
 select e.event_id row_id, e.user_id listener_id, w.word, w.n_syll,
   case {_hash(d, "n", e)} % 5 when 0 then 20 when 1 then 10 when 2 then 5 when 3 then 0 else -5 end snr_db,
@@ -117,7 +116,8 @@ select e.event_id row_id, e.user_id listener_id, w.word, w.n_syll,
   {_hash(d, "q", e)} % 4 n_segment_errors,
   case {_hash(d, "p", e)} % 3 when 0 then w.word when 1 then concat('각', w.word) else substr(w.word, 1, 1) end perceived_word,
   1 + {_hash(d, "d", e)} % 5 seed
-from {d.table("events")} e join word_vocab w on w.v = {_hash(d, "w", e)} % {n}"""
+from {d.table("events")} e cross join (select count(*) n_words from {d.table("part")}) k
+join word_vocab w on w.v = {_hash(d, "w", e)} % k.n_words"""
 
 
 def tokens(d: Spark) -> str:

@@ -110,7 +110,7 @@ cross join lateral (select v.position='coda' and d.big_n=0 and v.symbol<>'-' and
     "cls_of": "select position, symbol, concat('onset_manner_',manner) cls from dim_target where position='onset' union all select position, symbol, concat('onset_phon_',phonation) from dim_target where position='onset' union all select position, symbol, concat('nucleus_',shape) from dim_target where position='nucleus' union all select position, symbol, concat('coda_', case when surface='-' then 'none' else surface end) from dim_target where position='coda'",
     "glob_err": "select listener_id, 1-avg(case when target=perceived then 1.0::double else 0 end) g from obs group by all",
     "weak": "select d.listener_id, c.cls, coalesce(sum(case when d.big_n>0 then d.big_n*(1-d.p) end)/sum(case when d.big_n>0 then d.big_n end), any_value(g.g)) w from diag d join cls_of c on c.position=d.position and c.symbol=d.target join glob_err g on g.listener_id=d.listener_id group by all",
-    "share": "select v.word, c.cls, count(*)*3.0::double/(select count(*) from phon_vocab x where x.word=v.word) sh from phon_vocab v join cls_of c on c.position=v.position and c.symbol=v.symbol group by all",
+    "share": "select v.word, c.cls, count(*)*3.0::double/max(x.m) sh from phon_vocab v join (select word, count(*) m from phon_vocab group by word) x on x.word=v.word join cls_of c on c.position=v.position and c.symbol=v.symbol group by v.word, c.cls",
     "offd": """select p.listener_id, p.position, p.target, max(p.p) top1, sum(case when a.cls=b.cls then p.p else 0 end) same
   from post p join dim_cls a on a.position=p.position and a.symbol=p.target left join dim_cls b on b.position=p.position and b.symbol=p.perceived where p.target<>p.perceived group by all""",
     "evx": """select e.*, o.top1, o.same, h.h, d.big_n own_n, greatest(1-e.p,1e-6) mass, greatest(1-e.own_p,1e-6) own_mass from evid e
