@@ -48,8 +48,7 @@ def threshold_metrics(counts: DataFrame, keys: list[str], threshold: float = 0.5
         *keys, "n", "n_pos", "tp", "fp", "tn", "fn", F.try_divide(d("tp"), F.col("n_pos")).alias("recall"),
         F.try_divide(d("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         F.try_divide(d("tn"), F.col("tn") + F.col("fp")).alias("specificity"),
-        F.when((F.col("n_pos") > 0) & (F.col("tp") + F.col("fp") > 0), F.coalesce(
-            F.try_divide(2 * d("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))).alias("f1"),
+        F.when(F.col("tp") > 0, F.try_divide(2 * d("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"),
         ((d("tp") + F.col("tn")) / F.col("n")).alias("accuracy"))
 
 
@@ -74,7 +73,7 @@ def rank_metrics(counts: DataFrame, keys: list[str], *, bounded: bool | None = N
     tp = F.col("_pos") - F.col("_cp") + F.col("pos")
     shown = F.col("_n") - F.col("_cn") + F.col("n")
     wins = F.sum(F.col("pos") * (below + neg / 2.0))
-    ap = F.sum(F.col("pos") / F.col("_pos") * F.try_divide(tp, shown))
+    ap = F.sum(F.try_divide(F.col("pos").cast("double"), F.col("_pos")) * F.try_divide(tp, shown))
     two = (F.max("_pos") > 0) & (F.max("_n") > F.max("_pos"))
     return both.groupBy(*keys).agg(
         F.when(two, F.try_divide(wins, F.max("_pos") * (F.max("_n") - F.max("_pos")))).alias("roc_auc"),
@@ -99,24 +98,25 @@ def calibration(counts: DataFrame, keys: list[str], bins: int = ECE_BINS) -> Dat
         (F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def suite(df: DataFrame, keys: list[str], *, y: str = "misheard", p: str = "score", threshold: float = 0.5,
-          clip: float = 1e-15, bins: int = ECE_BINS) -> DataFrame:
-    """Every metric, one row per key."""
-    c = score_counts(df, keys, y, p)
-    parts = [threshold_metrics(c, keys, threshold), probability_metrics(c, keys, clip), rank_metrics(c, keys), calibration(c, keys, bins)]
+def suite_of(counts: DataFrame, keys: list[str], *, threshold: float = 0.5, clip: float = 1e-15, bins: int = ECE_BINS) -> DataFrame:
+    """Every metric from score counts, one row per key."""
+    parts = [threshold_metrics(counts, keys, threshold), probability_metrics(counts, keys, clip), rank_metrics(counts, keys),
+             calibration(counts, keys, bins)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, keys) if keys else out.join(F.broadcast(part))  # one row each
     return out
 
 
+def suite(df: DataFrame, keys: list[str], *, y: str = "misheard", p: str = "score", **options) -> DataFrame:
+    """Every metric of a score column, one row per key."""
+    return suite_of(score_counts(df, keys, y, p), keys, **options)
+
+
 def prevalence_floor(df: DataFrame, keys: list[str], y: str = "misheard") -> DataFrame:
-    """Metrics of predicting the base rate everywhere, from the label counts alone."""
+    """Every metric of predicting the base rate everywhere: one distinct score per key."""
     base = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    q = F.col("pos") / F.col("n")
-    return base.select(
-        *keys, q.alias("prevalence"), (q * F.pow(q - 1, 2) + (1 - q) * F.pow(q, 2)).alias("brier"),
-        F.when((q > 0) & (q < 1), q).alias("pr_auc"), F.when((q > 0) & (q < 1), F.lit(0.5)).alias("roc_auc"), F.lit(0.0).alias("ece"))
+    return suite_of(base.withColumn("p", F.col("pos") / F.col("n")), keys)
 
 
 def listener_ranking(df: DataFrame, keys: list[str], listener: str = "listener_id", *, y: str = "misheard", p: str = "score",

@@ -124,7 +124,7 @@ def strategy_scores(df: DataFrame, *, word: str = "word", score: str = "score",
         F.struct(F.lit("random").alias("strategy"), uniform(f"random{seed}", F.col("row_id")).alias("strategy_score")),
         F.struct(F.lit("word_length").alias("strategy"), length.alias("strategy_score")),
         F.struct(F.lit("model").alias("strategy"), F.col(score).alias("strategy_score")))
-    return both.drop("_lo", "_hi").select("*", F.inline_outer(each))
+    return both.select(*df.columns, F.inline_outer(each))
 
 
 def compare_thresholds(df: DataFrame, ratio: float, *, listener: str = "listener_id", score: str = "score", y: str = "misheard") -> DataFrame:

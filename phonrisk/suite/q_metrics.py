@@ -72,10 +72,9 @@ def _(t):
     return rnd(mt.reliability(counts(t), S))
 
 
-@query("m09_prevalence_floor", "select seed, round(q,6) prevalence, round(q*(1-q),6) brier, round(q,6) pr_auc, 0.5::double roc_auc, 0.0::double ece from (select seed, avg(misheard) q from word_trials group by all)")
+@query("m09_prevalence_floor", "select seed, round(q,6) prevalence, round(q*(1-q),6) brier, round(q,6) pr_auc, round(0.5::double,6) roc_auc, round(0.0::double,6) ece from (select seed, avg(misheard) q from word_trials group by all)")
 def _(t):
-    d = rnd(mt.prevalence_floor(t.word_trials, S), "roc_auc", "ece")
-    return d
+    return rnd(mt.prevalence_floor(t.word_trials, S).select("seed", "prevalence", "brier", "pr_auc", "roc_auc", "ece"))
 
 
 @query("m10_metrics_by_keys", f"""select a.seed, a.speaker, round(roc_auc,6) roc_auc, round(pr_auc,6) pr_auc, round(b.brier,6) brier, round(b.accuracy,6) accuracy from ({auc_sql('seed, speaker')}) a
