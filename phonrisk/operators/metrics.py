@@ -124,7 +124,7 @@ def listener_ranking(df: DataFrame, keys: list[str], listener: str = "listener_i
     """Mean nDCG and mean average precision within listeners that misheard anything."""
     g = [*keys, listener]
     run = running(df.withColumn("_one", F.lit(1)), g, [F.col(p).desc(), row], {"_rn": "_one", "_hits": y}, bounded=bounded)
-    gain = lambda at: F.sum(F.col(y) / F.log2(F.col(at) + 1))
+    gain = lambda at: F.sum(F.when(F.col(y) == 1, 1 / F.log2(F.col(at) + 1)))
     ndcg = run.groupBy(*g).agg(F.try_divide(gain("_rn"), gain("_hits")).alias("ndcg"), F.sum(y).alias("_pos"), F.count("*").alias("_n"))
     ap = rank_metrics(score_counts(df, g, y, p), g, bounded=bounded).select(*g, "pr_auc")
     per = ndcg.where("_pos > 0").join(ap, g, "left").withColumn("ap", F.coalesce("pr_auc", F.lit(1.0)))  # all positive

@@ -97,11 +97,11 @@ from (select *, case when e % 10 < 2 then (o + 1 + listener_id % 5) % 19 else o
 def word_vocab(d: Spark) -> str:
     parts = [_syl(d, f"{_hash(d, 'v', 'p_partkey')} + {k * 131}") for k in range(4)]
     return f"""
-select v, n_syll, concat(s0, case when n_syll>1 then s1 else '' end,
-  case when n_syll>2 then s2 else '' end, case when n_syll>3 then s3 else '' end) word
+select v, n_syll, min(concat(s0, case when n_syll>1 then s1 else '' end,
+  case when n_syll>2 then s2 else '' end, case when n_syll>3 then s3 else '' end)) word
 from (select p_partkey v,
         case when p_partkey%100<20 then 1 when p_partkey%100<65 then 2 when p_partkey%100<90 then 3 else 4 end n_syll,
-        {parts[0]} s0, {parts[1]} s1, {parts[2]} s2, {parts[3]} s3 from {d.table("part")}) q"""
+        {parts[0]} s0, {parts[1]} s1, {parts[2]} s2, {parts[3]} s3 from {d.table("part")}) q group by v, n_syll"""
 
 
 def word_trials(d: Spark) -> str:
@@ -116,7 +116,7 @@ select e.event_id row_id, e.user_id listener_id, w.word, w.n_syll,
   {_hash(d, "q", e)} % 4 n_segment_errors,
   case {_hash(d, "p", e)} % 3 when 0 then w.word when 1 then concat('각', w.word) else substr(w.word, 1, 1) end perceived_word,
   1 + {_hash(d, "d", e)} % 5 seed
-from {d.table("events")} e cross join (select count(*) n_words from {d.table("part")}) k
+from {d.table("events")} e left join (select count(*) n_words from {d.table("part")}) k on true
 join word_vocab w on w.v = {_hash(d, "w", e)} % k.n_words"""
 
 
@@ -208,9 +208,56 @@ select row_id text_id, concat(word, case when row_id % 5 = 0 then ' 2024! ' when
 from word_trials"""
 
 
+def dirty_tokens(d: Spark) -> str:
+    """Tokens with broken times, confidences and risks."""
+    g = _hash(d, "dt", "row_id")
+    return f"""
+select row_id, {d.div("row_id", "64")} media_id, word text, case when {g} % 31 = 0 then -1.5 else cast(row_id % 64 as double) end start_s,
+  case when {g} % 37 = 0 then cast(row_id % 64 - 3 as double) when {g} % 41 = 0 then null else cast(row_id % 64 + 1 as double) end end_s,
+  case when {g} % 43 = 0 then 1.5 when {g} % 7 = 0 then null else score end confidence,
+  case when {g} % 47 = 0 then -0.1 when {g} % 53 = 0 then null else score_b end listener_risk,
+  case when {g} % 29 = 0 then 2 else misheard end label
+from word_trials"""
+
+
+def stored_profiles(d: Spark) -> str:
+    """Profile headers as stored: some under another listener's name, some synthetic."""
+    h = _hash(d, "pr", "listener_id")
+    return f"""
+select listener_id, case when {h} % 13 = 0 then listener_id + 1 else listener_id end owner_id, {h} % 3 = 0 is_synthetic, {h} % 40 n_trials, {h} % 17 <> 0 present
+from (select distinct {d.div("c_custkey", "10")} listener_id from {d.table("customer")}) l"""
+
+
+def files_recorded(d: Spark) -> str:
+    """A recorded file set: one file per document source row."""
+    return f"""
+select concat(source, '/', {_s("doc_id")}, '.txt') path, n_chars bytes, md5(text) sha256, source source_id from {d.table("documents")}"""
+
+
+def files_present(d: Spark) -> str:
+    """The same set as found later: some missing, resized, edited or added."""
+    h = _hash(d, "fp", "doc_id")
+    return f"""
+select case when {h} % 23 = 0 then concat(source, '/new-', {_s("doc_id")}, '.txt') else concat(source, '/', {_s("doc_id")}, '.txt') end path,
+  case when {h} % 19 = 0 then n_chars + 1 else n_chars end bytes,
+  case when {h} % 17 = 0 then md5(concat(text, 'x')) else md5(text) end sha256, source source_id
+from {d.table("documents")} where {h} % 29 <> 0"""
+
+
+def run_log(d: Spark) -> str:
+    """An append-only run log: several entries per run, some ids opened twice."""
+    r = d.div("o_orderkey", "3")
+    return f"""
+select o_orderkey entry_id, concat('run-', {_s(r)}) run_id, o_orderpriority name, o_orderdate logged_at,
+  case when {_hash(d, "st", r)} % 97 = 0 then o_orderkey else {r} end started_at,
+  case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end status, o_totalprice value
+from {d.table("orders")}"""
+
+
 FIXTURES = {f.__name__: f for f in (
     calib_trials, word_vocab, word_trials, tokens, audiogram_points, speech_scores, pi_points,
-    loudness, hearing_meta, utterances, live_cues, texts)}
+    loudness, hearing_meta, utterances, live_cues, texts,
+    dirty_tokens, stored_profiles, files_recorded, files_present, run_log)}
 
 
 def needed(sql: str, pool: dict[str, str]) -> list[str]:

@@ -93,7 +93,7 @@ def _(t):
     return rnd(mt.listener_ranking(t.word_trials, S).select("seed", "ndcg_mean", "n_listeners_scored"))
 
 
-@query("m12_map", f"select seed, round(avg(pr_auc),6) map_mean from ({auc_sql('seed, listener_id')}) where pr_auc>0 group by all".replace("(sum(pos*(cn-cp-neg+neg/2.0::double)))/(max(tp)*max(tn))", "null::double"))
+@query("m12_map", f"select seed, round(avg(pr_auc),6) map_mean from ({auc_sql('seed, listener_id')}) where isfinite(pr_auc) group by all".replace("(sum(pos*(cn-cp-neg+neg/2.0::double)))/(max(tp)*max(tn))", "null::double"))
 def _(t):
     return rnd(mt.listener_ranking(t.word_trials, S).select("seed", "map_mean"))
 
