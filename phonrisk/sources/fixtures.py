@@ -19,8 +19,11 @@ GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 class Spark:
     """Rendering rules for Spark SQL."""
 
-    def __init__(self, sf_dir: str, spread: int = 0):
-        self.sf_dir, self.spread = sf_dir, spread
+    def __init__(self, sf_dir: str, spread: int = 0, counts: dict[str, int] | None = None):
+        self.sf_dir, self.spread, self.counts = sf_dir, spread, counts or {}
+
+    def count(self, name: str) -> str:
+        return str(self.counts[name])
 
     def table(self, name: str) -> str:
         path = f"parquet.`{self.sf_dir}/{name}.parquet`"
@@ -42,11 +45,14 @@ class Duck(Spark):
     """Rendering rules for DuckDB."""
 
     def __init__(self):
-        pass
+        super().__init__("")
 
     def table(self, name: str) -> str:
         return name
 
+    def count(self, name: str) -> str:
+        return f"(select count(*) from {name})"
+
     def h(self, x: str) -> str:
         return f"cast(concat('0x',substr(md5({x}),1,8)) as bigint)"
 
@@ -116,8 +122,7 @@ select e.event_id row_id, e.user_id listener_id, w.word, w.n_syll,
   {_hash(d, "q", e)} % 4 n_segment_errors,
   case {_hash(d, "p", e)} % 3 when 0 then w.word when 1 then concat('각', w.word) else substr(w.word, 1, 1) end perceived_word,
   1 + {_hash(d, "d", e)} % 5 seed
-from {d.table("events")} e left join (select count(*) n_words from {d.table("part")}) k on true
-join word_vocab w on w.v = {_hash(d, "w", e)} % k.n_words"""
+from {d.table("events")} e join word_vocab w on w.v = {_hash(d, "w", e)} % {d.count("part")}"""
 
 
 def tokens(d: Spark) -> str:
@@ -275,6 +280,9 @@ def needed(sql: str, pool: dict[str, str]) -> list[str]:
     return out
 
 
+_VOCABULARY: dict[str, int] = {}
+
+
 class Tables:
     """Given and derived tables as DataFrames."""
 
@@ -283,7 +291,10 @@ class Tables:
         parallel = spark.sparkContext.defaultParallelism
         scan = spark.read.parquet(f"{sf_dir}/orders.parquet")
         few = scan._jdf.queryExecution().toRdd().getNumPartitions() * 2 < parallel
-        self.spark, self.dialect = spark, Spark(sf_dir, parallel if few else 0)
+        # The vocabulary size as a number: parquet footers answer this without a scan.
+        if sf_dir not in _VOCABULARY:
+            _VOCABULARY[sf_dir] = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+        self.spark, self.dialect = spark, Spark(sf_dir, parallel if few else 0, {"part": _VOCABULARY[sf_dir]})
         self._pool = {name: make(self.dialect) for name, make in FIXTURES.items()}
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ STIMULUS_COLUMNS = ("Audio Sample ID", "file_name", "Speaker Gender_Pronounced A
 STIMULUS_SCHEMA = ", ".join(f"`{c}` string" for c in STIMULUS_COLUMNS)
 RESPONSE_SCHEMA = "trial_id bigint, listener_id bigint, stimulus_id bigint, target string, response string, condition string"
 POINT = "struct<db_hl: double, no_response: boolean, masked: boolean>"
-EAR = f"struct<audiogram: map<int, {POINT}>>"
+EAR = f"struct<audiogram: map<string, {POINT}>>"  # JSON keys are strings
 PROFILE_SCHEMA = f"listener_id bigint, source string, is_synthetic boolean, `left` {EAR}, `right` {EAR}"
 TOKEN = "struct<tok_idx: bigint, text: string, start_s: double, end_s: double, confidence: double>"
 TRANSCRIPT_SCHEMA = f"media_id bigint, part bigint, backend string, duration_s double, tokens array<{TOKEN}>"
@@ -70,7 +70,7 @@ def flatten_profiles(profiles: DataFrame) -> DataFrame:
     """audiogram_points rows of nested profiles."""
     ears = F.array(*[F.struct(F.lit(e).alias("ear"), F.map_entries(F.col(f"{e}.audiogram")).alias("pts")) for e in ("left", "right")])
     flat = profiles.select("listener_id", F.inline_outer(ears)).select("listener_id", "ear", F.explode_outer("pts").alias("p")).where("p is not null")
-    return flat.select("listener_id", "ear", F.col("p.key").alias("hz"), F.col("p.value.db_hl").alias("db_hl"),
+    return flat.select("listener_id", "ear", F.col("p.key").cast("int").alias("hz"), F.col("p.value.db_hl").alias("db_hl"),
                        F.col("p.value.no_response").alias("no_response"), F.col("p.value.masked").alias("masked"))
 
 

@@ -226,7 +226,7 @@ def _(t):
     text = F.when(s % 7 == 0, F.concat(F.lit("  "), "text")).otherwise(F.col("text"))
     body = F.to_json(F.struct("stream_id", "listener_id", "seq", F.when(s % 13 != 0, F.col("source")).alias("source"), text.alias("text"),
                               F.when(s % 11 != 0, F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("observed_at")))
-    line = F.when(s % 17 == 0, F.concat(F.lit('{"seq": '), s.cast("string"), F.lit(', "stream_id": "oops"}'))).otherwise(body)
+    line = F.when(s % 17 == 0, F.concat(F.lit('{"seq": '), s.cast("string"), F.lit(', "stream_id": '))).otherwise(body)
     t.live_cues.select(line.alias("value")).write.text(path)
     rows = read_cues(t.spark, path, stream=False)
     seq = F.coalesce("seq", F.regexp_extract("_corrupt_record", r'"seq": (\d+)', 1).cast("long"))
