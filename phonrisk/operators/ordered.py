@@ -129,13 +129,13 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
 
 
 def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, *,
-             out: str = "q", bounded: bool | None = None) -> DataFrame:
+             out: str = "q", weight: str | None = None, bounded: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantile per key, spread over tasks.
 
     Rows are reduced to distinct values with counts first; the two order statistics around
     the cut are then found from running counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     run = running(counts, keys, [value], {"_to": "_c"}, bounded=bounded)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:

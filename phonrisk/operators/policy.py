@@ -47,13 +47,17 @@ def caption_ratio(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys).agg(share.alias("caption_ratio"), (1 - share).alias("caption_reduction_ratio"))
 
 
-def thresholds(df: DataFrame, keys: list[str], ratio: float, score: str = "score", *, bounded: bool | None = None) -> DataFrame:
-    """Per-key (or pooled) threshold showing ``ratio`` of the scores; use with ``>=``."""
+def thresholds(df: DataFrame, keys: list[str], ratio: float, score: str = "score", *, weight: str | None = None,
+               bounded: bool | None = None) -> DataFrame:
+    """Per-key (or pooled) threshold showing ``ratio`` of the scores; use with ``>=``.
+
+    ``weight`` counts rows when ``df`` already holds one row per distinct score.
+    """
     if not 0 <= ratio <= 1:
         raise ValueError("target ratio must be in [0, 1]")
     if ratio in (0.0, 1.0):
         return df.groupBy(*keys).agg(F.lit(1.0 - ratio).alias("tau")) if keys else df.agg(F.lit(1.0 - ratio).alias("tau"))
-    return quantile(df, keys, score, 1.0 - ratio, out="tau", bounded=bounded)
+    return quantile(df, keys, score, 1.0 - ratio, out="tau", weight=weight, bounded=bounded)
 
 
 def ranked_for_budget(df: DataFrame, keys: list[str], *, score: str = "score", row: str = "row_id", seed: int | None = 0,
@@ -139,10 +143,11 @@ def compare_thresholds(df: DataFrame, ratio: float, *, listener: str = "listener
     return rows[0].unionByName(rows[1])
 
 
-def rate_threshold(df: DataFrame, keys: list[str], rate: float, score: str = "score", *, bounded: bool | None = None) -> DataFrame:
+def rate_threshold(df: DataFrame, keys: list[str], rate: float, score: str = "score", *, weight: str | None = None,
+                   bounded: bool | None = None) -> DataFrame:
     """Threshold for a caption rate and the share of boundary ties to let through."""
-    tau = thresholds(df, keys, rate, score, bounded=bounded)
-    c = df.groupBy(*keys, score).agg(F.count("*").alias("_c"))
+    tau = thresholds(df, keys, rate, score, weight=weight, bounded=bounded)
+    c = df.groupBy(*keys, score).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     both = c.join(tau, keys) if keys else c.join(F.broadcast(tau))  # one row
     at = F.abs(F.col(score) - F.col("tau")) <= 1e-12
     shares = both.groupBy(*keys).agg(
@@ -152,6 +157,18 @@ def rate_threshold(df: DataFrame, keys: list[str], rate: float, score: str = "sc
     return shares.select(*keys, "tau", F.coalesce(F.least(F.lit(1.0), F.try_divide(need, F.col("_at"))), F.lit(0.0)).alias("tie_pass_fraction"))
 
 
+def fold_thresholds(df: DataFrame, folds: DataFrame, rate: float, *, score: str = "score", listener: str = "listener_id") -> DataFrame:
+    """Threshold of every fold from its training listeners only.
+
+    Score counts per fold are small; a fold's training counts are all counts minus its own.
+    """
+    own = df.join(folds, listener).groupBy("fold", score).agg(F.count("*").alias("_own"))
+    every = own.groupBy(score).agg(F.sum("_own").alias("_all"))
+    grid = every.join(F.broadcast(folds.select("fold").distinct()))  # one row a fold
+    train = grid.join(own, ["fold", score], "left").select("fold", score, (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("_w")).where("_w > 0")
+    return rate_threshold(train, ["fold"], rate, score, weight="_w")
+
+
 def passes(score: str = "score", *parts: str) -> Column:
     """Strictly above passes; a boundary tie passes when its hash falls under the fraction."""
     at = F.abs(F.col(score) - F.col("tau")) <= 1e-12

@@ -122,7 +122,7 @@ select e.event_id row_id, e.user_id listener_id, w.word, w.n_syll,
   {_hash(d, "q", e)} % 4 n_segment_errors,
   case {_hash(d, "p", e)} % 3 when 0 then w.word when 1 then concat('각', w.word) else substr(w.word, 1, 1) end perceived_word,
   1 + {_hash(d, "d", e)} % 5 seed
-from {d.table("events")} e join word_vocab w on w.v = {_hash(d, "w", e)} % {d.count("part")}"""
+from (select *, {_hash(d, "w", "event_id")} % {d.count("part")} vkey from {d.table("events")}) e join word_vocab w on w.v = e.vkey"""
 
 
 def tokens(d: Spark) -> str:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from phonrisk.functions.hangul import has_hangul
 from phonrisk.functions.text import cue_text
 from phonrisk.operators.ordered import quantile, running, with_lag
 from phonrisk.operators.stimuli import reference_vocabulary
+from phonrisk.session import durable
 
 # Cue limits and the default caption rate.
 MAX_CUE_CHARS, MAX_CUE_TOKENS, TARGET_RATE = 500, 60, 0.20
@@ -30,7 +27,7 @@ def read_cues(spark, path: str, *, stream: bool = True, max_files: int = 100) ->
     return reader.schema(CUE_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
-def shape_reason(known_keys: Column | None = None) -> Column:
+def shape_reason() -> Column:
     """Why a cue row breaks the wire contract, or null."""
     return (F.when(F.col("_corrupt_record").isNotNull(), "malformed")
             .when(F.coalesce(F.col("source"), F.lit("")) == "", "no_source")
@@ -62,29 +59,55 @@ def emitted(cues: DataFrame, *, stream: str = "stream_id", seq: str = "seq", bou
     return prev.withColumn("event", event).where("event is not null").drop("_f", "_pf", "_seen")
 
 
-EMIT_SCHEMA = "stream_id bigint, seq bigint, source string, text string, event string"
+def _state(spark, path: str, batch: int, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/{batch - 1}") if batch else spark.createDataFrame([], schema)
+
+
+def emit_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
+    """One micro-batch of ``emitted``: each stream's last fingerprint is a row in front of its cues.
+
+    The carried state is a table, one row a stream, written per batch id, so a replayed batch
+    reads the same state and overwrites the same output. A busy stream is ranked like any other
+    hot key instead of being held by one state-store task.
+    """
+    marked = batch.select("stream_id", "seq", "source", "text", fingerprint().alias("mark"), F.lit(False).alias("carried"))
+    last = _state(batch.sparkSession, state, batch_id, "stream_id bigint, seq bigint, mark string").select(
+        "stream_id", "seq", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"), "mark", F.lit(True).alias("carried"))
+    rows = durable(last.unionByName(marked))
+    prev = with_lag(rows, ["stream_id"], [F.col("carried").desc(), "seq"], {"_pm": "mark"})
+    event = (F.when(F.col("mark").isNull() & F.col("_pm").isNotNull(), "clear")
+             .when(F.col("mark").isNotNull() & ~F.col("mark").eqNullSafe(F.col("_pm")), "cue"))
+    kept = prev.where(~F.col("carried")).withColumn("event", event).where("event is not null")
+    kept.select("stream_id", "seq", "source", "text", "event").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    newest = F.max_by(F.struct("seq", "mark"), F.struct(~F.col("carried"), F.col("seq")))
+    rows.groupBy("stream_id").agg(newest.alias("s")).select("stream_id", "s.seq", "s.mark").write.mode("overwrite").parquet(f"{state}/{batch_id}")
 
 
-def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    # One stream is one player, a few cues a second, and the source bounds a trigger's files.
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, source, text, mark in zip(rows.seq, rows.source, rows.text, rows.mark, strict=True):
-        mark = None if pd.isna(mark) else mark
-        if mark is None and last is not None:
-            out.append((key[0], seq, source, None, "clear"))
-        elif mark is not None and mark != last:
-            out.append((key[0], seq, source, text, "cue"))
-        last = mark
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["stream_id", "seq", "source", "text", "event"])
+def stale_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
+    """One micro-batch of ``stale``: the carried state is each stream's highest sequence."""
+    top = _state(batch.sparkSession, state, batch_id, "stream_id bigint, top bigint").select(
+        "stream_id", F.col("top").alias("seq"), F.lit(-1).cast("bigint").alias("arrival"), F.lit(True).alias("carried"))
+    rows = durable(top.unionByName(batch.select("stream_id", "seq", "arrival", F.lit(False).alias("carried"))))
+    marked = stale(rows).where(~F.col("carried")).select("stream_id", "seq", "stale")
+    marked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    rows.groupBy("stream_id").agg(F.max("seq").alias("top")).write.mode("overwrite").parquet(f"{state}/{batch_id}")
 
 
-def emitted_stream(cues: DataFrame) -> DataFrame:
-    """Streaming form of ``emitted``: the state of a stream is its last fingerprint."""
-    return (cues.select("stream_id", "seq", "source", "text", fingerprint().alias("mark")).groupBy("stream_id")
-            .applyInPandasWithState(_emit, EMIT_SCHEMA, "mark string", "append", GroupStateTimeout.NoTimeout))
+def count_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
+    """One micro-batch of confusion counts; readers add the batches up."""
+    from phonrisk.operators import confusion, trials
+
+    obs = trials.observations(trials.score_trials(batch), "listener_id")
+    confusion.count_observations(obs, ["listener_id"]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+
+def run_batches(source: DataFrame, step, folder: str) -> str:
+    """Drive ``step`` over a stream until its input is used up; returns the output folder."""
+    out, state = f"{folder}/out", f"{folder}/state"
+    q = (source.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+         .foreachBatch(lambda df, b: step(df, b, out, state)).start())
+    q.awaitTermination()
+    return out
 
 
 def vocabulary_grid(listeners: DataFrame) -> DataFrame:
@@ -127,23 +150,6 @@ def stale(results: DataFrame, *, stream: str = "stream_id", seq: str = "seq", ar
     return top.withColumn("stale", F.col(seq) < F.col("_top")).drop("_top")
 
 
-FRESH_SCHEMA = "stream_id bigint, seq bigint, stale boolean"
-
-
-def _fresh(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    top = state.get[0] if state.exists else -1
-    rows = pd.concat(list(batches)).sort_values(["arrival", "seq"])
-    before = rows.seq.cummax().shift(fill_value=top).clip(lower=top)
-    yield pd.DataFrame({"stream_id": key[0], "seq": rows.seq, "stale": rows.seq < before})
-    state.update((int(max(top, rows.seq.max())),))
-
-
-def fresh_stream(results: DataFrame) -> DataFrame:
-    """Streaming form of ``stale``: the state of a stream is its highest sequence."""
-    return (results.select("stream_id", "seq", "arrival").groupBy("stream_id")
-            .applyInPandasWithState(_fresh, FRESH_SCHEMA, "top bigint", "append", GroupStateTimeout.NoTimeout))
-
-
 def route(cues: DataFrame, ready: DataFrame) -> DataFrame:
     """Adds ``route``: why a cue's listener cannot be scored, or ``score``."""
     known = ready.select("listener_id", F.col("n_trials").alias("_n"))
@@ -170,8 +176,3 @@ def sessions(cues: DataFrame, gap: str = "30 minutes", late: str = "10 minutes")
 def deduplicated(cues: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Duplicate deliveries of one (stream, seq) dropped within the watermark."""
     return cues.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["stream_id", "seq"])
-
-
-def upsert_counts(batch: DataFrame, path: str) -> None:
-    """foreachBatch sink for incremental confusion counts: append each batch's own sums."""
-    batch.write.mode("append").parquet(path)
