@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phonrisk.functions.text import uniform
 from phonrisk.operators.ordered import rank_rows, running
+from phonrisk.session import durable
 
 ECE_BINS = 10
 
@@ -110,7 +111,7 @@ def suite_of(counts: DataFrame, keys: list[str], *, threshold: float = 0.5, clip
 
 def suite(df: DataFrame, keys: list[str], *, y: str = "misheard", p: str = "score", **options) -> DataFrame:
     """Every metric of a score column, one row per key."""
-    return suite_of(score_counts(df, keys, y, p), keys, **options)
+    return suite_of(durable(score_counts(df, keys, y, p)), keys, **options)  # read by four metrics
 
 
 def prevalence_floor(df: DataFrame, keys: list[str], y: str = "misheard") -> DataFrame:

@@ -135,7 +135,8 @@ def quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, *,
     Rows are reduced to distinct values with counts first; the two order statistics around
     the cut are then found from running counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
+    # Read three times below, so written once.
+    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c")))
     run = running(counts, keys, [value], {"_to": "_c"}, bounded=bounded)
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
