@@ -1,6 +1,6 @@
 """Feature blocks of words, listeners and their interaction.
 
-A listener's confusion profile is at most 68 targets, so it travels as one map. Scoring a
+A listener's confusion profile is at most 68 targets, so it travels as one array. Scoring a
 (listener, word) pair is then one join by listener and row-local array work: phoneme rows are
 never exploded and shuffled.
 """
@@ -116,7 +116,7 @@ def clinical_columns() -> dict[str, Column]:
 
 
 def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) -> DataFrame:
-    """Pack estimated target rows: ``prof MAP<slot, struct>``, class weakness, global error."""
+    """Pack estimated target rows: ``prof`` is an array of 68 structs in slot order, plus global error."""
     d = dims.dim_target(est.sparkSession).select("slot", "same_mask", "classes")
     rows = est.join(F.broadcast(d), "slot")  # 68 rows
     own = F.col("probs")[F.col("t_idx")]
@@ -126,9 +126,9 @@ def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) ->
     hit = F.coalesce(F.try_element_at("m", F.col("t_idx")), F.lit(0))
     cell = F.struct(own.alias("p"), F.col("big_n").cast("long").alias("n"), h.alias("h"), F.array_max(off).alias("top1"), same.alias("same"))
     packed = rows.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", cell))).alias("prof"),
+        F.array_sort(F.collect_list(F.struct("slot", cell.alias("cell")))).alias("_cells"),  # 68 a listener
         F.coalesce(1 - F.try_divide(F.sum(hit), F.sum("big_n")), F.lit(0.5)).alias("global_error"))
-    return packed.withColumn("alpha", F.lit(float(alpha)))
+    return packed.select(*keys, F.transform("_cells", lambda c: c["cell"]).alias("prof"), "global_error", F.lit(float(alpha)).alias("alpha"))
 
 
 def class_weakness(est: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,15 +170,19 @@ def with_evidence(pairs: DataFrame, vectors: DataFrame, keys: list[str], word: s
     joined = pairs.join(vectors, keys).withColumn("slots", word_slots(F.col(word)))
     surface = F.array(*[F.lit(s) for s in _surface_slots()])
 
-    def look(s: Column) -> Column:
-        own, via = F.col("prof")[s], F.col("prof")[surface[s]]
-        back = (s > CODA0) & (own["n"] == 0) & (surface[s] != s) & (via["n"] > 0)
+    # Both structs are fetched once per phoneme; the second pass only reads their fields.
+    found = F.transform("slots", lambda s: F.struct(s.alias("slot"), F.col("prof")[s].alias("own"), F.col("prof")[surface[s]].alias("via"),
+                                                    ((s > CODA0) & (surface[s] != s)).alias("has_surface")))
+
+    def look(f: Column) -> Column:
+        own, via = f["own"], f["via"]
+        back = f["has_surface"] & (own["n"] == 0) & (via["n"] > 0)
         return F.struct(
-            s.alias("slot"), F.when(back, via["p"]).otherwise(own["p"]).alias("p"),
+            f["slot"].alias("slot"), F.when(back, via["p"]).otherwise(own["p"]).alias("p"),
             F.when(back, via["n"]).otherwise(own["n"]).alias("n"), back.alias("backed_off"),
             own["p"].alias("own_p"), own["n"].alias("own_n"), own["h"].alias("h"), own["top1"].alias("top1"), own["same"].alias("same"))
 
-    return joined.withColumn("ev", F.transform("slots", look))
+    return joined.withColumn("_found", found).withColumn("ev", F.transform("_found", look)).drop("_found")
 
 
 def phoneme_risks(evidence: DataFrame, keep: list[str]) -> DataFrame:

@@ -9,8 +9,8 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,17 +204,21 @@ def fit_cross_fitted(train: DataFrame, cols: list[str], *, folds: int = 3, l2: f
 # ---- additive splines
 
 
-def spline_basis(x: Column, lo: float, hi: float, knots: int = 5) -> list[Column]:
-    """Uniform cubic B-splines on [lo, hi], constant outside, the last one left out."""
-    h = (hi - lo) / (knots - 1) if hi > lo else 1.0
-    clipped = F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
-    out = []
-    for j in range(knots + 1):
-        u = (clipped - F.lit(lo + (j - 3) * h)) / F.lit(h)
-        out.append(F.when((u < 0) | (u >= 4), 0.0).when(u < 1, u * u * u / 6)
-                   .when(u < 2, (-3 * u * u * u + 12 * u * u - 12 * u + 4) / 6)
-                   .when(u < 3, (3 * u * u * u - 24 * u * u + 60 * u - 44) / 6).otherwise((4 - u) * (4 - u) * (4 - u) / 6))
-    return out
+def _cubic(u: Column) -> Column:
+    """The cardinal cubic B-spline on [0, 4)."""
+    return (F.when((u < 0) | (u >= 4), 0.0).when(u < 1, u * u * u / 6)
+            .when(u < 2, (-3 * u * u * u + 12 * u * u - 12 * u + 4) / 6)
+            .when(u < 3, (3 * u * u * u - 24 * u * u + 60 * u - 44) / 6).otherwise((4 - u) * (4 - u) * (4 - u) / 6))
+
+
+def spline_basis(xs: list[Column], ranges: list[tuple[float, float]], knots: int = 5) -> Column:
+    """ARRAY<DOUBLE> of uniform cubic B-splines of every x on its range, constant outside, the
+    last basis function of each left out."""
+    steps = [(hi - lo) / (knots - 1) if hi > lo else 1.0 for lo, hi in ranges]
+    each = F.array(*[F.struct(((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(h)).alias("u"))
+                     for x, (lo, hi), h in zip(xs, ranges, steps, strict=True)])
+    places = F.sequence(F.lit(0), F.lit(knots))
+    return F.flatten(F.transform(each, lambda s: F.transform(places, lambda j: _cubic(s["u"] - j + 3))))
 
 
 @dataclass
@@ -222,13 +226,12 @@ class Additive:
     medians: dict[str, float]
     ranges: dict[str, tuple[float, float]]
     pairs: list[tuple[str, str]]
-    linear: Linear
-
-    def expand(self, df: DataFrame) -> DataFrame:
-        return _expand(df, self.medians, self.ranges, self.pairs)
+    scaler: object
+    model: object
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        return self.linear.predict(self.expand(df), out).drop(*self.linear.scaling.cols)
+        wide = self.model.transform(self.scaler.transform(_with_basis(df, self.medians, self.ranges, self.pairs)))
+        return wide.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
 def _augmented(cols: list[str], pairs: list[tuple[str, str]], med: dict[str, float]) -> dict[str, Column]:
@@ -238,16 +241,14 @@ def _augmented(cols: list[str], pairs: list[tuple[str, str]], med: dict[str, flo
     return out
 
 
-def _expand(df, med, ranges, pairs):
-    cols = [c for c in ranges if "*" not in c]
-    basis = {}
-    for k, (name, x) in enumerate(_augmented(cols, pairs, med).items()):
-        for j, b in enumerate(spline_basis(x, *ranges[name])):
-            basis[f"_s{k}_{j}"] = b
-    return df.withColumns(basis)
+def _with_basis(df, med, ranges, pairs):
+    aug = _augmented([c for c in ranges if "*" not in c], pairs, med)
+    return df.withColumn("_basis", array_to_vector(spline_basis(list(aug.values()), [ranges[n] for n in aug])))
 
 
 def fit_additive(train: DataFrame, cols: list[str], *, y: str = "misheard", C: float = 0.5) -> Additive:
+    """Per-column splines plus the listed interactions, then L2 logistic regression."""
+    n = require_two_classes(train, y)
     pairs = [(a, b) for a, b in INTERACTIONS if a in cols and b in cols]
     gaps = [c for c in cols if c.startswith("h_") and not c.endswith("_missing")]
     gappy = {c: F.col(c) for c in gaps} | {f"{a}*{b}": F.col(a) * F.col(b) for a, b in pairs if a in gaps or b in gaps}
@@ -256,13 +257,14 @@ def fit_additive(train: DataFrame, cols: list[str], *, y: str = "misheard", C: f
         # Products are continuous, so their medians are approximate (rank error 1/10,000).
         names = list(gappy)
         row = train.agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"q{i}") for i, x in enumerate(gappy.values())]).first()
-        med |= {n: float(row[f"q{i}"] or 0.0) for i, n in enumerate(names)}
+        med |= {c: float(row[f"q{i}"] or 0.0) for i, c in enumerate(names)}
     aug = _augmented(cols, pairs, med)
     lim = train.agg(*[F.min(x).alias(f"lo{i}") for i, x in enumerate(aug.values())], *[F.max(x).alias(f"hi{i}") for i, x in enumerate(aug.values())]).first()
-    ranges = {n: (float(lim[f"lo{i}"]), float(lim[f"hi{i}"])) for i, n in enumerate(aug)}
-    wide = durable(_expand(train.select(y, *cols), med, ranges, pairs).drop(*cols))
-    names = [c for c in wide.columns if c.startswith("_s")]
-    return Additive(med, ranges, pairs, fit_logistic(wide, names, y=y, C=C))
+    ranges = {c: (float(lim[f"lo{i}"]), float(lim[f"hi{i}"])) for i, c in enumerate(aug)}
+    data = durable(_with_basis(train, med, ranges, pairs).select(F.col(y).cast("double").alias(y), "_basis"))
+    scaler = StandardScaler(inputCol="_basis", outputCol="features", withMean=True, withStd=True).fit(data)
+    lr = LogisticRegression(labelCol=y, regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
+    return Additive(med, ranges, pairs, scaler, lr.fit(scaler.transform(data)))
 
 
 # ---- rankers inside a listener
