@@ -56,26 +56,26 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def _spread_ranks(df, keys, order, rn, total):
     marked = durable(
         df.orderBy(*[F.col(k) for k in keys], *_order_cols(order))
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_o_mid", F.monotonically_increasing_id())
     )
-    marked = (marked.withColumn("_pid", F.shiftright("_mid", _SHIFT))
-              .withColumn("_off", F.col("_mid").bitwiseAND(F.lit(_MASK))).drop("_mid"))
-    blocks = marked.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"), F.min("_off").alias("_first"))
+    marked = (marked.withColumn("_o_pid", F.shiftright("_o_mid", _SHIFT))
+              .withColumn("_o_off", F.col("_o_mid").bitwiseAND(F.lit(_MASK))).drop("_o_mid"))
+    blocks = marked.groupBy(*keys, "_o_pid").agg(F.count("*").alias("_n"), F.min("_o_off").alias("_o_first"))
     every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = every.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.orderBy("_o_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_bp"), "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(every).alias("_all"),
+        *[F.col(k).alias(f"_o_k{i}") for i, k in enumerate(keys)], F.col("_o_pid").alias("_o_bp"), "_o_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_before"),
+        F.sum("_n").over(every).alias("_o_all"),
     )
-    cond = marked["_pid"] == starts["_bp"]
+    cond = marked["_o_pid"] == starts["_o_bp"]
     for i, k in enumerate(keys):
-        cond = cond & marked[k].eqNullSafe(starts[f"_k{i}"])
+        cond = cond & marked[k].eqNullSafe(starts[f"_o_k{i}"])
     out = marked.join(starts, cond).withColumn(
-        rn, (F.col("_before") + F.col("_off") - F.col("_first") + 1).cast("long"))
+        rn, (F.col("_o_before") + F.col("_o_off") - F.col("_o_first") + 1).cast("long"))
     if total:
-        out = out.withColumn(total, F.col("_all"))
-    return out.drop("_pid", "_off", "_bp", "_first", "_before", "_all", *[f"_k{i}" for i in range(len(keys))])
+        out = out.withColumn(total, F.col("_o_all"))
+    return out.drop("_o_pid", "_o_off", "_o_bp", "_o_first", "_o_before", "_o_all", *[f"_o_k{i}" for i in range(len(keys))])
 
 
 def with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cols: dict[str, str], *,
@@ -85,19 +85,19 @@ def with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
         w = _window(keys, order)
         move = F.lead if lead else F.lag
         return df.select("*", *[move(F.col(src)).over(w).alias(new) for new, src in cols.items()])
-    ranked = _spread_ranks(df, keys, order, "_rn", None)
+    ranked = _spread_ranks(df, keys, order, "_o_rn", None)
     # The row at each block edge is copied into the neighbouring block, then dropped again.
-    blk = F.floor((F.col("_rn") - 1) / block)
-    edge = (F.col("_rn") % block == 1) if lead else (F.col("_rn") % block == 0)
+    blk = F.floor((F.col("_o_rn") - 1) / block)
+    edge = (F.col("_o_rn") % block == 1) if lead else (F.col("_o_rn") % block == 0)
     near = blk - 1 if lead else blk + 1
     spots = F.array_compact(F.array(
         F.struct(blk.alias("b"), F.lit(True).alias("own")),
         F.when(edge | F.lit(block == 1), F.struct(near.alias("b"), F.lit(False).alias("own")))))
-    halo = ranked.withColumn("_spot", F.explode(spots))
-    w = Window.partitionBy(*keys, F.col("_spot.b")).orderBy("_rn")
+    halo = ranked.withColumn("_o_spot", F.explode(spots))
+    w = Window.partitionBy(*keys, F.col("_o_spot.b")).orderBy("_o_rn")
     move = F.lead if lead else F.lag
     return (halo.select("*", *[move(F.col(src)).over(w).alias(new) for new, src in cols.items()])
-            .where("_spot.own").drop("_spot", "_rn"))
+            .where("_o_spot.own").drop("_o_spot", "_o_rn"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, str] | None = None,
@@ -108,22 +108,22 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
     if (is_bounded(df, keys) if bounded is None else bounded):
         w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[fn(src).over(w).alias(new) for new, src, fn in jobs])
-    ranked = durable(_spread_ranks(df, keys, order, "_rn", None)
-                     .withColumn("_blk", F.floor((F.col("_rn") - 1) / block)))
-    parts = ranked.groupBy(*keys, "_blk").agg(*[fn(src).alias(f"_t_{new}") for new, src, fn in jobs])
+    ranked = durable(_spread_ranks(df, keys, order, "_o_rn", None)
+                     .withColumn("_o_blk", F.floor((F.col("_o_rn") - 1) / block)))
+    parts = ranked.groupBy(*keys, "_o_blk").agg(*[fn(src).alias(f"_o_t_{new}") for new, src, fn in jobs])
     every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = every.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.orderBy("_o_blk").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_bb"),
-        *[fn(f"_t_{new}").over(before).alias(f"_b_{new}") for new, _, fn in jobs])
-    cond = ranked["_blk"] == base["_bb"]
+        *[F.col(k).alias(f"_o_k{i}") for i, k in enumerate(keys)], F.col("_o_blk").alias("_o_bb"),
+        *[fn(f"_o_t_{new}").over(before).alias(f"_o_b_{new}") for new, _, fn in jobs])
+    cond = ranked["_o_blk"] == base["_o_bb"]
     for i, k in enumerate(keys):
-        cond = cond & ranked[k].eqNullSafe(base[f"_k{i}"])
-    inner = (Window.partitionBy(*keys, "_blk").orderBy("_rn")
+        cond = cond & ranked[k].eqNullSafe(base[f"_o_k{i}"])
+    inner = (Window.partitionBy(*keys, "_o_blk").orderBy("_o_rn")
              .rowsBetween(Window.unboundedPreceding, 0))
     out = []
     for new, src, fn in jobs:
-        own, base_value = fn(src).over(inner), F.col(f"_b_{new}")
+        own, base_value = fn(src).over(inner), F.col(f"_o_b_{new}")
         out.append((own + F.coalesce(base_value, F.lit(0)) if fn is F.sum else F.greatest(own, base_value)).alias(new))
     return ranked.join(base, cond).select(*df.columns, *out)
 
