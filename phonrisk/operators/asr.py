@@ -17,40 +17,48 @@ from phonrisk.operators.ordered import with_lag
 def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of one cheapest alignment, ties in that order.
 
-    Swept by anti-diagonals, whose cells do not depend on each other.
+    Equal ends are cut off first, which changes nothing: a match always takes the diagonal.
+    The rest is swept by anti-diagonals, whose cells do not depend on each other. S, D and I of
+    a cell share one integer, 21 bits each.
     """
-    n, m = len(ref), len(hyp)
+    codes: dict[str, int] = {}
+    a = np.array([codes.setdefault(x, len(codes)) for x in ref], dtype=np.int64)
+    b = np.array([codes.setdefault(x, len(codes)) for x in hyp], dtype=np.int64)
+    for _ in range(2):  # the shared start, then (reversed) the shared end
+        k = min(len(a), len(b))
+        differ = np.flatnonzero(a[:k] != b[:k])
+        k = int(differ[0]) if differ.size else k
+        a, b = a[k:][::-1], b[k:][::-1]
+    n, m = len(a), len(b)
     if n == 0 or m == 0:
         return 0, n, m
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(x, len(codes)) for x in ref])
-    b = np.array([codes.setdefault(x, len(codes)) for x in hyp])
-    # Row i of each table is one DP column entry (cost, S, D, I) on the diagonal, indexed by i.
-    older = np.zeros((4, n + 1), dtype=np.int64)
-    newer = np.zeros((4, n + 1), dtype=np.int64)
-    newer[:, 0], newer[:, 1] = (1, 0, 0, 1), (1, 0, 1, 0)
-    unit = np.array([[1], [0], [0], [0]])
+    if n + m >= 1 << 21:
+        raise ValueError("alignment is limited to two million units")
+    S, D, I = 1 << 42, 1 << 21, 1  # noqa: E741
+    # Entry i of a table is the cell (i, d - i) of diagonal d.
+    c0, v0 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    c1, v1 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    c1[:2], v1[0], v1[1] = 1, I, D
     for d in range(2, n + m + 1):
-        cur = np.zeros((4, n + 1), dtype=np.int64)
+        c2, v2 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
         if d <= m:
-            cur[:, 0] = (d, 0, 0, d)
+            c2[0], v2[0] = d, d * I
         if d <= n:
-            cur[:, d] = (d, 0, d, 0)
-        lo, hi = max(1, d - m), min(n, d - 1)
-        i = np.arange(lo, hi + 1)
-        diag, up, left = older[:, i - 1], newer[:, i - 1], newer[:, i]
-        sub = diag + unit
-        sub[1] += 1
-        dele = up + unit
-        dele[2] += 1
-        ins = left + unit
-        ins[3] += 1
-        best = np.where(dele[0] < sub[0], dele, sub)
-        best = np.where(ins[0] < best[0], ins, best)
-        cur[:, i] = np.where(a[i - 1] == b[d - i - 1], diag, best)
-        older, newer = newer, cur
-    _, s, dl, ins = newer[:, n]
-    return int(s), int(dl), int(ins)
+            c2[d], v2[d] = d, d * D
+        lo, hi = max(1, d - m), min(n, d - 1) + 1
+        cost, val = c0[lo - 1:hi - 1] + 1, v0[lo - 1:hi - 1] + S
+        up = c1[lo - 1:hi - 1] + 1
+        val = np.where(up < cost, v1[lo - 1:hi - 1] + D, val)
+        cost = np.minimum(up, cost)
+        left = c1[lo:hi] + 1
+        val = np.where(left < cost, v1[lo:hi] + I, val)
+        cost = np.minimum(left, cost)
+        match = a[lo - 1:hi - 1] == b[d - hi:d - lo][::-1]
+        c2[lo:hi] = np.where(match, c0[lo - 1:hi - 1], cost)
+        v2[lo:hi] = np.where(match, v0[lo - 1:hi - 1], val)
+        c0, v0, c1, v1 = c1, v1, c2, v2
+    end = int(v1[n])
+    return end >> 42, (end >> 21) & (D - 1), end & (D - 1)
 
 
 def edit_counts(df: DataFrame, ref: str, hyp: str, prefix: str, passthrough: list[str]) -> DataFrame:

@@ -116,19 +116,34 @@ def clinical_columns() -> dict[str, Column]:
 
 
 def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) -> DataFrame:
-    """Pack estimated target rows: ``prof`` is an array of 68 structs in slot order, plus global error."""
-    d = dims.dim_target(est.sparkSession).select("slot", "same_mask", "classes")
+    """Pack estimated target rows: ``prof`` is an array of 68 structs in slot order, plus global error.
+
+    Coda back-off depends on listener and target only, so it is settled here, once per listener:
+    a coda nobody was tested on takes its surface coda's estimate when that one was observed.
+    """
+    d = dims.dim_target(est.sparkSession).select("slot", "same_mask")
     rows = est.join(F.broadcast(d), "slot")  # 68 rows
     own = F.col("probs")[F.col("t_idx")]
     off = F.filter(F.transform("probs", lambda p, i: F.when(i != F.col("t_idx"), p)), lambda p: p.isNotNull())
     same = F.aggregate(F.zip_with("probs", "same_mask", lambda p, m: F.when(m, p).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     h = -F.aggregate("probs", F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log(x)).otherwise(0.0))
     hit = F.coalesce(F.try_element_at("m", F.col("t_idx")), F.lit(0))
-    cell = F.struct(own.alias("p"), F.col("big_n").cast("long").alias("n"), h.alias("h"), F.array_max(off).alias("top1"), same.alias("same"))
     packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("slot", cell.alias("cell")))).alias("_cells"),  # 68 a listener
+        F.array_sort(F.collect_list(F.struct("slot", own.alias("p"), F.col("big_n").cast("long").alias("n"), h.alias("h"),
+                                             F.array_max(off).alias("top1"), same.alias("same")))).alias("_cells"),  # 68 a listener
         F.coalesce(1 - F.try_divide(F.sum(hit), F.sum("big_n")), F.lit(0.5)).alias("global_error"))
-    return packed.select(*keys, F.transform("_cells", lambda c: c["cell"]).alias("prof"), "global_error", F.lit(float(alpha)).alias("alpha"))
+    surface = F.array(*[F.lit(s) for s in _surface_slots()])
+
+    def settle(c: Column) -> Column:
+        via = F.col("_cells")[surface[c["slot"]]]
+        back = (c["slot"] > CODA0) & (surface[c["slot"]] != c["slot"]) & (c["n"] == 0) & (via["n"] > 0)
+        p = F.when(back, via["p"]).otherwise(c["p"])
+        return F.struct(
+            c["slot"].alias("slot"), p.alias("p"), F.when(back, via["n"]).otherwise(c["n"]).alias("n"), back.alias("backed_off"),
+            c["p"].alias("own_p"), c["n"].alias("own_n"), c["h"].alias("h"), c["top1"].alias("top1"), c["same"].alias("same"),
+            (-F.log(F.greatest(p, F.lit(EPS)))).alias("nlog"))
+
+    return packed.select(*keys, F.transform("_cells", settle).alias("prof"), "global_error", F.lit(float(alpha)).alias("alpha"))
 
 
 def class_weakness(est: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,27 +177,12 @@ def class_share_columns() -> dict[str, Column]:
 
 
 def with_evidence(pairs: DataFrame, vectors: DataFrame, keys: list[str], word: str = "word") -> DataFrame:
-    """Adds ``slots`` and ``ev``: per phoneme the estimate behind it, with coda back-off.
+    """Adds ``slots`` and ``ev``: per phoneme the estimate behind it.
 
-    An orthographic coda nobody was tested on takes its surface coda's estimate when that one
-    was observed. The pair side may be skewed by listener; AQE splits such partitions.
+    The pair side may be skewed by listener; AQE splits such partitions.
     """
     joined = pairs.join(vectors, keys).withColumn("slots", word_slots(F.col(word)))
-    surface = F.array(*[F.lit(s) for s in _surface_slots()])
-
-    # Both structs are fetched once per phoneme; the second pass only reads their fields.
-    found = F.transform("slots", lambda s: F.struct(s.alias("slot"), F.col("prof")[s].alias("own"), F.col("prof")[surface[s]].alias("via"),
-                                                    ((s > CODA0) & (surface[s] != s)).alias("has_surface")))
-
-    def look(f: Column) -> Column:
-        own, via = f["own"], f["via"]
-        back = f["has_surface"] & (own["n"] == 0) & (via["n"] > 0)
-        return F.struct(
-            f["slot"].alias("slot"), F.when(back, via["p"]).otherwise(own["p"]).alias("p"),
-            F.when(back, via["n"]).otherwise(own["n"]).alias("n"), back.alias("backed_off"),
-            own["p"].alias("own_p"), own["n"].alias("own_n"), own["h"].alias("h"), own["top1"].alias("top1"), own["same"].alias("same"))
-
-    return joined.withColumn("_found", found).withColumn("ev", F.transform("_found", look)).drop("_found")
+    return joined.withColumn("ev", F.transform("slots", lambda s: F.col("prof")[s]))
 
 
 def phoneme_risks(evidence: DataFrame, keep: list[str]) -> DataFrame:
@@ -208,7 +208,7 @@ def _mean(values: Column, empty: float) -> Column:
 
 
 def _neg_log() -> Column:
-    return _fold(F.transform("ev", lambda e: -F.log(F.greatest(e["p"], F.lit(EPS)))))
+    return F.aggregate("ev", F.lit(0.0), lambda a, e: a + e["nlog"])
 
 
 def independence_risk() -> Column:
@@ -274,7 +274,7 @@ def exact_target_columns() -> dict[str, Column]:
     for pos, alphabet in hg.ALPHABET.items():
         for i in range(len(alphabet)):
             slot = dims.SLOT_BASE[pos] + i
-            out[f"et_{pos}{i:02d}"] = _times(F.col("slots"), [slot]) * (1 - F.col("prof")[F.lit(slot)]["p"])
+            out[f"et_{pos}{i:02d}"] = _times(F.col("slots"), [slot]) * (1 - F.col("prof")[F.lit(slot)]["own_p"])
     return out
 
 

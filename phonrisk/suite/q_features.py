@@ -38,11 +38,12 @@ def block(t, cols):
   from (select listener_id, word, 1-exp(sum(ln(greatest(p,1e-6)))) risk, row_number() over (partition by listener_id order by round(1-exp(sum(ln(greatest(p,1e-6)))),9) desc, word collate "binary") rn,
    count(*) over (partition by listener_id) nn from evid group by listener_id, word) r join evid e on e.listener_id=r.listener_id and e.word=r.word where rn <= round_even(0.2*nn,0)) where k=1""")
 def _(t):
-    from phonrisk.operators.ordered import rank_rows
+    from phonrisk.operators.ordered import is_bounded, rank_rows
 
+    fits = is_bounded(t.word_trials, K)  # no listener has more words than trials
     scored = evidence(t).select(*PAIR, ft.independence_risk().alias("risk"), F.array_min(F.transform("ev", lambda e, i: F.struct(
         e["p"].alias("p_correct"), i.alias("i"), e["slot"].alias("slot"), e["n"].alias("n_observations")))).alias("w"))
-    ranked = rank_rows(scored, K, [F.round("risk", 9).desc(), "word"], total="nn")
+    ranked = rank_rows(scored, K, [F.round("risk", 9).desc(), "word"], total="nn", bounded=fits)
     slot = F.col("w.slot")
     pos = F.when(slot < 19, "onset").when(slot < ft.CODA0, "nucleus").otherwise("coda")
     from phonrisk.functions import hangul as hg
