@@ -19,6 +19,7 @@ from phonrisk.operators import dims
 EPS = 1e-6
 SPEAKERS = ("female", "male", "unknown")
 CODA0 = dims.SLOT_BASE["coda"]
+FIELDS = ("p", "n", "backed_off", "own_p", "own_n", "h", "top1", "same", "nlog")
 SPANS = {"onset": (0, 18), "nucleus": (19, 39), "coda": (40, 67)}
 
 # Block sets of the named arms.
@@ -116,7 +117,9 @@ def clinical_columns() -> dict[str, Column]:
 
 
 def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) -> DataFrame:
-    """Pack estimated target rows: ``prof`` is an array of 68 structs in slot order, plus global error.
+    """Pack estimated target rows: one array of 68 values per field (``prof_*``), in slot order.
+
+    Separate arrays let column pruning carry only the fields a block uses through the join.
 
     Coda back-off depends on listener and target only, so it is settled here, once per listener:
     a coda nobody was tested on takes its surface coda's estimate when that one was observed.
@@ -139,11 +142,12 @@ def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) ->
         back = (c["slot"] > CODA0) & (surface[c["slot"]] != c["slot"]) & (c["n"] == 0) & (via["n"] > 0)
         p = F.when(back, via["p"]).otherwise(c["p"])
         return F.struct(
-            c["slot"].alias("slot"), p.alias("p"), F.when(back, via["n"]).otherwise(c["n"]).alias("n"), back.alias("backed_off"),
+            p.alias("p"), F.when(back, via["n"]).otherwise(c["n"]).alias("n"), back.alias("backed_off"),
             c["p"].alias("own_p"), c["n"].alias("own_n"), c["h"].alias("h"), c["top1"].alias("top1"), c["same"].alias("same"),
             (-F.log(F.greatest(p, F.lit(EPS)))).alias("nlog"))
 
-    return packed.select(*keys, F.transform("_cells", settle).alias("prof"), "global_error", F.lit(float(alpha)).alias("alpha"))
+    settled = packed.withColumn("_prof", F.transform("_cells", settle))
+    return settled.select(*keys, *[F.col("_prof")[f].alias(f"prof_{f}") for f in FIELDS], "global_error", F.lit(float(alpha)).alias("alpha"))
 
 
 def class_weakness(est: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,30 +181,49 @@ def class_share_columns() -> dict[str, Column]:
 
 
 def with_evidence(pairs: DataFrame, vectors: DataFrame, keys: list[str], word: str = "word") -> DataFrame:
-    """Adds ``slots`` and ``ev``: per phoneme the estimate behind it.
+    """Pairs beside their listener's arrays, with ``slots``: the phonemes that index them.
 
     The pair side may be skewed by listener; AQE splits such partitions.
     """
-    joined = pairs.join(vectors, keys).withColumn("slots", word_slots(F.col(word)))
-    return joined.withColumn("ev", F.transform("slots", lambda s: F.col("prof")[s]))
+    return pairs.join(vectors, keys).withColumn("slots", word_slots(F.col(word)))
+
+
+class At:
+    """The listener's estimate for one slot: ``e["p"]`` reads ``prof_p`` there."""
+
+    def __init__(self, slot: Column):
+        self.slot = slot
+
+    def __getitem__(self, name: str) -> Column:
+        return self.slot if name == "slot" else F.col(f"prof_{name}")[self.slot]
+
+
+def each(fn, slots: Column | str = "slots") -> Column:
+    """``fn`` of every phoneme's estimate, in word order."""
+    return F.transform(slots, lambda s: fn(At(s)))
 
 
 def phoneme_risks(evidence: DataFrame, keep: list[str]) -> DataFrame:
     """One row per phoneme of a pair with its evidence."""
-    out = evidence.select(*keep, F.posexplode_outer("ev").alias("k", "e")).where("e is not null")
-    pos = F.when(F.col("e.slot") < 19, "onset").when(F.col("e.slot") < CODA0, "nucleus").otherwise("coda")
-    symbol = F.substr(F.lit(hg.ONSETS + hg.NUCLEI + hg.CODAS), F.col("e.slot") + 1, F.lit(1))
+    fields = each(lambda e: F.struct(e["slot"].alias("slot"), e["p"].alias("p"), e["n"].alias("n"), e["backed_off"].alias("backed_off")))
+    out = evidence.select(*keep, F.posexplode_outer(fields).alias("k", "e")).where("e is not null")
+    pos, symbol = slot_name(F.col("e.slot"))
     return out.select(*keep, F.floor(F.col("k") / 3).alias("syllable_idx"), pos.alias("position"), symbol.alias("target"),
                       F.col("e.p").alias("p_correct"), F.col("e.n").alias("n_observations"), F.col("e.backed_off").alias("backed_off"))
 
 
+def slot_name(slot: Column) -> tuple[Column, Column]:
+    """Position and symbol of a slot."""
+    pos = F.when(slot < 19, "onset").when(slot < CODA0, "nucleus").otherwise("coda")
+    return pos, F.substr(F.lit(hg.ONSETS + hg.NUCLEI + hg.CODAS), slot + 1, F.lit(1))
+
+
 def _fold(values: Column, zero: float = 0.0) -> Column:
     return F.aggregate(values, F.lit(zero), lambda a, x: a + x)
 
 
 def _pick(field: str, position: str | None = None) -> Column:
-    src = _part(position) if position else F.col("ev")
-    return F.transform(src, lambda e: e[field])
+    return each(lambda e: e[field], _part(position) if position else "slots")
 
 
 def _mean(values: Column, empty: float) -> Column:
@@ -208,7 +231,7 @@ def _mean(values: Column, empty: float) -> Column:
 
 
 def _neg_log() -> Column:
-    return F.aggregate("ev", F.lit(0.0), lambda a, e: a + e["nlog"])
+    return F.aggregate("slots", F.lit(0.0), lambda a, s: a + F.col("prof_nlog")[s])
 
 
 def independence_risk() -> Column:
@@ -218,7 +241,7 @@ def independence_risk() -> Column:
 
 def confusion_columns() -> dict[str, Column]:
     """Sixteen columns; words without Hangul get neutral values."""
-    p, n = _pick("p"), F.transform("ev", lambda e: e["n"].cast("double"))
+    p, n = _pick("p"), each(lambda e: e["n"].cast("double"))
     low = F.coalesce(F.array_min(p), F.lit(1.0))
     out = {"x_r_phon": independence_risk(), "x_neg_log_correct": _neg_log(), "x_min_p_correct": low,
            "x_mean_p_correct": _mean(p, 1.0), "x_max_error": 1 - low}
@@ -226,8 +249,8 @@ def confusion_columns() -> dict[str, Column]:
         out[f"x_mean_p_{pos}"] = _mean(_pick("p", pos), 1.0)
     for pos in hg.POSITIONS:
         out[f"x_min_p_{pos}"] = F.coalesce(F.array_min(_pick("p", pos)), F.lit(1.0))
-    zero = F.transform("ev", lambda e: (e["n"] == 0).cast("double"))
-    back = F.transform("ev", lambda e: e["backed_off"].cast("double"))
+    zero = each(lambda e: (e["n"] == 0).cast("double"))
+    back = each(lambda e: e["backed_off"].cast("double"))
     out |= {"x_mean_row_entropy": _mean(_pick("h"), 0.0), "x_min_evidence": F.coalesce(F.array_min(n), F.lit(0.0)),
             "x_mean_evidence": _mean(n, 0.0), "x_frac_unobserved": _mean(zero, 1.0), "x_frac_backed_off": _mean(back, 0.0)}
     return out
@@ -241,15 +264,15 @@ def _spread(p: Column, n: Column) -> Column:
 def offdiag_columns() -> dict[str, Column]:
     mass = lambda e: F.greatest(1 - e["p"], F.lit(EPS))
     return {
-        "x2_top1_share": _mean(F.transform("ev", lambda e: e["top1"] / mass(e)), 0.0),
-        "x2_within_class_share": _mean(F.transform("ev", lambda e: e["same"] / mass(e)), 0.0),
-        "x2_across_class_share": _mean(F.transform("ev", lambda e: (mass(e) - e["same"]) / mass(e)), 0.0),
+        "x2_top1_share": _mean(each(lambda e: e["top1"] / mass(e)), 0.0),
+        "x2_within_class_share": _mean(each(lambda e: e["same"] / mass(e)), 0.0),
+        "x2_across_class_share": _mean(each(lambda e: (mass(e) - e["same"]) / mass(e)), 0.0),
     }
 
 
 def uncertainty_columns() -> dict[str, Column]:
-    sd = F.transform("ev", lambda e: _spread(e["p"], e["n"]))
-    thin = F.transform("ev", lambda e: (e["n"] < 3).cast("double"))
+    sd = each(lambda e: _spread(e["p"], e["n"]))
+    thin = each(lambda e: (e["n"] < 3).cast("double"))
     return {"x2_post_sd_mean": _mean(sd, 0.0), "x2_post_sd_max": F.coalesce(F.array_max(sd), F.lit(0.0)),
             "x2_frac_thin_evidence": _mean(thin, 1.0)}
 
@@ -274,13 +297,13 @@ def exact_target_columns() -> dict[str, Column]:
     for pos, alphabet in hg.ALPHABET.items():
         for i in range(len(alphabet)):
             slot = dims.SLOT_BASE[pos] + i
-            out[f"et_{pos}{i:02d}"] = _times(F.col("slots"), [slot]) * (1 - F.col("prof")[F.lit(slot)]["own_p"])
+            out[f"et_{pos}{i:02d}"] = _times(F.col("slots"), [slot]) * (1 - F.col("prof_own_p")[slot])
     return out
 
 
 def _part(position: str) -> Column:
     lo, hi = SPANS[position]
-    return F.filter("ev", lambda e: e["slot"].between(lo, hi))
+    return F.filter("slots", lambda s: s.between(lo, hi))
 
 
 def _own_mass(e: Column) -> Column:
@@ -292,13 +315,13 @@ def exact_offdiag_columns() -> dict[str, Column]:
     out = {}
     for pos in SPANS:
         part = _part(pos)
-        mass = F.transform(part, _own_mass)
+        mass = each(_own_mass, part)
         out[f"eo_{pos}_expected_errors"] = _fold(mass)
-        out[f"eo_{pos}_within_class"] = _mean(F.transform(part, lambda e: e["same"]), 0.0)
-        out[f"eo_{pos}_across_class"] = _mean(F.transform(part, lambda e: _own_mass(e) - e["same"]), 0.0)
-        out[f"eo_{pos}_top1_share"] = _mean(F.transform(part, lambda e: e["top1"] / _own_mass(e)), 0.0)
-        out[f"eo_{pos}_evidence"] = _mean(F.transform(part, lambda e: e["own_n"].cast("double")), 0.0)
-        out[f"eo_{pos}_uncertainty"] = _mean(F.transform(part, lambda e: _spread(e["own_p"], e["own_n"])), 0.0)
+        out[f"eo_{pos}_within_class"] = _mean(each(lambda e: e["same"], part), 0.0)
+        out[f"eo_{pos}_across_class"] = _mean(each(lambda e: _own_mass(e) - e["same"], part), 0.0)
+        out[f"eo_{pos}_top1_share"] = _mean(each(lambda e: e["top1"] / _own_mass(e), part), 0.0)
+        out[f"eo_{pos}_evidence"] = _mean(each(lambda e: e["own_n"].cast("double"), part), 0.0)
+        out[f"eo_{pos}_uncertainty"] = _mean(each(lambda e: _spread(e["own_p"], e["own_n"]), part), 0.0)
     return out
 
 
@@ -372,11 +395,10 @@ def missing_inputs(trials: DataFrame, arm: str, *, hearing: DataFrame | None, es
 
 def explain(evidence: DataFrame, tops: DataFrame | None, keep: list[str], k: int = 3) -> DataFrame:
     """The k weakest phonemes of each pair with evidence and back-off flags."""
-    weak = F.slice(F.array_sort(F.transform("ev", lambda e, i: F.struct(
-        e["p"].alias("p"), i.alias("i"), e["slot"].alias("slot"), e["n"].alias("n"), e["backed_off"].alias("backed_off")))), 1, k)
-    out = evidence.select(*keep, F.posexplode_outer(weak).alias("rank", "w")).where("w is not null")
-    pos = F.when(F.col("w.slot") < 19, "onset").when(F.col("w.slot") < CODA0, "nucleus").otherwise("coda")
-    symbol = F.substr(F.lit(hg.ONSETS + hg.NUCLEI + hg.CODAS), F.col("w.slot") + 1, F.lit(1))
+    cells = F.transform("slots", lambda s, i: F.struct(
+        At(s)["p"].alias("p"), i.alias("i"), s.alias("slot"), At(s)["n"].alias("n"), At(s)["backed_off"].alias("backed_off")))
+    out = evidence.select(*keep, F.posexplode_outer(F.slice(F.array_sort(cells), 1, k)).alias("rank", "w")).where("w is not null")
+    pos, symbol = slot_name(F.col("w.slot"))
     rows = out.select(*keep, (F.col("rank") + 1).alias("rank"), pos.alias("position"), symbol.alias("target"),
                       F.col("w.p").alias("p_correct"), F.col("w.n").alias("n_observations"),
                       (F.col("w.n") == 0).alias("prior_only"), F.col("w.backed_off").alias("backed_off"))

@@ -41,15 +41,12 @@ def _(t):
     from phonrisk.operators.ordered import is_bounded, rank_rows
 
     fits = is_bounded(t.word_trials, K)  # no listener has more words than trials
-    scored = evidence(t).select(*PAIR, ft.independence_risk().alias("risk"), F.array_min(F.transform("ev", lambda e, i: F.struct(
-        e["p"].alias("p_correct"), i.alias("i"), e["slot"].alias("slot"), e["n"].alias("n_observations")))).alias("w"))
+    scored = evidence(t).select(*PAIR, ft.independence_risk().alias("risk"), F.array_min(F.transform("slots", lambda s, i: F.struct(
+        ft.At(s)["p"].alias("p_correct"), i.alias("i"), s.alias("slot"), ft.At(s)["n"].alias("n_observations")))).alias("w"))
     ranked = rank_rows(scored, K, [F.round("risk", 9).desc(), "word"], total="nn", bounded=fits)
-    slot = F.col("w.slot")
-    pos = F.when(slot < 19, "onset").when(slot < ft.CODA0, "nucleus").otherwise("coda")
-    from phonrisk.functions import hangul as hg
+    pos, symbol = ft.slot_name(F.col("w.slot"))
     return rnd(ranked.where("rn <= rint(0.2D * nn)").select(
-        *PAIR, "risk", pos.alias("position"), F.substr(F.lit(hg.ONSETS + hg.NUCLEI + hg.CODAS), slot + 1, F.lit(1)).alias("target"),
-        "w.p_correct", "w.n_observations"))
+        *PAIR, "risk", pos.alias("position"), symbol.alias("target"), "w.p_correct", "w.n_observations"))
 
 
 WCOLS = ft.arm_columns("live_word_context")
