@@ -66,13 +66,13 @@ def _sketch_rows(width: int):
             for _, block in blocks(batch.column(0).to_pylist()):
                 for grams in ngram_sets(block, width):
                     np.add.at(counts, grams >> np.uint64(64 - SKETCH_BITS), 1)
-        used = np.flatnonzero(counts)
-        part = used >> _PART_BITS
-        cut = np.searchsorted(part, np.arange((1 << SKETCH_BITS - _PART_BITS) + 1))
-        out = [(p, (used[a:b] & 0xFFFF).astype("<u2").tobytes(), counts[used[a:b]].astype("<u4").tobytes())
-               for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        out = []
+        for p, part in enumerate(counts.reshape(-1, 1 << _PART_BITS)):
+            if part.any():  # a byte for each count; what exceeds a byte goes beside it
+                over = np.flatnonzero(part > 255)
+                out.append((p, np.minimum(part, 255).astype(np.uint8).tobytes(), over.astype("<u2").tobytes(), (part[over] - 255).astype("<u4").tobytes()))
         if out:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["part", "at", "n"]), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["part", "low", "at", "over"]), preserve_index=False)
     return rows
 
 
@@ -80,9 +80,10 @@ def _add_up(batches):
     """Levels of the summed counts: each part of the sketch is one array, however many tasks filled it."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, low, at, over in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             total = sums.setdefault(part, np.zeros(1 << _PART_BITS, np.uint64))
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+            total += np.frombuffer(low, np.uint8)
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(over, "<u4")
     out = [(p, level_of(s).tobytes(), [int(m) for m in np.bincount(level_of(s), s, 256)]) for p, s in sums.items()]
     if out:
         yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["part", "levels", "mass"]), preserve_index=False)
@@ -95,7 +96,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 def global_order(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(level of each sketch bucket, composite order keys that cut all n-grams into fragments)."""
-    parts = texts.mapInArrow(_sketch_rows(width), "part long, at binary, n binary")
+    parts = texts.mapInArrow(_sketch_rows(width), "part long, low binary, at binary, over binary")
     parts = parts.repartition("part").mapInArrow(_add_up, "part long, levels binary, mass array<bigint>").collect()
     levels, mass = np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros(256)
     for p in parts:  # a fixed number of parts of a fixed size
