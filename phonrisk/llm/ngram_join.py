@@ -164,9 +164,15 @@ def _fragment_rows(order, width: int):
 
 
 def _verified(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that link: overlaps counted piece by piece, summed per pair."""
-    a = pieces.select(F.col("node").alias("u"), F.col("n").alias("nu"), "piece", F.col("grams").alias("a"))
-    b = pieces.select(F.col("node").alias("v"), F.col("n").alias("nv"), "piece", F.col("grams").alias("b"))
+    """The pairs (u, v) that link: overlaps counted piece by piece, summed per pair.
+
+    ``pairs`` is stored, so that Spark knows its size and moves only the pieces of its nodes where it is small.
+    """
+    pairs = stored(pairs, "pairs")
+    a_side = pieces.join(pairs.select(F.col("u").alias("node")), "node", "left_semi")
+    b_side = pieces.join(pairs.select(F.col("v").alias("node")), "node", "left_semi")
+    a = a_side.select(F.col("node").alias("u"), F.col("n").alias("nu"), "piece", F.col("grams").alias("a"))
+    b = b_side.select(F.col("node").alias("v"), F.col("n").alias("nv"), "piece", F.col("grams").alias("b"))
     partial = pairs.join(a, "u").join(b, ["v", "piece"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("c"))
     both = partial.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("nu").alias("nu"), F.max("nv").alias("nv"))
     return both.filter(f"100 * c >= {percent} * (nu + nv - c)").select("u", "v")
@@ -204,22 +210,24 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     rows = given.select("doc_id", "text_key", "text").mapInArrow(
         _set_rows(order, width, percent), "doc_id long, text_key long, n long, digest binary, heft int, prefix array<bigint>")
     rows = stored(rows, "sets")
-    classes = rows.filter("n > 0").groupBy("digest", "n").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"),
-        F.first("heft").alias("heft"), F.first("prefix").alias("prefix"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
-
-    postings = classes.select("node", "n", "heft", F.posexplode("prefix").alias("pos", "gram"))
+    keys = ["digest", "n", "id_key", "text_key"]
+    classes = rows.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "*", F.coalesce("least.doc_id", F.lit(-1)).alias("id_key"), "least.text_key"), "classes")
+
+    # One row stands for a class: its postings, and its pieces if it is in a list that can hold a link.
+    heads = rows.withColumn("id_key", F.coalesce("doc_id", F.lit(-1))).select(*keys, "heft", "prefix")
+    heads = heads.join(classes.select("node", *keys), keys).dropDuplicates(keys)
+    postings = heads.select("node", "n", "heft", F.posexplode("prefix").alias("pos", "gram"))
     by_gram = Window.partitionBy("gram").orderBy(F.desc("heft"), "node")
-    listed = postings.select("gram", "node", "n", "heft", "pos", F.first("node").over(by_gram).alias("hub"),
-                             F.lead("node").over(by_gram).alias("next"))
-    lists = stored(listed.filter("node != hub or next is not null").select("gram", "node", "n", "heft", "pos"), "lists")
-
-    wanted = lists.select("node").distinct().join(classes, "node").select(
-        "node", "digest", F.coalesce("least.doc_id", F.lit(-1)).alias("id_key"), "least.text_key")
-    pieces = stored(given.drop("doc_id").join(wanted, ["id_key", "text_key"]).select("node", "digest", "text")
-                    .mapInArrow(_fragment_rows(order, width), "node long, n long, piece int, grams array<bigint>")
-                    .dropDuplicates(["node", "piece"]), "pieces")
+    other = F.coalesce(F.lead(F.struct("n", "pos")).over(by_gram), F.lag(F.struct("n", "pos")).over(by_gram))
+    listed = postings.select("gram", "node", "n", "heft", "pos", F.count("*").over(Window.partitionBy("gram")).alias("m"), other.alias("other"))
+    listed = listed.filter("m > 1").select("gram", "node", "n", "heft", "pos", "m", F.col("other.n").alias("hn"), F.col("other.pos").alias("hpos"))
+    lists = stored(listed.filter((F.col("m") > 2) | _may_link(percent)).select("gram", "node", "n", "heft", "pos"), "lists")
+
+    wanted = lists.select("node").distinct().join(classes.select("node", "digest", "id_key", "text_key"), "node")
+    texts = given.drop("doc_id").join(wanted, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key", "digest"])
+    pieces = stored(texts.select("node", "digest", "text").mapInArrow(_fragment_rows(order, width), "node long, n long, piece int, grams array<bigint>"), "pieces")
+
     groups, open_, last = None, lists.withColumn("comp", F.col("node")), float("inf")
     while True:
         hubs = open_.groupBy("gram").agg(F.max(F.struct("heft", (-F.col("node")).alias("minus"), "n", "pos", "comp")).alias("h")).select(
