@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, input_ids, n_tokens of each document of the mix."""
-    ids = bpe.encoder(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    coded = docs.select("doc_id", "lang", "source", ids("text").alias("input_ids"))
+    coded = bpe.with_ids(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
     return coded.withColumn("n_tokens", F.size("input_ids").cast("long"))
 
 

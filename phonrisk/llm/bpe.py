@@ -19,6 +19,7 @@ whole; rows repeat as they come; a null doc_id stays null; other columns are ign
 import base64
 import hashlib
 from array import array
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -26,9 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: Pieces (and token pairs) remembered by one Python worker; beyond this the memory starts anew.
 MEMORY = 1_000_000
+#: Rows encoded at once.
+SLICE = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,15 +194,26 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         _digest_rows(shared), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoder(spark: SparkSession, path: str, pattern: str):
-    """A column function: text -> array of token ids."""
-    shared = share(spark, path, pattern)
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+def _id_rows(shared):
+    def rows(batches):
         codec = _codec(shared)
-        return texts.map(lambda t: array("i", codec.encode(t or "")).tolist())
-    return encode
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                coded = [codec.encode(text or "") for text in part.column("_bpe_text").to_pylist()]
+                ends = pa.array([0, *accumulate(len(x) // 4 for x in coded)], pa.int32())
+                ids = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(coded))])
+                kept = [c for c in part.schema.names if c != "_bpe_text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(ends, ids)], [*kept, "input_ids"])
+    return rows
+
+
+def with_ids(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``input_ids``, the token ids of its text; ids never become Python numbers."""
+    shared = share(docs.sparkSession, path, pattern)
+    given = docs.select(*keep, F.col("text").alias("_bpe_text"))
+    schema = StructType([*(given.schema[c] for c in keep), StructField("input_ids", ArrayType(IntegerType(), False))])
+    return given.mapInArrow(_id_rows(shared), schema)
 
 
 def decoder(spark: SparkSession, path: str, pattern: str):
