@@ -35,7 +35,7 @@ LIST_SIZE = 256
 MAX_LISTS = 1 << 14
 SAMPLE = 20_000
 DEGREE = 16
-BEAM = 64
+BEAM = 16
 BORDER, COPIES = 1.03, 3
 TARGET, TRIALS = 0.96, 256
 NEAREST_FEW = 4
