@@ -105,8 +105,8 @@ def global_order(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.n
     below = np.concatenate(([0.0], np.cumsum(mass)))
     cuts = []
     for goal in below[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS:
-        k = int(np.searchsorted(below, goal, "right")) - 1
-        share = (goal - below[k]) / mass[k] if k < 256 and mass[k] else 0.0
+        k = min(255, int(np.searchsorted(below, goal, "right")) - 1)
+        share = (goal - below[k]) / mass[k] if mass[k] else 0.0
         cuts.append((k << 56) + int(share * (1 << 56)))
     return levels, np.array(cuts, np.uint64)
 

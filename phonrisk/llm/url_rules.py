@@ -73,7 +73,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     # Only tokens that are frequent among blocked URLs can make a rule.
     common = baskets.filter("blocked").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= max(min_count, min_support * n))
-    seen = items.select(F.monotonically_increasing_id().alias("row"), F.explode("items").alias("t"))
+    numbered = items.select(F.monotonically_increasing_id().alias("row"), "items")  # numbered before they are exploded
+    seen = numbered.select("row", F.explode("items").alias("t"))
     seen = seen.join(common.select("t").union(labelled.sparkSession.createDataFrame([(BLOCKED,)], "t string")), "t").groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(seen)
     sets = stored(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq").filter(F.size("items") <= MAX_TOKENS + 1), "itemsets")
