@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DIM_BITS = 14
 ORDERS = (1, 2, 3)
-SAMPLE = 6_000
+SAMPLE = 3_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 REJECT_BELOW = 0.4
@@ -127,7 +127,7 @@ def _bucket(modulus: int):
 def _feature_rows(frames):
     for frame in frames:
         found = [features(t) for t in frame["text"]]
-        yield pd.DataFrame({"lang": frame["lang"], "check": frame["check"], "at": [a.astype(np.int32) for a, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+        yield pd.DataFrame({"lang": frame["lang"], "check": frame["check"], "at": [a.astype(np.int16) for a, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS):
@@ -142,10 +142,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS):
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, share / n))) for k, n in counts.items()])
     drawn = rows.filter(draw < chance).withColumn("check", F.crc32(F.concat_ws("|", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0)
-    got = drawn.select("lang", "check", "text").mapInPandas(_feature_rows, "lang string, check boolean, at array<int>, counts array<int>").toPandas()  # about SAMPLE rows
+    got = drawn.select("lang", "check", "text").mapInPandas(_feature_rows, "lang string, check boolean, at array<smallint>, counts array<int>").toPandas()  # about SAMPLE rows
     place = {k: i for i, k in enumerate(langs)}
     model, held = Ftrl(1 << DIM_BITS, len(langs)), []
     examples = [(np.asarray(r.at), np.asarray(r.counts), place[r.lang], r.check) for r in got.itertuples() if len(r.at)]
+    del got
     examples.sort(key=lambda e: hashlib.md5(e[0].tobytes() + e[1].tobytes()).digest())  # a fixed, mixed order
     for _ in range(epochs):
         for at, counts_, label, check in examples:
