@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from phonrisk.llm.words import blocks, mix, stream
 
 DIM_BITS = 18
-SAMPLE = 5_000
+SAMPLE = 2_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 TOXIC_WEIGHT = 3.0
@@ -73,6 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     rows = docs.select("doc_id", "text").join(marks, "doc_id").select("toxic", "text")
     got = rows.mapInPandas(_cell_rows, "toxic int, at array<int>").toPandas()  # about SAMPLE rows of each label
     examples = sorted(zip(got["at"].map(np.asarray), got["toxic"], strict=True), key=lambda e: hashlib.md5(e[0].tobytes()).digest())
+    del got
     z, s = np.zeros((1 << DIM_BITS) + 1), np.zeros((1 << DIM_BITS) + 1)
     bias = np.array([1 << DIM_BITS])
 
