@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
         return np.empty(0, np.int32), np.empty(0), -30.0
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     marks = marks.filter(F.coalesce(*[F.when(F.col("toxic") == k, draw < min(1.0, sample / m)) for k, m in n.items()]))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("toxic", "text")  # about twice SAMPLE ids
     got = rows.mapInPandas(_cell_rows, "toxic int, at array<int>").toPandas()  # about SAMPLE rows of each label
     examples = sorted(zip(got["at"].map(np.asarray), got["toxic"], strict=True), key=lambda e: hashlib.md5(e[0].tobytes()).digest())
     del got
