@@ -204,7 +204,7 @@ select e.user_id stream_id, e.user_id listener_id, e.event_id seq, e.ts observed
        when e.event_type in ('view','click') then concat('자막 ', e.event_type)
        else concat(w.word, ' ', e.event_type) end text,
   e.event_id + {_hash(d, "ar", "e.event_id")} % 400 arrival
-from {d.table("events")} e join word_vocab w on w.v = e.event_id % 5"""
+from (select *, {_hash(d, "lc", "event_id")} % {d.count("part")} vkey from {d.table("events")}) e join word_vocab w on w.v = e.vkey"""
 
 
 def texts(d: Spark) -> str:

@@ -125,23 +125,32 @@ def cue_words(cues: DataFrame, keep: list[str]) -> DataFrame:
     return cues.select(*keep, F.posexplode_outer(F.split("text", " ")).alias("word_idx", "word")).where("word is not null")
 
 
-def score_cues(cues: DataFrame, risks: DataFrame, taus: DataFrame, keep: list[str]) -> DataFrame:
-    """Selected words of each cue: ``risk >= tau``; words without Hangul stay, risk 0, unselected."""
-    words = cue_words(cues, [*keep, "listener_id"]).join(taus, "listener_id").join(risks, ["listener_id", "word"], "left")
+def _scored_words(cues: DataFrame, risks: DataFrame, taus: DataFrame, keep: list[str]) -> DataFrame:
+    """Every word of every cue: ``tau``, and ``risk`` (0 without Hangul, null where a Hangul word has none)."""
+    words = cue_words(cues, keep).join(taus, "listener_id", "left").join(risks, ["listener_id", "word"], "left")
     ok = has_hangul(F.col("word"))
-    risk = F.when(ok, F.coalesce("risk", F.lit(0.0))).otherwise(0.0)
-    picked = F.struct("word_idx", "word", risk.alias("risk"), (ok & (risk >= F.col("tau"))).alias("selected"))
-    whole = words.groupBy(*keep).agg(F.array_sort(F.collect_list(picked)).alias("words"))  # at most 60 a cue
+    return words.withColumns({"risk": F.when(ok, F.col("risk")).otherwise(0.0), "selected": F.coalesce(ok & (F.col("risk") >= F.col("tau")), F.lit(False))})
+
+
+def score_cues(cues: DataFrame, risks: DataFrame, taus: DataFrame, keep: list[str]) -> DataFrame:
+    """Selected words of each cue: ``risk >= tau``; words without Hangul stay, risk 0, unselected.
+
+    No cue is lost: ``reason`` says ``no_threshold`` where the listener has none and ``unscored_words``
+    where a Hangul word has no risk; such words stay unselected. It is null where all was scored.
+    """
+    words = _scored_words(cues, risks, taus, [*keep, "listener_id"])
+    picked = F.struct("word_idx", "word", "risk", "selected")
+    whole = words.groupBy(*keep).agg(F.array_sort(F.collect_list(picked)).alias("words"), F.max("tau").alias("tau"))  # at most 60 a cue
     shown = F.transform(F.filter("words", lambda w: w["selected"]), lambda w: w["word"])
-    return whole.select(*keep, F.size("words").alias("n_words"), F.size(shown).alias("n_selected"), F.array_join(shown, " ").alias("display_text"))
+    reason = F.when(F.col("tau").isNull(), "no_threshold").when(F.exists("words", lambda w: w["risk"].isNull()), "unscored_words")
+    return whole.select(*keep, F.size("words").alias("n_words"), F.size(shown).alias("n_selected"), F.array_join(shown, " ").alias("display_text"), reason.alias("reason"))
 
 
 def score_cue_stream(cues: DataFrame, risks: DataFrame, taus: DataFrame) -> DataFrame:
-    """Word-level form for streams: two stream-static joins, no aggregation state."""
-    words = cue_words(cues, ["stream_id", "seq", "listener_id"]).join(taus, "listener_id").join(risks, ["listener_id", "word"], "left")
-    ok = has_hangul(F.col("word"))
-    risk = F.when(ok, F.coalesce("risk", F.lit(0.0))).otherwise(0.0)
-    return words.select("stream_id", "seq", "word_idx", "word", risk.alias("risk"), (ok & (risk >= F.col("tau"))).alias("selected"))
+    """Word-level form for streams: two stream-static left joins, no aggregation state."""
+    words = _scored_words(cues, risks, taus, ["stream_id", "seq", "listener_id"])
+    reason = F.when(F.col("tau").isNull(), "no_threshold").when(F.col("risk").isNull(), "unscored_words")
+    return words.select("stream_id", "seq", "word_idx", "word", "risk", "selected", reason.alias("reason"))
 
 
 def stale(results: DataFrame, *, stream: str = "stream_id", seq: str = "seq", arrival: str = "arrival", bounded: bool | None = None) -> DataFrame:
@@ -159,7 +168,7 @@ def route(cues: DataFrame, ready: DataFrame) -> DataFrame:
 
 def content_free(scored: DataFrame) -> DataFrame:
     """Cue metrics without any text."""
-    return scored.select("stream_id", "seq", F.length("display_text").alias("n_chars"), "n_words", "n_selected")
+    return scored.select("stream_id", "seq", F.length("display_text").alias("n_chars"), "n_words", "n_selected", "reason")
 
 
 def windowed_volume(cues: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -64,9 +64,17 @@ def _(t):
 PHV = f"""(select word, position, case position when 'onset' then substr('ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ', cast((unicode(ch)-44032)//588+1 as int), 1) when 'nucleus' then substr('ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ', cast((unicode(ch)-44032)%588//28+1 as int), 1)
   else substr('-ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ', cast((unicode(ch)-44032)%28+1 as int), 1) end symbol
   from (select v, word, unnest(string_split(word,'')) ch from {REF}) cross join (values ('onset'),('nucleus'),('coda')) p(position))"""
-REFRISK = f"""(select d.listener_id, v.word, 1-exp(sum(ln(greatest(case when v.position='coda' and d.big_n=0 and v.symbol<>'-' and t.surface<>v.symbol and coalesce(s.big_n,0)>0 then s.p else d.p end,1e-6)))) risk
-  from {PHV} v join diag d on d.position=v.position and d.target=v.symbol join dim_target t on t.position=v.position and t.symbol=v.symbol
+def _risks_sql(phonemes: str) -> str:
+    """Independence risk of each calibrated listener for each word of ``phonemes``."""
+    return f"""(select d.listener_id, v.word, 1-exp(sum(ln(greatest(case when v.position='coda' and d.big_n=0 and v.symbol<>'-' and t.surface<>v.symbol and coalesce(s.big_n,0)>0 then s.p else d.p end,1e-6)))) risk
+  from {phonemes} v join diag d on d.position=v.position and d.target=v.symbol{{pairs}} join dim_target t on t.position=v.position and t.symbol=v.symbol
   left join diag s on s.listener_id=d.listener_id and s.position='coda' and v.position='coda' and s.target=t.surface group by all)"""
+
+
+REFRISK = _risks_sql(PHV).format(pairs="")
+CUEPAIR = "(select distinct listener_id, unnest(string_split(text,' ')) word from live_cues where text is not null)"
+CUEPHV = PHV.replace(f"select v, word, unnest(string_split(word,'')) ch from {REF}", f"select listener_id cue_listener, word, unnest(regexp_extract_all(word,'[가-힣]')) ch from {CUEPAIR}").replace("(select word, position", "(select cue_listener, word, position", 1)
+CUERISK = _risks_sql(CUEPHV).format(pairs=" and d.listener_id=v.cue_listener")
 TAU = f"(select r.listener_id, quantile_cont(r.risk,0.8) tau from {REFRISK} r join {REF} w on w.word=r.word group by all)"
 
 
@@ -76,7 +84,6 @@ def risks_of(t, pairs):
 
 
 def taus(t):
-    # Risks rounded far below any gap between words, so that ties stay ties.
     ref = risks_of(t, lv.vocabulary_grid(t.calib_trials.select("listener_id").distinct()).select("listener_id", "word"))
     return lv.reference_thresholds(ref)
 
@@ -86,20 +93,24 @@ def _(t):
     return rnd(taus(t))
 
 
-CUEW = f"""(select c.stream_id, c.seq, c.listener_id, w.i, w.word, coalesce(x.x_r_phon,0) risk, len(regexp_extract_all(w.word,'[가-힣]'))>0 and coalesce(x.x_r_phon,0)>=k.tau sel from live_cues c
-  cross join lateral (select unnest(string_split(c.text,' ')) word, unnest(range(0,len(string_split(c.text,' ')))) i) w join {TAU} k on k.listener_id=c.listener_id
-  left join (select listener_id, word, 1-exp(sum(ln(greatest(p,1e-6)))) x_r_phon from evid group by all) x on x.listener_id=c.listener_id and x.word=w.word where c.text is not null)"""
+CUEW = f"""(select c.stream_id, c.seq, w.i, w.word, k.tau, len(regexp_extract_all(w.word,'[가-힣]'))>0 and x.risk is null lost,
+  coalesce(len(regexp_extract_all(w.word,'[가-힣]'))>0 and x.risk>=k.tau, false) sel
+  from (select * from live_cues where text is not null) c cross join lateral (select unnest(string_split(c.text,' ')) word, unnest(range(0,len(string_split(c.text,' ')))) i) w
+  left join {TAU} k on k.listener_id=c.listener_id left join {CUERISK} x on x.listener_id=c.listener_id and x.word=w.word)"""
+SCORED = f"""(select stream_id, seq, count(*) n_words, count(*) filter (where sel) n_selected, coalesce(string_agg(word,' ' order by i) filter (where sel),'') display_text,
+  case when max(tau) is null then 'no_threshold' when bool_or(lost) then 'unscored_words' end reason from {CUEW} group by all)"""
 
 
-def cue_risks(t):
-    pairs = lv.cue_words(t.live_cues.where("text is not null"), ["listener_id"]).select("listener_id", "word").distinct()
-    known = t.word_trials.select("listener_id", "word").distinct()
-    return risks_of(t, pairs.join(known, ["listener_id", "word"], "left_semi"))
+def scored_cues(t):
+    """All cues with a text, every Hangul word of theirs scored with its listener's estimates."""
+    cues = t.live_cues.where("text is not null")
+    pairs = lv.cue_words(cues, ["listener_id"]).select("listener_id", "word").distinct()
+    return lv.score_cues(cues, risks_of(t, pairs), taus(t), ["stream_id", "seq"])
 
 
-@query("l06_scored_cues", f"select stream_id, seq, count(*) n_words, count(*) filter (where sel) n_selected, coalesce(string_agg(word,' ' order by i) filter (where sel),'') display_text from {CUEW} group by all")
+@query("l06_scored_cues", f"select * from {SCORED}")
 def _(t):
-    return lv.score_cues(t.live_cues.where("text is not null"), cue_risks(t), taus(t), ["stream_id", "seq"])
+    return scored_cues(t)
 
 
 STALE = "select stream_id, seq, coalesce(seq < max(seq) over (partition by stream_id order by arrival, seq rows between unbounded preceding and 1 preceding), false) stale from live_cues"
@@ -121,9 +132,9 @@ def _(t):
     return lv.route(t.live_cues, cf.profile_stats(qc.scored(t), ["listener_id"])).select("seq", "route")
 
 
-@query("l09_content_free_metrics", f"select stream_id, seq, length(d) n_chars, n_words, n_selected from (select stream_id, seq, count(*) n_words, count(*) filter (where sel) n_selected, coalesce(string_agg(word,' ' order by i) filter (where sel),'') d from {CUEW} group by all)")
+@query("l09_content_free_metrics", f"select stream_id, seq, length(display_text) n_chars, n_words, n_selected, reason from {SCORED}")
 def _(t):
-    return lv.content_free(lv.score_cues(t.live_cues.where("text is not null"), cue_risks(t), taus(t), ["stream_id", "seq"]))
+    return lv.content_free(scored_cues(t))
 
 
 @query("l10_windowed_volume", "select date_trunc('hour', observed_at) \"start\", count(*) n_cues, count(text) n_shown from live_cues group by all")
