@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from phonrisk.operators.ordered import rank_rows
 
+#: Files in one chunk of a content digest: a fixed part of the format, not a setting.
+DIGEST_CHUNK = 10_000
+
 
 def build(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     """(source_id, path, bytes, sha256) of every file below ``root`` (files up to 2 GB)."""
@@ -15,20 +18,20 @@ def build(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     return files.select(F.lit(source_id).alias("source_id"), rel.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def content_digest(manifest: DataFrame, keys: list[str], *, chunk: int = 100_000) -> DataFrame:
+def content_digest(manifest: DataFrame, keys: list[str]) -> DataFrame:
     """Digest of a file set that ignores order and location.
 
-    Up to ``chunk`` files it is the sha256 of ``path NUL digest LF`` lines in path order. A
-    larger set would be one unbounded string, so it is the digest of its chunks' digests.
+    Files in path order are cut into chunks of ``DIGEST_CHUNK``; the digest is the sha256 of the hex
+    sha256 of each chunk's ``path NUL digest LF`` lines, one a line. The chunk is part of the format,
+    so a set of any size has one kind of digest and no row holds more than a chunk.
     """
     line = F.concat("path", F.lit("\0"), "sha256", F.lit("\n"))
     ranked = rank_rows(manifest.withColumn("_line", line), keys, ["path"], rn="_rn")
-    part = ranked.groupBy(*keys, F.floor((F.col("_rn") - 1) / chunk).alias("_c")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_line"))), lambda s: s["_line"]), "").alias("_t"))  # <= chunk lines
+    part = ranked.groupBy(*keys, F.floor((F.col("_rn") - 1) / DIGEST_CHUNK).alias("_c")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_line"))), lambda s: s["_line"]), "").alias("_t"))  # <= DIGEST_CHUNK lines
     hashed = part.select(*keys, "_c", F.sha2("_t", 256).alias("_h"))
     whole = hashed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "_h"))).alias("_hs"))
-    tree = F.sha2(F.array_join(F.transform("_hs", lambda s: s["_h"]), "\n"), 256)
-    return whole.select(*keys, F.when(F.size("_hs") == 1, F.col("_hs")[0]["_h"]).otherwise(tree).alias("digest"))
+    return whole.select(*keys, F.sha2(F.array_join(F.transform("_hs", lambda s: F.concat(s["_h"], F.lit("\n"))), ""), 256).alias("digest"))
 
 
 def verify(recorded: DataFrame, present: DataFrame, *, deep: bool = True) -> DataFrame:

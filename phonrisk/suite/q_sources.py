@@ -90,7 +90,9 @@ def _(t):
     return mf.build(t.spark, path, "documents")
 
 
-@query("s09_content_digest", "select source_id, sha256(string_agg(concat(path, chr(0), sha256, chr(10)), '' order by path collate \"binary\")) digest from files_recorded group by all")
+@query("s09_content_digest", """select source_id, sha256(string_agg(concat(h, chr(10)), '' order by c)) digest from (
+  select source_id, c, sha256(string_agg(concat(path, chr(0), sha256, chr(10)), '' order by rn)) h from (
+    select source_id, path, sha256, rn, (rn-1)//10000 c from (select *, row_number() over (partition by source_id order by path collate "binary") rn from files_recorded)) group by all) group by all""")
 def _(t):
     return mf.content_digest(t.files_recorded, ["source_id"])
 
