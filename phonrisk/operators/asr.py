@@ -18,8 +18,8 @@ def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of one cheapest alignment, ties in that order.
 
     Equal ends are cut off first, which changes nothing: a match always takes the diagonal.
-    The rest is swept by anti-diagonals, whose cells do not depend on each other. S, D and I of
-    a cell share one integer, 21 bits each.
+    The rest is swept by anti-diagonals, whose cells do not depend on each other. A cell holds its
+    cost and its S; D and I follow, since cost - S = D + I and (at the end) n - m = D - I.
     """
     codes: dict[str, int] = {}
     a = np.array([codes.setdefault(x, len(codes)) for x in ref], dtype=np.int64)
@@ -32,33 +32,26 @@ def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return 0, n, m
-    if n + m >= 1 << 21:
-        raise ValueError("alignment is limited to two million units")
-    S, D, I = 1 << 42, 1 << 21, 1  # noqa: E741
-    # Entry i of a table is the cell (i, d - i) of diagonal d.
-    c0, v0 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    c1, v1 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    c1[:2], v1[0], v1[1] = 1, I, D
+    # Entry i of a table is the cell (i, d - i) of diagonal d: its cost c and its substitutions s.
+    c0, s0, c1, s1 = (np.zeros(n + 1, dtype=np.int64) for _ in range(4))
+    c1[:2] = 1
     for d in range(2, n + m + 1):
-        c2, v2 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        c2, s2 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
         if d <= m:
-            c2[0], v2[0] = d, d * I
+            c2[0] = d
         if d <= n:
-            c2[d], v2[d] = d, d * D
+            c2[d] = d
         lo, hi = max(1, d - m), min(n, d - 1) + 1
-        cost, val = c0[lo - 1:hi - 1] + 1, v0[lo - 1:hi - 1] + S
-        up = c1[lo - 1:hi - 1] + 1
-        val = np.where(up < cost, v1[lo - 1:hi - 1] + D, val)
-        cost = np.minimum(up, cost)
-        left = c1[lo:hi] + 1
-        val = np.where(left < cost, v1[lo:hi] + I, val)
-        cost = np.minimum(left, cost)
+        cost, subs = c0[lo - 1:hi - 1] + 1, s0[lo - 1:hi - 1] + 1
+        for c, s in ((c1[lo - 1:hi - 1] + 1, s1[lo - 1:hi - 1]), (c1[lo:hi] + 1, s1[lo:hi])):  # delete, insert
+            subs = np.where(c < cost, s, subs)
+            cost = np.minimum(c, cost)
         match = a[lo - 1:hi - 1] == b[d - hi:d - lo][::-1]
         c2[lo:hi] = np.where(match, c0[lo - 1:hi - 1], cost)
-        v2[lo:hi] = np.where(match, v0[lo - 1:hi - 1], val)
-        c0, v0, c1, v1 = c1, v1, c2, v2
-    end = int(v1[n])
-    return end >> 42, (end >> 21) & (D - 1), end & (D - 1)
+        s2[lo:hi] = np.where(match, s0[lo - 1:hi - 1], subs)
+        c0, s0, c1, s1 = c1, s1, c2, s2
+    subs, rest = int(s1[n]), int(c1[n] - s1[n])
+    return subs, (rest + n - m) // 2, (rest - n + m) // 2
 
 
 def edit_counts(df: DataFrame, ref: str, hyp: str, prefix: str, passthrough: list[str]) -> DataFrame:
