@@ -51,6 +51,11 @@ def hash32(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
+def hash60(key: Column) -> Column:
+    """Non-negative 60-bit integer from md5, equal in every engine."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def uniform(*parts: Column | str) -> Column:
     """Deterministic uniform in [0, 1) of the given key parts."""
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonrisk.functions.text import hash32
+from phonrisk.functions.text import hash60
 from phonrisk.operators.features import word_slots
 from phonrisk.operators.ordered import rank_rows
 
+ROUNDS = 4  # keyed shifts of a pair draw
+
 
 def masked_patterns(words: DataFrame, word: str = "word") -> DataFrame:
     """(pattern, slot, word): the word's jamo with one slot masked, once per slot.
@@ -53,23 +55,23 @@ def sampled_pairs(df: DataFrame, cap: int, *, listener: str = "listener_id", y:
                   keep: tuple[str, ...] = (), bounded: bool | None = None) -> DataFrame:
     """(misheard, heard) pairs inside each listener, ``cap`` drawn without replacement.
 
-    Sampling is the reference behaviour. Pair numbers 0..m*n-1 are drawn first and turned into
-    ranks, so no product is formed. A listener with at most ``cap`` pairs keeps all of them;
-    otherwise the draw is an affine walk over the pair numbers (distinct because the step and
-    m*n share no factor: the step is a prime above no m*n it divides).
+    Sampling is the reference behaviour. Pair numbers 0..m*n-1 are split into a (misheard, heard)
+    place and stirred by ``ROUNDS`` keyed shifts, each side moved by a hash of the other. Every
+    shift can be undone, so this is a permutation of the pairs: the first ``cap`` numbers give
+    distinct, spread pairs, all numbers give every pair, and no product is formed. Places are
+    dealt to rows by hash, so that a side of one row still leaves a spread draw of the other.
     """
-    sides = rank_rows(df.select(listener, y, row, *keep), [listener, y], [row], rn="_k", bounded=bounded)
+    keyed = df.select(listener, y, row, *keep).withColumn("_h", hash60(F.concat_ws(":", F.lit(f"side{seed}"), F.col(row))))
+    sides = rank_rows(keyed, [listener, y], ["_h", row], rn="_k", bounded=bounded).drop("_h")
     sizes = sides.groupBy(listener).agg(F.count_if(F.col(y) == 1).alias("_m"), F.count_if(F.col(y) == 0).alias("_n"))
-    step = F.lit(2_147_483_647)
     total = F.col("_m") * F.col("_n")
-    start = F.pmod(hash32(F.concat_ws(":", F.lit(f"pair{seed}"), F.col(listener))), F.greatest(total, F.lit(1)))
-    picked = sizes.where(total > 0).select(listener, "_n", total.alias("_t"), start.alias("_s0"), F.explode_outer(
-        F.sequence(F.lit(0).cast("long"), F.least(total, F.lit(cap)) - 1)).alias("_i"))
-    # With the whole product wanted, number i itself; else start + i * step modulo the product.
-    spread = F.pmod(F.col("_s0") + F.col("_i") * F.pmod(step, F.col("_t")), F.col("_t"))
-    number = F.when((F.col("_t") <= cap) | (F.col("_t") % step == 0), F.col("_i")).otherwise(spread)
-    pairs = picked.withColumn("_p", number).select(
-        listener, (F.floor(F.col("_p") / F.col("_n")) + 1).alias("_a"), (F.pmod("_p", "_n") + 1).alias("_b"))
+    pairs = sizes.where(total > 0).select(listener, "_m", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.least(total, F.lit(cap)) - 1)).alias("_i"))
+    pairs = pairs.select(listener, "_m", "_n", F.expr("_i div _n").alias("_a"), F.expr("_i % _n").alias("_b"))
+    for r in range(ROUNDS):
+        moved, other, size = ("_a", "_b", "_m") if r % 2 == 0 else ("_b", "_a", "_n")
+        shift = hash60(F.concat_ws(":", F.lit(f"pair{seed}"), F.col(listener), F.lit(r), F.col(other)))
+        pairs = pairs.withColumn(moved, (F.col(moved) + F.pmod(shift, F.col(size))) % F.col(size))
+    pairs = pairs.select(listener, (F.col("_a") + 1).alias("_a"), (F.col("_b") + 1).alias("_b"))
     pos = sides.where(F.col(y) == 1).select(listener, F.col("_k").alias("_a"), F.col(row).alias("pos_row"), *[F.col(c).alias(f"pos_{c}") for c in keep])
     neg = sides.where(F.col(y) == 0).select(listener, F.col("_k").alias("_b"), F.col(row).alias("neg_row"), *[F.col(c).alias(f"neg_{c}") for c in keep])
     return pairs.join(pos, [listener, "_a"]).join(neg, [listener, "_b"]).drop("_a", "_b")

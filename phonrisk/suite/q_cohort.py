@@ -37,11 +37,22 @@ def _(t):
         F.count("*").alias("n"), F.count_distinct("word").alias("n_words"))
 
 
-@query("j04_sampled_pairs", """with sides as (select listener_id, misheard, row_id, row_number() over (partition by listener_id, misheard order by row_id) k from word_trials),
+def _stirred() -> str:
+    """Pair places after each keyed shift, as nested selects over ``picked``."""
+    sql = "select listener_id, m, n, i//n a, i%n b from picked"
+    for r in range(lx.ROUNDS):
+        x, o, size = ("a", "b", "m") if r % 2 == 0 else ("b", "a", "n")
+        shift = f"cast(concat('0x',substr(md5(concat('pair0:',listener_id::varchar,':{r}:',{o}::varchar)),1,15)) as bigint)"
+        sql = f"select listener_id, m, n, {o}, ({x} + {shift}%{size})%{size} {x} from ({sql})"
+    return sql
+
+
+@query("j04_sampled_pairs", f"""with sides as (select listener_id, misheard, row_id, row_number() over (partition by listener_id, misheard order by
+    cast(concat('0x',substr(md5(concat('side0:',row_id::varchar)),1,15)) as bigint), row_id) k from word_trials),
   sizes as (select listener_id, count(*) filter (where misheard=1) m, count(*) filter (where misheard=0) n from sides group by all),
-  picked as (select listener_id, n, m*n tt, unnest(range(0, least(m*n,25))) i from sizes where m*n>0),
-  nums as (select listener_id, n, case when tt<=25 or tt%2147483647=0 then i else (cast(concat('0x',substr(md5(concat('pair0:',listener_id::varchar)),1,8)) as bigint)%tt + i*(2147483647%tt))%tt end p from picked)
-  select z.listener_id, a.row_id pos_row, b.row_id neg_row from nums z join sides a on a.listener_id=z.listener_id and a.misheard=1 and a.k=z.p//z.n+1 join sides b on b.listener_id=z.listener_id and b.misheard=0 and b.k=z.p%z.n+1""")
+  picked as (select listener_id, m, n, unnest(range(0, least(m*n,25))) i from sizes where m*n>0)
+  select z.listener_id, p.row_id pos_row, q.row_id neg_row from ({_stirred()}) z join sides p on p.listener_id=z.listener_id and p.misheard=1 and p.k=z.a+1
+  join sides q on q.listener_id=z.listener_id and q.misheard=0 and q.k=z.b+1""")
 def _(t):
     return lx.sampled_pairs(t.word_trials, 25).select("listener_id", "pos_row", "neg_row")
 
@@ -56,11 +67,11 @@ def _(t):
     return lx.competitors(t.word_vocab)
 
 
-@query("j05_neighbours_of_heard", f"""select distinct f.perceived_word, b.word neighbour from (select distinct perceived_word, word from word_trials where n_segment_errors>1 and substr(perceived_word,1,1)<>'각') f
-  join {MASK} a on a.word=f.perceived_word join {MASK} b on a.pat=b.pat and b.word<>f.perceived_word where f.perceived_word in (select word from word_vocab)""")
+@query("j05_neighbours_of_heard", f"""select distinct f.perceived_word, b.word neighbour from (select distinct perceived_word from word_trials) f
+  join {MASK} a on a.word=f.perceived_word join {MASK} b on a.pat=b.pat and b.word<>f.perceived_word""")
 def _(t):
-    heard = (t.word_trials.where("n_segment_errors > 1 and substr(perceived_word, 1, 1) <> '각'").select("perceived_word").distinct()
-             .join(t.word_vocab.select(F.col("word").alias("perceived_word")).distinct(), "perceived_word", "left_semi"))
+    known = t.word_vocab.select(F.col("word").alias("perceived_word")).distinct()
+    heard = t.word_trials.select("perceived_word").distinct().join(known, "perceived_word", "left_semi")
     return lx.neighbours_of(heard, t.word_vocab, "perceived_word")
 
 
