@@ -155,8 +155,8 @@ def draws(listeners: DataFrame, n_resamples: int, seed: int = 0, listener: str =
     grid = (listeners.sparkSession.range(n_resamples * size)
             .select((F.col("id") / size).cast("long").alias("b"), (F.col("id") % size).alias("_d")))
     key = F.concat_ws(":", F.lit(f"boot{seed}"), F.col("b"), F.col("_d"))
-    from phonrisk.functions.text import hash32
-    picked = grid.select("b", (F.pmod(hash32(key), F.lit(size)) + 1).alias("_i"))
+    from phonrisk.functions.text import hash60
+    picked = grid.select("b", (F.pmod(hash60(key), F.lit(size)) + 1).alias("_i"))
     return picked.groupBy("b", "_i").agg(F.count("*").alias("w")).join(who, "_i").drop("_i")
 
 

@@ -136,7 +136,7 @@ def _(t):
 
 
 @query("z03_bootstrap_statistic", """select round(quantile_cont(v,0.025),6) lo, round(quantile_cont(v,0.975),6) hi, count(v) n_valid, count(*) n_resamples from (select b, sum(w*num)/sum(w*den) v from (select b, w.listener_id, count(*) w from
-  (select b.range b, 1 + cast(concat('0x',substr(md5(concat('boot0:',b.range::varchar,':',d.range::varchar)),1,8)) as bigint) % (select count(distinct listener_id) from word_trials) i from range(30) b cross join range((select count(distinct listener_id) from word_trials)) d) x
+  (select b.range b, 1 + cast(concat('0x',substr(md5(concat('boot0:',b.range::varchar,':',d.range::varchar)),1,15)) as bigint) % (select count(distinct listener_id) from word_trials) i from range(30) b cross join range((select count(distinct listener_id) from word_trials)) d) x
   join (select listener_id, row_number() over (order by listener_id) i from (select distinct listener_id from word_trials)) w on w.i=x.i group by all) d join (select listener_id, sum(misheard*score) num, sum(misheard) den from word_trials group by all) p on p.listener_id=d.listener_id group by b)""")
 def _(t):
     v = mt.bootstrap_ratio(t.word_trials, F.col("misheard") * F.col("score"), F.col("misheard"), mt.draws(t.word_trials, 30), [])
