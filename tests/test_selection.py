@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 
 from phonrisk.operators import asr, cues, lexicon, policy, splits
 from phonrisk.operators import metrics as mt
+from phonrisk.sources import manifest
+from phonrisk.streaming import live
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +119,46 @@ def test_alignment_cost_is_least():
         assert s + d + ins == dist(len(r), len(h)) and len(r) - d + ins == len(h)
 
 
+def test_alignment_splits_its_cost():
+    """Against a full table with the same order of preference: substitute, delete, insert."""
+    rng = random.Random(9)
+    for _ in range(200):
+        r = [rng.choice("abcd") for _ in range(rng.randrange(12))]
+        h = [rng.choice("abcd") for _ in range(rng.randrange(12))]
+        best = {(i, 0): (0, i, 0) for i in range(len(r) + 1)} | {(0, j): (0, 0, j) for j in range(len(h) + 1)}
+        for i, x in enumerate(r, 1):
+            for j, y in enumerate(h, 1):
+                step = lambda cell, k: tuple(v + (k == n) for n, v in enumerate(best[cell]))
+                best[i, j] = best[i - 1, j - 1] if x == y else min((step((i - 1, j - 1), 0), step((i - 1, j), 1), step((i, j - 1), 2)), key=sum)
+        assert asr.align(r, h) == best[len(r), len(h)]
+
+
+def test_long_texts_align():
+    """Beyond two million units: an edge of one unit on a long shared middle, and a long insertion."""
+    same = ["a", "b"] * 1_100_000
+    assert asr.align(["x", *same], ["y", *same]) == (1, 0, 0)
+    assert asr.align(["x", "b"], ["y", *same]) == (1, 0, len(same) - 1)
+
+
+def test_content_digest_over_the_chunk_edge(spark):
+    for n in (1, manifest.DIGEST_CHUNK, manifest.DIGEST_CHUNK + 1):
+        files = spark.range(n).select(F.lit("s").alias("source_id"), F.format_string("%06d", "id").alias("path"), F.md5(F.col("id").cast("string")).alias("sha256"))
+        lines = [f"{i:06d}\0{hashlib.md5(str(i).encode()).hexdigest()}\n" for i in range(n)]
+        parts = [hashlib.sha256("".join(lines[k:k + manifest.DIGEST_CHUNK]).encode()).hexdigest() + "\n" for k in range(0, n, manifest.DIGEST_CHUNK)]
+        want = hashlib.sha256("".join(parts).encode()).hexdigest()
+        assert {manifest.content_digest(files.repartition(k), ["source_id"]).first().digest for k in (1, 3)} == {want}
+
+
+def test_scored_cues_say_what_is_missing(spark):
+    cues = spark.createDataFrame([(1, 1, 1, "각 view"), (1, 2, 1, "각 낙"), (2, 1, 2, "각"), (3, 1, 1, "view")], "stream_id int, seq int, listener_id int, text string")
+    risks = spark.createDataFrame([(1, "각", 0.7)], "listener_id int, word string, risk double")
+    taus = spark.createDataFrame([(1, 0.5)], "listener_id int, tau double")
+    got = {(r.stream_id, r.seq): (r.n_words, r.n_selected, r.display_text, r.reason) for r in live.score_cues(cues, risks, taus, ["stream_id", "seq"]).collect()}
+    assert got == {(1, 1): (2, 1, "각", None), (1, 2): (2, 1, "각", "unscored_words"), (2, 1): (1, 0, "", "no_threshold"), (3, 1): (1, 0, "", None)}
+    words = {(r.stream_id, r.seq, r.word): (r.risk, r.selected, r.reason) for r in live.score_cue_stream(cues, risks, taus).collect()}
+    assert words[1, 2, "낙"] == (None, False, "unscored_words") and words[2, 1, "각"][2] == "no_threshold" and words[3, 1, "view"] == (0.0, False, None)
+
+
 def test_folds(tied):
     folds = splits.listener_folds(tied, 4).collect()
     assert len(folds) == 8 and sorted(r.fold for r in folds) == [0, 0, 1, 1, 2, 2, 3, 3]
@@ -136,6 +179,19 @@ def test_sampled_pairs_are_distinct_and_capped(tied):
     assert every.distinct().count() == sizes
 
 
+@pytest.mark.parametrize("m,n", [(33, 42), (1, 900), (700, 1)])
+def test_sampled_pairs_are_spread(spark, m, n):
+    rows = spark.range(m + n).select(F.col("id").alias("row_id"), F.lit(7).alias("listener_id"), (F.col("id") < m).cast("int").alias("misheard"))
+    p = lexicon.sampled_pairs(rows, 400).collect()
+    assert len({(r.pos_row, r.neg_row) for r in p}) == len(p) == 400
+    pos, neg = {r.pos_row for r in p}, {r.neg_row - m for r in p}
+    if m > 1 and n > 1:
+        assert len(pos) == m and len(neg) == n
+    else:  # the long side is drawn all over, not as one run
+        side = sorted(neg if n > m else pos)
+        assert len(side) == 400 and side[0] < 20 and side[-1] > max(m, n) - 20 and side != list(range(side[0], side[0] + 400))
+
+
 def test_minimal_pairs(spark):
     words = spark.createDataFrame([("각",), ("닥",), ("간",), ("각나",), ("단",)], "word string")
     got = {r.word: r.n_neighbours for r in lexicon.competitors(words).collect()}
