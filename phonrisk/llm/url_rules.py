@@ -3,7 +3,7 @@
 A URL becomes a set of tokens: its host, each parent domain, the words of host and path (digits apart)
 and the names of query keys. From the labelled URLs, FP-growth mines the token sets that are frequent
 among blocked ones; a set whose share of blocked URLs (confidence) and number of them (support) are
-high enough is a block rule. Rules are pruned to those that no shorter rule implies, and matched through
+high enough is a block rule. Rules that a shorter one implies are pruned, and the rest is matched through
 an inverted index: a rule is filed under its first token, a URL looks up its own tokens, and a rule
 fires where all of its tokens are there. The rest is allowed.
 
@@ -63,6 +63,15 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tupl
     return name, verdict
 
 
+def shortest(rules: DataFrame) -> DataFrame:
+    """Rules (sets of at most ``MAX_TOKENS`` = 3 ``items``) of which no part is a rule: wherever the longer one fires, the shorter does."""
+    items = F.col("items")
+    parts = F.concat(F.transform(items, lambda t: F.array(t)), F.transform(items, lambda t: F.array_remove(items, t)))
+    parts = rules.select("items", F.explode(F.filter(F.array_distinct(parts), lambda x: (F.size(x) > 0) & (F.size(x) < F.size(items)))).alias("part"))
+    implied = parts.join(rules.select(items.alias("part")), "part").select("items").distinct()
+    return rules.join(implied, "items", "left_anti")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(first, rest, confidence, support): block rules mined from rows of (url, blocked)."""
     baskets = labelled.select(tokens_of(F.col("url")).alias("tokens"), "blocked").filter(F.size("tokens") > 0)
@@ -73,7 +82,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     # Only tokens that are frequent among blocked URLs can make a rule.
     common = baskets.filter("blocked").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= max(min_count, min_support * n))
-    numbered = items.select(F.monotonically_increasing_id().alias("row"), "items")  # numbered before they are exploded
+    numbered = stored(items.select(F.monotonically_increasing_id().alias("row"), "items"), "baskets")  # a lost task must not number anew
     seen = numbered.select("row", F.explode("items").alias("t"))
     seen = seen.join(common.select("t").union(labelled.sparkSession.createDataFrame([(BLOCKED,)], "t string")), "t").groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(seen)
@@ -82,6 +91,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     bad = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), "freq")
     rules = bad.join(whole, "items").withColumn("confidence", F.col("freq") / F.col("all")).filter(
         (F.col("confidence") >= min_confidence) & (F.col("freq") >= min_count))
+    rules = shortest(stored(rules, "candidates"))
     kept = rules.orderBy(F.size("items"), F.desc("confidence"), F.desc("freq"), "items").limit(MAX_RULES)
     return kept.select(F.col("items")[0].alias("first"), F.expr("slice(items, 2, size(items))").alias("rest"), "confidence", F.col("freq").alias("support"))
 

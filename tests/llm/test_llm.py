@@ -198,6 +198,15 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), rules, labelled).count() == 0
 
 
+def test_rules_implied_by_shorter_ones_go(spark):
+    sets = [["a"], ["a", "b"], ["b", "c"], ["b", "c", "d"], ["d", "e", "f"], ["c", "e"], ["a", "x", "y"]]
+    got = url_rules.shortest(spark.createDataFrame([(s, 0.9) for s in sets], "items array<string>, confidence double"))
+    assert sorted(r["items"] for r in got.collect()) == [["a"], ["b", "c"], ["c", "e"], ["d", "e", "f"]]
+    mined = url_rules.mine(spark.createDataFrame([(f"http://s{i % 9}.example.org/{'win' if i % 3 == 0 else 'read'}/{i}", i % 3 == 0) for i in range(300)], "url string, blocked boolean"))
+    assert [(r["first"], r["rest"]) for r in mined.collect() if "word=win" in r["first"]] == [("path word=win", [])]
+    assert not [r for r in mined.collect() if "path word=win" in r["rest"]]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(700, 8)) + 6 * rng.normal(size=8) for _ in range(6)])
