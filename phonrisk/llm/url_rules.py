@@ -75,15 +75,16 @@ def shortest(rules: DataFrame) -> DataFrame:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(first, rest, confidence, support): block rules mined from rows of (url, blocked)."""
     baskets = labelled.select(tokens_of(F.col("url")).alias("tokens"), "blocked").filter(F.size("tokens") > 0)
+    # Numbered and stored once: a lost task must not number anew, and three jobs read it.
+    baskets = stored(baskets.withColumn("row", F.monotonically_increasing_id()), "baskets")
     n = baskets.count()
     schema = "first string, rest array<string>, confidence double, support long"
     if not n:
         return labelled.sparkSession.createDataFrame([], schema)
-    items = baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
+    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens"))
     # Only tokens that are frequent among blocked URLs can make a rule.
     common = baskets.filter("blocked").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= max(min_count, min_support * n))
-    numbered = stored(items.select(F.monotonically_increasing_id().alias("row"), "items"), "baskets")  # a lost task must not number anew
-    seen = numbered.select("row", F.explode("items").alias("t"))
+    seen = baskets.select("row", F.explode(items).alias("t"))
     seen = seen.join(common.select("t").union(labelled.sparkSession.createDataFrame([(BLOCKED,)], "t string")), "t").groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(seen)
     sets = stored(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq").filter(F.size("items") <= MAX_TOKENS + 1), "itemsets")
