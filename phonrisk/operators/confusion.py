@@ -57,12 +57,17 @@ def dense(rows: DataFrame, keys: list[str]) -> DataFrame:
                         "p_idx", "k", "big_n", _count_at(F.col("p_idx")).alias("n"))
 
 
+def undefined_rows(rows: DataFrame) -> DataFrame:
+    """Target rows without observations, which only smoothing defines."""
+    return rows.where("big_n = 0")
+
+
 def check_smoothing(rows: DataFrame, alpha: float) -> None:
     """alpha = 0 leaves rows without observations undefined: name them and stop."""
     if alpha < 0:
         raise ValueError("alpha must be >= 0")
     if alpha == 0:
-        empty = rows.where("big_n = 0").select("position", "target").distinct().limit(68).collect()
+        empty = undefined_rows(rows).select("position", "target").distinct().limit(68).collect()
         if empty:
             names = ", ".join(sorted(f"{r.position}:{r.target}" for r in empty))
             raise ValueError(f"alpha=0 leaves rows with no observations undefined: {names}")
@@ -71,16 +76,19 @@ def check_smoothing(rows: DataFrame, alpha: float) -> None:
 def with_probabilities(rows: DataFrame, *, alpha: float = ALPHA, prior: DataFrame | None = None) -> DataFrame:
     """Adds ``probs``: the smoothed distribution over perceived categories of each target row.
 
-    ``prior`` is (position, target, prior ARRAY<DOUBLE>), 68 rows; without it, uniform.
+    ``prior`` is (position, target, prior ARRAY<DOUBLE>), 68 rows; without it, uniform. A target that
+    the prior lacks keeps its row, with null ``probs``; ``bad_priors`` names it. ``alpha`` = 0 is
+    refused where a row has no observations.
     """
+    check_smoothing(rows, alpha)
     if prior is not None:
-        rows = rows.join(F.broadcast(prior.select("position", "target", "prior")), ["position", "target"])  # 68 rows
+        rows = rows.join(F.broadcast(prior.select("position", "target", "prior")), ["position", "target"], "left")  # 68 rows
         at = lambda i: F.col("prior")[i]
     else:
         at = lambda i: 1.0 / F.col("k")
     spread = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
                          lambda i: (_count_at(i) + F.lit(float(alpha)) * at(i)) / (F.col("big_n") + F.lit(float(alpha))))
-    return rows.withColumn("probs", spread)
+    return rows.withColumn("probs", spread if prior is None else F.when(F.col("prior").isNotNull(), spread))
 
 
 def posterior(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,11 +101,11 @@ def posterior(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bad_priors(prior: DataFrame) -> DataFrame:
-    """Prior rows that do not sum to one, are negative or have the wrong length."""
+    """Prior rows that do not sum to one, are negative, have the wrong length, are unknown or missing."""
     d = dims.dim_target(prior.sparkSession).select("position", F.col("symbol").alias("target"), "k")
     total = F.aggregate("prior", F.lit(0.0), lambda a, x: a + x)
     bad = ((F.abs(total - 1) > 1e-9) | F.exists("prior", lambda x: x < 0) | (F.size("prior") != F.col("k")))
-    return prior.join(F.broadcast(d), ["position", "target"], "left").where(bad | F.col("k").isNull())
+    return prior.join(d, ["position", "target"], "full_outer").where(bad | F.col("k").isNull() | F.col("prior").isNull())
 
 
 def diagonal(rows: DataFrame, keys: list[str]) -> DataFrame:

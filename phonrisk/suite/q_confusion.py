@@ -119,7 +119,7 @@ def _(t):
 
 @query("d07_empty_row_guard", "select listener_id, count(*) n_undefined from diag where big_n=0 group by all")
 def _(t):
-    return rows(t).where("big_n = 0").groupBy("listener_id").agg(F.count("*").alias("n_undefined"))
+    return cf.undefined_rows(rows(t)).groupBy("listener_id").agg(F.count("*").alias("n_undefined"))
 
 
 @query("d08_empirical", "select listener_id, position, target, perceived, round(n::double/big_n,6) p from dense where n>0")
@@ -194,10 +194,13 @@ def _(t):
     return cf.diagonal(est, L).select("listener_id", "position", "target", r6("p_correct").alias("p_correct"))
 
 
-@query("d20_matrix_layout", "select listener_id, target, " + ", ".join(f"sum(case when p_idx={i} then n else 0 end) p{i:02d}" for i in range(20)) +
-       " from dense d where position='onset' and big_n>0 group by all")
+@query("d20_matrix_layout", "select listener_id, position, target, " + ", ".join(f"sum(case when p_idx={i} then n end) p{i:02d}" for i in range(29)) +
+       " from dense d where big_n>0 group by all")
 def _(t):
-    return cf.layout(counts(t), L, "onset")
+    """The three matrices, one below the other; columns that a position's alphabet lacks are null."""
+    c = counts(t)
+    parts = [cf.layout(c, L, p).withColumn("position", F.lit(p)) for p in ("coda", "nucleus", "onset")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
 @query("d21_profile_digest", "select listener_id, substr(sha256(string_agg(concat_ws('|',position,target,perceived,cast(n as varchar)), ';' order by concat_ws('|',position,target,perceived,cast(n as varchar)) collate \"binary\")),1,16) digest from counts group by all")

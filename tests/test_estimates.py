@@ -79,3 +79,14 @@ def test_live_contract():
         ql.check_blocks("clinical")
     ql.check_columns(ft.arm_columns("live_word_context_clinical_confusion"))
     assert ql.schema_hash(["a", "b"]) != ql.schema_hash(["b", "a"])
+
+
+def test_smoothing_guard_and_missing_priors(spark):
+    counts = spark.createDataFrame([(1, "onset", "ㄱ", "ㄱ", 3)], "listener_id long, position string, target string, perceived string, n long")
+    rows = cf.target_rows(counts, ["listener_id"])
+    with pytest.raises(ValueError, match="undefined"):
+        cf.with_probabilities(rows, alpha=0.0)
+    prior = spark.createDataFrame([("onset", "ㄱ", [1.0] + [0.0] * 19)], "position string, target string, prior array<double>")
+    est = cf.with_probabilities(rows, prior=prior)
+    assert est.count() == 68 and est.where("probs is not null").count() == 1
+    assert cf.bad_priors(prior).count() == 67
