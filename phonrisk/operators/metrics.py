@@ -182,7 +182,11 @@ def bootstrap_ratio(df: DataFrame, num: Column, den: Column, drawn: DataFrame, k
 def bootstrap_rank(df: DataFrame, drawn: DataFrame, keys: list[str], *, y: str = "misheard", p: str = "score",
                    listener: str = "listener_id", bounded: bool | None = None) -> DataFrame:
     """Resampled AUC and average precision from weighted (listener, score) counts."""
-    per = score_counts(df, [*keys, listener], y, p)
+    return resampled_rank(score_counts(df, [*keys, listener], y, p), drawn, keys, listener=listener, bounded=bounded)
+
+
+def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listener: str = "listener_id", bounded: bool | None = None) -> DataFrame:
+    """``bootstrap_rank`` from counts per (keys, listener, score)."""
     weighted = drawn.join(per, listener).groupBy(*keys, "b", "p").agg(
         F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
     return rank_metrics(weighted, [*keys, "b"], bounded=bounded)

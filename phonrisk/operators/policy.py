@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonrisk.functions.text import uniform
+from phonrisk.operators import metrics as mt
 from phonrisk.operators.ordered import is_bounded, quantile, rank_rows, running
 
 BUDGETS = (0.10, 0.20, 0.30, 0.40, 0.50)
@@ -110,6 +111,17 @@ def points(totals: DataFrame, names: dict[str, float], keys: list[str]) -> DataF
         F.percentile("_r", F.lit(0.25)).alias("recall_q25"), F.avg((F.col("_r") < 0.05).cast("double")).alias("frac_near_zero"))
 
 
+def recall_intervals(totals: DataFrame, names: dict[str, float], keys: list[str], drawn: DataFrame, listener: str = "listener_id") -> DataFrame:
+    """Percentile interval of pooled recall per budget, over listeners drawn again and again.
+
+    Starts from one row of totals a listener; rows do not travel with the resamples.
+    """
+    each = F.array(*[F.struct(F.lit(float(v)).alias("budget"), F.col(f"hits_{k}").alias("hits")) for k, v in names.items()])
+    long = totals.select(*keys, listener, "n_pos", F.inline(each))
+    drawn_recall = mt.bootstrap_ratio(long, F.col("hits"), F.col("n_pos"), drawn, [*keys, "budget"], listener)
+    return mt.intervals(drawn_recall, [*keys, "budget"], "value").withColumnsRenamed({"lo": "recall_lo", "hi": "recall_hi"})
+
+
 def frontier(df: DataFrame, keys: list[str], *, per_listener: bool = True, budgets: tuple[float, ...] = BUDGETS, score: str = "score",
              listener: str = "listener_id", seed: int | None = 0, bounded: bool | None = None) -> DataFrame:
     """Budget points of one ranking; ranked once for all budgets."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,38 @@ from pyspark.sql import functions as F
 
 from phonrisk.operators import metrics as mt
 from phonrisk.operators import policy as po
-from phonrisk.operators.ordered import rank_rows
+from phonrisk.operators.ordered import quantile, rank_rows
+from phonrisk.session import durable
+
+
+# The arms that are compared by default, each with its reference.
+DEFAULT_CONTRASTS = (
+    ("clinical_plus_confusion", "clinical"),
+    ("clinical_plus_confusion", "pta_only"),
+    ("confusion_only", "clinical"),
+    ("clinical_plus_confusion", "word_context_only"),
+)
+
+
+def contrasts(points: DataFrame, resampled: DataFrame, keys: list[str], value: str, pairs: Sequence[tuple[str, str]] = DEFAULT_CONTRASTS, *,
+              arm: str = "arm", level: float = 0.95) -> DataFrame:
+    """Differences ``arm`` - ``reference`` per key with the paired interval over resamples.
+
+    ``points`` holds (keys, arm, value), ``resampled`` (keys, arm, b, value) of the same draws for all
+    arms. A pair is left out where an arm of it was not run. Adds point, lo, hi, n_valid,
+    n_resamples and excludes_zero (null without a valid resample).
+    """
+    each = F.array(*[F.struct(F.lit(a).alias("_arm"), F.lit(r).alias("reference")) for a, r in pairs])
+
+    def differences(rows: DataFrame, by: list[str]) -> DataFrame:
+        held = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(arm, F.struct(value)))).alias("_m"))  # one entry an arm
+        long = held.select(*by, "_m", F.inline(each)).where(F.map_contains_key("_m", F.col("_arm")) & F.map_contains_key("_m", F.col("reference")))
+        at = lambda c: F.try_element_at("_m", F.col(c))[value]
+        return long.select(*by, F.col("_arm").alias("arm"), "reference", (at("_arm") - at("reference")).alias("_d"))
+
+    who = [*keys, "arm", "reference"]
+    spread = mt.intervals(differences(resampled, [*keys, "b"]), who, "_d", level)
+    return mt.excludes_zero(differences(points, keys).withColumnRenamed("_d", "point").join(spread, who, "left"))
 
 
 def paired(rows: DataFrame, arm: str, a: str, b: str, value: str, seed: str = "seed") -> DataFrame:
@@ -64,6 +96,9 @@ def band(value: Column, edges: tuple[float, float], labels: tuple[str, str, str]
     return (F.when(value.isNull(), "unknown").when(value < edges[0], labels[0]).when(value < edges[1], labels[1]).otherwise(labels[2]))
 
 
+# The band edges and labels below.
+
+
 def listener_subgroups(hearing: DataFrame, stats: DataFrame, accuracy: DataFrame) -> DataFrame:
     """Severity, WRS, usable-evidence and accuracy bands with edges fixed beforehand."""
     df = hearing.join(stats, "listener_id", "full_outer").join(accuracy, "listener_id", "full_outer")
@@ -171,9 +206,11 @@ def complementarity(df: DataFrame, a: str, b: str, *, budget: float = 0.2, liste
     per = both.groupBy(listener).agg(
         F.corr("_ra", "_rb").alias("_rho"), F.count_if(in_a & in_b).alias("_both"), F.count_if(in_a).alias("_na"),
         F.sum(F.when(in_b & ~in_a, F.col(y)).otherwise(0)).alias("_won"), F.sum(F.when(in_a & ~in_b, F.col(y)).otherwise(0)).alias("_lost"))
-    tot = per.agg(F.percentile("_rho", F.lit(0.5)).alias("median_rank_correlation"), F.try_divide(F.sum("_both").cast("double"), F.sum("_na")).alias("top_overlap"),
+    per = durable(per)  # read twice; one row a listener
+    middle = quantile(per, [], "_rho", 0.5, out="median_rank_correlation")
+    tot = per.agg(F.try_divide(F.sum("_both").cast("double"), F.sum("_na")).alias("top_overlap"),
                   (F.sum("_won") - F.sum("_lost")).alias("net_recovered"))
-    return resid.join(F.broadcast(tot))  # one row
+    return resid.join(F.broadcast(middle)).join(F.broadcast(tot))  # one row each
 
 
 def rounded(rows: DataFrame, digits: dict[str, int], order: list[Column]) -> DataFrame:

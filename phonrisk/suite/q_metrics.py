@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phonrisk.operators import metrics as mt
+from phonrisk.plans import studies as st
+from phonrisk.session import durable
 from phonrisk.suite.q_features import rnd
 from phonrisk.suite.registry import query
 
@@ -147,15 +149,34 @@ def _(t):
     return mt.excludes_zero(i).select("excludes_zero")
 
 
-ARMED = "(select seed, listener_id, misheard, 'fine' arm, score arm_score from word_trials union all select seed, listener_id, misheard, 'coarse', round(score*4,0)/4 from word_trials)"
+ARMS = {"fine": "score", "coarse": "round(score*4,0)/4", "other": "score_b"}
+PAIRS = (("fine", "coarse"), ("fine", "other"))
 
 
-@query("m16_contrasts", f"select seed, 'fine' as arm, 'coarse' reference, round(max(case when arm='fine' then pr_auc end)-max(case when arm='coarse' then pr_auc end),6) point from ({auc_sql('seed, arm', ARMED, 'arm_score')}) group by seed")
+def seed_ap(score):
+    src = f"(select seed, b, s, sum(w*pos) pos, sum(w*neg) neg from ({DRAWN}) d join (select seed, listener_id, {score} s, sum(misheard) pos, sum(1-misheard) neg from word_trials group by all) p on p.listener_id=d.listener_id group by all)"
+    return f"""(select seed, b, sum(pos/tp*(tp-cp+pos)/(tp+tn-cn+pos+neg)) pr_auc from (select *, sum(pos+neg) over (partition by seed, b order by s) cn, sum(pos) over (partition by seed, b order by s) cp,
+   sum(pos) over (partition by seed, b)::double tp, sum(neg) over (partition by seed, b)::double tn from {src}) group by all)"""
+
+
+ARMED = "(" + " union all ".join(f"select seed, listener_id, misheard, '{a}' arm, {s} arm_score from word_trials" for a, s in ARMS.items()) + ")"
+CONTRASTS = "(" + " union all ".join(f"""select p.seed, '{a}' arm, '{r}' reference, point, lo, hi, n_valid, lo>0 or hi<0 excludes_zero
+  from (select seed, max(case when arm='{a}' then pr_auc end)-max(case when arm='{r}' then pr_auc end) point from ({auc_sql('seed, arm', ARMED, 'arm_score')}) group by seed) p
+  join (select x.seed, quantile_cont(x.pr_auc-y.pr_auc,0.025) lo, quantile_cont(x.pr_auc-y.pr_auc,0.975) hi, count(x.pr_auc-y.pr_auc) n_valid from {seed_ap(ARMS[a])} x join {seed_ap(ARMS[r])} y on x.seed=y.seed and x.b=y.b group by x.seed) i on p.seed=i.seed""" for a, r in PAIRS) + ")"
+
+
+def contrasts(t):
+    score = {"fine": F.col("score"), "coarse": F.round(F.col("score") * 4) / 4, "other": F.col("score_b")}
+    rows = t.word_trials.select("seed", "listener_id", "misheard", F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), s.alias("arm_score")) for a, s in score.items()])))
+    per = durable(mt.score_counts(rows, ["seed", "arm", "listener_id"], p="arm_score"))  # points and resamples start from it
+    points = mt.rank_metrics(per.groupBy("seed", "arm", "p").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), ["seed", "arm"])
+    resampled = mt.resampled_rank(per, mt.draws(t.word_trials, B), ["seed", "arm"])
+    return st.contrasts(points, resampled, ["seed"], "pr_auc", PAIRS)
+
+
+@query("m16_contrasts", f"select seed, arm, reference, round(point,6) point, round(lo,6) lo, round(hi,6) hi, n_valid, excludes_zero from {CONTRASTS}")
 def _(t):
-    r = mt.rank_metrics(mt.score_counts(_arms(t), ["seed", "arm"], p="arm_score"), ["seed", "arm"])
-    pick = lambda a: F.max(F.when(F.col("arm") == a, F.col("pr_auc")))
-    return rnd(r.groupBy("seed").agg((pick("fine") - pick("coarse")).alias("point")).select(
-        "seed", F.lit("fine").alias("arm"), F.lit("coarse").alias("reference"), "point"))
+    return rnd(contrasts(t).drop("n_resamples"))
 
 
 @query("m17_seed_summary", f"select round(avg(pr_auc),6) mean, round(stddev_samp(pr_auc),6) sd, round(min(pr_auc),6) min, round(max(pr_auc),6) max, count(*) n from ({auc_sql('seed')})")
@@ -163,10 +184,7 @@ def _(t):
     return rnd(mt.seed_summary(mt.rank_metrics(counts(t), S), [], "pr_auc"))
 
 
-@query("m18_contrast_summary", f"""select round(avg(point),6) difference, count(*) filter (where point>0.001) n_seeds_excluding_zero, count(*) n_seeds, count(distinct case when point<>0 then sign(point) end)<=1 consistent_direction
-  from (select seed, max(case when arm='fine' then pr_auc end)-max(case when arm='coarse' then pr_auc end) point from ({auc_sql('seed, arm', ARMED, 'arm_score')}) group by seed)""")
+@query("m18_contrast_summary", f"""select arm, reference, round(avg(point),6) difference, count(*) filter (where excludes_zero) n_seeds_excluding_zero, count(*) n_seeds,
+  count(distinct case when point<>0 then sign(point) end)<=1 consistent_direction from {CONTRASTS} group by all""")
 def _(t):
-    r = mt.rank_metrics(mt.score_counts(_arms(t), ["seed", "arm"], p="arm_score"), ["seed", "arm"])
-    pick = lambda a: F.max(F.when(F.col("arm") == a, F.col("pr_auc")))
-    rows = r.groupBy("seed").agg((pick("fine") - pick("coarse")).alias("point")).withColumn("excludes_zero", F.col("point") > 0.001)
-    return rnd(mt.contrast_summary(rows, []))
+    return rnd(mt.contrast_summary(contrasts(t), ["arm", "reference"]))

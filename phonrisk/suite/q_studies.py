@@ -99,22 +99,24 @@ def groups(t):
     return st.listener_subgroups(qh.summary(t), cf.profile_stats(qc.scored(t), ["listener_id"]), cf.accuracy(qc.counts(t), ["listener_id"]))
 
 
-SLICED = f"(select w.*, g.severity from word_trials w join {GROUPS} g on g.listener_id=w.listener_id)"
-AXES = ["snr_db", "speaker", "severity"]
+BANDS = ["severity", "wrs_band", "evidence_band", "idiosyncrasy_band"]
+SLICED = f"(select w.*, {', '.join('g.' + b for b in BANDS)} from word_trials w join {GROUPS} g on g.listener_id=w.listener_id)"
+AXES = ["snr_db", "speaker", *BANDS]
+AXIS_SQL = [("overall", "'all'"), *((a, f"{a}::varchar") for a in AXES)]
 
 
 def grouped(t):
-    return t.word_trials.join(groups(t).select("listener_id", "severity"), "listener_id")
+    return t.word_trials.join(groups(t).select("listener_id", *BANDS), "listener_id")
 
 
 @query("x05_slice_metrics", " union all ".join(
     f"select '{a}' slice_axis, {v} slice_value, count(*) n_rows, round(avg(misheard),6) prevalence, round(avg(power(score-misheard,2)),6) brier from {SLICED} group by all"
-    for a, v in [("overall", "'all'"), ("snr_db", "snr_db::varchar"), ("speaker", "speaker"), ("severity", "severity")]))
+    for a, v in AXIS_SQL))
 def _(t):
     return rnd(st.additive_slices(grouped(t), AXES))
 
 
-LONG = f"(select 'overall' slice_axis, 'all' slice_value, * from {SLICED} union all select 'snr_db', snr_db::varchar, * from {SLICED} union all select 'speaker', speaker, * from {SLICED} union all select 'severity', severity, * from {SLICED})"
+LONG = "(" + " union all ".join(f"select '{a}' slice_axis, {v} slice_value, * from {SLICED}" for a, v in AXIS_SQL) + ")"
 
 
 @query("x05_slice_rank_metrics", f"select slice_axis, slice_value, round(pr_auc,6) pr_auc, round(roc_auc,6) roc_auc from ({auc_sql('slice_axis, slice_value', LONG)})")
