@@ -99,6 +99,13 @@ def corpus_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("runtime_s").alias("runtime_s"), F.try_divide(F.sum("runtime_s"), F.sum("duration_s")).alias("real_time_factor"))
 
 
+def corpus_counts(tokens: DataFrame, problems: DataFrame, media: str = "media_id") -> DataFrame:
+    """Tokens, tokens with a confidence, and what ``timing_problems`` found: one row."""
+    held = tokens.agg(F.count("*").alias("n_tokens"), F.count("confidence").alias("n_tokens_with_confidence"))
+    found = problems.agg(F.count_distinct(media).alias("utterances_with_timing_problems"), F.count("*").alias("n_timing_problems"))
+    return held.join(F.broadcast(found))  # one row each
+
+
 def first_per_speaker(utts: DataFrame, n: int, *, speaker: str = "speaker_id", pos: str = "utt_id") -> DataFrame:
     """First utterance of each speaker in file order, exactly n of them."""
     firsts = utts.groupBy(speaker).agg(F.min(pos).alias(pos))
@@ -111,7 +118,7 @@ def first_per_speaker(utts: DataFrame, n: int, *, speaker: str = "speaker_id", p
 def timing_problems(tokens: DataFrame, durations: DataFrame, *, media: str = "media_id", idx: str = "tok_idx", bounded: bool | None = None) -> DataFrame:
     """One row per problem, by token index only: the text never leaves the table."""
     prev = with_lag(tokens.select(media, idx, "start_s", "end_s"), [media], [idx], {"_ps": "start_s", "_pe": "end_s"}, bounded=bounded)
-    both = prev.join(durations, media)
+    both = prev.join(durations, media, "left")  # without a duration only the order is judged
     kinds: list[Column] = [
         F.when(F.col("end_s") > F.col("duration_s") + 0.5, F.lit("past_end")),
         F.when(F.col("start_s") < F.col("_ps"), F.lit("start_before_previous")),

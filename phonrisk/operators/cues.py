@@ -76,6 +76,14 @@ def ass_lines(cues: DataFrame) -> DataFrame:
     return cues.withColumn("line", line)
 
 
+def ass_file(cues: DataFrame, media: str = "media_id") -> DataFrame:
+    """(media, line_no, line): each media's whole script, the header and then its cues in order."""
+    header = F.array(*[F.lit(x) for x in ASS_HEADER.split("\n")])
+    head = cues.select(media).distinct().select(media, F.posexplode(header).alias("_i", "line"))
+    body = ass_lines(cues).select(media, (F.size(header) + F.col("cue_idx")).cast("bigint").alias("line_no"), "line")
+    return head.select(media, (F.col("_i") + 1).cast("bigint").alias("line_no"), "line").unionByName(body)
+
+
 def json_rows(words: DataFrame, summary: DataFrame, media: str = "media_id") -> DataFrame:
     """Research export as JSON lines: a header row per media, then every word, shown or hidden."""
     head = summary.select(media, F.lit(-1).cast("bigint").alias("tok_idx"), F.to_json(F.struct(

@@ -387,7 +387,8 @@ def out_of_fold(matrix: DataFrame, cols: list[str], fit: Callable, *, k: int = 5
     its listener, and the calibration log per fold. k fits, each a Spark job over the cached matrix."""
     rows = durable(matrix)
     folds = durable(sp.listener_folds(rows, k, seed=seed))
-    data = rows.join(folds, "listener_id")
+    sp.assert_no_leak(sp.leaked_listeners(folds))
+    data = durable(rows.join(folds, "listener_id"))  # each fit reads it several times
     parts, log = None, []
     for f in range(k):
         m = fit_calibrated(data.where(F.col("fold") != f), cols, fit, method=calibration, seed=seed)

@@ -85,8 +85,11 @@ def pack_transcripts(tokens: DataFrame, backend: str, part_tokens: int = PART_TO
 def read_transcripts(spark: SparkSession, path: str, replayed_from: str) -> DataFrame:
     """One row per recorded token; the original backend is kept and the replay is flagged."""
     raw = spark.read.schema(TRANSCRIPT_SCHEMA).option("mode", "FAILFAST").json(path)
+    # A media may be stored in several parts; without a stored duration it lasts to its last token.
     last = F.aggregate("tokens", F.lit(None).cast("double"), lambda a, t: F.greatest(a, t["end_s"]))
-    return raw.select("media_id", "backend", F.coalesce("duration_s", last).alias("duration_s"), F.lit(replayed_from).alias("replayed_from"),
+    lasts = raw.groupBy("media_id").agg(F.max(F.coalesce("duration_s", last)).alias("_lasts"))
+    raw = raw.join(lasts, "media_id", "left")
+    return raw.select("media_id", "backend", F.coalesce("duration_s", "_lasts").alias("duration_s"), F.lit(replayed_from).alias("replayed_from"),
                       F.inline_outer("tokens")).where("tok_idx is not null")
 
 

@@ -241,8 +241,22 @@ def _(t):
     return asr.first_per_speaker(t.utterances, 5).select("utt_id", "speaker_id")
 
 
-@query("a05_timing_problems", """select media_id, tok_idx, unnest(list_filter([case when end_s>dur+0.5 then 'past_end' end, case when start_s<ps then 'start_before_previous' end, case when start_s<pe-1e-6 then 'overlap' end], lambda x: x is not null)) problem
-  from (select *, lag(start_s) over w ps, lag(end_s) over w pe, max(end_s) over (partition by media_id)-0.6 dur from tokens window w as (partition by media_id order by tok_idx))""")
-def _(t):
+TIMING = """select media_id, tok_idx, unnest(list_filter([case when end_s>dur+0.5 then 'past_end' end, case when start_s<ps then 'start_before_previous' end, case when start_s<pe-1e-6 then 'overlap' end], lambda x: x is not null)) problem
+  from (select *, lag(start_s) over w ps, lag(end_s) over w pe, max(end_s) over (partition by media_id)-0.6 dur from tokens window w as (partition by media_id order by tok_idx))"""
+
+
+def problems(t):
     dur = t.tokens.groupBy("media_id").agg((F.max("end_s") - 0.6).alias("duration_s"))
     return asr.timing_problems(t.tokens, dur)
+
+
+@query("a05_timing_problems", TIMING)
+def _(t):
+    return problems(t)
+
+
+@query("a03_corpus_counts", f"""select (select count(*) from tokens) n_tokens, (select count(confidence) from tokens) n_tokens_with_confidence,
+  count(distinct media_id) utterances_with_timing_problems, count(*) n_timing_problems from ({TIMING})""")
+def _(t):
+    return asr.corpus_counts(t.tokens, problems(t))
+

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phonrisk.operators import cues as cu
+from phonrisk.operators import metrics as mt
 from phonrisk.operators import policy as po
+from phonrisk.session import durable
 from phonrisk.suite.q_features import evidence, rnd
+from phonrisk.suite.q_metrics import DRAWN, B
 from phonrisk.suite.registry import query
 
 UNC = "coalesce(confidence<0.3,false)"
@@ -99,6 +102,14 @@ def _(t):
     return rnd(po.frontier(t.word_trials, [], budgets=(0.2,)))
 
 
+@query("p12_recall_interval", f"""select 0.2::double budget, round(quantile_cont(v,0.025),6) recall_lo, round(quantile_cont(v,0.975),6) recall_hi, count(v) n_valid, count(*) n_resamples from (
+  select b, sum(w*hits)/sum(w*np) v from ({DRAWN}) d join (select listener_id, sum(case when rn<=round_even(0.2::double*nn,0) then misheard else 0 end)::double hits, sum(misheard) np from {SEL} group by all) p
+  on p.listener_id=d.listener_id group by b)""")
+def _(t):
+    totals = po.listener_totals(po.ranked_for_budget(t.word_trials, ["listener_id"]), {"b0": po.within(0.2)}, ["listener_id"])
+    return rnd(po.recall_intervals(totals, {"b0": 0.2}, [], mt.draws(t.word_trials, B)))
+
+
 @query("p13_frontier", PTS.format(k="seed,", sel=IN, src=f"(select * from (select *, row_number() over (partition by seed, listener_id order by score desc, {TIE}, row_id) rn, count(*) over (partition by seed, listener_id) nn from word_trials) cross join {BUDS})"))
 def _(t):
     return rnd(po.frontier(t.word_trials, ["seed"]))
@@ -216,11 +227,21 @@ def _(t):
     return cu.srt_blocks(cu.build_cues(shown(t))).select("media_id", "cue_idx", "block")
 
 
-@query("u05_ass", f"""select media_id, cue_idx, concat('Dialogue: 0,', {_cs('start_s')}, ',', {_cs('end_s')}, ',Default,,0,0,0,,', array_to_string(list_transform(texts, lambda x, i: concat('{{\\c', case when risks[i]<0.35 then '&H00FFFFFF' when risks[i]<0.6 then '&H0080D4FF' else '&H004040FF' end, '}}', x)),' ')) line from ({CUES})""")
+U05 = f"""select media_id, cue_idx, concat('Dialogue: 0,', {_cs('start_s')}, ',', {_cs('end_s')}, ',Default,,0,0,0,,', array_to_string(list_transform(texts, lambda x, i: concat('{{\\c', case when risks[i]<0.35 then '&H00FFFFFF' when risks[i]<0.6 then '&H0080D4FF' else '&H004040FF' end, '}}', x)),' ')) line from ({CUES})"""
+HEADER = cu.ASS_HEADER.split("\n")
+
+
+@query("u05_ass", U05)
 def _(t):
     return cu.ass_lines(cu.build_cues(shown(t))).select("media_id", "cue_idx", "line")
 
 
+@query("u05_ass_file", f"""select media_id, line_no, line from (select distinct media_id from ({CUES})) cross join
+  (select unnest(range(1, {len(HEADER) + 1})) line_no, unnest([{', '.join("'" + h + "'" for h in HEADER)}]) line) union all select media_id, {len(HEADER)} + cue_idx, line from ({U05})""")
+def _(t):
+    return cu.ass_file(durable(cu.build_cues(shown(t))))
+
+
 @query("u06_json_export", f"""select media_id, -1::bigint tok_idx, json_extract(j,'$.n_words')::bigint n_words, json_extract(j,'$.n_shown')::bigint n_shown, null::varchar as text, null::varchar decision from (select media_id, json_object('n_words', count(*), 'n_shown', count(*) filter (where decision<>'hidden')) j from ({BUD}) group by media_id)
   union all select media_id, tok_idx, null, null, text, decision from ({BUD})""")
 def _(t):

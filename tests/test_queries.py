@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHOSEN = ["flagship_risky_words", "c01_score_trials", "d11_top_confusions", "e11_profile_summary", "f08_confusion_block", "j05_minimal_pairs",
           "k01_stratified_folds", "m10_metrics_by_keys", "p13_frontier", "u02_cue_times", "v01_token_rules", "s10_manifest_verify",
-          "x07_slice_recall", "l03_emitted_cues_stream", "l06_scored_cues", "j04_sampled_pairs", "s09_content_digest", "l07_stale_results_stream", "a05_timing_problems", "n05_signal_ceiling"]
+          "x07_slice_recall", "l03_emitted_cues_stream", "l06_scored_cues", "j04_sampled_pairs", "s09_content_digest", "l07_stale_results_stream", "a05_timing_problems", "m16_contrasts", "p12_recall_interval", "u05_ass_file", "d20_matrix_layout", "n05_signal_ceiling"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phonrisk.operators import asr, cues, lexicon, policy, splits
 from phonrisk.operators import metrics as mt
+from phonrisk.plans import studies
 from phonrisk.sources import manifest
 from phonrisk.streaming import live
 
@@ -204,3 +205,27 @@ def test_bootstrap_is_deterministic(tied):
     a, b = run(), run()
     assert a == b and a.n_resamples == 20 and a.lo <= a.hi
     assert mt.draws(tied, 20).groupBy("b").agg(F.sum("w").alias("w")).where("w <> 8").isEmpty()
+
+
+def test_contrasts_pair_the_same_draws_and_leave_out_absent_arms(spark):
+    points = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.5), (2, "a", 0.5), (2, "b", 0.5)], "seed int, arm string, v double")
+    drawn = spark.createDataFrame([(s, arm, b, 0.5 + (0.1 if arm == "a" and s == 1 else 0.0) + b / 100) for s in (1, 2) for arm in "ab" for b in range(5)],
+                                  "seed int, arm string, b int, v double")
+    got = {r.seed: r for r in studies.contrasts(points, drawn, ["seed"], "v", [("a", "b"), ("a", "not run")]).collect()}
+    assert len(got) == 2 and got[1].excludes_zero and not got[2].excludes_zero and got[1].n_valid == 5
+    assert abs(got[1].point - 0.1) < 1e-9 and abs(got[1].lo - 0.1) < 1e-9 and got[2].hi == 0
+
+
+def test_transcript_parts_share_a_duration_and_missing_durations_are_judged_by_order(spark, tmp_path):
+    from phonrisk.sources import tables
+    item = '{"tok_idx": %d, "text": "x", "start_s": %s, "end_s": %s, "confidence": null}'
+    lines = ['{"media_id": 7, "part": 0, "backend": "b", "duration_s": null, "tokens": [%s]}' % (item % (0, 0.0, 1.0)),
+             '{"media_id": 7, "part": 1, "backend": "b", "duration_s": null, "tokens": [%s]}' % (item % (1, 0.5, 9.0))]
+    (tmp_path / "t.json").write_text("\n".join(lines))
+    got = tables.read_transcripts(spark, str(tmp_path), "r")
+    assert {r.duration_s for r in got.collect()} == {9.0}
+    none = spark.createDataFrame([], "media_id long, duration_s double")
+    found = asr.timing_problems(got, none)
+    assert [(r.tok_idx, r.problem) for r in found.collect()] == [(1, "overlap")]
+    counts = asr.corpus_counts(got, found).first()
+    assert (counts.n_tokens, counts.n_tokens_with_confidence, counts.utterances_with_timing_problems, counts.n_timing_problems) == (2, 0, 1, 1)
