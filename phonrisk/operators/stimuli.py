@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,19 +72,17 @@ def greedy_subset(catalogs: DataFrame, key: str, n: int) -> DataFrame:
                 .withColumn("c", hg.coda_index(F.col("syllable"))))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values("pos").reset_index(drop=True)
-        seen_o, seen_v, seen_c = [0] * 19, [0] * 21, [0] * 28
-        picked = []
-        while len(left) and len(picked) < n:
-            rank = pd.DataFrame({"o": left.o.map(lambda i: seen_o[i]), "v": left.v.map(lambda i: seen_v[i]),
-                                 "c": left.c.map(lambda i: seen_c[i])})
-            at = rank.sort_values(["o", "v", "c"], kind="stable").index[0]
-            row = left.loc[at]
-            seen_o[row.o] += 1
-            seen_v[row.v] += 1
-            seen_c[row.c] += 1
-            picked.append((row[key], row.syllable, row.pos, len(picked)))
-            left = left.drop(index=at).reset_index(drop=True)
+        rows = pdf.sort_values("pos").reset_index(drop=True)
+        onset, nucleus, coda = (rows[c].to_numpy() for c in "ovc")
+        seen_o, seen_v, seen_c = (np.zeros(size, np.int64) for size in (19, 21, 28))
+        base, free, picked = np.int64(n + 1), np.ones(len(rows), bool), []
+        for pick in range(min(n, len(rows))):
+            rank = (seen_o[onset] * base + seen_v[nucleus]) * base + seen_c[coda]
+            at = int(np.argmin(np.where(free, rank, np.iinfo(np.int64).max)))  # the first of equals
+            free[at] = False
+            for seen, part in ((seen_o, onset), (seen_v, nucleus), (seen_c, coda)):
+                seen[part[at]] += 1
+            picked.append((rows.at[at, key], rows.at[at, "syllable"], rows.at[at, "pos"], pick))
         return pd.DataFrame(picked, columns=[key, "syllable", "pos", "pick"])
 
     kind = dict(catalogs.dtypes)[key]

@@ -159,9 +159,13 @@ def seed_ap(score):
    sum(pos) over (partition by seed, b)::double tp, sum(neg) over (partition by seed, b)::double tn from {src}) group by all)"""
 
 
-ARMED = "(" + " union all ".join(f"select seed, listener_id, misheard, '{a}' arm, {s} arm_score from word_trials" for a, s in ARMS.items()) + ")"
+def armed(*names):
+    return "(" + " union all ".join(f"select seed, listener_id, misheard, '{a}' arm, {ARMS[a]} arm_score from word_trials" for a in names) + ")"
+
+
+ARMED = armed("fine", "coarse")
 CONTRASTS = "(" + " union all ".join(f"""select p.seed, '{a}' arm, '{r}' reference, point, lo, hi, n_valid, lo>0 or hi<0 excludes_zero
-  from (select seed, max(case when arm='{a}' then pr_auc end)-max(case when arm='{r}' then pr_auc end) point from ({auc_sql('seed, arm', ARMED, 'arm_score')}) group by seed) p
+  from (select seed, max(case when arm='{a}' then pr_auc end)-max(case when arm='{r}' then pr_auc end) point from ({auc_sql('seed, arm', armed(a, r), 'arm_score')}) group by seed) p
   join (select x.seed, quantile_cont(x.pr_auc-y.pr_auc,0.025) lo, quantile_cont(x.pr_auc-y.pr_auc,0.975) hi, count(x.pr_auc-y.pr_auc) n_valid from {seed_ap(ARMS[a])} x join {seed_ap(ARMS[r])} y on x.seed=y.seed and x.b=y.b group by x.seed) i on p.seed=i.seed""" for a, r in PAIRS) + ")"
 
 

@@ -130,22 +130,21 @@ def _(t):
 
 
 K = "slice_axis, slice_value"
-LONGW = "(select 'overall' slice_axis, 'all' slice_value, * from word_trials union all select 'snr_db', snr_db::varchar, * from word_trials)"
 
 
 def lsel(score):
-    return f"(select *, row_number() over (partition by {K}, listener_id order by {score} desc, {TIE}, row_id) rn, count(*) over (partition by {K}, listener_id) nn from {LONGW})"
+    return f"(select *, row_number() over (partition by {K}, listener_id order by {score} desc, {TIE}, row_id) rn, count(*) over (partition by {K}, listener_id) nn from {LONG})"
 
 
 def lrec(score, out):
-    return f"select {K}, budget, sum(h)/sum(np) {out}, quantile_cont(h/nullif(np,0),0.5) recall_median, min(h/nullif(np,0)) recall_worst, quantile_cont(h/nullif(np,0),0.25) recall_q25, avg(case when np=0 then null when h/np<0.05 then 1.0 else 0 end) frac_near_zero from (select {K}, listener_id, budget, sum(case when rn<=round_even(budget*nn,0) then misheard else 0 end)::double h, sum(misheard)::double np from {lsel(score)} cross join (values (0.1::double),(0.2::double),(0.3::double)) b(budget) group by all) group by all"
+    return f"select {K}, budget, sum(h)/sum(np) {out}, quantile_cont(h/nullif(np,0),0.5) recall_median, min(h/nullif(np,0)) recall_worst, quantile_cont(h/nullif(np,0),0.25) recall_q25, avg(case when np=0 then null when h/np<0.05 then 1.0 else 0 end) frac_near_zero from (select {K}, listener_id, budget, sum(case when rn<=round_even(budget*nn,0) then misheard else 0 end)::double h, sum(misheard)::double np from {lsel(score)} cross join (values (0.1::double),(0.2::double),(0.3::double),(0.4::double),(0.5::double)) b(budget) group by all) group by all"
 
 
 SR = f"(select a.*, z.wl word_length_recall, a.recall-z.wl gain from ({lrec('score', 'recall')}) a join (select {K}, budget, wl from ({lrec('length(word)', 'wl')})) z on z.slice_axis=a.slice_axis and z.slice_value=a.slice_value and z.budget=a.budget)"
 
 
 def battery(t):
-    return st.slice_recall(t.word_trials, ["snr_db"], (0.1, 0.2, 0.3))
+    return st.slice_recall(grouped(t), AXES, po.BUDGETS)
 
 
 @query("x07_slice_recall", "select slice_axis, slice_value, budget, " + ", ".join(f"round({c},6) {c}" for c in ("recall", "recall_median", "recall_worst", "recall_q25", "frac_near_zero", "word_length_recall", "gain")) + f" from {SR}")
