@@ -74,7 +74,9 @@ def rank_metrics(counts: DataFrame, keys: list[str], *, bounded: bool | None = N
     tp = F.col("_pos") - F.col("_cp") + F.col("pos")
     shown = F.col("_n") - F.col("_cn") + F.col("n")
     wins = F.sum(F.col("pos") * (below + neg / 2.0))
-    ap = F.sum(F.try_divide(F.col("pos").cast("double"), F.col("_pos")) * F.try_divide(tp, shown))
+    # Summed as decimals: doubles would depend on the order in which shuffled rows arrive.
+    step = F.try_divide(F.col("pos").cast("double"), F.col("_pos")) * F.try_divide(tp, shown)
+    ap = F.sum(step.cast("decimal(38,20)")).cast("double")
     two = (F.max("_pos") > 0) & (F.max("_n") > F.max("_pos"))
     return both.groupBy(*keys).agg(
         F.when(two, F.try_divide(wins, F.max("_pos") * (F.max("_n") - F.max("_pos")))).alias("roc_auc"),
