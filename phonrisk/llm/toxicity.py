@@ -6,7 +6,9 @@ rates are per coordinate, and the L1 penalty leaves most of the weights at exact
 broadcast is the list of the others, at most ``2 ** DIM_BITS`` of them whatever the corpus.
 
 Learned from the labelled rows whose crc32(doc_id as text) mod 3 is not 1, at most ``SAMPLE`` of each
-label (all of them where there are no more). Labels, lang, source and doc_id are never inputs.
+label (all of them where there are no more). Where the labels are drawn at different rates, the log of the
+ratio of the rates is taken off the bias, so a score means the same whatever the number of labels. Labels,
+lang, source and doc_id are never inputs.
 
 Defined cases: null, empty and wordless texts score what the bias alone gives; repeated labels of a
 document count as toxic if any does; a null doc_id has no label and is not held out; without labelled
@@ -69,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     if not n:
         return np.empty(0, np.int32), np.empty(0), -30.0
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    marks = marks.filter(F.coalesce(*[F.when(F.col("toxic") == k, draw < min(1.0, sample / m)) for k, m in n.items()]))
+    rates = {k: min(1.0, sample / m) for k, m in n.items()}
+    marks = marks.filter(F.coalesce(*[F.when(F.col("toxic") == k, draw < rate) for k, rate in rates.items()]))
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("toxic", "text")  # about twice SAMPLE ids
     got = rows.mapInPandas(_cell_rows, "toxic int, at array<int>").toPandas()  # about SAMPLE rows of each label
     examples = sorted(zip(got["at"].map(np.asarray), got["toxic"], strict=True), key=lambda e: hashlib.md5(e[0].tobytes()).digest())
@@ -91,7 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
             s[at] += g * g
     w = weights(np.arange(len(z)))
     used = np.flatnonzero(w[:-1])
-    return used.astype(np.int32), w[used], float(w[-1])
+    tilt = np.log(rates[1] / rates[0]) if len(rates) == 2 else 0.0  # the sample's log odds of toxic less the table's
+    return used.astype(np.int32), w[used], float(w[-1] - tilt)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -129,6 +129,15 @@ def test_toxicity(spark, edge):
     assert toxicity.score(edge, none).filter("predicted = 0").count() == edge.count() and toxicity.score(edge.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_keep_their_meaning_when_both_labels_are_sampled(spark, edge):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, labels, sample=200).join(labels, "doc_id").filter("held_out").select("toxic", "score", "predicted").toPandas()
+    bad = got.toxic == 1
+    assert got.predicted[~bad].mean() < 0.01 and got.predicted[bad].mean() > 0.5
+    *_, bias = toxicity.fit(docs, labels, sample=200)
+    assert 1 / (1 + np.exp(-bias)) < 0.3  # what an empty text scores; toxic labels are an eighth
+
+
 def brute_repeats(words):
     w = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
     return len({i + k for i, x in enumerate(w) if w.count(x) > 1 for k in range(3)})
