@@ -100,7 +100,7 @@ def _(t):
     return rnd(mt.listener_ranking(t.word_trials, S).select("seed", "map_mean"))
 
 
-B = 40
+B = 1_000  # as the reference's DEFAULT_N_BOOTSTRAP
 DRAWN = f"""select b, w.listener_id, count(*) w from (select b.range b, 1 + cast(concat('0x',substr(md5(concat('boot0:',b.range::varchar,':',d.range::varchar)),1,15)) as bigint) % (select count(distinct listener_id) from word_trials) i
   from range({B}) b cross join range((select count(distinct listener_id) from word_trials)) d) x join (select listener_id, row_number() over (order by listener_id) i from (select distinct listener_id from word_trials)) w on w.i=x.i group by all"""
 

@@ -42,6 +42,11 @@ def test_query_equals_oracle(spark, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["m13_bootstrap_brier", "z03_bootstrap_statistic"])
+def test_bootstraps_draw_as_often_as_the_reference(spark, name):
+    assert entry.queries()[name](spark, SF).first().n_resamples == 1_000
+
+
 def test_every_oracle_has_its_query():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 200
