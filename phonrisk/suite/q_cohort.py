@@ -50,11 +50,11 @@ def _stirred() -> str:
 @query("j04_sampled_pairs", f"""with sides as (select listener_id, misheard, row_id, row_number() over (partition by listener_id, misheard order by
     cast(concat('0x',substr(md5(concat('side0:',row_id::varchar)),1,15)) as bigint), row_id) k from word_trials),
   sizes as (select listener_id, count(*) filter (where misheard=1) m, count(*) filter (where misheard=0) n from sides group by all),
-  picked as (select listener_id, m, n, unnest(range(0, least(m*n,25))) i from sizes where m*n>0)
+  picked as (select listener_id, m, n, unnest(range(0, least(m*n,400))) i from sizes where m*n>0)
   select z.listener_id, p.row_id pos_row, q.row_id neg_row from ({_stirred()}) z join sides p on p.listener_id=z.listener_id and p.misheard=1 and p.k=z.a+1
   join sides q on q.listener_id=z.listener_id and q.misheard=0 and q.k=z.b+1""")
 def _(t):
-    return lx.sampled_pairs(t.word_trials, 25).select("listener_id", "pos_row", "neg_row")
+    return lx.sampled_pairs(t.word_trials, 400).select("listener_id", "pos_row", "neg_row")
 
 
 MASK = """(select word, i, string_agg(case when k=i then '*' else concat(position, symbol) end, '.' order by k) pat from (select a.*, b.k i from

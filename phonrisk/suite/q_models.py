@@ -51,7 +51,7 @@ def _(t):
     return rnd(md.fit_logistic(m, cols).coefficients(t.spark))
 
 
-query("g04_boosted_trees")(_scored(md.fit_boosted, max_iter=20))
+query("g04_boosted_trees")(_scored(md.fit_boosted))
 query("g05_residual")(_scored(md.fit_residual))
 query("g06_cross_fitted_residual")(_scored(md.fit_cross_fitted))
 query("g07_spline_additive")(_scored(md.fit_additive))
@@ -92,7 +92,7 @@ def _(t):
 @query("g14_out_of_fold")
 def _(t):
     m, cols = data(t)
-    oof, _log = md.out_of_fold(m, cols, md.fit_logistic, k=3)
+    oof, _log = md.out_of_fold(m, cols, md.fit_logistic)
     if not sp.prediction_gaps(m, oof).isEmpty():
         raise ValueError("some rows were not predicted exactly once")
     return rnd(mt.suite(oof, [], p="p"))

@@ -74,8 +74,8 @@ def _(t):
     return rnd(st.paired(gains(t), "model", "fine", "noise", "r"))
 
 
-LENGTHS = (10, 25, 50)
-EVID = """(select b.n calibration_length, o.listener_id, o.target, o.perceived from obs o join (select trial_id, row_number() over (partition by listener_id order by trial_id) rn from calib_trials) r on r.trial_id=o.trial_id join (values (10),(25),(50)) b(n) on r.rn<=b.n)"""
+LENGTHS = (10, 25, 50, 100, 200, 400)
+EVID = """(select b.n calibration_length, o.listener_id, o.target, o.perceived from obs o join (select trial_id, row_number() over (partition by listener_id order by trial_id) rn from calib_trials) r on r.trial_id=o.trial_id join (values (10),(25),(50),(100),(200),(400)) b(n) on r.rn<=b.n)"""
 
 
 def evidence_lengths(t):

@@ -47,6 +47,13 @@ def test_bootstraps_draw_as_often_as_the_reference(spark, name):
     assert entry.queries()[name](spark, SF).first().n_resamples == 1_000
 
 
+def test_lengths_and_pairs_are_those_of_the_reference(spark):
+    lengths = {r.calibration_length for r in entry.queries()["x04_evidence_length_grid"](spark, SF).collect()}
+    assert lengths == {10, 25, 50, 100, 200, 400}
+    pairs = entry.queries()["j04_sampled_pairs"](spark, SF).groupBy("listener_id").count().agg({"count": "max"}).first()[0]
+    assert 25 < pairs <= 400
+
+
 def test_every_oracle_has_its_query():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 200
