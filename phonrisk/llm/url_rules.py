@@ -7,8 +7,8 @@ high enough is a block rule. Rules that a shorter one implies are pruned, and th
 an inverted index: a rule is filed under its first token, a URL looks up its own tokens, and a rule
 fires where all of its tokens are there. The rest is allowed.
 
-The rule table is bounded by ``MAX_RULES``, the best by confidence and support (a bound of the rule list, documented;
-the mined sets themselves stay distributed), so it is broadcast.
+Support is an absolute count (``MIN_COUNT`` blocked URLs), whatever the number of labelled URLs. Up to ``BROADCAST_RULES``
+rules are broadcast; more are matched by a plain join on the first token. None is dropped.
 
 Given rules fit a host and its subdomains, if the path starts with the rule's; the longest wins:
 longest host, then longest path.
@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 
 from phonrisk.llm.store import stored
 
-MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.6
 MIN_COUNT = 20
 MAX_TOKENS = 3
-MAX_RULES = 10_000
+BROADCAST_RULES = 10_000
 BLOCKED = "label=block"
 
 
@@ -72,7 +71,7 @@ def shortest(rules: DataFrame) -> DataFrame:
     return rules.join(implied, "items", "left_anti")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(first, rest, confidence, support): block rules mined from rows of (url, blocked)."""
     baskets = labelled.select(tokens_of(F.col("url")).alias("tokens"), "blocked").filter(F.size("tokens") > 0)
     # Numbered and stored once: a lost task must not number anew, and three jobs read it.
@@ -83,26 +82,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return labelled.sparkSession.createDataFrame([], schema)
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens"))
     # Only tokens that are frequent among blocked URLs can make a rule.
-    common = baskets.filter("blocked").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= max(min_count, min_support * n))
+    common = baskets.filter("blocked").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= min_count)
     seen = baskets.select("row", F.explode(items).alias("t"))
     seen = seen.join(common.select("t").union(labelled.sparkSession.createDataFrame([(BLOCKED,)], "t string")), "t").groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(seen)
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=min_confidence).fit(seen)
     sets = stored(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq").filter(F.size("items") <= MAX_TOKENS + 1), "itemsets")
     whole = sets.filter(~F.array_contains("items", BLOCKED)).withColumnRenamed("freq", "all")
     bad = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), "freq")
     rules = bad.join(whole, "items").withColumn("confidence", F.col("freq") / F.col("all")).filter(
         (F.col("confidence") >= min_confidence) & (F.col("freq") >= min_count))
-    rules = shortest(stored(rules, "candidates"))
-    kept = rules.orderBy(F.size("items"), F.desc("confidence"), F.desc("freq"), "items").limit(MAX_RULES)
-    return kept.select(F.col("items")[0].alias("first"), F.expr("slice(items, 2, size(items))").alias("rest"), "confidence", F.col("freq").alias("support"))
+    return shortest(stored(rules, "candidates")).select(F.col("items")[0].alias("first"), F.expr("slice(items, 2, size(items))").alias("rest"), "confidence", F.col("freq").alias("support"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame, **options) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame, broadcast_rules: int = BROADCAST_RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict and ``mined`` (how many mined rules fire) of every row of (page_id, url)."""
     mined = stored(mine(labelled, **options), "rules")
+    filed = F.broadcast(mined) if mined.limit(broadcast_rules + 1).count() <= broadcast_rules else mined
     known = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"))
     known = stored(known.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "tokens": tokens_of(F.col("url"))}), "pages")
-    fired = known.select("row", "tokens", F.explode("tokens").alias("first")).join(F.broadcast(mined), "first").filter(F.expr("size(array_except(rest, tokens)) = 0"))
+    fired = known.select("row", "tokens", F.explode("tokens").alias("first")).join(filed, "first").filter(F.expr("size(array_except(rest, tokens)) = 0"))
     fired = fired.groupBy("row").agg(F.count("*").alias("mined"))
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     out = known.drop("tokens").join(fired, "row", "left").withColumn("mined", F.coalesce("mined", F.lit(0)))

@@ -207,6 +207,15 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), rules, labelled).count() == 0
 
 
+def test_url_rules_need_a_count_not_a_share(spark):
+    urls = [f"http://bad.example.org/a/{i}" for i in range(25)] + [f"http://fine{i % 7}.example.net/b/{i}" for i in range(30_000)]
+    labelled = spark.createDataFrame([(u, "//bad." in u) for u in urls], "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://bad.example.org/new"), (2, "http://fine1.example.net/new")], "page_id long, url string")
+    for bound in (10_000, 0):  # broadcast and plain join
+        got = {r.page_id: r.verdict for r in url_rules.judge(pages, [], labelled, broadcast_rules=bound).collect()}
+        assert got == {1: "block", 2: "allow"}
+
+
 def test_rules_implied_by_shorter_ones_go(spark):
     sets = [["a"], ["a", "b"], ["b", "c"], ["b", "c", "d"], ["d", "e", "f"], ["c", "e"], ["a", "x", "y"]]
     got = url_rules.shortest(spark.createDataFrame([(s, 0.9) for s in sets], "items array<string>, confidence double"))
