@@ -48,9 +48,10 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def _oracles() -> None:
-    from phonrisk.llm import line_dedup, mixing, sharding
+    from phonrisk.llm import fingerprints, line_dedup, mixing, runs, sharding
 
-    ORACLES.update(op2_line_dedup=line_dedup.oracle(), op9_mixing=mixing.oracle(), op10_sharding=sharding.oracle())
+    ORACLES.update(op2_line_dedup=line_dedup.oracle(), op9_mixing=mixing.oracle(), op10_sharding=sharding.oracle(),
+                   op11_fingerprints=fingerprints.oracle(), op13_periodic_runs=runs.oracle())
 
 
 _oracles()
@@ -107,3 +108,24 @@ def op8_url_filter(spark, sf_dir):
     labelled = numbered.withColumn("doc_id", F.col("n").cast("long")).join(bad, "doc_id").select("url", "blocked")
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
     return judge(pages, rules, labelled)
+
+
+@query
+def op11_fingerprints(spark, sf_dir):
+    from phonrisk.llm.fingerprints import compare
+
+    return compare(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    from phonrisk.llm.whitening import by_component
+
+    return by_component(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    from phonrisk.llm.runs import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
