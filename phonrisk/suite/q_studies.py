@@ -9,12 +9,14 @@ from phonrisk.operators import metrics as mt
 from phonrisk.operators import policy as po
 from phonrisk.operators import splits as sp
 from phonrisk.operators import trials as tr
+from phonrisk.plans import runner as rn
 from phonrisk.plans import studies as st
+from phonrisk.session import scratch_dir
 from phonrisk.suite import q_confusion as qc
 from phonrisk.suite import q_hearing as qh
 from phonrisk.suite.q_cohort import FOLD
 from phonrisk.suite.q_features import rnd
-from phonrisk.suite.q_metrics import _arms, auc_sql, ARMED
+from phonrisk.suite.q_metrics import _arms, auc_sql, ARMED, DRAWN
 from phonrisk.suite.q_policy import TIE
 from phonrisk.suite.registry import query
 
@@ -30,6 +32,59 @@ def _(t):
     return rnd(suite(t).select("seed", "arm", "pr_auc", "roc_auc", "brier"))
 
 
+# ---- the study runner: models without a fit are checked in SQL, through folds, stored cells and results
+
+ROWS = "(select t.* from word_trials t join cal_listeners c on c.listener_id=t.listener_id)"
+SFOLD = f"""(select seed, listener_id, (case when (rn-1)//5%2=0 then (rn-1)%5 else 4-(rn-1)%5 end)::int fold from (select seed, listener_id,
+  row_number() over (partition by seed order by round(avg(misheard),9), cast(concat('0x',substr(md5(concat('fold',seed::varchar,':',listener_id::varchar)),1,8)) as bigint), listener_id) rn from {ROWS} r group by seed, listener_id))"""
+SCELL = f"""(select seed, fold, n_test, sum(n_test) over (partition by seed)-n_test n_train, (sum(pos) over (partition by seed)-pos)::double/(sum(n_test) over (partition by seed)-n_test) rate
+  from (select r.seed, f.fold, count(*) n_test, sum(misheard) pos from {ROWS} r join {SFOLD} f on f.seed=r.seed and f.listener_id=r.listener_id group by all))"""
+SPRED = f"""(select r.seed, r.listener_id, r.misheard, m.model, case when m.model='prevalence' then c.rate else round(least(greatest(x.x_r_phon,0),1),9) end p
+  from {ROWS} r join {SFOLD} f on f.seed=r.seed and f.listener_id=r.listener_id join {SCELL} c on c.seed=f.seed and c.fold=f.fold join xblock x on x.listener_id=r.listener_id and x.word=r.word
+  cross join (values ('prevalence'),('phoneme_independence')) m(model))"""
+
+
+def study(t, arms=("confusion_only",), models=(rn.INDEPENDENCE, rn.PREVALENCE), **kw):
+    return rn.Runner(t.spark, scratch_dir(t.spark, "study"), rn.Study(arms, models, **kw), t.word_trials, hearing=qh.summary(t), est=qc.estimated(t))
+
+
+@query("x01_study_folds", f"select seed, listener_id, fold from {SFOLD}")
+def _(t):
+    return study(t).folds()
+
+
+@query("x01_study_cells", f"select m.model, c.seed, c.fold, c.n_train, c.n_test from {SCELL} c cross join (values ('prevalence'),('phoneme_independence')) m(model)")
+def _(t):
+    return study(t).run().done().select("model", "seed", "fold", "n_train", "n_test")
+
+
+@query("x01_study_metrics", f"""select a.seed, a.model, round(pr_auc,6) pr_auc, round(roc_auc,6) roc_auc, round(brier,6) brier, n, n_listeners, round(q,6) floor_pr_auc, round(q*(1-q),6) floor_brier, 5::bigint n_folds
+  from ({auc_sql('seed, model', SPRED, 'p')}) a join (select seed, model, avg(power(p-misheard,2)) brier, count(*) n, count(distinct listener_id) n_listeners, avg(misheard) q from {SPRED} group by all) b on a.seed=b.seed and a.model=b.model""")
+def _(t):
+    return rnd(study(t).run().metrics().select("seed", "model", "pr_auc", "roc_auc", "brier", "n", "n_listeners", "floor_pr_auc", "floor_brier", "n_folds"))
+
+
+SPER = f"(select seed, listener_id, p s, sum(misheard) pos, sum(1-misheard) neg from {SPRED} where model='MODEL' group by all)"
+SDRAWN = DRAWN.replace("from word_trials", f"from {ROWS}")
+SBOOT = f"""(select seed, b, sum(pos/tp*(tp-cp+pos)/(tp+tn-cn+pos+neg)) pr_auc from (select *, sum(pos+neg) over (partition by seed, b order by s) cn, sum(pos) over (partition by seed, b order by s) cp,
+   sum(pos) over (partition by seed, b)::double tp, sum(neg) over (partition by seed, b)::double tn from (select seed, b, s, sum(w*pos) pos, sum(w*neg) neg from ({SDRAWN}) d join {SPER} p on p.listener_id=d.listener_id group by all)) group by all)"""
+
+
+@query("x01_study_contrasts", f"""select p.seed, 'phoneme_independence' model, 'prevalence' reference, round(point,6) point, round(lo,6) lo, round(hi,6) hi, n_valid, lo>0 or hi<0 excludes_zero
+  from (select seed, max(case when model='phoneme_independence' then pr_auc end)-max(case when model='prevalence' then pr_auc end) point from ({auc_sql('seed, model', SPRED, 'p')}) group by seed) p
+  join (select x.seed, quantile_cont(x.pr_auc-y.pr_auc,0.025) lo, quantile_cont(x.pr_auc-y.pr_auc,0.975) hi, count(x.pr_auc-y.pr_auc) n_valid
+        from {SBOOT.replace('MODEL', 'phoneme_independence')} x join {SBOOT.replace('MODEL', 'prevalence')} y on x.seed=y.seed and x.b=y.b group by x.seed) i on p.seed=i.seed""")
+def _(t):
+    out = study(t).run().contrasts(((rn.INDEPENDENCE, rn.PREVALENCE),), between="model")
+    return rnd(out.select("seed", "model", "reference", "point", "lo", "hi", "n_valid", "excludes_zero"))
+
+
+@query("x01_ablation_study")
+def _(t):
+    arms = ("word_context_only", "pta_only", "clinical", "confusion_only", "clinical_plus_confusion")
+    return rnd(study(t, arms, ("logistic", rn.INDEPENDENCE)).run().summary())
+
+
 UNP = f"(select arm, 'pr_auc' metric, pr_auc v from {SUITE} union all select arm, 'brier', brier from {SUITE})"
 
 
