@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from phonrisk.functions.hangul import has_hangul
 from phonrisk.functions.text import cue_text
 from phonrisk.operators.ordered import quantile, running, with_lag
 from phonrisk.operators.stimuli import reference_vocabulary
-from phonrisk.session import durable
 
 # Cue limits and the default caption rate.
 MAX_CUE_CHARS, MAX_CUE_TOKENS, TARGET_RATE = 500, 60, 0.20
@@ -59,38 +63,117 @@ def emitted(cues: DataFrame, *, stream: str = "stream_id", seq: str = "seq", bou
     return prev.withColumn("event", event).where("event is not null").drop("_f", "_pf", "_seen")
 
 
-def _state(spark, path: str, batch: int, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/{batch - 1}") if batch else spark.createDataFrame([], schema)
+class _PerStream(StatefulProcessor):
+    """One value a stream, forgotten once event time is ``idle_ms`` past the stream's last row."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", f"{self.value}, until bigint")
+
+    def _swap(self, value, batch: pd.DataFrame) -> None:  # noqa: ANN001
+        old, until = self.held.get(), int(batch["at_ms"].max()) + self.idle_ms
+        if old is None or until > old[1]:
+            if old is not None:
+                self.handle.deleteTimer(old[1])
+            self.handle.registerTimer(until)
+        else:
+            until = old[1]
+        self.held.update((value, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _LastMark(_PerStream):
+    """Emission of one stream; the value is its last fingerprint."""
+
+    value = "mark string"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")  # one stream's cues of one micro-batch
+        held = self.held.get()
+        mark = batch["mark"].astype(object).where(batch["mark"].notna(), None).tolist()
+        before = [held[0] if held else None, *mark[:-1]]
+        event = [("clear" if b is not None else None) if m is None else (None if m == b else "cue") for m, b in zip(mark, before)]
+        self._swap(mark[-1], batch)
+        yield batch.assign(event=event).dropna(subset=["event"])[["stream_id", "seq", "source", "text", "event"]]
+
+
+class _TopSequence(_PerStream):
+    """Staleness in one stream; the value is its highest sequence."""
+
+    value = "top bigint"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        batch = pd.concat(list(rows)).sort_values(["arrival", "seq"], kind="stable")
+        held = self.held.get()
+        top = batch["seq"].cummax()
+        if held:
+            top = top.clip(lower=held[0])
+        self._swap(int(top.iloc[-1]), batch)
+        yield batch.assign(stale=batch["seq"] < top)[["stream_id", "seq", "stale"]]
+
+
+def _stateful(rows: DataFrame, processor: StatefulProcessor, late: str, schema: str) -> DataFrame:
+    timed = rows.withWatermark("observed_at", late).withColumn("at_ms", F.unix_millis("observed_at"))
+    return timed.groupBy("stream_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def emitted_stream(cues: DataFrame, *, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Streaming form of ``emitted``: cues of a stream are taken in ``seq`` order within each micro-batch.
+
+    Cues behind the watermark (``late``) are dropped. A stream without cues for ``idle`` of event time is
+    forgotten, so its next cue is emitted even if it repeats the last one; the store holds a row for each
+    stream seen within that time, and a micro-batch writes only those of its own streams.
+    """
+    marked = cues.select("stream_id", "seq", "source", "text", "observed_at", fingerprint().alias("mark"))
+    return _stateful(marked, _LastMark(span_ms(idle)), late, "stream_id bigint, seq bigint, source string, text string, event string")
+
+
+def stale_stream(results: DataFrame, *, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Streaming form of ``stale``; a stream without results for ``idle`` of event time starts afresh."""
+    rows = results.select("stream_id", "seq", "arrival", "observed_at")
+    return _stateful(rows, _TopSequence(span_ms(idle)), late, "stream_id bigint, seq bigint, stale boolean")
+
+
+def span_ms(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@dataclass
+class StreamRun:
+    """Folder of a stream's rows, and what its operators said after each micro-batch."""
+
+    out: str
+    n_dropped_late: int
+    n_state_rows: list[int]
 
 
-def emit_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
-    """One micro-batch of ``emitted``: each stream's last fingerprint is a row in front of its cues.
+def run_available(result: DataFrame, folder: str) -> StreamRun:
+    """Run an append stream over what has arrived, from where it stopped last, and end.
 
-    The carried state is a table, one row a stream, written per batch id, so a replayed batch
-    reads the same state and overwrites the same output. A busy stream is ranked like any other
-    hot key instead of being held by one state-store task.
+    State is kept by RocksDB, with a log of changes in the checkpoint. Runs of one ``folder`` are one stream.
     """
-    marked = batch.select("stream_id", "seq", "source", "text", fingerprint().alias("mark"), F.lit(False).alias("carried"))
-    last = _state(batch.sparkSession, state, batch_id, "stream_id bigint, seq bigint, mark string").select(
-        "stream_id", "seq", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"), "mark", F.lit(True).alias("carried"))
-    rows = durable(last.unionByName(marked))
-    prev = with_lag(rows, ["stream_id"], [F.col("carried").desc(), "seq"], {"_pm": "mark"})
-    event = (F.when(F.col("mark").isNull() & F.col("_pm").isNotNull(), "clear")
-             .when(F.col("mark").isNotNull() & ~F.col("mark").eqNullSafe(F.col("_pm")), "cue"))
-    kept = prev.where(~F.col("carried")).withColumn("event", event).where("event is not null")
-    kept.select("stream_id", "seq", "source", "text", "event").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    newest = F.max_by(F.struct("seq", "mark"), F.struct(~F.col("carried"), F.col("seq")))
-    rows.groupBy("stream_id").agg(newest.alias("s")).select("stream_id", "s.seq", "s.mark").write.mode("overwrite").parquet(f"{state}/{batch_id}")
-
-
-def stale_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
-    """One micro-batch of ``stale``: the carried state is each stream's highest sequence."""
-    top = _state(batch.sparkSession, state, batch_id, "stream_id bigint, top bigint").select(
-        "stream_id", F.col("top").alias("seq"), F.lit(-1).cast("bigint").alias("arrival"), F.lit(True).alias("carried"))
-    rows = durable(top.unionByName(batch.select("stream_id", "seq", "arrival", F.lit(False).alias("carried"))))
-    marked = stale(rows).where(~F.col("carried")).select("stream_id", "seq", "stale")
-    marked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    rows.groupBy("stream_id").agg(F.max("seq").alias("top")).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+    conf, key = result.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, STORE)
+    try:
+        q = (result.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+             .format("parquet").option("path", f"{folder}/out").start())
+        q.awaitTermination()
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+    said = [o for p in q.recentProgress for o in p["stateOperators"]]
+    return StreamRun(f"{folder}/out", sum(o["numRowsDroppedByWatermark"] for o in said), [o["numRowsTotal"] for o in said])
 
 
 def count_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
@@ -183,5 +266,5 @@ def sessions(cues: DataFrame, gap: str = "30 minutes", late: str = "10 minutes")
 
 
 def deduplicated(cues: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Duplicate deliveries of one (stream, seq) dropped within the watermark."""
+    """Duplicate deliveries of one (stream, seq) dropped within the watermark; rows behind it are dropped too."""
     return cues.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["stream_id", "seq"])

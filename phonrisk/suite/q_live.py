@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from phonrisk.functions.text import hash32
 from phonrisk.operators import confusion as cf
 from phonrisk.operators import features as ft
 from phonrisk.session import scratch_dir
@@ -13,17 +14,34 @@ from phonrisk.suite.q_cohort import REF
 from phonrisk.suite.q_features import rnd
 from phonrisk.suite.registry import query
 
-N = 6  # input files of the streamed forms, one per trigger
+DAYS = 7  # a delivery is what arrived within so many days
 
 
-def _stream(t, df, order):
-    """Deliver ``df`` as N files in ``order``, one after the other, and read one a trigger."""
-    path = scratch_dir(t.spark, "stream")
+#: Results arrive up to 400 cues late, which is weeks where cues are few.
+AGES = {"late": "30 days", "idle": "60 days"}
+
+
+def _timed(t):
+    return t.live_cues.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+
+
+def _deliveries(t, df, order, name, build, parts=3):
+    """Deliver ``df`` in slices of ``order``, each as files of several tasks, and run the stream after each."""
+    path, folder = scratch_dir(t.spark, name), scratch_dir(t.spark, name)
     lo, hi = df.agg(F.min(order), F.max(order)).first()
-    slice_ = F.least(F.floor((F.col(order) - lo) * N / (hi - lo + 1)), F.lit(N - 1))
-    for i in range(N):
-        df.where(slice_ == i).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    number = F.least(F.floor((F.col(order) - lo) * parts / (hi - lo + 1)), F.lit(parts - 1))
+    runs = []
+    for i in range(parts):
+        df.where(number == i).write.mode("append").parquet(path)
+        runs.append(lv.run_available(build(t.spark.readStream.schema(df.schema).parquet(path)), folder))
+    return runs
+
+
+def _stream(t, df, order, parts=6):
+    """``df`` as files of slices in ``order``, several a slice; a trigger reads about one slice."""
+    path = scratch_dir(t.spark, "stream")
+    df.repartitionByRange(4 * parts, order).write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
 @query("l01_cue_source", "select seq, stream_id, source, text from live_cues")
@@ -52,8 +70,8 @@ def _(t):
 
 @query("l03_emitted_cues_stream", EMIT)
 def _(t):
-    out = lv.run_batches(_stream(t, t.live_cues, "seq"), lv.emit_batch, scratch_dir(t.spark, "emit"))
-    return t.spark.read.parquet(out).select("stream_id", "seq", "text", "event")
+    runs = _deliveries(t, _timed(t).select("stream_id", "seq", "source", "text", "observed_at"), "seq", "emit", lambda s: lv.emitted_stream(s, **AGES))
+    return t.spark.read.parquet(runs[-1].out).select("stream_id", "seq", "text", "event")
 
 
 @query("l04_clear_events", f"select stream_id, count(*) n_clears from ({EMIT}) where event='clear' group by all")
@@ -123,8 +141,8 @@ def _(t):
 
 @query("l07_stale_results_stream", STALE)
 def _(t):
-    out = lv.run_batches(_stream(t, t.live_cues.select("stream_id", "seq", "arrival"), "arrival"), lv.stale_batch, scratch_dir(t.spark, "stale"))
-    return t.spark.read.parquet(out).select("stream_id", "seq", "stale")
+    runs = _deliveries(t, _timed(t).select("stream_id", "seq", "arrival", "observed_at"), "arrival", "stale", lambda s: lv.stale_stream(s, **AGES))
+    return t.spark.read.parquet(runs[-1].out).select("stream_id", "seq", "stale")
 
 
 @query("l08_routes", "select c.seq, case when s.n is null then 'unknown_listener' when s.n<10 then 'not_ready' else 'score' end route from live_cues c left join (select listener_id, count(*) n from calib_trials group by all) s on s.listener_id=c.listener_id")
@@ -150,14 +168,87 @@ def _(t):
     return lv.sessions(cues).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("l12_deduplicated_stream", "select stream_id, seq from live_cues")
+# ---- event-time streams: one cue of ten arrives 12 days late, two of ten 90 minutes late, and copies come later still
+
+LATE = "2 hours"
+DELAY = "cast(concat('0x',substr(md5(concat('dl:',seq::varchar)),1,8)) as bigint)%10"
+ARRIVED = f"(select *, observed_at + case when {DELAY}=0 then interval 12 day when {DELAY}<3 then interval 90 minute else interval 0 minute end arrived from live_cues)"
+COPIES = f"(select stream_id, seq, text, observed_at, arrived + c.later arrived from {ARRIVED} cross join (values (interval 0 minute),(interval 30 minute),(interval 8 day)) c(later))"
+
+
+def delivered(src):
+    """SQL: number of each row's delivery ``k`` and the watermark ``wm`` that stands when it is read."""
+    return f"""(select d.*, w.wm from (select *, (epoch_us(arrived)-min(epoch_us(arrived)) over ())//({DAYS}*86400000000) k from {src}) d left join
+      (select k, date_trunc('millisecond', max(m) over (order by k rows between unbounded preceding and 1 preceding)) - interval {LATE} wm
+       from (select k, max(observed_at) m from (select observed_at, (epoch_us(arrived)-min(epoch_us(arrived)) over ())//({DAYS}*86400000000) k from {src}) group by k)) w on w.k=d.k)"""
+
+
+END = f"(select date_trunc('millisecond', max(observed_at)) - interval {LATE} e from live_cues)"
+
+
+def _arrived(t, copies=("0 minutes",)):
+    """Cues with ``arrived`` (microseconds), once for each delay in ``copies``."""
+    tenth = hash32(F.concat(F.lit("dl:"), F.col("seq"))) % 10
+    late = F.when(tenth == 0, 12 * 1440).when(tenth < 3, 90).otherwise(0)
+    again = F.array(*[F.lit(lv.span_ms(c) * 1000) for c in copies])
+    cues = _timed(t)
+    return cues.select("stream_id", "seq", "text", "observed_at", (F.unix_micros("observed_at") + late.cast("long") * 60_000_000).alias("_at"), F.explode(again).alias("_more")).select(
+        "stream_id", "seq", "text", "observed_at", (F.col("_at") + F.col("_more")).alias("arrived"))
+
+
+def _by_arrival(t, df, name, build):
+    """Run the stream after each delivery of ``DAYS`` days."""
+    lo, hi = df.agg(F.min("arrived"), F.max("arrived")).first()
+    span = DAYS * 86_400_000_000
+    path, folder, runs = scratch_dir(t.spark, name), scratch_dir(t.spark, name), []
+    for k in range((hi - lo) // span + 1):
+        df.where(F.floor((F.col("arrived") - lo) / span) == k).drop("arrived").write.mode("append").parquet(path)
+        runs.append(lv.run_available(build(t.spark.readStream.schema(df.drop("arrived").schema).parquet(path)), folder))
+    return runs
+
+
+def _naive(df):
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("l10_windowed_stream", f"""select at0 "start", count(*) n_cues, count(text) n_shown from (select *, date_trunc('hour', observed_at) at0 from {delivered(ARRIVED)})
+  where wm is null or at0 + interval 1 hour > wm group by all having at0 + interval 1 hour <= (select e from {END})""")
+def _(t):
+    runs = _by_arrival(t, _arrived(t), "windows", lambda s: lv.windowed_volume(s, late=LATE))
+    return _naive(t.spark.read.parquet(runs[-1].out))
+
+
+@query("l10_sliding_stream", f"""select at0 "start", count(*) n_cues, count(text) n_shown from (select *, make_timestamp((epoch_us(observed_at)//1800000000 - j)*1800000000) at0 from {delivered(ARRIVED)} cross join range(2) r(j))
+  where wm is null or at0 + interval 1 hour > wm group by all having at0 + interval 1 hour <= (select e from {END})""")
+def _(t):
+    runs = _by_arrival(t, _arrived(t), "sliding", lambda s: lv.windowed_volume(s, slide="30 minutes", late=LATE))
+    return _naive(t.spark.read.parquet(runs[-1].out))
+
+
+@query("l11_sessions_stream", f"""select * from (select stream_id, min(observed_at) "start", count(*) n_cues from (select *, sum(fresh) over (partition by stream_id order by observed_at, seq rows unbounded preceding) s from (select *,
+  case when observed_at - lag(observed_at) over (partition by stream_id order by observed_at, seq) < interval 30 minute then 0 else 1 end fresh from {delivered(ARRIVED)} where wm is null or observed_at + interval 30 minute > wm)) group by stream_id, s
+  having max(observed_at) + interval 30 minute <= (select e from {END}))""")
+def _(t):
+    runs = _by_arrival(t, _arrived(t), "sessions", lambda s: lv.sessions(s, late=LATE))
+    return _naive(t.spark.read.parquet(runs[-1].out))
+
+
+AGAIN = ("0 minutes", "30 minutes", "8 days")
+ONTIME = f"(select * from {delivered(COPIES)} where wm is null or observed_at > wm)"
+
+
+@query("l12_deduplicated_stream", f"select distinct stream_id, seq from {ONTIME}")
+def _(t):
+    runs = _by_arrival(t, _arrived(t, AGAIN).select("stream_id", "seq", "observed_at", "arrived"), "dedupe", lambda s: lv.deduplicated(s, LATE))
+    return t.spark.read.parquet(runs[-1].out).select("stream_id", "seq")
+
+
+@query("l12_late_rows", f"select (select count(*) from {COPIES}) n_delivered, (select count(*) from {COPIES})-(select count(*) from {ONTIME}) n_dropped_late, (select count(distinct seq) from {ONTIME}) n_kept")
 def _(t):
-    cues = t.live_cues.withColumn("observed_at", F.col("observed_at").cast("timestamp")).select("stream_id", "seq", "observed_at")
-    folder = scratch_dir(t.spark, "dedupe")
-    q = (lv.deduplicated(_stream(t, cues.unionByName(cues), "seq"), "365 days").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
-         .format("parquet").option("path", f"{folder}/out").start())
-    q.awaitTermination()
-    return t.spark.read.schema("stream_id bigint, seq bigint").parquet(f"{folder}/out")
+    rows = _arrived(t, AGAIN).select("stream_id", "seq", "observed_at", "arrived")
+    runs = _by_arrival(t, rows, "dedupe", lambda s: lv.deduplicated(s, LATE))
+    kept = t.spark.read.parquet(runs[-1].out).agg(F.count("*").alias("n_kept"))
+    return rows.agg(F.count("*").alias("n_delivered")).select("n_delivered", F.lit(sum(r.n_dropped_late for r in runs)).cast("long").alias("n_dropped_late")).join(kept)  # one row each
 
 
 @query("l13_incremental_counts", "select * from counts")
