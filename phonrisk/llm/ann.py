@@ -165,6 +165,20 @@ def learned_reach(x: np.ndarray, graph: CentroidGraph, k: int) -> tuple[float, i
     return reach, int((dist <= reach * _unit(dist)[:, None]).sum(1).max())
 
 
+def _within(graph: CentroidGraph, x: np.ndarray, reach: float, beam: int) -> list[list[int]]:
+    """All lists within reach of each row: rows whose last list is still within it are searched again, twice as far."""
+    lists, open_rows, k = [[] for _ in x], np.arange(len(x)), 2 * beam
+    while len(open_rows):
+        ids, dist = graph.search(x[open_rows], k, k)
+        near = dist <= reach * _unit(dist)[:, None]
+        for row, i, m in zip(open_rows, ids, near, strict=True):
+            lists[row] = i[m].tolist()
+        if k >= len(graph.centres):
+            break
+        open_rows, k = open_rows[near[:, -1]], 2 * k
+    return lists
+
+
 def _list_rows(shared, probing: bool):
     def rows(frames):
         graph, reach, beam = shared.value
@@ -173,8 +187,7 @@ def _list_rows(shared, probing: bool):
                 part = frame.iloc[a:a + 512]
                 x = np.stack(part["v"].to_numpy())
                 if probing:
-                    ids, dist = graph.search(x, 2 * beam, 2 * beam)
-                    lists = [i[d <= reach * u].tolist() for i, d, u in zip(ids, dist, _unit(dist), strict=True)]
+                    lists = _within(graph, x, reach, beam)
                 else:
                     lists = [_copies(i, d) for i, d in zip(*graph.search(x, COPIES), strict=True)]
                 yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "lists": lists})

@@ -1,10 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed n-grams of 1 to 3 characters (UTF-8 bytes of the lower-cased text, everything but
-letters read as one blank), ``log(1 + tf) * idf``, scaled to unit length. Document frequencies cover
+Features are hashed n-grams of 1 to 3 characters (of the lower-cased text, everything but letters read
+as one blank), ``log(1 + tf) * idf``, scaled to unit length. Document frequencies cover
 every labelled row that may be learned from. The weights are fitted by follow-the-regularised-leader
 with elastic-net penalties on a bounded sample of those rows (``SAMPLE``), and a temperature,
 fitted on a part of the sample that the weights never saw, turns their scores into probabilities.
+Languages get equal parts of the sample; the logarithms of their drawing rates are taken off the scores,
+so that probabilities are those of the corpus at every size. All languages are learned that the sample
+meets; with more than ``CELLS`` / 2^14 of them, neighbouring buckets share weights to bound the memory.
 
 Training rows: non-null lang, crc32(doc_id as text) mod 4 is not 2. Language, source and doc_id are
 never inputs of a prediction.
@@ -30,10 +33,12 @@ SAMPLE = 3_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 REJECT_BELOW = 0.4
+#: Weights (buckets x languages) at most.
+CELLS = 1 << 24
 UNKNOWN = "und"
 _BLANK = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
-_MULTIPLIERS = np.array([0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
+_MULTIPLIERS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # odd
 PIECE = 1 << 18
 
 
@@ -41,16 +46,16 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the hashed n-grams of a text; empty without letters."""
     if not text or not _LETTER.search(text):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    data = np.frombuffer((" " + _BLANK.sub(" ", text.lower()) + " ").encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer((" " + _BLANK.sub(" ", text.lower()) + " ").encode("utf-32-le", "replace"), np.uint32)
     counts = np.zeros(1 << DIM_BITS, np.int64)
     for start in range(0, len(data), PIECE):  # long texts a piece at a time, n-grams across the cuts included
         piece = data[start:start + PIECE + max(ORDERS) - 1].astype(np.uint64)
         code = np.zeros(len(piece), np.uint64)
         for n in range(1, max(ORDERS) + 1):
-            code = (code[:len(piece) - n + 1] << np.uint64(8)) | piece[n - 1:]
+            code = (code[:len(piece) - n + 1] << np.uint64(21)) | piece[n - 1:]
             if n in ORDERS and len(code):
                 mine = code[:PIECE]
-                counts += np.bincount(((mine + np.uint64(n)) * _MULTIPLIERS[n] & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - DIM_BITS), minlength=1 << DIM_BITS)
+                counts += np.bincount(((mine + np.uint64(n)) * _MULTIPLIERS[n] >> np.uint64(64 - DIM_BITS)).astype(np.int64), minlength=1 << DIM_BITS)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -76,9 +81,15 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + df)) + 1.0
 
 
-def weighed(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weighed(at: np.ndarray, counts: np.ndarray, idf: np.ndarray, dim: int = 1 << DIM_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values) of a text; with fewer slots than buckets, neighbouring buckets add up."""
     values = np.log1p(counts) * idf[at]
-    return values / max(float(np.sqrt(values @ values)), 1e-12)
+    values /= max(float(np.sqrt(values @ values)), 1e-12)
+    if dim == 1 << DIM_BITS:
+        return at, values
+    slots = at.astype(np.int64) * dim >> DIM_BITS
+    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    return slots[first], np.add.reduceat(values, first)
 
 
 class Ftrl:
@@ -127,35 +138,48 @@ def _bucket(modulus: int):
 def _feature_rows(frames):
     for frame in frames:
         found = [features(t) for t in frame["text"]]
-        yield pd.DataFrame({"lang": frame["lang"], "check": frame["check"], "at": [a.astype(np.int16) for a, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+        yield pd.DataFrame({"lang": frame["lang"], "check": frame["check"], "rate": frame["rate"], "at": [a.astype(np.int16) for a, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS):
-    """(languages, weights, idf, temperature) learned from the training rows of ``docs``."""
+    """(languages, weights, idf, temperature, offsets) learned from the training rows of ``docs``."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (_bucket(4) != 2))
     idf = document_frequencies(rows)
-    # Languages get equal parts of the sample, drawn by a hash of the doc_id.
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not counts:
-        return [], np.zeros((1 << DIM_BITS, 0)), idf, 1.0
-    langs, share = sorted(counts), sample / len(counts)
-    draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, share / n))) for k, n in counts.items()])
-    drawn = rows.filter(draw < chance).withColumn("check", F.crc32(F.concat_ws("|", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0)
-    got = drawn.select("lang", "check", "text").mapInPandas(_feature_rows, "lang string, check boolean, at array<smallint>, counts array<int>").toPandas()  # about SAMPLE rows
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    kinds = sizes.count()
+    if not kinds:
+        return [], np.zeros((1 << DIM_BITS, 0)), idf, 1.0, np.zeros(0)
+    # Languages get equal parts of the sample, drawn by a hash of the doc_id; the sample bounds what is collected.
+    rate = F.least(F.lit(1.0), F.lit(sample / kinds) / F.col("n"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.join(sizes.withColumn("rate", rate).drop("n"), "lang").filter(draw < F.col("rate"))
+    drawn = drawn.withColumn("check", F.crc32(F.concat_ws("|", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0)
+    got = drawn.select("lang", "check", "rate", "text").mapInPandas(_feature_rows, "lang string, check boolean, rate double, at array<smallint>, counts array<int>").toPandas()  # about SAMPLE rows
+    rates = got.groupby("lang").rate.first().sort_index()
+    langs, offsets = list(rates.index), -np.log(rates.to_numpy())
+    if not langs:
+        return [], np.zeros((1 << DIM_BITS, 0)), idf, 1.0, np.zeros(0)
+    dim = 1 << DIM_BITS
+    while dim * len(langs) > CELLS and dim > 1:
+        dim //= 2
     place = {k: i for i, k in enumerate(langs)}
-    model, held = Ftrl(1 << DIM_BITS, len(langs)), []
+    model = Ftrl(dim, len(langs))
     examples = [(np.asarray(r.at), np.asarray(r.counts), place[r.lang], r.check) for r in got.itertuples() if len(r.at)]
     del got
     examples.sort(key=lambda e: hashlib.md5(e[0].tobytes() + e[1].tobytes()).digest())  # a fixed, mixed order
     for _ in range(epochs):
-        for at, counts_, label, check in examples:
+        for at, counts, label, check in examples:
             if not check:
-                model.learn(at, weighed(at, counts_, idf), label)
+                model.learn(*weighed(at, counts, idf, dim), label)
     w = model.weights()
-    held = [(weighed(a, c, idf) @ w[a], y) for a, c, y, check in examples if check]
+    held = [(scores(w, idf, a, c), y) for a, c, y, check in examples if check]
     t = temperature(np.array([s for s, _ in held]), np.array([y for _, y in held], int)) if held else 1.0
-    return langs, w, idf, t
+    return langs, w, idf, t, offsets - offsets.min()
+
+
+def scores(w: np.ndarray, idf: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    slots, values = weighed(at, counts, idf, len(w))
+    return values @ w[slots]
 
 
 def predictor(docs: DataFrame, **options):
@@ -164,14 +188,14 @@ def predictor(docs: DataFrame, **options):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, w, idf, t = shared.value
+        langs, w, idf, t, offsets = shared.value
         out = []
         for text in texts:
             at, counts = features(text)
             if not len(at) or not langs:
                 out.append((UNKNOWN, 1.0))
                 continue
-            p = softmax(weighed(at, counts, idf) @ w[at] / t)
+            p = softmax(scores(w, idf, at, counts) / t + offsets)
             best = int(p.argmax())
             out.append((langs[best], float(p[best])))
         return pd.DataFrame(out, columns=["lang_pred", "score"])

@@ -10,7 +10,9 @@ clean texts stay.
 Words are ``[^\\x20\\x09-\\x0D]+``. ``n_repeat_words`` counts the words that stand in some 3-word window
 which the text has at least twice, all its occurrences included.
 
-Learned from at most ``SAMPLE`` labelled rows, drawn by a hash of the doc_id.
+A rule that proves imprecise is set aside with its rows and the next is grown, until too few bad rows are
+left; a rule has at most ``MAX_CONDITIONS`` conditions. Learned from about ``SAMPLE`` labelled rows, drawn
+by a hash of the doc_id.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated labels of a document
 count as bad if any does; without labels, or of one kind only, there are no rules and the base rules
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 from phonrisk.llm.store import stored
 
 SAMPLE = 20_000
-MAX_RULES = 8
 MAX_CONDITIONS = 4
 MIN_PRECISION = 0.9
 MIN_COVER = 8
@@ -138,18 +139,23 @@ def _worth(x, bad, columns, conditions) -> float:
 
 
 def learn_rules(x: np.ndarray, bad: np.ndarray, columns: list[str], test: np.ndarray, min_precision: float = MIN_PRECISION) -> list[list[Condition]]:
-    """Ordered rules for bad rows. ``test`` marks the rows that prune and judge."""
+    """Ordered rules for bad rows. ``test`` marks the rows that prune and judge. Rows of a rule that fails are set aside, and
+    rules go on until fewer than ``MIN_COVER`` bad rows are left to grow from."""
     rules, left = [], np.ones(len(x), bool)
-    while len(rules) < MAX_RULES and (bad & left & ~test).sum() >= MIN_COVER:
-        rule = _grow(x[left & ~test], bad[left & ~test], columns)
-        while len(rule) > 1 and _worth(x[left & test], bad[left & test], columns, rule[:-1]) >= _worth(x[left & test], bad[left & test], columns, rule):
+    fresh = left.copy()  # not covered by a rule that was tried
+    while (bad & fresh & ~test).sum() >= MIN_COVER:
+        grow, prune = fresh & ~test, left & test
+        rule = _grow(x[grow], bad[grow], columns)
+        while len(rule) > 1 and _worth(x[prune], bad[prune], columns, rule[:-1]) >= _worth(x[prune], bad[prune], columns, rule):
             rule = rule[:-1]
         covered = left & _holds(x, columns, rule)
         seen = covered & test
-        if not rule or not seen.sum() or (bad & seen).sum() < min_precision * seen.sum() or (bad & covered).sum() < max(MIN_COVER, min_precision * covered.sum()):
+        if not rule or not (covered & fresh).any():
             break
-        rules.append(rule)
-        left &= ~covered
+        fresh &= ~covered
+        if seen.sum() and (bad & seen).sum() >= min_precision * seen.sum() and (bad & covered).sum() >= max(MIN_COVER, min_precision * covered.sum()):
+            rules.append(rule)
+            left &= ~covered
     return rules
 
 

@@ -12,7 +12,7 @@ lang, source and doc_id are never inputs.
 
 Defined cases: null, empty and wordless texts score what the bias alone gives; repeated labels of a
 document count as toxic if any does; a null doc_id has no label and is not held out; without labelled
-rows all scores are 0; long texts are read whole; repeated rows score alike; an empty table gives an
+rows all scores are below 1e-12; long texts are read whole; repeated rows score alike; an empty table gives an
 empty result.
 """
 

@@ -3,12 +3,15 @@
 A URL becomes a set of tokens: its host, each parent domain, the words of host and path (digits apart)
 and the names of query keys. From the labelled URLs, FP-growth mines the token sets that are frequent
 among blocked ones; a set whose share of blocked URLs (confidence) and number of them (support) are
-high enough is a block rule. Rules that a shorter one implies are pruned, and the rest is matched through
-an inverted index: a rule is filed under its first token, a URL looks up its own tokens, and a rule
+high enough is a block rule. Single tokens are counted first: one that makes a rule by itself is not mined
+further, since it implies every set that it is in, and tokens that stand in the same labelled URLs are
+mined as one and written out again, so that the tokens of a shared URL shape do not multiply.
+Rules have at most ``MAX_TOKENS`` tokens. Rules that a shorter one implies are pruned, and the rest is
+matched through an inverted index: a rule is filed under its first token, a URL looks up its own tokens, and a rule
 fires where all of its tokens are there. The rest is allowed.
 
 Support is an absolute count (``MIN_COUNT`` blocked URLs), whatever the number of labelled URLs. Up to ``BROADCAST_RULES``
-rules are broadcast; more are matched by a plain join on the first token. None is dropped.
+rules are broadcast; more are matched by a plain join on the first token. No rule is dropped.
 
 Given rules fit a host and its subdomains, if the path starts with the rule's; the longest wins:
 longest host, then longest path.
@@ -80,18 +83,43 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_count:
     schema = "first string, rest array<string>, confidence double, support long"
     if not n:
         return labelled.sparkSession.createDataFrame([], schema)
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens"))
-    # Only tokens that are frequent among blocked URLs can make a rule.
-    common = baskets.filter("blocked").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= min_count)
-    seen = baskets.select("row", F.explode(items).alias("t"))
-    seen = seen.join(common.select("t").union(labelled.sparkSession.createDataFrame([(BLOCKED,)], "t string")), "t").groupBy("row").agg(F.sort_array(F.collect_list("t")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n, minConfidence=min_confidence).fit(seen)
+    # Only tokens that are frequent among blocked URLs can make a rule. The sum of the rows' hashes tells which stand in the same rows.
+    hashed = F.sum(F.xxhash64("row").cast("decimal(20, 0)")).cast("string")
+    tokens = baskets.select("row", "blocked", F.explode("tokens").alias("t")).groupBy("t").agg(
+        F.count("*").alias("all"), F.count_if("blocked").alias("freq"), hashed.alias("rows")).filter(F.col("freq") >= min_count)
+    tokens = stored(tokens.withColumn("confidence", F.col("freq") / F.col("all")), "tokens")
+    single = tokens.filter(F.col("confidence") >= min_confidence).select(F.array("t").alias("items"), "confidence", "freq")
+    rest = tokens.filter(F.col("confidence") < min_confidence)
+    classes = stored(rest.groupBy("all", "rows").agg(F.min("t").alias("kind"), F.collect_list("t").alias("ts")).select("kind", F.explode("ts").alias("t")), "classes")
+    kinds = F.when(F.col("blocked"), F.array("t", F.lit(BLOCKED))).otherwise(F.array("t"))
+    seen = baskets.select("row", "blocked", F.explode("tokens").alias("t")).join(classes.filter("t = kind"), "t")
+    seen = seen.select("row", F.explode(kinds).alias("t")).groupBy("row").agg(F.sort_array(F.collect_set("t")).alias("items"))
+    seen = stored(seen, "kinds")
+    m = seen.count()
+    if m < min_count:
+        return _filed(single)
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / m, minConfidence=min_confidence).fit(seen)
     sets = stored(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq").filter(F.size("items") <= MAX_TOKENS + 1), "itemsets")
     whole = sets.filter(~F.array_contains("items", BLOCKED)).withColumnRenamed("freq", "all")
-    bad = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), "freq")
-    rules = bad.join(whole, "items").withColumn("confidence", F.col("freq") / F.col("all")).filter(
-        (F.col("confidence") >= min_confidence) & (F.col("freq") >= min_count))
-    return shortest(stored(rules, "candidates")).select(F.col("items")[0].alias("first"), F.expr("slice(items, 2, size(items))").alias("rest"), "confidence", F.col("freq").alias("support"))
+    bad = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 2)).select(F.array_remove("items", BLOCKED).alias("items"), "freq")
+    mined = bad.join(whole, "items").withColumn("confidence", F.col("freq") / F.col("all")).filter(
+        (F.col("confidence") >= min_confidence) & (F.col("freq") >= min_count)).select("items", "confidence", "freq")
+    return _filed(single.union(_written_out(shortest(stored(mined, "candidates")), classes)))
+
+
+def _filed(rules: DataFrame) -> DataFrame:
+    """Rules under their first token."""
+    return rules.select(F.get("items", F.lit(0)).alias("first"), F.expr("slice(items, 2, size(items))").alias("rest"), "confidence", F.col("freq").alias("support"))
+
+
+def _written_out(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every rule with each of the tokens that its tokens stand for."""
+    out = rules.select(F.array().cast("array<string>").alias("done"), "items", "confidence", "freq")
+    for k in range(MAX_TOKENS):
+        short, long = out.filter(F.size("items") <= k), out.filter(F.size("items") > k)
+        long = long.join(classes, F.get("items", F.lit(k)) == F.col("kind")).select(F.concat("done", F.array("t")).alias("done"), "items", "confidence", "freq")
+        out = short.union(long)
+    return out.select(F.sort_array("done").alias("items"), "confidence", "freq")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame, broadcast_rules: int = BROADCAST_RULES, **options) -> DataFrame:
