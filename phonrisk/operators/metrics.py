@@ -150,16 +150,46 @@ def contrast_summary(rows: DataFrame, keys: list[str], point: str = "point", exc
 # ---- bootstrap over listeners
 
 
+#: Resamples that travel together, as one array of weights a listener.
+WIDTH = 25
+
+
 def draws(listeners: DataFrame, n_resamples: int, seed: int = 0, listener: str = "listener_id", *, bounded: bool | None = None) -> DataFrame:
-    """How often each listener is drawn in each resample: (b, listener, w)."""
+    """How often each listener is drawn, in blocks of resamples: (blk, listener, w), where ``w[k]`` is of resample ``WIDTH * blk + k``.
+
+    Numbers run through one resample after the other, so counts of a block are summed before the shuffle.
+    A listener that a block never draws has no row in it; ``w`` is null beyond the last resample.
+    """
+    from phonrisk.functions.text import hash60
+
     who = rank_rows(listeners.select(listener).distinct(), [], [listener], rn="_i", bounded=bounded)
     size = who.count()
     grid = (listeners.sparkSession.range(n_resamples * size)
-            .select((F.col("id") / size).cast("long").alias("b"), (F.col("id") % size).alias("_d")))
+            .select(F.expr(f"id div {size}").alias("b"), (F.col("id") % size).alias("_d")))
     key = F.concat_ws(":", F.lit(f"boot{seed}"), F.col("b"), F.col("_d"))
-    from phonrisk.functions.text import hash60
     picked = grid.select("b", (F.pmod(hash60(key), F.lit(size)) + 1).alias("_i"))
-    return picked.groupBy("b", "_i").agg(F.count("*").alias("w")).join(who, "_i").drop("_i")
+    blk, at = F.expr(f"b div {WIDTH}"), F.col("b") % WIDTH
+    weights = F.array(*[F.when(F.col("blk") * WIDTH + k < n_resamples, F.col(f"_w{k}")) for k in range(WIDTH)])
+    counted = picked.groupBy(blk.alias("blk"), "_i").agg(*[F.count_if(at == k).alias(f"_w{k}") for k in range(WIDTH)])
+    return counted.select("blk", "_i", weights.alias("w")).join(who, "_i").drop("_i")
+
+
+def resampled_sums(per: DataFrame, drawn: DataFrame, keys: list[str], values: list[str], listener: str = "listener_id") -> DataFrame:
+    """Weighted sums of ``values`` (columns of a table by listener) per key and block: an array column each.
+
+    The table meets each block once, not each resample, and is summed by key before its shuffle.
+    """
+    both = drawn.join(per, listener)
+    sums = [F.sum(F.col("w")[k] * F.col(v)).alias(f"{v}{k}") for v in values for k in range(WIDTH)]
+    out = both.groupBy(*keys, "blk").agg(F.min(F.size(F.filter("w", lambda x: x.isNotNull()))).alias("_k"), *sums)
+    return out.select(*keys, "blk", "_k", *[F.array(*[F.col(f"{v}{k}") for k in range(WIDTH)]).alias(v) for v in values])
+
+
+def per_resample(blocks: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row a resample: (keys, b, values)."""
+    each = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda k: F.struct(
+        (F.col("blk") * WIDTH + k).alias("b"), *[F.get(F.col(v), k).alias(v) for v in values]))
+    return blocks.select(*keys, F.inline(each))
 
 
 def intervals(values: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -174,11 +204,20 @@ def excludes_zero(df: DataFrame) -> DataFrame:
     return df.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
+def bootstrap_statistic(df: DataFrame, sums: dict[str, Column], statistic: Column, drawn: DataFrame, keys: list[str], listener: str = "listener_id") -> DataFrame:
+    """Any statistic of sums over rows, resampled: one row ``value`` per (keys, b).
+
+    ``sums`` names what is summed over a resample's rows, ``statistic`` is an expression of those names.
+    """
+    per = df.groupBy(*keys, listener).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    blocks = resampled_sums(per, drawn, keys, list(sums), listener)
+    return per_resample(blocks, keys, list(sums)).select(*keys, "b", statistic.alias("value"))
+
+
 def bootstrap_ratio(df: DataFrame, num: Column, den: Column, drawn: DataFrame, keys: list[str], listener: str = "listener_id") -> DataFrame:
-    """Resampled ratio of sums (recall, rate, Brier ...) from per-listener totals: one row per (keys, b)."""
-    per = df.groupBy(*keys, listener).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"))
-    return drawn.join(per, listener).groupBy(*keys, "b").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("_num")).cast("double"), F.sum(F.col("w") * F.col("_den"))).alias("value"))
+    """Resampled ratio of sums (recall, rate, Brier ...): one row per (keys, b)."""
+    ratio = F.try_divide(F.col("_num").cast("double"), F.col("_den"))
+    return bootstrap_statistic(df, {"_num": num, "_den": den}, ratio, drawn, keys, listener)
 
 
 def bootstrap_rank(df: DataFrame, drawn: DataFrame, keys: list[str], *, y: str = "misheard", p: str = "score",
@@ -188,10 +227,31 @@ def bootstrap_rank(df: DataFrame, drawn: DataFrame, keys: list[str], *, y: str =
 
 
 def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listener: str = "listener_id", bounded: bool | None = None) -> DataFrame:
-    """``bootstrap_rank`` from counts per (keys, listener, score)."""
-    weighted = drawn.join(per, listener).groupBy(*keys, "b", "p").agg(
-        F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
-    return rank_metrics(weighted, [*keys, "b"], bounded=bounded)
+    """``bootstrap_rank`` from counts per (keys, listener, score).
+
+    A block's weighted counts are columns of one row a distinct score, so its resamples share one shuffle,
+    one order and one pass of running sums.
+    """
+    by, each = [*keys, "blk"], range(WIDTH)
+    both = drawn.join(per, listener)
+    sums = [F.sum(F.col("w")[k] * F.col(v)).alias(f"{v}{k}") for v in ("n", "pos") for k in each]
+    counts = durable(both.groupBy(*by, "p").agg(F.min(F.size(F.filter("w", lambda x: x.isNotNull()))).alias("_k"), *sums))  # read twice
+    run = running(counts, by, ["p"], {f"_c{v}{k}": f"{v}{k}" for v in ("n", "pos") for k in each}, bounded=bounded)
+    total = counts.groupBy(*by).agg(*[F.sum(f"{v}{k}").alias(f"_t{v}{k}") for v in ("n", "pos") for k in each])
+    joined = run.join(total, by)
+
+    def metrics(k: int) -> tuple[Column, Column]:
+        n, pos, cn, cp, tn, tp = (F.col(c + str(k)) for c in ("n", "pos", "_cn", "_cpos", "_tn", "_tpos"))
+        neg = n - pos
+        wins = F.sum(pos * (cn - cp - neg + neg / 2.0))
+        step = F.try_divide(pos.cast("double"), tp) * F.try_divide(tp - cp + pos, tn - cn + n)
+        two = (F.max(tp) > 0) & (F.max(tn) > F.max(tp))
+        return (F.when(two, F.try_divide(wins, F.max(tp) * (F.max(tn) - F.max(tp)))).alias(f"_roc{k}"),
+                F.when(two, F.sum(step.cast("decimal(38,20)")).cast("double")).alias(f"_ap{k}"))  # decimals: the same in every order
+
+    out = joined.groupBy(*by).agg(F.min("_k").alias("_k"), *[m for k in each for m in metrics(k)])
+    arrays = [F.array(*[F.col(f"{c}{k}") for k in each]).alias(name) for c, name in (("_roc", "roc_auc"), ("_ap", "pr_auc"))]
+    return per_resample(out.select(*by, "_k", *arrays), keys, ["roc_auc", "pr_auc"])
 
 
 def paired_difference(values: DataFrame, arm: str, a: str, b: str, value: str) -> DataFrame:

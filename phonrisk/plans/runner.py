@@ -234,7 +234,8 @@ class Runner:
             error = F.sum(F.col("pos") * F.pow(F.col("p") - 1, 2) + (F.col("n") - F.col("pos")) * F.pow("p", 2))
             of = lambda rows, by: rows.groupBy(*by).agg((error / F.sum("n")).alias(metric))
             per_listener = per.groupBy(*RUN, "listener_id").agg(error.alias("_e"), F.sum("n").alias("_n"))
-            resampled = drawn.join(per_listener, "listener_id").groupBy(*RUN, "b").agg((F.sum(F.col("w") * F.col("_e")) / F.sum(F.col("w") * F.col("_n"))).alias(metric))
+            sums = mt.per_resample(mt.resampled_sums(per_listener, drawn, RUN, ["_e", "_n"]), RUN, ["_e", "_n"])
+            resampled = sums.select(*RUN, "b", (F.col("_e") / F.col("_n")).alias(metric))
             points = of(per, RUN)
         else:
             points = mt.rank_metrics(per.groupBy(*RUN, "p").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), RUN)

@@ -139,7 +139,8 @@ def _(t):
   (select b.range b, 1 + cast(concat('0x',substr(md5(concat('boot0:',b.range::varchar,':',d.range::varchar)),1,15)) as bigint) % (select count(distinct listener_id) from word_trials) i from range(1000) b cross join range((select count(distinct listener_id) from word_trials)) d) x
   join (select listener_id, row_number() over (order by listener_id) i from (select distinct listener_id from word_trials)) w on w.i=x.i group by all) d join (select listener_id, sum(misheard*score) num, sum(misheard) den from word_trials group by all) p on p.listener_id=d.listener_id group by b)""")
 def _(t):
-    v = mt.bootstrap_ratio(t.word_trials, F.col("misheard") * F.col("score"), F.col("misheard"), mt.draws(t.word_trials, 1_000), [])
+    sums = {"hit": F.col("misheard") * F.col("score"), "all": F.col("misheard")}
+    v = mt.bootstrap_statistic(t.word_trials, sums, F.try_divide("hit", "all"), mt.draws(t.word_trials, 1_000), [])
     return rnd(mt.intervals(v, [], "value"))
 
 
