@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phonrisk.operators import metrics as mt
 from phonrisk.operators import policy as po
-from phonrisk.operators.ordered import quantile, rank_rows
+from phonrisk.operators.ordered import is_bounded, quantile, rank_rows
 from phonrisk.session import durable
 
 
@@ -138,14 +138,37 @@ def slice_rank_metrics(df: DataFrame, axes: list[str]) -> DataFrame:
     return mt.rank_metrics(c, keys).join(mt.calibration(c, keys), keys)
 
 
-def slice_recall(df: DataFrame, axes: list[str], budgets: tuple[float, ...], *, word: str = "word") -> DataFrame:
-    """Recall of the model and of word length per slice and budget, with the listener spread."""
-    keys = ["slice_axis", "slice_value"]
-    rows = sliced(df.withColumn("_len", F.char_length(word).cast("double")), axes)
-    model = po.frontier(rows, keys, budgets=budgets)
-    length = po.frontier(rows, keys, budgets=budgets, score="_len").select(*keys, "budget", F.col("misheard_recall").alias("word_length_recall"))
-    return (model.select(*keys, "budget", F.col("misheard_recall").alias("recall"), "recall_median", F.col("recall_min").alias("recall_worst"),
-                         "recall_q25", "frac_near_zero").join(length, [*keys, "budget"]).withColumn("gain", F.col("recall") - F.col("word_length_recall")))
+def slice_recall(df: DataFrame, axes: list[str], budgets: tuple[float, ...], *, word: str = "word", listener_axes: Sequence[str] = (),
+                 listener: str = "listener_id", row: str = "row_id", y: str = "misheard", score: str = "score") -> DataFrame:
+    """Recall of the model and of word length per slice and budget, with the listener spread.
+
+    ``listener_axes`` are those of ``axes`` that are the same in all rows of a listener. Such slices, and
+    the overall one, hold whole listeners, so they are sums of totals from one ranking within listeners;
+    every other axis is ranked once within (slice, listener). No row is copied.
+    """
+    own, keys = [a for a in axes if a in set(listener_axes)], ["slice_axis", "slice_value"]
+    scores = {"recall": score, "word_length_recall": "_len"}
+    rows = durable(df.withColumn("_len", F.char_length(word).cast("double")).select(row, listener, y, *dict.fromkeys(scores.values()), *axes))
+    bounded = is_bounded(rows, [listener])  # and so is every part of a listener
+    names = {f"b{i}": b for i, b in enumerate(budgets)}
+    flags = {k: po.within(b) for k, b in names.items()}
+
+    def totals(by: list[str], which: str) -> DataFrame:
+        ranked = po.ranked_for_budget(rows, [*by, listener], score=scores[which], bounded=bounded)
+        return po.listener_totals(ranked, flags, [*by, listener]).withColumn("_which", F.lit(which))
+
+    parts = []
+    for which in scores:
+        whole = totals(own, which)  # a listener's attributes go along with its totals
+        parts.append(sliced(whole, own).drop(*own))
+        parts += [totals([a], which).select(F.lit(a).alias("slice_axis"), F.col(a).cast("string").alias("slice_value"), "*").drop(a) for a in axes if a not in own]
+    both = po.points(reduce(DataFrame.unionByName, parts), names, ["_which", *keys])
+    kept = ["misheard_recall", "recall_median", "recall_min", "recall_q25", "frac_near_zero"]
+    wide = both.groupBy(*keys, "budget").agg(*[F.max(F.when(F.col("_which") == w, F.struct(*kept))).alias(f"_{w}") for w in scores])  # a row each
+    of = lambda w, c: F.col(f"_{w}.{c}")
+    return wide.select(*keys, "budget", of("recall", "misheard_recall").alias("recall"), of("recall", "recall_median").alias("recall_median"),
+                       of("recall", "recall_min").alias("recall_worst"), of("recall", "recall_q25").alias("recall_q25"), of("recall", "frac_near_zero").alias("frac_near_zero"),
+                       of("word_length_recall", "misheard_recall").alias("word_length_recall")).withColumn("gain", F.col("recall") - F.col("word_length_recall"))
 
 
 def condition_gain(gains: DataFrame, condition: str = "snr_db") -> DataFrame:

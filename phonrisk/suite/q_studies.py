@@ -199,7 +199,7 @@ SR = f"(select a.*, z.wl word_length_recall, a.recall-z.wl gain from ({lrec('sco
 
 
 def battery(t):
-    return st.slice_recall(grouped(t), AXES, po.BUDGETS)
+    return st.slice_recall(grouped(t), AXES, po.BUDGETS, listener_axes=BANDS)
 
 
 @query("x07_slice_recall", "select slice_axis, slice_value, budget, " + ", ".join(f"round({c},6) {c}" for c in ("recall", "recall_median", "recall_worst", "recall_q25", "frac_near_zero", "word_length_recall", "gain")) + f" from {SR}")
