@@ -7,6 +7,7 @@ never exploded and shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,13 +15,12 @@ from pyspark.sql import functions as F
 
 from phonrisk.functions import hangul as hg
 from phonrisk.operators import confusion as cf
-from phonrisk.operators import dims
+from phonrisk.operators import dims, walk
 
 EPS = 1e-6
 SPEAKERS = ("female", "male", "unknown")
 CODA0 = dims.SLOT_BASE["coda"]
 FIELDS = ("p", "n", "backed_off", "own_p", "own_n", "h", "top1", "same", "nlog")
-SPANS = {"onset": (0, 18), "nucleus": (19, 39), "coda": (40, 67)}
 
 # Block sets of the named arms.
 ARMS: dict[str, tuple[str, ...]] = {
@@ -218,18 +218,6 @@ def slot_name(slot: Column) -> tuple[Column, Column]:
     return pos, F.substr(F.lit(hg.ONSETS + hg.NUCLEI + hg.CODAS), slot + 1, F.lit(1))
 
 
-def _fold(values: Column, zero: float = 0.0) -> Column:
-    return F.aggregate(values, F.lit(zero), lambda a, x: a + x)
-
-
-def _pick(field: str, position: str | None = None) -> Column:
-    return each(lambda e: e[field], _part(position) if position else "slots")
-
-
-def _mean(values: Column, empty: float) -> Column:
-    return F.coalesce(F.try_divide(_fold(values), F.size(values)), F.lit(empty))
-
-
 def _neg_log() -> Column:
     return F.aggregate("slots", F.lit(0.0), lambda a, s: a + F.col("prof_nlog")[s])
 
@@ -239,98 +227,13 @@ def independence_risk() -> Column:
     return 1 - F.exp(-_neg_log())
 
 
-def confusion_columns() -> dict[str, Column]:
-    """Sixteen columns; words without Hangul get neutral values."""
-    p, n = _pick("p"), each(lambda e: e["n"].cast("double"))
-    low = F.coalesce(F.array_min(p), F.lit(1.0))
-    out = {"x_r_phon": independence_risk(), "x_neg_log_correct": _neg_log(), "x_min_p_correct": low,
-           "x_mean_p_correct": _mean(p, 1.0), "x_max_error": 1 - low}
-    for pos in hg.POSITIONS:
-        out[f"x_mean_p_{pos}"] = _mean(_pick("p", pos), 1.0)
-    for pos in hg.POSITIONS:
-        out[f"x_min_p_{pos}"] = F.coalesce(F.array_min(_pick("p", pos)), F.lit(1.0))
-    zero = each(lambda e: (e["n"] == 0).cast("double"))
-    back = each(lambda e: e["backed_off"].cast("double"))
-    out |= {"x_mean_row_entropy": _mean(_pick("h"), 0.0), "x_min_evidence": F.coalesce(F.array_min(n), F.lit(0.0)),
-            "x_mean_evidence": _mean(n, 0.0), "x_frac_unobserved": _mean(zero, 1.0), "x_frac_backed_off": _mean(back, 0.0)}
-    return out
-
-
-def _spread(p: Column, n: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
-    return F.sqrt(q * (1 - q) / (n + F.col("alpha") + 1.0))
-
-
-def offdiag_columns() -> dict[str, Column]:
-    mass = lambda e: F.greatest(1 - e["p"], F.lit(EPS))
-    return {
-        "x2_top1_share": _mean(each(lambda e: e["top1"] / mass(e)), 0.0),
-        "x2_within_class_share": _mean(each(lambda e: e["same"] / mass(e)), 0.0),
-        "x2_across_class_share": _mean(each(lambda e: (mass(e) - e["same"]) / mass(e)), 0.0),
-    }
-
-
-def uncertainty_columns() -> dict[str, Column]:
-    sd = each(lambda e: _spread(e["p"], e["n"]))
-    thin = each(lambda e: (e["n"] < 3).cast("double"))
-    return {"x2_post_sd_mean": _mean(sd, 0.0), "x2_post_sd_max": F.coalesce(F.array_max(sd), F.lit(0.0)),
-            "x2_frac_thin_evidence": _mean(thin, 1.0)}
-
-
-def rich_columns() -> dict[str, Column]:
-    """59 columns; needs ``weak MAP<class, double>`` beside the evidence."""
-    share = class_share_columns()
-    out = {f"ix_{c}": F.col("weak")[c] * share[c] for c in dims.CLASS_NAMES}
-    out |= {f"w2_{c}": share[c] for c in dims.CLASS_NAMES}
-    out |= offdiag_columns() | uncertainty_columns()
-    p = F.array_sort(_pick("p"))
-    out["x2_worst_two_mean"] = _mean(F.slice(p, 1, 2), 1.0)
-    out["x2_p_spread"] = F.coalesce(F.array_max(p) - F.array_min(p), F.lit(0.0))
-    for pos in hg.POSITIONS:
-        out[f"x2_min_p_{pos}"] = F.coalesce(F.array_min(_pick("p", pos)), F.lit(1.0))
-    return out
-
-
-def exact_target_columns() -> dict[str, Column]:
-    """68 columns: occurrences of a target times its error probability."""
-    out = {}
-    for pos, alphabet in hg.ALPHABET.items():
-        for i in range(len(alphabet)):
-            slot = dims.SLOT_BASE[pos] + i
-            out[f"et_{pos}{i:02d}"] = _times(F.col("slots"), [slot]) * (1 - F.col("prof_own_p")[slot])
-    return out
-
-
-def _part(position: str) -> Column:
-    lo, hi = SPANS[position]
-    return F.filter("slots", lambda s: s.between(lo, hi))
-
-
-def _own_mass(e: Column) -> Column:
-    return F.greatest(1 - e["own_p"], F.lit(EPS))
-
-
-def exact_offdiag_columns() -> dict[str, Column]:
-    """Six columns per position: where the expected errors go."""
-    out = {}
-    for pos in SPANS:
-        part = _part(pos)
-        mass = each(_own_mass, part)
-        out[f"eo_{pos}_expected_errors"] = _fold(mass)
-        out[f"eo_{pos}_within_class"] = _mean(each(lambda e: e["same"], part), 0.0)
-        out[f"eo_{pos}_across_class"] = _mean(each(lambda e: _own_mass(e) - e["same"], part), 0.0)
-        out[f"eo_{pos}_top1_share"] = _mean(each(lambda e: e["top1"] / _own_mass(e), part), 0.0)
-        out[f"eo_{pos}_evidence"] = _mean(each(lambda e: e["own_n"].cast("double"), part), 0.0)
-        out[f"eo_{pos}_uncertainty"] = _mean(each(lambda e: _spread(e["own_p"], e["own_n"]), part), 0.0)
-    return out
-
-
-CONFUSION_BLOCKS = {"confusion": confusion_columns, "confusion_rich": rich_columns,
-                    "exact_target": exact_target_columns, "exact_target_offdiag": exact_offdiag_columns}
-
-
 def arm_columns(arm: str) -> list[str]:
     """Ordered feature names of an arm."""
+    return block_columns(ARMS[arm])
+
+
+def block_columns(blocks: Iterable[str]) -> list[str]:
+    """Ordered feature names of some blocks."""
     word = ["w_n_syllables", "w_n_phonemes", "w_n_codas", "w_coda_ratio", "w_n_distinct_onsets", "w_has_cluster_coda",
             *[f"w_struct_{s}" for s in hg.STRUCTURES]]
     flags = lambda names: [x for n in names for x in (n, f"{n}_missing")]
@@ -348,7 +251,7 @@ def arm_columns(arm: str) -> list[str]:
         "exact_target_offdiag": [f"eo_{p}_{k}" for p in hg.POSITIONS for k in (
             "expected_errors", "within_class", "across_class", "top1_share", "evidence", "uncertainty")],
     }
-    return [c for block in ARMS[arm] for c in names[block]]
+    return [c for block in blocks for c in names[block]]
 
 
 def feature_matrix(trials: DataFrame, arm: str, *, hearing: DataFrame | None = None, est: DataFrame | None = None,
@@ -359,7 +262,7 @@ def feature_matrix(trials: DataFrame, arm: str, *, hearing: DataFrame | None = N
     the profile an arm needs is left out here; ``missing_inputs`` lists those rows.
     """
     blocks = ARMS[arm]
-    used = [b for b in blocks if b in CONFUSION_BLOCKS]
+    used = [b for b in blocks if b in walk.BLOCKS]
     if used and est is None:
         raise ValueError(f"arm {arm} needs confusion estimates")
     if {"pta", "clinical"} & set(blocks) and hearing is None:
@@ -372,8 +275,7 @@ def feature_matrix(trials: DataFrame, arm: str, *, hearing: DataFrame | None = N
                 F.map_from_entries(F.collect_list(F.struct("class", "weakness"))).alias("weak"))  # 24 classes
             vec = vec.join(weak, key)
         ev = with_evidence(trials.select(key, "word").distinct(), vec, [key])
-        cols = reduce(lambda a, b: a | b, [CONFUSION_BLOCKS[b]() for b in used])
-        df = df.join(ev.select(key, "word", *[c.alias(n) for n, c in cols.items()]), [key, "word"])
+        df = df.join(walk.evidence_blocks(ev, [key, "word"], used, block_columns(used)), [key, "word"])
     if hearing is not None and {"pta", "clinical"} & set(blocks):
         h = clinical_columns() if "clinical" in blocks else pta_columns()
         df = df.join(hearing.select(key, *[c.alias(n) for n, c in h.items()]), key)
@@ -388,7 +290,7 @@ def missing_inputs(trials: DataFrame, arm: str, *, hearing: DataFrame | None, es
     parts = []
     if set(ARMS[arm]) & {"pta", "clinical"}:
         parts.append(who.join(hearing.select(key), key, "left_anti").select(key, F.lit("no hearing profile").alias("reason")))
-    if set(ARMS[arm]) & set(CONFUSION_BLOCKS):
+    if set(ARMS[arm]) & set(walk.BLOCKS):
         parts.append(who.join(est.select(key).distinct(), key, "left_anti").select(key, F.lit("no confusion profile").alias("reason")))
     return reduce(DataFrame.unionByName, parts) if parts else who.limit(0).withColumn("reason", F.lit(""))
 

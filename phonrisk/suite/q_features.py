@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from phonrisk.operators import confusion as cf
 from phonrisk.operators import dims
 from phonrisk.operators import features as ft
+from phonrisk.operators import walk
+from phonrisk.session import durable
 from phonrisk.suite import q_confusion as qc
 from phonrisk.suite import q_hearing as qh
 from phonrisk.suite.registry import query, r6
@@ -29,8 +31,9 @@ def evidence(t):
     return ft.with_evidence(pairs(t), ft.profile_vectors(qc.estimated(t), K), K)
 
 
-def block(t, cols):
-    return rnd(evidence(t).select(*PAIR, *[c.alias(n) for n, c in cols.items()]))
+def block(t, name, wanted=lambda c: True, ev=None):
+    """The block's columns that are ``wanted``, of every pair."""
+    return rnd(walk.evidence_blocks(evidence(t) if ev is None else ev, PAIR, [name], [c for c in ft.block_columns([name]) if wanted(c)]))
 
 
 @query("flagship_risky_words", """select listener_id, word, round(risk,6) risk, position, target, round(p_correct,6) p_correct, n_observations from (
@@ -62,6 +65,15 @@ def _(t):
     return t.word_trials.select("row_id", *[c.alias(n) for n, c in ft.context_columns().items()])
 
 
+PARTS: dict[str, str] = {}
+
+
+def _part(name, sql):
+    """A block's query, whose SQL the arms' matrices are made of."""
+    PARTS[name] = sql
+    return query(name, sql)
+
+
 def _h(values):
     return ", ".join(f"round({e},6) {n}, ({e} is null)::int::double {n}_missing" for n, e in values.items())
 
@@ -99,7 +111,7 @@ def _(t):
 
 @query("f08_confusion_block", "select listener_id, word, " + ", ".join(f"round({c},6) {c}" for c in XNAMES) + " from xblock")
 def _(t):
-    return block(t, ft.confusion_columns())
+    return block(t, "confusion")
 
 
 @query("f09_class_weakness", "select listener_id, cls as class, round(w,6) weakness from weak")
@@ -111,59 +123,58 @@ def _pivot(prefix, value, src):
     return ", ".join(f"round(coalesce(sum(case when {src}.cls='{c}' then {value} end),0),6) \"{prefix}{c}\"" for c in dims.CLASS_NAMES)
 
 
-@query("f10_class_share", f"select word, {_pivot('w2_', 'sh', 's')} from share s group by all")
+@_part("f10_class_share", f"select word, {_pivot('w2_', 'sh', 's')} from share s group by all")
 def _(t):
     w = t.word_vocab.select("word").distinct().withColumn("slots", ft.word_slots(F.col("word")))
     return rnd(w.select("word", *[c.alias(f"w2_{n}") for n, c in ft.class_share_columns().items()]))
 
 
 def _with_weak(t):
-    weak = ft.class_weakness(qc.estimated(t), K).groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct("class", "weakness"))).alias("weak"))
-    return ft.with_evidence(pairs(t), ft.profile_vectors(qc.estimated(t), K).join(weak, K), K)
+    est = durable(qc.estimated(t))  # read by weakness and profiles
+    weak = ft.class_weakness(est, K).groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct("class", "weakness"))).alias("weak"))
+    return ft.with_evidence(pairs(t), ft.profile_vectors(est, K).join(weak, K), K)
 
 
-@query("f11_interaction_block", f"select p.listener_id, p.word, {_pivot('ix_', 'w*sh', 's')} from pairs p join share s on s.word=p.word join weak k on k.listener_id=p.listener_id and k.cls=s.cls group by all")
+@_part("f11_interaction_block", f"select p.listener_id, p.word, {_pivot('ix_', 'w*sh', 's')} from pairs p join share s on s.word=p.word join weak k on k.listener_id=p.listener_id and k.cls=s.cls group by all")
 def _(t):
-    ev = _with_weak(t)
-    return rnd(ev.select(*PAIR, *[c.alias(n) for n, c in ft.rich_columns().items() if n.startswith("ix_")]))
+    return block(t, "confusion_rich", lambda c: c.startswith("ix_"), _with_weak(t))
 
 
-@query("f12_error_concentration", "select listener_id, word, round(avg(top1/mass),6) x2_top1_share, round(avg(same/mass),6) x2_within_class_share, round(avg((mass-same)/mass),6) x2_across_class_share from evx group by all")
+@_part("f12_error_concentration", "select listener_id, word, round(avg(top1/mass),6) x2_top1_share, round(avg(same/mass),6) x2_within_class_share, round(avg((mass-same)/mass),6) x2_across_class_share from evx group by all")
 def _(t):
-    return block(t, ft.offdiag_columns())
+    return block(t, "confusion_rich", {"x2_top1_share", "x2_within_class_share", "x2_across_class_share"}.__contains__, _with_weak(t))
 
 
 SD = "sqrt(least(greatest(p,1e-6),1-1e-6)*(1-least(greatest(p,1e-6),1-1e-6))/(n+2.0))"
 
 
-@query("f13_posterior_spread", f"select listener_id, word, round(avg({SD}),6) x2_post_sd_mean, round(max({SD}),6) x2_post_sd_max, round(avg(case when n<3 then 1.0 else 0 end),6) x2_frac_thin_evidence from evx group by all")
+@_part("f13_posterior_spread", f"select listener_id, word, round(avg({SD}),6) x2_post_sd_mean, round(max({SD}),6) x2_post_sd_max, round(avg(case when n<3 then 1.0 else 0 end),6) x2_frac_thin_evidence from evx group by all")
 def _(t):
-    return block(t, ft.uncertainty_columns())
+    return block(t, "confusion_rich", {"x2_post_sd_mean", "x2_post_sd_max", "x2_frac_thin_evidence"}.__contains__, _with_weak(t))
 
 
-@query("f14_rich_tail", """select listener_id, word, round(list_avg(list_sort(list(p))[1:2]),6) x2_worst_two_mean, round(max(p)-min(p),6) x2_p_spread,
+@_part("f14_rich_tail", """select listener_id, word, round(list_avg(list_sort(list(p))[1:2]),6) x2_worst_two_mean, round(max(p)-min(p),6) x2_p_spread,
   round(min(case when position='onset' then p end),6) x2_min_p_onset, round(min(case when position='nucleus' then p end),6) x2_min_p_nucleus, round(min(case when position='coda' then p end),6) x2_min_p_coda from evx group by all""")
 def _(t):
-    names = ("x2_worst_two_mean", "x2_p_spread", "x2_min_p_onset", "x2_min_p_nucleus", "x2_min_p_coda")
-    ev = _with_weak(t)
-    return rnd(ev.select(*PAIR, *[c.alias(n) for n, c in ft.rich_columns().items() if n in names]))
+    names = {"x2_worst_two_mean", "x2_p_spread", "x2_min_p_onset", "x2_min_p_nucleus", "x2_min_p_coda"}
+    return block(t, "confusion_rich", names.__contains__, _with_weak(t))
 
 
-@query("f15_exact_target_block", "select listener_id, word, " + ", ".join(
+@_part("f15_exact_target_block", "select listener_id, word, " + ", ".join(
     f"round(coalesce(sum(case when position='{p}' and t_idx={i} then 1-own_p end),0),6) et_{p}{i:02d}" for p, n in (("onset", 19), ("nucleus", 21), ("coda", 28)) for i in range(n)) + " from evid group by all")
 def _(t):
-    return block(t, ft.exact_target_columns())
+    return block(t, "exact_target")
 
 
 OSD = SD.replace("(p,", "(own_p,").replace("(n+", "(own_n+")
 
 
-@query("f16_exact_offdiag_block", "select listener_id, word, " + ", ".join(
+@_part("f16_exact_offdiag_block", "select listener_id, word, " + ", ".join(
     f"""round(sum(own_mass) filter (where position='{p}'),6) eo_{p}_expected_errors, round(avg(same) filter (where position='{p}'),6) eo_{p}_within_class,
     round(avg(own_mass-same) filter (where position='{p}'),6) eo_{p}_across_class, round(avg(top1/own_mass) filter (where position='{p}'),6) eo_{p}_top1_share,
     round(avg(own_n) filter (where position='{p}'),6) eo_{p}_evidence, round(avg({OSD}) filter (where position='{p}'),6) eo_{p}_uncertainty""" for p in ("onset", "nucleus", "coda")) + " from evx group by all")
 def _(t):
-    return block(t, ft.exact_offdiag_columns())
+    return block(t, "exact_target_offdiag")
 
 
 def matrix(t, arm, trials=None, **kw):
@@ -180,6 +191,36 @@ def _(t):
     return rnd(matrix(t, "clinical_plus_confusion"))
 
 
+def _arm_sql(arm):
+    """A whole matrix from the SQL of its blocks."""
+    blocks, cols, joins = ft.ARMS[arm], [f"round(w.{c},6) {c}" for c in WCOLS], ["join wblock w on w.word=t.word"]
+    pair = lambda name, a: f"join ({PARTS[name]}) {a} on {a}.listener_id=t.listener_id and {a}.word=t.word"
+    if "context" in blocks:
+        cols.append(CCOLS)
+    if {"pta", "clinical"} & set(blocks):
+        cols.append("c.* exclude (listener_id)")
+        joins.append(f"join (select listener_id, {_h(CLIN if 'clinical' in blocks else PTA)} from hear) c on c.listener_id=t.listener_id")
+    if "confusion" in blocks:
+        cols += [f"round(x.{c},6) {c}" for c in XNAMES]
+        joins.append("join xblock x on x.listener_id=t.listener_id and x.word=t.word")
+    if "confusion_rich" in blocks:
+        cols.append("s.* exclude (word)")
+        joins.append(f"join (select v.* from ({PARTS['f10_class_share']}) v) s on s.word=t.word")
+        for a, name in (("i", "f11_interaction_block"), ("e", "f12_error_concentration"), ("d", "f13_posterior_spread"), ("r", "f14_rich_tail")):
+            cols.append(f"{a}.* exclude (listener_id, word)")
+            joins.append(pair(name, a))
+    for block, a, name in (("exact_target", "k", "f15_exact_target_block"), ("exact_target_offdiag", "o", "f16_exact_offdiag_block")):
+        if block in blocks:
+            cols.append(f"{a}.* exclude (listener_id, word)")
+            joins.append(pair(name, a))
+    return f"select t.row_id, t.listener_id, t.misheard, {', '.join(cols)} from word_trials t {' '.join(joins)}"
+
+
+for _arm in ft.ARMS:
+    if _arm not in ("clinical_plus_confusion", "live_word_context_clinical_confusion"):  # f17_arm_combined and f18 below
+        query(f"f17_arm_{_arm}", _arm_sql(_arm))(lambda t, arm=_arm: rnd(matrix(t, arm)))
+
+
 @query("f17_missing_inputs", "select distinct listener_id, 'no confusion profile' as reason from word_trials where listener_id not in (select listener_id from cal_listeners) union all select distinct listener_id, 'no hearing profile' from word_trials where listener_id not in (select listener_id from hear)")
 def _(t):
     return ft.missing_inputs(t.word_trials, "clinical_plus_confusion", hearing=qh.summary(t), est=qc.estimated(t))

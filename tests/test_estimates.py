@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phonrisk.operators import confusion as cf
+from phonrisk.operators import dims, walk
 from phonrisk.operators import features as ft
 from phonrisk.operators import hearing as hr
 from phonrisk.operators import quality as ql
@@ -44,7 +45,10 @@ def test_coda_backoff(spark, rows):
     r = {(x.listener_id, x.target): x for x in ft.phoneme_risks(ev, ["listener_id", "word"]).where("position = 'coda'").collect()}
     assert r[(1, "ㄳ")].backed_off and r[(1, "ㄳ")].n_observations == 60
     assert not r[(2, "ㄳ")].backed_off and r[(2, "ㄳ")].n_observations == 0
-    neutral = ev.where("word = 'x1'").select(*[c.alias(n) for n, c in ft.confusion_columns().items()]).first()
+    got = {(r.listener_id, r.word): r for r in walk.evidence_blocks(ev, ["listener_id", "word"], ["confusion"], ft.block_columns(["confusion"])).collect()}
+    risks = {(r.listener_id, r.word): r.risk for r in ev.select("listener_id", "word", ft.independence_risk().alias("risk")).collect()}
+    assert all(abs(got[k].x_r_phon - risks[k]) < 1e-12 for k in risks)
+    neutral = got[1, "x1"]
     assert neutral.x_r_phon == 0 and neutral.x_min_p_correct == 1 and neutral.x_frac_unobserved == 1
 
 
@@ -55,9 +59,16 @@ def test_column_counts(arm, n):
     assert len(ft.arm_columns(arm)) == n == len(set(ft.arm_columns(arm)))
 
 
-def test_block_columns_match_arm_names():
-    assert set(ft.rich_columns()) | set(ft.confusion_columns()) == {c for c in ft.arm_columns("confusion_rich_only") if c.startswith(("x_", "ix_", "w2_", "x2_"))}
-    assert len(ft.exact_target_columns()) == 68 and len(ft.exact_offdiag_columns()) == 18
+def test_blocks_make_the_columns_of_their_arms(spark, rows):
+    vec = ft.profile_vectors(cf.with_probabilities(rows), L).withColumn("weak", F.create_map(*[x for c in dims.CLASS_NAMES for x in (F.lit(c), F.lit(0.25))]))
+    pairs = spark.createDataFrame([(1, "넋"), (1, "x1"), (2, "가나다")], "listener_id int, word string")
+    ev = ft.with_evidence(pairs, vec, L)
+    for block, n in (("confusion", 16), ("confusion_rich", 59), ("exact_target", 68), ("exact_target_offdiag", 18)):
+        names = ft.block_columns([block])
+        got = walk.evidence_blocks(ev, ["word"], [block], names).collect()
+        assert len(names) == n and len(got) == 3 and all(v is not None and v == v for r in got for v in r)
+    assert walk.evidence_blocks(ev.limit(0), ["word"], ["confusion"], ["x_r_phon"]).count() == 0
+
 
 
 def test_pta_needs_every_frequency(spark):
