@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Small enough that buckets split on tables of a few megabytes.
+SHARD_BYTES = 256 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,7 @@ def op9_mixing(spark, sf_dir):
 def op10_sharding(spark, sf_dir):
     from phonrisk.llm.sharding import assign_shards
 
-    return assign_shards(_table(spark, sf_dir, "documents"))
+    return assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 @query
@@ -50,7 +52,7 @@ def op2_line_dedup(spark, sf_dir):
 def _oracles() -> None:
     from phonrisk.llm import fingerprints, line_dedup, mixing, runs, sharding
 
-    ORACLES.update(op2_line_dedup=line_dedup.oracle(), op9_mixing=mixing.oracle(), op10_sharding=sharding.oracle(),
+    ORACLES.update(op2_line_dedup=line_dedup.oracle(), op9_mixing=mixing.oracle(), op10_sharding=sharding.oracle(SHARD_BYTES),
                    op11_fingerprints=fingerprints.oracle(), op13_periodic_runs=runs.oracle())
 
 

@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from phonrisk.llm import ann, langid, quality_rules, url_rules
+from phonrisk.llm import ann, langid, quality_rules, queries, url_rules
 
 
 def test_many_languages_are_learned(spark):
@@ -74,3 +74,8 @@ def test_tokens_of_the_same_urls_stand_for_each_other(spark):
     urls = [(f"http://a.example.net/{'p/pp' if i % 2 else 'r'}/{'q/qq' if i // 2 % 2 else 's'}/{i}", i % 4 == 3) for i in range(600)]
     got = {(r["first"], *r["rest"]) for r in url_rules.mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()}
     assert {(f"path word={a}", f"path word={b}") for a in ("p", "pp") for b in ("q", "qq")} <= got
+
+
+def test_the_sharding_query_splits(spark):
+    got = queries.QUERIES["op10_sharding"](spark, "/root/testdata/sf0.001")
+    assert got.select("shard").distinct().count() > 1 and got.filter("oversized").isEmpty()
