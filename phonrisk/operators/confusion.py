@@ -116,18 +116,21 @@ def diagonal(rows: DataFrame, keys: list[str]) -> DataFrame:
                        (1 - p).alias("confusability"), h.alias("entropy"))
 
 
-def top_confusions(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k likeliest wrong answers per target (ties by alphabet index); k <= 0 gives none."""
+def wrong_answers(k: int) -> Column:
+    """The k likeliest wrong answers of a target row (perceived, p, n), likeliest first, ties by alphabet index; none for k <= 0."""
     wrong = F.filter(
         F.transform("probs", lambda p, i: F.struct((-p).alias("neg"), i.alias("p_idx"))),
         lambda s: s["p_idx"] != F.col("t_idx"))
-    best = F.slice(F.array_sort(wrong), 1, max(k, 0)) if k > 0 else F.slice(F.array_sort(wrong), 1, 0)
     symbols = (F.when(F.col("position") == "onset", F.lit(hg.ONSETS + "?"))
                .when(F.col("position") == "nucleus", F.lit(hg.NUCLEI + "?")).otherwise(F.lit(hg.CODAS + "?")))
-    out = rows.select(*keys, "position", "target", "m", symbols.alias("_s"), F.posexplode_outer(best).alias("_i", "c"))
-    return out.where("_i is not null").select(*keys, "position", "target", (F.col("_i") + 1).alias("rank"),
-                      F.substr(F.col("_s"), F.col("c.p_idx") + 1, F.lit(1)).alias("perceived"),
-                      (-F.col("c.neg")).alias("p"), _count_at(F.col("c.p_idx")).alias("n"))
+    return F.transform(F.slice(F.array_sort(wrong), 1, max(k, 0)), lambda c: F.struct(
+        F.substr(symbols, c["p_idx"] + 1, F.lit(1)).alias("perceived"), (-c["neg"]).alias("p"), _count_at(c["p_idx"]).alias("n")))
+
+
+def top_confusions(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``wrong_answers`` of every target, a row each."""
+    out = rows.select(*keys, "position", "target", F.posexplode(wrong_answers(k)).alias("_i", "c"))
+    return out.select(*keys, "position", "target", (F.col("_i") + 1).alias("rank"), "c.perceived", "c.p", "c.n")
 
 
 def empirical(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,13 +116,15 @@ def clinical_columns() -> dict[str, Column]:
 # ---- listener profile as one row
 
 
-def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) -> DataFrame:
+def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA, *, tops: int = 0) -> DataFrame:
     """Pack estimated target rows: one array of 68 values per field (``prof_*``), in slot order.
 
     Separate arrays let column pruning carry only the fields a block uses through the join.
 
     Coda back-off depends on listener and target only, so it is settled here, once per listener:
     a coda nobody was tested on takes its surface coda's estimate when that one was observed.
+    With ``tops``, ``prof_tops`` holds each target's likeliest wrong answers (perceived, p, n), so that
+    phonemes are explained without a join back.
     """
     d = dims.dim_target(est.sparkSession).select("slot", "same_mask")
     rows = est.join(F.broadcast(d), "slot")  # 68 rows
@@ -133,7 +135,8 @@ def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) ->
     hit = F.coalesce(F.try_element_at("m", F.col("t_idx")), F.lit(0))
     packed = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("slot", own.alias("p"), F.col("big_n").cast("long").alias("n"), h.alias("h"),
-                                             F.array_max(off).alias("top1"), same.alias("same")))).alias("_cells"),  # 68 a listener
+                                             F.array_max(off).alias("top1"), same.alias("same"),
+                                             *([cf.wrong_answers(tops).alias("tops")] if tops else [])))).alias("_cells"),  # 68 a listener
         F.coalesce(1 - F.try_divide(F.sum(hit), F.sum("big_n")), F.lit(0.5)).alias("global_error"))
     surface = F.array(*[F.lit(s) for s in _surface_slots()])
 
@@ -147,7 +150,8 @@ def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA) ->
             (-F.log(F.greatest(p, F.lit(EPS)))).alias("nlog"))
 
     settled = packed.withColumn("_prof", F.transform("_cells", settle))
-    return settled.select(*keys, *[F.col("_prof")[f].alias(f"prof_{f}") for f in FIELDS], "global_error", F.lit(float(alpha)).alias("alpha"))
+    more = [F.col("_cells")["tops"].alias("prof_tops")] if tops else []
+    return settled.select(*keys, *[F.col("_prof")[f].alias(f"prof_{f}") for f in FIELDS], *more, "global_error", F.lit(float(alpha)).alias("alpha"))
 
 
 def class_weakness(est: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,12 +208,13 @@ def each(fn, slots: Column | str = "slots") -> Column:
 
 
 def phoneme_risks(evidence: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per phoneme of a pair with its evidence."""
-    fields = each(lambda e: F.struct(e["slot"].alias("slot"), e["p"].alias("p"), e["n"].alias("n"), e["backed_off"].alias("backed_off")))
+    """One row per phoneme of a pair with its evidence, and ``top_confusions`` where the profiles hold them."""
+    tops = ["tops"] if "prof_tops" in evidence.columns else []
+    fields = each(lambda e: F.struct(e["slot"].alias("slot"), *[e[f].alias(f) for f in ("p", "n", "backed_off", *tops)]))
     out = evidence.select(*keep, F.posexplode_outer(fields).alias("k", "e")).where("e is not null")
     pos, symbol = slot_name(F.col("e.slot"))
-    return out.select(*keep, F.floor(F.col("k") / 3).alias("syllable_idx"), pos.alias("position"), symbol.alias("target"),
-                      F.col("e.p").alias("p_correct"), F.col("e.n").alias("n_observations"), F.col("e.backed_off").alias("backed_off"))
+    return out.select(*keep, F.floor(F.col("k") / 3).alias("syllable_idx"), pos.alias("position"), symbol.alias("target"), F.col("e.p").alias("p_correct"),
+                      F.col("e.n").alias("n_observations"), F.col("e.backed_off").alias("backed_off"), *[F.col("e.tops").alias("top_confusions") for _ in tops])
 
 
 def slot_name(slot: Column) -> tuple[Column, Column]:
@@ -295,13 +300,13 @@ def missing_inputs(trials: DataFrame, arm: str, *, hearing: DataFrame | None, es
     return reduce(DataFrame.unionByName, parts) if parts else who.limit(0).withColumn("reason", F.lit(""))
 
 
-def explain(evidence: DataFrame, tops: DataFrame | None, keep: list[str], k: int = 3) -> DataFrame:
-    """The k weakest phonemes of each pair with evidence and back-off flags."""
+def explain(evidence: DataFrame, keep: list[str], k: int = 3) -> DataFrame:
+    """The k weakest phonemes of each pair with evidence and back-off flags, and ``top_confusions`` where the profiles hold them."""
+    tops = ["tops"] if "prof_tops" in evidence.columns else []
     cells = F.transform("slots", lambda s, i: F.struct(
-        At(s)["p"].alias("p"), i.alias("i"), s.alias("slot"), At(s)["n"].alias("n"), At(s)["backed_off"].alias("backed_off")))
+        At(s)["p"].alias("p"), i.alias("i"), s.alias("slot"), *[At(s)[f].alias(f) for f in ("n", "backed_off", *tops)]))
     out = evidence.select(*keep, F.posexplode_outer(F.slice(F.array_sort(cells), 1, k)).alias("rank", "w")).where("w is not null")
     pos, symbol = slot_name(F.col("w.slot"))
-    rows = out.select(*keep, (F.col("rank") + 1).alias("rank"), pos.alias("position"), symbol.alias("target"),
-                      F.col("w.p").alias("p_correct"), F.col("w.n").alias("n_observations"),
-                      (F.col("w.n") == 0).alias("prior_only"), F.col("w.backed_off").alias("backed_off"))
-    return rows if tops is None else rows.join(tops, ["listener_id", "position", "target"], "left")
+    return out.select(*keep, (F.col("rank") + 1).alias("rank"), pos.alias("position"), symbol.alias("target"),
+                      F.col("w.p").alias("p_correct"), F.col("w.n").alias("n_observations"), (F.col("w.n") == 0).alias("prior_only"),
+                      F.col("w.backed_off").alias("backed_off"), *[F.col("w.tops").alias("top_confusions") for _ in tops])

@@ -51,6 +51,12 @@ def require_verified(recorded: DataFrame, present: DataFrame, *, deep: bool = Tr
         raise ValueError("files differ from their manifest: " + "; ".join(f"{r.state}: {r.path}" for r in bad))
 
 
+def read_verified(spark: SparkSession, root: str, recorded: DataFrame, source_id: str = "", *, deep: bool = True) -> DataFrame:
+    """The Parquet table below ``root``, once every file of it is as the manifest says; else an error that names files."""
+    require_verified(recorded, build(spark, root, source_id), deep=deep)
+    return spark.read.parquet(root)
+
+
 def expectations(manifest: DataFrame, expected: DataFrame) -> DataFrame:
     """Per source: observed file and byte counts against (source_id, n_files, min_bytes)."""
     seen = manifest.groupBy("source_id").agg(F.count("*").alias("n_seen"), F.sum("bytes").alias("bytes_seen"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phonrisk.functions.hangul import structure
 from phonrisk.operators.ordered import rank_rows
+from phonrisk.session import durable, scratch_dir
 
 STIMULUS_COLUMNS = ("Audio Sample ID", "file_name", "Speaker Gender_Pronounced Answer", "Syllable", "Total Duration", "Mean Pitch", "F1", "F2 (Hz)", "F3 (Hz)")
 STIMULUS_SCHEMA = ", ".join(f"`{c}` string" for c in STIMULUS_COLUMNS)
@@ -131,6 +132,46 @@ def erase(tables: dict[str, DataFrame], listeners: DataFrame, key: str = "listen
     return kept, removed
 
 
+def store_by_listener(tables: dict[str, DataFrame], root: str, key: str = "listener_id", buckets: int = 64) -> None:
+    """Write tables in folders by a hash of the listener, so that one listener's rows are in one of them."""
+    for name, df in tables.items():
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        df.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{root}/{name}")
+
+
+def erase_stored(spark: SparkSession, root: str, names: list[str], listeners: DataFrame, key: str = "listener_id", buckets: int = 64) -> DataFrame:
+    """Erase listeners from stored tables: (table, n_removed, n_left).
+
+    Unknown ids are an error before anything is written. Only folders that hold a listed listener are
+    read and replaced. Their new content is written beside the tables and read back; the swap follows if
+    no listed listener is in it and only rows of listed ones are gone, for every table.
+    """
+    tables = {n: spark.read.parquet(f"{root}/{n}") for n in names}
+    gone = durable(listeners.select(key).distinct())
+    held = reduce(DataFrame.unionByName, [df.select(key) for df in tables.values()]).distinct()
+    unknown = [r[0] for r in gone.join(held, key, "left_anti").limit(5).collect()]
+    if unknown:
+        raise KeyError(f"unknown listeners: {unknown}")
+    touched = sorted(r[0] for r in gone.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("b")).distinct().collect())  # at most ``buckets``
+    report, staging = [], scratch_dir(spark, "erased")
+    for name, df in tables.items():
+        old = df.where(F.col("_bucket").isin(touched))
+        old.join(gone, key, "left_anti").repartition("_bucket").write.partitionBy("_bucket").parquet(f"{staging}/{name}")
+        new = spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+        n_old, n_listed, n_new = old.count(), old.join(gone, key, "left_semi").count(), new.count()
+        if n_new != n_old - n_listed or not new.join(gone, key, "left_semi").isEmpty():
+            raise RuntimeError(f"{name}: what was written is not what should be left; nothing was replaced")
+        report.append((name, n_listed, df.count() - n_listed))
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for name, df in tables.items():
+        new = spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+        new.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{root}/{name}")
+        for b in set(touched) - {r[0] for r in new.select("_bucket").distinct().collect()}:  # nothing is left of these
+            at = fs_path(f"{root}/{name}/_bucket={b}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.createDataFrame(report, "table string, n_removed long, n_left long")
+
+
 def listener_ids(df: DataFrame, key: str = "listener_id") -> DataFrame:
     return df.select(key).distinct().orderBy(key)
 

@@ -104,6 +104,15 @@ def _(t):
     return rnd(ft.phoneme_risks(evidence(t), PAIR))
 
 
+@query("f06_top_confusions", """select e.listener_id, e.word, e.si-1 syllable_idx, e.position, e.symbol target, c.rank, c.perceived, round(c.p,6) p, c.n
+  from evid e join (select *, row_number() over (partition by listener_id, position, target order by p desc, p_idx) rank from post where target<>perceived) c
+  on c.listener_id=e.listener_id and c.position=e.position and c.target=e.symbol where c.rank<=2""")
+def _(t):
+    ev = ft.with_evidence(pairs(t), ft.profile_vectors(qc.estimated(t), K, tops=2), K)
+    rows = ft.phoneme_risks(ev, PAIR).select(*PAIR, "syllable_idx", "position", "target", F.posexplode("top_confusions").alias("i", "c"))
+    return rnd(rows.select(*PAIR, "syllable_idx", "position", "target", (F.col("i") + 1).alias("rank"), "c.perceived", "c.p", "c.n"))
+
+
 @query("f07_independence_risk", "select listener_id, word, round(1-exp(sum(ln(greatest(p,1e-6)))),6) risk from evid group by all")
 def _(t):
     return rnd(evidence(t).select(*PAIR, ft.independence_risk().alias("risk")))

@@ -177,7 +177,7 @@ def _(t):
   row_number() over (partition by listener_id, word order by p, si, case position when 'onset' then 0 when 'nucleus' then 1 else 2 end) rank from evid) where rank<=3""")
 def _(t):
     from phonrisk.operators.features import explain
-    return rnd(explain(evidence(t), None, ["listener_id", "word"]))
+    return rnd(explain(evidence(t), ["listener_id", "word"]))
 
 
 @query("p23_media_summary", f"select media_id, count(*) n_words, count(*) filter (where decision<>'hidden') n_shown, round(avg(case when decision<>'hidden' then 1.0 else 0 end),6) caption_ratio, round(avg(listener_risk),6) mean_risk, max(end_s) duration_s, count(confidence) n_with_confidence from ({BUD}) group by all")

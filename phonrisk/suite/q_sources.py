@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phonrisk.operators import quality as ql
 from phonrisk.operators import features as ft
 from phonrisk.operators import stimuli
-from phonrisk.session import scratch_dir
+from phonrisk.session import durable, scratch_dir
 from phonrisk.sources import manifest as mf
 from phonrisk.sources import tables as tb
 from phonrisk.suite import q_confusion as qc
@@ -112,6 +112,21 @@ def _(t):
     return t.files_recorded.select("source_id", "path").join(v, "path").groupBy("source_id").agg(F.count_if(F.col("state") != "match").alias("n_problems"))
 
 
+@query("s11_verified_read", "select source, count(*) n, true changed_refused from documents group by all")
+def _(t):
+    path = scratch_dir(t.spark, "verified")
+    t.documents.select("doc_id", "source", "n_chars").repartition("source").write.partitionBy("source").parquet(path)
+    recorded = durable(mf.build(t.spark, path, "documents"))
+    read = durable(mf.read_verified(t.spark, path, recorded).groupBy("source").agg(F.count("*").alias("n")))
+    t.documents.select("doc_id", "source", "n_chars").limit(1).write.mode("append").partitionBy("source").parquet(path)
+    try:
+        mf.read_verified(t.spark, path, recorded)
+        refused = False
+    except ValueError:
+        refused = True
+    return read.withColumn("changed_refused", F.lit(refused))
+
+
 @query("s12_expectations", "select source_id, count(*) n_seen, count(*)=(count(*)//2)*2 count_ok, sum(bytes)>=1000 bytes_ok from files_recorded group by all")
 def _(t):
     want = t.files_recorded.groupBy("source_id").agg((F.floor(F.count("*") / 2) * 2).alias("n_files")).withColumn("min_bytes", F.lit(1000))
@@ -145,11 +160,22 @@ def _(t):
     return rows.groupBy("table").agg(F.count("row").alias("n"))
 
 
-@query("s17_subject_erasure", "select 'calib_trials' as \"table\", count(*) n_removed from calib_trials where listener_id in (select distinct s_nationkey from supplier) union all select 'word_trials', count(*) from word_trials where listener_id in (select distinct s_nationkey from supplier)")
+GONE = "(select distinct s_nationkey from supplier where s_nationkey in (select listener_id from calib_trials))"
+
+
+@query("s17_subject_erasure", " union all ".join(f"select '{n}' as \"table\", count(*) filter (where listener_id in {GONE}) n_removed, count(*) filter (where listener_id not in {GONE}) n_left, 0::bigint n_found, true unknown_refused from {n}" for n in ("calib_trials", "word_trials")))
 def _(t):
-    gone = t.supplier.select(F.col("s_nationkey").cast("bigint").alias("listener_id")).distinct()
-    held = gone.join(t.calib_trials.select("listener_id").distinct(), "listener_id", "left_semi")
-    return tb.erase({"calib_trials": t.calib_trials, "word_trials": t.word_trials}, held)[1]
+    gone = t.supplier.select(F.col("s_nationkey").cast("bigint").alias("listener_id")).distinct().join(t.calib_trials.select("listener_id").distinct(), "listener_id", "left_semi")
+    root, names = scratch_dir(t.spark, "subjects"), ["calib_trials", "word_trials"]
+    tb.store_by_listener({n: getattr(t, n) for n in names}, root)
+    try:
+        tb.erase_stored(t.spark, root, names, gone.unionByName(t.spark.createDataFrame([(-1,)], "listener_id bigint")))
+        refused = False
+    except KeyError:
+        refused = True
+    report = tb.erase_stored(t.spark, root, names, gone)
+    found = [t.spark.read.parquet(f"{root}/{n}").join(gone, "listener_id", "left_semi").agg(F.count("*").alias("n_found")).select(F.lit(n).alias("table"), "n_found") for n in names]
+    return report.join(found[0].unionByName(found[1]), "table").withColumn("unknown_refused", F.lit(refused))
 
 
 @query("s18_listener_ids", "select distinct listener_id from calib_trials")
