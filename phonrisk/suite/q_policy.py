@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phonrisk.operators import cues as cu
 from phonrisk.operators import metrics as mt
 from phonrisk.operators import policy as po
-from phonrisk.session import durable
+from phonrisk.session import durable, scratch_dir
 from phonrisk.suite.q_features import evidence, rnd
 from phonrisk.suite.q_metrics import DRAWN, B
 from phonrisk.suite.registry import query
@@ -242,6 +242,29 @@ def _(t):
     return cu.ass_file(durable(cu.build_cues(shown(t))))
 
 
+S19 = f"""select s.media_id, s.sha srt_sha256, a.sha ass_sha256, w.n n_json_lines from
+  (select media_id, sha256(string_agg(concat(cue_idx::varchar, chr(10), {_ms('start_s')}, ' --> ', {_ms('end_s')}, chr(10), array_to_string(texts,' '), chr(10), chr(10)), '' order by cue_idx)) sha from ({CUES}) group by media_id) s
+  join (select media_id, sha256(concat('{"', chr(10), '".join(HEADER)}', chr(10), string_agg(concat(line, chr(10)), '' order by cue_idx))) sha from ({U05}) group by media_id) a on a.media_id=s.media_id
+  join (select media_id, count(*)+1 n from ({BUD}) group by media_id) w on w.media_id=s.media_id"""
+
+
+@query("s19_caption_files", S19)
+def _(t):
+    from phonrisk.sources.caption_files import write_files
+
+    root, words = scratch_dir(t.spark, "captions"), durable(po.budget_policy(t.tokens, 0.2, 0.3))
+    cues = durable(cu.build_cues(shown(t)))
+    line = F.concat("line", F.lit("\n"))
+    write_files(cu.srt_blocks(cues), f"{root}/srt", "srt", media="media_id", order="cue_idx", text="block")
+    write_files(cu.ass_file(cues).withColumn("line", line), f"{root}/ass", "ass", media="media_id", order="line_no", text="line")
+    write_files(cu.json_rows(words, po.media_summary(words)).withColumn("json", F.concat("json", F.lit("\n"))), f"{root}/json", "jsonl", media="media_id", order="tok_idx", text="json")
+    media = F.regexp_extract("path", r"/(\d+)\.\w+$", 1).cast("long").alias("media_id")
+    read = lambda kind: t.spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(f"{root}/{kind.removesuffix('l')}")
+    sha = lambda kind: read(kind).select(media, F.sha2("content", 256).alias(f"{kind}_sha256"))
+    lines = read("jsonl").select(media, (F.size(F.split(F.col("content").cast("string"), "\n")) - 1).cast("long").alias("n_json_lines"))
+    return sha("srt").join(sha("ass"), "media_id").join(lines, "media_id")
+
+
 @query("u06_json_export", f"""select media_id, -1::bigint tok_idx, json_extract(j,'$.n_words')::bigint n_words, json_extract(j,'$.n_shown')::bigint n_shown, null::varchar as text, null::varchar decision from (select media_id, json_object('n_words', count(*), 'n_shown', count(*) filter (where decision<>'hidden')) j from ({BUD}) group by media_id)
   union all select media_id, tok_idx, null, null, text, decision from ({BUD})""")
 def _(t):
