@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from phonrisk.operators import artifacts as ar
 from phonrisk.operators import features as ft
 from phonrisk.operators import metrics as mt
 from phonrisk.operators import models as md
@@ -118,6 +119,19 @@ def _(t):
     return rnd(md.load_linear(t.spark, path, schema_hash=digest).predict(m).select("row_id", "p"))
 
 
+@query("g16_media_artifact")
+def _(t):
+    """A calibrated model over all seeds, saved for recorded media and loaded again."""
+    cols = ft.arm_columns("clinical_plus_confusion")
+    m = durable(qf.matrix(t, "clinical_plus_confusion", keep=("row_id", "listener_id", "misheard", "seed")))
+    path = scratch_dir(t.spark, "model")
+    fitted = ar.fit_over_seeds(m, cols, lambda rows, c: md.fit_calibrated(rows, c, md.fit_residual))
+    seeds = [r.seed for r in m.select("seed").distinct().orderBy("seed").collect()]
+    ar.save_model(fitted, t.spark, path, name="residual", cols=cols, contract=ar.MEDIA_CONTRACT, arm="clinical_plus_confusion", seeds=seeds)
+    model, _ = ar.load_model(t.spark, path, cols=cols, contract=ar.MEDIA_CONTRACT)
+    return rnd(model.predict(m, "p").select("row_id", "p"))
+
+
 @query("z01_pluggable_policy", "select media_id, tok_idx, case when confidence is not null and listener_risk>0.5 then 'shown_high_risk' else 'hidden' end decision from tokens")
 def _(t):
     def policy(words):

@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phonrisk.operators import artifacts as ar
 from phonrisk.operators import models as md
 from phonrisk.session import scratch_dir
 
@@ -106,3 +109,31 @@ def test_saved_model_checks_its_schema(spark, data):
 def test_trees_fit(data):
     p = md.fit_boosted(data, COLS, max_iter=3).predict(data).agg(F.avg("p")).first()[0]
     assert 0 < p < 1
+
+
+def test_every_model_is_saved_and_loaded(spark, data, tmp_path):
+    cols = ["h_a", "w_b", "x_c"]
+    fits = {n: (lambda d, c, n=n: md.MODELS[n](d, c, max_iter=3)) if n == "gradient_boosting" else md.MODELS[n] for n in md.MODELS}
+    cases = [(n, fit(data, cols)) for n, fit in fits.items()]
+    cases += [(f"logistic_{m}", md.fit_calibrated(data, cols, md.fit_logistic, method=m)) for m in ("platt", "isotonic")]
+    for name, model in cases:
+        path = str(tmp_path / name)
+        ar.save_model(model, spark, path, name=name, cols=cols, contract=ar.MEDIA_CONTRACT, arm="test", seeds=[1, 2])
+        moved = str(tmp_path / f"moved-{name}")
+        os.rename(path, moved)
+        loaded, said = ar.load_model(spark, moved, cols=cols, contract=ar.MEDIA_CONTRACT)
+        assert said["seeds"] == [1, 2] and said["name"] == name
+        a, b = ({r.row_id: r.p for r in m.predict(data, "p").collect()} for m in (model, loaded))
+        assert a == b, name
+    with pytest.raises(ValueError, match="schema"):
+        ar.load_model(spark, moved, cols=["h_a", "x_c", "w_b"])
+    with pytest.raises(ValueError, match="fitted for"):
+        ar.load_model(spark, moved, contract="live-caption-v1")
+
+
+def test_listeners_of_two_seeds_are_two(data):
+    rows = data.withColumn("seed", F.lit(1)).unionByName(data.withColumn("seed", F.lit(2)))
+    seen = []
+    ar.fit_over_seeds(rows, ["x_c"], lambda d, c: seen.append(d.select("listener_id").distinct().count()), [1, 2])
+    ar.fit_over_seeds(rows, ["x_c"], lambda d, c: seen.append(d.count()), [2])
+    assert seen == [60, 900]
