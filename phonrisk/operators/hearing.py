@@ -132,7 +132,11 @@ def violations(points: DataFrame, speech: DataFrame, pi_points: DataFrame, loudn
     both = F.col("ucl_db_hl") < F.col("mcl_db_hl")
     twice = (pi_points.groupBy(*EAR, "level_db_hl").count().where("count > 1")
              .select(*EAR, F.lit("duplicate_level").alias("rule")).distinct())
-    no_ear = meta.join(points.select("listener_id").distinct(), "listener_id", "left_anti").select(
+    # An ear's speech scores, functions and levels go with an audiogram of the same ear.
+    measured = speech.select(*EAR).unionByName(pi_points.select(*EAR)).unionByName(loudness.select(*EAR)).distinct()
+    astray = measured.join(points.select(*EAR).distinct(), EAR, "left_anti").select(*EAR, F.lit("ear_without_audiogram").alias("rule"))
+    anything = points.select("listener_id").unionByName(measured.select("listener_id")).distinct()
+    no_ear = meta.join(anything, "listener_id", "left_anti").select(
         "listener_id", F.lit(None).cast("string").alias("ear"), F.lit("no_ear").alias("rule"))
     return (broken(points, {"db_range": out_of_range("db_hl"), "standard_hz": ~F.col("hz").isin(*STANDARD_HZ),
                             "no_response_needs_level": F.col("no_response") & F.col("db_hl").isNull()})
@@ -142,4 +146,5 @@ def violations(points: DataFrame, speech: DataFrame, pi_points: DataFrame, loudn
             .unionByName(twice)
             .unionByName(broken(loudness, {"db_range": out_of_range("mcl_db_hl", "ucl_db_hl"), "ucl_below_mcl": F.coalesce(both, F.lit(False))}))
             .unionByName(broken(meta, {"source_synthetic": (F.col("source") == "synthetic") != F.col("is_synthetic")}))
+            .unionByName(astray)
             .unionByName(no_ear))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,34 @@ def budget_policy(words: DataFrame, budget: float, floor: float | None = None, *
     return ranked.withColumns({"decision": decision, "policy": F.lit(label)}).drop("_rn", "_n")
 
 
+#: Named caption policies: functions of a words table that add ``decision`` and ``policy``.
+POLICIES: dict[str, Callable[..., DataFrame]] = {"full": full_policy, "threshold": threshold_policy, "budget": budget_policy}
+DECISIONS = ("shown_full", "shown_high_risk", "shown_low_asr_confidence", "hidden")
+
+
+def register_policy(name: str, policy: Callable[..., DataFrame]) -> None:
+    """Make a policy known by a name that is not taken."""
+    if name in POLICIES:
+        raise ValueError(f"policy {name} is registered already")
+    POLICIES[name] = policy
+
+
+def apply_policy(words: DataFrame, name: str, **options) -> DataFrame:
+    """Run a named policy and hold it to its contract: every word as it was, ``decision`` and ``policy`` beside it.
+
+    A decision that is not one of ``DECISIONS`` stops the job when it is read.
+    """
+    if name not in POLICIES:
+        raise ValueError(f"unknown policy {name}, not one of {sorted(POLICIES)}")
+    out = POLICIES[name](words, **options)
+    if lost := [c for c in (*words.columns, "decision") if c not in out.columns]:
+        raise ValueError(f"policy {name} lost columns {lost}")
+    label = F.col("policy") if "policy" in out.columns else F.lit(name)
+    bad = F.raise_error(F.concat(F.lit(f"policy {name} made decision "), F.coalesce("decision", F.lit("null"))))
+    checked = F.when(F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), F.col("decision")).otherwise(bad.cast("string"))
+    return out.select(*words.columns, checked.alias("decision"), label.alias("policy"))
+
+
 def is_shown() -> Column:
     return F.col("decision").startswith("shown")
 

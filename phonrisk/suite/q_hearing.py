@@ -95,6 +95,8 @@ def _(t):
   union all select distinct listener_id, ear, 'duplicate_level' from (select listener_id, ear, level_db_hl from pi_points group by all having count(*)>1)
   union all select listener_id, ear, 'ucl_below_mcl' from loudness where ucl_db_hl<mcl_db_hl
   union all select listener_id, null, 'source_synthetic' from hearing_meta where (source='synthetic')<>is_synthetic
-  union all select listener_id, null, 'no_ear' from hearing_meta where listener_id not in (select listener_id from audiogram_points)""")
+  union all select listener_id, ear, 'ear_without_audiogram' from (select listener_id, ear from speech_scores union select listener_id, ear from pi_points union select listener_id, ear from loudness)
+    where (listener_id, ear) not in (select listener_id, ear from audiogram_points)
+  union all select listener_id, null, 'no_ear' from hearing_meta where listener_id not in (select listener_id from audiogram_points union select listener_id from speech_scores union select listener_id from pi_points union select listener_id from loudness)""")
 def _(t):
     return hr.violations(t.audiogram_points, t.speech_scores, t.pi_points, t.loudness, t.hearing_meta)

@@ -136,7 +136,9 @@ def _(t):
 def _(t):
     def policy(words):
         return words.withColumn("decision", F.when(F.col("confidence").isNotNull() & (F.col("listener_risk") > 0.5), "shown_high_risk").otherwise("hidden"))
-    return policy(t.tokens).select("media_id", "tok_idx", "decision")
+    po.POLICIES.pop("confident", None)
+    po.register_policy("confident", policy)
+    return po.apply_policy(t.tokens, "confident").select("media_id", "tok_idx", "decision")
 
 
 @query("z02_model_registry")

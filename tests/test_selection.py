@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phonrisk.operators import asr, cues, lexicon, policy, splits
+from phonrisk.operators import asr, cues, hearing, lexicon, policy, splits
 from phonrisk.operators import metrics as mt
 from phonrisk.plans import studies
 from phonrisk.sources import manifest
@@ -230,3 +230,31 @@ def test_transcript_parts_share_a_duration_and_missing_durations_are_judged_by_o
     assert [(r.tok_idx, r.problem) for r in found.collect()] == [(1, "overlap")]
     counts = asr.corpus_counts(got, found).first()
     assert (counts.n_tokens, counts.n_tokens_with_confidence, counts.utterances_with_timing_problems, counts.n_timing_problems) == (2, 0, 1, 1)
+
+
+def test_policies_are_held_to_their_contract(spark):
+    words = spark.createDataFrame([(1, 0, 0.9, 0.5), (1, 1, 0.1, None)], "media_id int, tok_idx int, listener_risk double, confidence double")
+    assert [r.decision for r in policy.apply_policy(words, "threshold", tau=0.5).orderBy("tok_idx").collect()] == ["shown_high_risk", "hidden"]
+    policy.register_policy("odd", lambda w: w.withColumn("decision", F.lit("maybe")))
+    policy.register_policy("lossy", lambda w: w.select("media_id", F.lit("hidden").alias("decision")))
+    try:
+        with pytest.raises(ValueError, match="lost columns"):
+            policy.apply_policy(words, "lossy")
+        with pytest.raises(Exception, match="made decision maybe"):
+            policy.apply_policy(words, "odd").collect()
+        with pytest.raises(ValueError, match="registered already"):
+            policy.register_policy("odd", lambda w: w)
+    finally:
+        policy.POLICIES.pop("odd"), policy.POLICIES.pop("lossy")
+    with pytest.raises(ValueError, match="unknown policy"):
+        policy.apply_policy(words, "none")
+
+
+def test_ears_without_audiograms_and_listeners_without_ears(spark):
+    points = spark.createDataFrame([(1, "left", 500, 20.0, False)], "listener_id int, ear string, hz int, db_hl double, no_response boolean")
+    speech = spark.createDataFrame([(1, "right", 20.0, 90.0, 60.0), (2, "left", 20.0, 90.0, 60.0)], "listener_id int, ear string, srt_db_hl double, wrs_percent double, wrs_level_db_hl double")
+    pi = spark.createDataFrame([], "listener_id int, ear string, level_db_hl double, score_percent double")
+    loud = spark.createDataFrame([(1, "left", 50.0, 90.0)], "listener_id int, ear string, mcl_db_hl double, ucl_db_hl double")
+    meta = spark.createDataFrame([(i, "manual", False) for i in (1, 2, 3)], "listener_id int, source string, is_synthetic boolean")
+    got = sorted((r.listener_id, r.ear or "", r.rule) for r in hearing.violations(points, speech, pi, loud, meta).collect())
+    assert got == [(1, "right", "ear_without_audiogram"), (2, "left", "ear_without_audiogram"), (3, "", "no_ear")]
