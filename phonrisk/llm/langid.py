@@ -33,6 +33,8 @@ SAMPLE = 3_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 REJECT_BELOW = 0.4
+#: Up to so many languages, their drawing rates are sent to the rows; else rows are joined by language.
+BROADCAST_KINDS = 10_000
 #: Weights (buckets x languages) at most.
 CELLS = 1 << 24
 UNKNOWN = "und"
@@ -152,11 +154,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS):
     # Languages get equal parts of the sample, drawn by a hash of the doc_id; the sample bounds what is collected.
     rate = F.least(F.lit(1.0), F.lit(sample / kinds) / F.col("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.join(sizes.withColumn("rate", rate).drop("n"), "lang").filter(draw < F.col("rate"))
+    rates = sizes.withColumn("rate", rate).drop("n")
+    drawn = rows.join(F.broadcast(rates) if kinds <= BROADCAST_KINDS else rates, "lang").filter(draw < F.col("rate"))
     drawn = drawn.withColumn("check", F.crc32(F.concat_ws("|", F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0)
     got = drawn.select("lang", "check", "rate", "text").mapInPandas(_feature_rows, "lang string, check boolean, rate double, at array<smallint>, counts array<int>").toPandas()  # about SAMPLE rows
-    rates = got.groupby("lang").rate.first().sort_index()
-    langs, offsets = list(rates.index), -np.log(rates.to_numpy())
+    seen = got.groupby("lang").rate.first().sort_index()
+    langs, offsets = list(seen.index), -np.log(seen.to_numpy())
     if not langs:
         return [], np.zeros((1 << DIM_BITS, 0)), idf, 1.0, np.zeros(0)
     dim = 1 << DIM_BITS
