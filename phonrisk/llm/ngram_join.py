@@ -43,6 +43,8 @@ PERCENT = 80
 SKETCH_BITS = 22
 FRAGMENTS = 4
 _PART_BITS = 16
+#: A bucket of this level counts fewer than 560 documents, and so does the list of each n-gram in it.
+SHORT_LEVEL = 36
 _CODES = stream("n-gram", 64) | np.uint64(1)
 
 
@@ -194,8 +196,26 @@ def _may_link(percent: int):
 
 
 def row_keys() -> list:
-    """What tells rows apart: the doc_id (-1: null) and a hash of the text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_key"), F.xxhash64("text").alias("text_key")]
+    """What tells rows apart: the doc_id (-1: null) and a hash of the text and of whether there is a doc_id."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key")]
+
+
+def _with_other(postings: DataFrame) -> DataFrame:
+    """The postings whose n-gram has others, with ``m``, how many it has; ``hn`` and ``hpos`` are those of the other, where there are two.
+
+    The sketch bounds the lists of n-grams in buckets of low level, so these meet in a window. Any other
+    list may be a hot key: its size and ends are aggregated, and the join back is one that can be split.
+    """
+    level = F.shiftrightunsigned("gram", 56)
+    cols = ["gram", "node", "n", "heft", "pos", "m", F.col("other.n").alias("hn"), F.col("other.pos").alias("hpos")]
+    order = Window.partitionBy("gram").orderBy("node")
+    beside = F.coalesce(F.lead(F.struct("n", "pos")).over(order), F.lag(F.struct("n", "pos")).over(order))
+    short = postings.filter(level <= SHORT_LEVEL).withColumns({"m": F.count("*").over(Window.partitionBy("gram")), "other": beside}).filter("m > 1")
+    long_ = postings.filter(level > SHORT_LEVEL)
+    end = F.struct("node", "n", "pos")
+    ends = long_.groupBy("gram").agg(F.count("*").alias("m"), F.min(end).alias("lo"), F.max(end).alias("hi")).filter("m > 1")
+    long_ = long_.join(ends, "gram").withColumn("other", F.when(F.col("node") == F.col("lo.node"), F.col("hi")).otherwise(F.col("lo")))
+    return short.select(*cols).union(long_.select(*cols))
 
 
 def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -218,13 +238,11 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     heads = rows.withColumn("id_key", F.coalesce("doc_id", F.lit(-1))).select(*keys, "heft", "prefix")
     heads = heads.join(classes.select("node", *keys), keys).dropDuplicates(keys)
     postings = heads.select("node", "n", "heft", F.posexplode("prefix").alias("pos", "gram"))
-    by_gram = Window.partitionBy("gram").orderBy(F.desc("heft"), "node")
-    other = F.coalesce(F.lead(F.struct("n", "pos")).over(by_gram), F.lag(F.struct("n", "pos")).over(by_gram))
-    listed = postings.select("gram", "node", "n", "heft", "pos", F.count("*").over(Window.partitionBy("gram")).alias("m"), other.alias("other"))
-    listed = listed.filter("m > 1").select("gram", "node", "n", "heft", "pos", "m", F.col("other.n").alias("hn"), F.col("other.pos").alias("hpos"))
-    lists = stored(listed.filter((F.col("m") > 2) | _may_link(percent)).select("gram", "node", "n", "heft", "pos"), "lists")
+    listed = _with_other(postings).filter((F.col("m") > 2) | _may_link(percent))
+    lists = stored(listed.select("gram", "node", "n", "heft", "pos"), "lists")
 
-    wanted = lists.select("node").distinct().join(classes.select("node", "digest", "id_key", "text_key"), "node")
+    # Stored, so that Spark knows its size and leaves the texts where they are if it is small.
+    wanted = stored(lists.select("node").distinct().join(classes.select("node", "digest", "id_key", "text_key"), "node"), "wanted")
     texts = given.drop("doc_id").join(wanted, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key", "digest"])
     pieces = stored(texts.select("node", "digest", "text").mapInArrow(_fragment_rows(order, width), "node long, n long, piece int, grams array<bigint>"), "pieces")
 
@@ -271,7 +289,13 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Rows without n-grams stay. Rows equal in doc_id and text are one document and stay once.
     """
     rows, classes = join_classes(docs, width, percent)
-    kept = rows.join(classes, ["digest", "n"], "left").filter("n = 0 or (doc_id <=> component_id and text_key = keep)")
-    kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("_join_id"), F.col("text_key").alias("_join_text")).distinct()
-    keyed = docs.withColumns(dict(zip(["_join_id", "_join_text"], row_keys(), strict=True)))
-    return keyed.join(kept, ["_join_id", "_join_text"]).dropDuplicates(["_join_id", "_join_text"]).select(*docs.columns)
+    stays = F.expr("n = 0 or (doc_id <=> component_id and text_key = keep)")
+    keys = ["_join_id", "_join_text"]
+    fates = rows.join(classes, ["digest", "n"], "left").select(
+        F.coalesce("doc_id", F.lit(-1)).alias("_join_id"), F.col("text_key").alias("_join_text"), stays.alias("stays"))
+    fates = fates.groupBy(*keys).agg(F.max("stays").alias("stays"), F.count("*").alias("m")).filter("m > 1 or not stays")
+    # Only what goes or repeats is looked up; Spark knows its size, and texts of other rows are not moved if it is small.
+    fates = stored(fates, "fates")
+    keyed = docs.withColumns(dict(zip(keys, row_keys(), strict=True)))
+    again = keyed.join(fates.filter("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return keyed.join(fates.select(*keys), keys, "left_anti").select(*docs.columns).union(again.select(*docs.columns))

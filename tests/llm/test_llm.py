@@ -83,6 +83,19 @@ def test_star_without_its_centre_is_still_one_component(spark):
     assert sorted(got) == sorted(brute_components(rows)) and {r[2] for r in got} == {0}
 
 
+def test_lists_that_may_be_hot_give_the_same_groups(spark, edge, monkeypatch):
+    want = sorted((tuple(r) for r in ngram_join.link_components(edge).collect()), key=repr)
+    monkeypatch.setattr(ngram_join, "SHORT_LEVEL", -1)
+    assert sorted((tuple(r) for r in ngram_join.link_components(edge).collect()), key=repr) == want
+
+
+def test_a_null_id_is_not_minus_one(spark):
+    text = "one two three four five six"
+    rows = spark.createDataFrame([(-1, text), (None, text), (-1, text), (None, ""), (-1, ""), (-1, "")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(rows).collect()), key=repr)
+    assert kept == sorted([(-1, text), (None, ""), (-1, "")], key=repr)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r.node: r.component for r in components.components(edges).collect()}
