@@ -200,18 +200,16 @@ def row_keys() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key")]
 
 
-def _with_other(postings: DataFrame) -> DataFrame:
+def _with_other(short: DataFrame, long_: DataFrame) -> DataFrame:
     """The postings whose n-gram has others, with ``m``, how many it has; ``hn`` and ``hpos`` are those of the other, where there are two.
 
-    The sketch bounds the lists of n-grams in buckets of low level, so these meet in a window. Any other
-    list may be a hot key: its size and ends are aggregated, and the join back is one that can be split.
+    The sketch bounds the lists of ``short``, n-grams in buckets of low level, so these meet in a window. Any
+    list of ``long_`` may be a hot key: its size and ends are aggregated, and the join back can be split.
     """
-    level = F.shiftrightunsigned("gram", 56)
     cols = ["gram", "node", "n", "heft", "pos", "m", F.col("other.n").alias("hn"), F.col("other.pos").alias("hpos")]
     order = Window.partitionBy("gram").orderBy("node")
     beside = F.coalesce(F.lead(F.struct("n", "pos")).over(order), F.lag(F.struct("n", "pos")).over(order))
-    short = postings.filter(level <= SHORT_LEVEL).withColumns({"m": F.count("*").over(Window.partitionBy("gram")), "other": beside}).filter("m > 1")
-    long_ = postings.filter(level > SHORT_LEVEL)
+    short = short.withColumns({"m": F.count("*").over(Window.partitionBy("gram")), "other": beside}).filter("m > 1")
     end = F.struct("node", "n", "pos")
     ends = long_.groupBy("gram").agg(F.count("*").alias("m"), F.min(end).alias("lo"), F.max(end).alias("hi")).filter("m > 1")
     long_ = long_.join(ends, "gram").withColumn("other", F.when(F.col("node") == F.col("lo.node"), F.col("hi")).otherwise(F.col("lo")))
@@ -235,10 +233,17 @@ def join_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "*", F.coalesce("least.doc_id", F.lit(-1)).alias("id_key"), "least.text_key"), "classes")
 
     # One row stands for a class: its postings, and its pieces if it is in a list that can hold a link.
-    heads = rows.withColumn("id_key", F.coalesce("doc_id", F.lit(-1))).select(*keys, "heft", "prefix")
-    heads = heads.join(classes.select("node", *keys), keys).dropDuplicates(keys)
-    postings = heads.select("node", "n", "heft", F.posexplode("prefix").alias("pos", "gram"))
-    listed = _with_other(postings).filter((F.col("m") > 2) | _may_link(percent))
+    # Both parts of a prefix are cut off before rows move, so that each n-gram moves once.
+    short = F.filter("prefix", lambda gram: F.shiftrightunsigned(gram, 56) <= SHORT_LEVEL)
+    rest = F.filter("prefix", lambda gram: F.shiftrightunsigned(gram, 56) > SHORT_LEVEL)
+
+    def postings(part, before):
+        heads = rows.withColumn("id_key", F.coalesce("doc_id", F.lit(-1))).select(*keys, "heft", part.alias("part"), before.alias("before"))
+        heads = heads.filter(F.size("part") > 0).join(classes.select("node", *keys), keys).dropDuplicates(keys)
+        heads = heads.select("node", "n", "heft", "before", F.posexplode("part").alias("pos", "gram"))
+        return heads.select("node", "n", "heft", (F.col("before") + F.col("pos")).alias("pos"), "gram")
+
+    listed = _with_other(postings(short, F.lit(0)), postings(rest, F.size(short))).filter((F.col("m") > 2) | _may_link(percent))
     lists = stored(listed.select("gram", "node", "n", "heft", "pos"), "lists")
 
     # Stored, so that Spark knows its size and leaves the texts where they are if it is small.
