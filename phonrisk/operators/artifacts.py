@@ -6,8 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-from pyspark.ml.feature import StandardScalerModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +31,7 @@ def _describe(model, folder: str) -> dict:  # noqa: ANN001
     if isinstance(model, md.Residual):
         return {"kind": "residual", "base": _describe(model.base, f"{folder}/base"), "personal": _describe(model.personal, f"{folder}/personal")}
     if isinstance(model, md.Additive):
-        model.scaler.write().overwrite().save(f"{folder}/scaler")
-        model.model.write().overwrite().save(f"{folder}/model")
-        return {"kind": "additive", "folder": folder, "medians": model.medians, "ranges": model.ranges, "pairs": model.pairs}
+        return {"kind": "additive", **asdict(model)}
     if isinstance(model, md.Trees):
         model.model.write().overwrite().save(f"{folder}/model")
         return {"kind": "trees", "folder": folder, "scaling": asdict(model.scaling)}
@@ -55,7 +52,7 @@ def _restore(body: dict, root: str):
         return md.Residual(_restore(body["base"], root), _restore(body["personal"], root))
     if kind == "additive":
         ranges = {k: tuple(v) for k, v in body["ranges"].items()}
-        return md.Additive(body["medians"], ranges, [tuple(p) for p in body["pairs"]], StandardScalerModel.load(f"{at}/scaler"), LogisticRegressionModel.load(f"{at}/model"))
+        return md.Additive(body["medians"], ranges, [tuple(p) for p in body["pairs"]], body["coef"], body["intercept"])
     if kind == "trees":
         return md.Trees(md.Scaling(**body["scaling"]), GBTClassificationModel.load(f"{at}/model"))
     steps = IsotonicRegressionModel.load(f"{at}/steps") if body["has_steps"] else None

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from phonrisk.operators import splits as sp
 from phonrisk.operators.lexicon import sampled_pairs
 from phonrisk.operators.ordered import rank_rows
-from phonrisk.session import durable
+from phonrisk.session import durable, stored
 
 PERSONAL = ("x_", "ix_", "x2_")
+BLOCK = 2_000  # rows whose regressors are held at once
+KNOTS = 5
 # Interactions the additive model may use.
 INTERACTIONS = (("h_wrs", "x_r_phon"), ("c_snr_db", "x_r_phon"), ("h_audiogram_slope", "x2_min_p_onset"),
                 ("h_high_freq_mean", "w2_onset_manner_fricative"), ("x_mean_evidence", "x_r_phon"), ("w_n_syllables", "x_min_p_correct"))
@@ -110,40 +112,88 @@ class Linear:
         return spark.createDataFrame(rows, "feature string, coefficient double").orderBy(F.abs("coefficient").desc(), "feature")
 
 
-def fit_logistic(train: DataFrame, cols: list[str], *, y: str = "misheard", C: float = 1.0, weight: str | None = None) -> Linear:
-    """L2 logistic regression: sum loss + |w|^2 / 2C, which is regParam 1/(C n) of the mean loss."""
-    n = require_two_classes(train, y)
-    scaling = fit_scaling(train, cols)
-    keep = [y] + ([weight] if weight else [])
-    data = _vectors(train, scaling.scaled(), *keep).withColumn(y, F.col(y).cast("double"))
-    lr = LogisticRegression(labelCol=y, regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-    model = (lr.setWeightCol(weight) if weight else lr).fit(data)
-    return Linear(scaling, [float(v) for v in model.coefficients], float(model.intercept))
+# ---- penalised logistic regression by Newton passes
 
 
-# ---- base + personal residual with a true offset
+def _totals(rows: DataFrame, xs: list[Column], width: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all rows of the ``width`` numbers that ``of`` makes of a block of ``xs`` (null is NaN)."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for at in range(0, len(x), BLOCK):
+                total += of(x[at:at + BLOCK])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "v": pa.array(total[used], pa.float64())})
 
+    data = rows.select(*[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
+    sums = data.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # ``width`` numbers
+    out = np.zeros(width)
+    out[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    return out
 
-def _newton_parts(df: DataFrame, xs: list[Column], offset: Column, y: str, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and Hessian of the offset logistic loss, summed over partitions by Spark."""
-    names = [f"_x{i}" for i in range(len(xs))]
-    data = df.select(offset.alias("_o"), F.col(y).cast("double").alias("_y"), *[x.alias(n) for n, x in zip(names, xs, strict=True)])
-    d = len(xs) + 1
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(d * d + d)
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy()])
-            mu = 1 / (1 + np.exp(-np.clip(pdf["_o"].to_numpy() + x @ w, -700, 700)))
-            total[:d] += x.T @ (mu - pdf["_y"].to_numpy())
-            total[d:] += (x.T @ (x * (mu * (1 - mu))[:, None])).ravel()
-        yield pd.DataFrame({"i": np.arange(total.size), "v": total})
+def _newton(rows: DataFrame, given: list[Column], xs: list[Column], design: Callable[[np.ndarray], np.ndarray], penalty: np.ndarray, *, steps: int = 50, tol: float = 1e-8) -> np.ndarray:
+    """Coefficients that minimise the weighted sum of logistic losses plus sum(penalty * w^2) / 2.
+
+    ``given`` are label, weight and offset; ``design`` makes the regressors of a block of ``xs``. A pass over
+    the rows sums loss, gradient and the upper half of the Hessian; a step is halved while it raises the loss.
+    """
+    d = len(penalty)
+    upper = np.triu_indices(d)
+    w, last = np.zeros(d), (np.inf, np.zeros(d))
+    for _ in range(steps):
+        def of(block: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            y, weight, offset = block[:, :3].T
+            z = design(block[:, 3:])
+            score = offset + z @ w
+            mu = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
+            loss = (weight * (np.logaddexp(0, score) - y * score)).sum()
+            hess = z.T @ (z * (weight * mu * (1 - mu))[:, None])
+            return np.concatenate([[loss], z.T @ (weight * (mu - y)), hess[upper]])
+
+        sums = _totals(rows, [*given, *xs], 1 + d + len(upper[0]), of)
+        loss = sums[0] + (penalty * w * w).sum() / 2
+        if loss > last[0] + 1e-9 * abs(loss):
+            w = (w + last[1]) / 2
+            continue
+        last = (loss, w)
+        hess = np.zeros((d, d))
+        hess[upper] = sums[1 + d:]
+        hess = hess + np.triu(hess, 1).T + np.diag(penalty)
+        move = np.linalg.lstsq(hess, sums[1:1 + d] + penalty * w, rcond=None)[0]
+        w = w - move
+        if np.abs(move).max() < tol:
+            break
+    return w
+
 
-    sums = data.mapInPandas(part, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # d*d + d numbers
-    flat = np.zeros(d * d + d)
-    for r in sums:
-        flat[r.i] = r.v
-    return flat[:d], flat[d:].reshape(d, d)
+def _standardised(scaling: Scaling, *, intercept: bool = True) -> Callable[[np.ndarray], np.ndarray]:
+    medians, means, sds = (np.array(v) for v in (scaling.medians, scaling.means, scaling.sds))
+
+    def design(x: np.ndarray) -> np.ndarray:
+        z = (np.where(np.isnan(x), medians, x) - means) / sds
+        return np.column_stack([np.ones(len(z)), z]) if intercept else z
+
+    return design
+
+
+def _fit_linear(rows: DataFrame, scaling: Scaling, y: Column, weight: Column, offset: Column, l2: float, *, free: float = 0.0, intercept: bool = True, **options) -> tuple[list[float], float]:
+    penalty = np.array([free] * intercept + [l2] * len(scaling.cols))
+    w = _newton(rows, [y, weight, offset], [F.col(c) for c in scaling.cols], _standardised(scaling, intercept=intercept), penalty, **options)
+    return [float(v) for v in w[intercept:]], float(w[0]) if intercept else 0.0
+
+
+def fit_logistic(train: DataFrame, cols: list[str], *, y: str = "misheard", C: float = 1.0, weight: str | None = None) -> Linear:
+    """L2 logistic regression: sum loss + |w|^2 / 2C, the intercept free. ``train`` is read once a Newton step."""
+    require_two_classes(train, y)
+    scaling = fit_scaling(train, cols)
+    share = train.agg(F.avg(weight)).first()[0] if weight else 1.0
+    coef, intercept = _fit_linear(train, scaling, F.col(y), F.col(weight) if weight else F.lit(1.0), F.lit(0.0), share / C)
+    return Linear(scaling, coef, intercept)
+
+
+# ---- base + personal residual with a true offset
 
 
 @dataclass
@@ -159,19 +209,11 @@ class Residual:
         return float(np.linalg.norm(self.personal.coef))
 
 
-def fit_offset_logistic(df: DataFrame, cols: list[str], offset: Column, *, y: str = "misheard", l2: float = 1.0, steps: int = 10) -> Linear:
+def fit_offset_logistic(df: DataFrame, cols: list[str], offset: Column, *, y: str = "misheard", l2: float = 1.0, steps: int = 50) -> Linear:
     """Penalised logistic regression on top of a fixed per-row offset, by Newton steps."""
     scaling = fit_scaling(df, cols)
-    xs = scaling.scaled()
-    w = np.zeros(len(cols) + 1)
-    ridge = np.diag([1e-9] + [l2] * len(cols))
-    for _ in range(steps):
-        grad, hess = _newton_parts(df, xs, offset, y, w)
-        move = np.linalg.solve(hess + ridge, grad + np.array([0.0] + [l2] * len(cols)) * w)
-        w = w - move
-        if np.abs(move).max() < 1e-8:
-            break
-    return Linear(scaling, [float(v) for v in w[1:]], float(w[0]), name="offset")
+    coef, intercept = _fit_linear(df, scaling, F.col(y), F.lit(1.0), offset, l2, free=1e-9, steps=steps)
+    return Linear(scaling, coef, intercept, name="offset")
 
 
 def split_columns(cols: list[str]) -> tuple[list[str], list[str]]:
@@ -191,13 +233,13 @@ def fit_residual(train: DataFrame, cols: list[str], *, l2: float = 1.0, y: str =
 def fit_cross_fitted(train: DataFrame, cols: list[str], *, folds: int = 3, l2: float = 1.0, y: str = "misheard", seed: int = 0) -> Residual:
     """Residual whose offset comes from inner listener folds; the base is refitted on everything."""
     base_cols, personal = split_columns(cols)
-    inner = train.join(sp.listener_folds(train, folds, y=y, seed=seed), "listener_id")
+    inner = stored(train.join(sp.listener_folds(train, folds, y=y, seed=seed), "listener_id"), "inner")  # each fit reads it once a step
     parts = None
     for k in range(folds):
         m = fit_logistic(inner.where(F.col("fold") != k), base_cols, y=y)
         held = m.predict(inner.where(F.col("fold") == k), "_b")
         parts = held if parts is None else parts.unionByName(held)
-    residual = fit_offset_logistic(durable(parts), personal, logit(F.col("_b")), y=y, l2=l2)
+    residual = fit_offset_logistic(stored(parts, "held"), personal, logit(F.col("_b")), y=y, l2=l2)
     return Residual(fit_logistic(train, base_cols, y=y), residual)
 
 
@@ -211,27 +253,53 @@ def _cubic(u: Column) -> Column:
             .when(u < 3, (3 * u * u * u - 24 * u * u + 60 * u - 44) / 6).otherwise((4 - u) * (4 - u) * (4 - u) / 6))
 
 
-def spline_basis(xs: list[Column], ranges: list[tuple[float, float]], knots: int = 5) -> Column:
+def spline_basis(xs: list[Column], ranges: list[tuple[float, float]], knots: int = KNOTS) -> Column:
     """ARRAY<DOUBLE> of uniform cubic B-splines of every x on its range, constant outside, the
     last basis function of each left out."""
-    steps = [(hi - lo) / (knots - 1) if hi > lo else 1.0 for lo, hi in ranges]
     each = F.array(*[F.struct(((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(h)).alias("u"))
-                     for x, (lo, hi), h in zip(xs, ranges, steps, strict=True)])
+                     for x, (lo, hi), h in zip(xs, ranges, _steps(ranges, knots), strict=True)])
     places = F.sequence(F.lit(0), F.lit(knots))
     return F.flatten(F.transform(each, lambda s: F.transform(places, lambda j: _cubic(s["u"] - j + 3))))
 
 
+def _steps(ranges: list[tuple[float, float]], knots: int = KNOTS) -> list[float]:
+    return [(hi - lo) / (knots - 1) if hi > lo else 1.0 for lo, hi in ranges]
+
+
+def _basis_of(x: np.ndarray, ranges: list[tuple[float, float]], knots: int = KNOTS) -> np.ndarray:
+    """``spline_basis`` of a block of rows: four functions of a column are not zero, from the interval of the value on."""
+    lo, hi = np.array(ranges).T
+    u = (np.clip(x, lo, hi) - lo) / np.array(_steps(ranges, knots))
+    k = np.floor(u).astype(int)
+    f, g = u - k, 1 - (u - k)
+    out = np.zeros((*x.shape, knots + 3))
+    row, col = np.ogrid[:x.shape[0], :x.shape[1]]
+    for i, v in enumerate((g * g * g / 6, (3 * f * f * f - 6 * f * f + 4) / 6, (3 * g * g * g - 6 * g * g + 4) / 6, f * f * f / 6)):
+        out[row, col, k + i] = v
+    return out[:, :, :knots + 1].reshape(len(x), -1)
+
+
 @dataclass
 class Additive:
+    """Splines of columns and products; ``coef`` is per basis function, ``intercept`` takes their means in."""
+
     medians: dict[str, float]
     ranges: dict[str, tuple[float, float]]
     pairs: list[tuple[str, str]]
-    scaler: object
-    model: object
+    coef: list[float]
+    intercept: float
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
-        wide = self.model.transform(self.scaler.transform(_with_basis(df, self.medians, self.ranges, self.pairs)))
-        return wide.select(*df.columns, vector_to_array("probability")[1].alias(out))
+        ranges, coef, intercept = list(self.ranges.values()), np.array(self.coef), self.intercept
+
+        def work(x: pa.Array) -> pa.Array:
+            values = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(ranges))
+            z = [_basis_of(values[at:at + BLOCK], ranges) @ coef for at in range(0, len(x), BLOCK)]
+            score = np.concatenate(z) + intercept if z else np.zeros(0)
+            return pa.array(1 / (1 + np.exp(-np.clip(score, -700, 700))))
+
+        xs = _augmented([c for c in self.ranges if "*" not in c], self.pairs, self.medians)
+        return df.withColumn(out, F.arrow_udf(work, "double")(F.array(*[x.cast("double") for x in xs.values()])))
 
 
 def _augmented(cols: list[str], pairs: list[tuple[str, str]], med: dict[str, float]) -> dict[str, Column]:
@@ -241,13 +309,11 @@ def _augmented(cols: list[str], pairs: list[tuple[str, str]], med: dict[str, flo
     return out
 
 
-def _with_basis(df, med, ranges, pairs):
-    aug = _augmented([c for c in ranges if "*" not in c], pairs, med)
-    return df.withColumn("_basis", array_to_vector(spline_basis(list(aug.values()), [ranges[n] for n in aug])))
-
-
 def fit_additive(train: DataFrame, cols: list[str], *, y: str = "misheard", C: float = 0.5) -> Additive:
-    """Per-column splines plus the listed interactions, then L2 logistic regression."""
+    """Per-column splines plus the listed interactions, then L2 logistic regression.
+
+    Basis values are made of each block of rows as it is read and never stored.
+    """
     n = require_two_classes(train, y)
     pairs = [(a, b) for a, b in INTERACTIONS if a in cols and b in cols]
     gaps = [c for c in cols if c.startswith("h_") and not c.endswith("_missing")]
@@ -261,10 +327,18 @@ def fit_additive(train: DataFrame, cols: list[str], *, y: str = "misheard", C: f
     aug = _augmented(cols, pairs, med)
     lim = train.agg(*[F.min(x).alias(f"lo{i}") for i, x in enumerate(aug.values())], *[F.max(x).alias(f"hi{i}") for i, x in enumerate(aug.values())]).first()
     ranges = {c: (float(lim[f"lo{i}"]), float(lim[f"hi{i}"])) for i, c in enumerate(aug)}
-    data = durable(_with_basis(train, med, ranges, pairs).select(F.col(y).cast("double").alias(y), "_basis"))
-    scaler = StandardScaler(inputCol="_basis", outputCol="features", withMean=True, withStd=True).fit(data)
-    lr = LogisticRegression(labelCol=y, regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-    return Additive(med, ranges, pairs, scaler, lr.fit(scaler.transform(data)))
+    xs, bounds = list(aug.values()), list(ranges.values())
+    width = len(xs) * (KNOTS + 1)
+    mean = _totals(train, xs, width, lambda x: _basis_of(x, bounds).sum(0)) / n
+    spread = np.sqrt(_totals(train, xs, width, lambda x: ((_basis_of(x, bounds) - mean) ** 2).sum(0)) / max(n - 1, 1))
+    scale = np.where(spread > 1e-9, 1 / np.where(spread > 1e-9, spread, 1.0), 0.0)  # a basis function without spread has no part
+
+    def design(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(x)), (_basis_of(x, bounds) - mean) * scale])
+
+    w = _newton(train, [F.col(y), F.lit(1.0), F.lit(0.0)], xs, design, np.array([0.0] + [1 / C] * width))
+    coef = w[1:] * scale
+    return Additive(med, ranges, pairs, [float(v) for v in coef], float(w[0] - mean @ coef))
 
 
 # ---- rankers inside a listener
@@ -277,15 +351,16 @@ def _deltas(train: DataFrame, cols: list[str], cap: int, y: str, seed: int, extr
 
 
 def _fit_pairs(delta: DataFrame, cols: list[str], C: float, weight: Column | None) -> Linear:
-    d = durable(delta.withColumn("_w", weight if weight is not None else F.lit(1.0)))
-    both = d.withColumn("_y", F.lit(1.0)).unionByName(d.select("_w", *[(-F.col(c)).alias(c) for c in cols]).withColumn("_y", F.lit(0.0)), allowMissingColumns=True)
-    n = both.count()
+    d = stored(delta.select(*cols, (weight if weight is not None else F.lit(1.0)).alias("_w")), "pairs")
+    size = d.agg(F.count("*").alias("n"), F.avg("_w").alias("w"), *[F.avg(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    n = size.n
     if n == 0:
         raise ValueError("no listener has both misheard and heard words; a ranker cannot be fitted")
-    scaling = fit_scaling(both, cols, centre=False, impute_zero=True)
-    data = _vectors(both, scaling.scaled(), "_y", "_w")
-    model = LogisticRegression(labelCol="_y", weightCol="_w", fitIntercept=False, regParam=1.0 / (C * n), standardization=False, maxIter=200, tol=1e-9).fit(data)
-    return Linear(scaling, [float(v) for v in model.coefficients], 0.0, name="pairwise", meta={"n_pairs": n // 2, "output_is_probability": False})
+    # A pair and its mirror image have the same loss and add up to means of zero: each is read once, with twice its weight.
+    sds = [float(np.sqrt(size[f"s{i}"])) for i in range(len(cols))]
+    scaling = Scaling(cols, [0.0] * len(cols), [0.0] * len(cols), [s if s > 1e-12 else 1.0 for s in sds])
+    coef, _ = _fit_linear(d, scaling, F.lit(1.0), 2 * F.col("_w"), F.lit(0.0), size.w / C, intercept=False)
+    return Linear(scaling, coef, 0.0, name="pairwise", meta={"n_pairs": n, "output_is_probability": False})
 
 
 def _squash(model: Linear, train: DataFrame) -> Linear:
@@ -361,17 +436,16 @@ def fit_calibrated(train: DataFrame, cols: list[str], fit: Callable, *, method:
     """Calibrate on listeners the base model did not see; one-class slices fall back, with the reason."""
     if method == "none":
         return Calibrated(fit(train, cols), "none", "none")
-    held = train.join(sp.calibration_holdout(train, fraction, seed=seed), "listener_id")
+    held = stored(train.join(sp.calibration_holdout(train, fraction, seed=seed), "listener_id"), "holdout")
     base = fit(held.where("not held_out"), cols)
     slice_ = durable(base.predict(held.where("held_out"), "_raw").select("_raw", y))
     seen = slice_.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).first()
     if seen.lo == seen.hi:
         return Calibrated(fit(train, cols), method, "none", "calibration slice has one class")
     if method == "platt":
-        n = slice_.count()
-        data = _vectors(slice_, [logit(F.col("_raw"))], y).withColumn(y, F.col(y).cast("double"))
-        m = LogisticRegression(labelCol=y, regParam=1.0 / n, standardization=False, maxIter=200).fit(data)
-        return Calibrated(base, method, method, platt=(float(m.coefficients[0]), float(m.intercept)))
+        one = Scaling(["_z"], [0.0], [0.0], [1.0])
+        coef, intercept = _fit_linear(slice_.select(y, logit(F.col("_raw")).alias("_z")), one, F.col(y), F.lit(1.0), F.lit(0.0), 1.0)
+        return Calibrated(base, method, method, platt=(coef[0], intercept))
     iso = IsotonicRegression(featuresCol="_raw", labelCol=y, predictionCol="_cal").fit(slice_.withColumn(y, F.col(y).cast("double")))
     return Calibrated(base, method, method, steps=iso)
 
@@ -384,11 +458,10 @@ MODELS: dict[str, Callable] = {
 
 def out_of_fold(matrix: DataFrame, cols: list[str], fit: Callable, *, k: int = 5, seed: int = 0, calibration: str = "none") -> tuple[DataFrame, list[dict]]:
     """(row_id, listener_id, misheard, fold, p) with every row predicted by a model that never saw
-    its listener, and the calibration log per fold. k fits, each a Spark job over the cached matrix."""
-    rows = durable(matrix)
-    folds = durable(sp.listener_folds(rows, k, seed=seed))
+    its listener, and the calibration log per fold. k fits, each over one stored table of the matrix with its folds."""
+    folds = durable(sp.listener_folds(matrix, k, seed=seed))
     sp.assert_no_leak(sp.leaked_listeners(folds))
-    data = durable(rows.join(folds, "listener_id"))  # each fit reads it several times
+    data = stored(matrix.join(folds, "listener_id"), "folded")  # each fit reads it once a step
     parts, log = None, []
     for f in range(k):
         m = fit_calibrated(data.where(F.col("fold") != f), cols, fit, method=calibration, seed=seed)

@@ -53,3 +53,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and read it back: compact, and later reads take only the columns they need."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,6 +69,43 @@ def test_spline_basis_is_a_partition_of_unity(spark):
     assert all(len(r.b) == 6 and -1e-12 <= 1 - sum(r.b) <= 1 / 6 + 1e-9 for r in rows)
 
 
+def test_block_basis_equals_column_basis(spark):
+    x = np.array([[-1.0, 2.0], [0.0, 2.5], [0.31, 3.0], [0.75, 4.0], [1.0, 7.0], [3.0, 9.0]])
+    ranges = [(0.0, 1.0), (2.0, 7.0)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double")
+    rows = df.select("i", md.spline_basis([F.col("a"), F.col("b")], ranges).alias("v")).orderBy("i").collect()
+    assert np.allclose([r.v for r in rows], md._basis_of(x, ranges), atol=1e-12)
+
+
+def test_additive_reaches_its_optimum(data):
+    m = md.fit_additive(data, COLS)
+    xs = [F.coalesce(F.col(c), F.lit(m.medians[c])) for c in COLS]
+    pdf = m.predict(data.withColumn("b", md.spline_basis(xs, [m.ranges[c] for c in COLS]))).toPandas()
+    B, y = np.stack(pdf.b.to_numpy()), pdf.misheard.to_numpy()
+    sd = B.std(0, ddof=1)
+    used = sd > 1e-9
+    w = np.array(m.coef)[used] * sd[used]
+    grad = ((B - B.mean(0))[:, used] / sd[used]).T @ (pdf.p.to_numpy() - y) + w / 0.5
+    assert np.abs(grad).max() < 1e-6 and abs((pdf.p - y).sum()) < 1e-6
+
+
+def test_pairs_are_joined_without_a_broadcast(data):
+    """A few listeners' sizes become many pairs, which the planner would still take for small."""
+    from phonrisk.operators.lexicon import sampled_pairs
+    pairs = sampled_pairs(data, 400, keep=("x_c",))
+    pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairwise_equals_the_mirrored_problem(data):
+    m = md.fit_pairwise_ranker(data, COLS, cap=50)
+    d = md._deltas(data, COLS, 50, "misheard", 0).toPandas()[COLS].to_numpy()
+    both = np.concatenate([d, -d]) / np.sqrt((d * d).mean(0))
+    y = np.repeat([1.0, 0.0], len(d))
+    grad = both.T @ (1 / (1 + np.exp(-both @ np.array(m.coef))) - y) + np.array(m.coef)
+    assert np.abs(grad).max() < 1e-6 and m.meta["n_pairs"] == len(d)
+
+
 def test_single_class_is_refused(data):
     with pytest.raises(ValueError, match="single class"):
         md.fit_logistic(data.where("misheard = 1"), COLS)
