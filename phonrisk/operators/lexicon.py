@@ -74,4 +74,5 @@ def sampled_pairs(df: DataFrame, cap: int, *, listener: str = "listener_id", y:
     pairs = pairs.select(listener, (F.col("_a") + 1).alias("_a"), (F.col("_b") + 1).alias("_b"))
     pos = sides.where(F.col(y) == 1).select(listener, F.col("_k").alias("_a"), F.col(row).alias("pos_row"), *[F.col(c).alias(f"pos_{c}") for c in keep])
     neg = sides.where(F.col(y) == 0).select(listener, F.col("_k").alias("_b"), F.col(row).alias("neg_row"), *[F.col(c).alias(f"neg_{c}") for c in keep])
-    return pairs.join(pos, [listener, "_a"]).join(neg, [listener, "_b"]).drop("_a", "_b")
+    # Up to ``cap`` pairs come of one row of sizes, which size estimates don't see: never broadcast.
+    return pairs.hint("merge").join(pos.hint("merge"), [listener, "_a"]).hint("merge").join(neg.hint("merge"), [listener, "_b"]).drop("_a", "_b")
