@@ -6,12 +6,19 @@ combined before its shuffle. Rank metrics need one running sum over distinct sco
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phonrisk.functions.text import uniform
 from phonrisk.operators.ordered import rank_rows, running
-from phonrisk.session import durable
+from phonrisk.session import durable, stored
 
 ECE_BINS = 10
 
@@ -226,10 +233,26 @@ def bootstrap_rank(df: DataFrame, drawn: DataFrame, keys: list[str], *, y: str =
     return resampled_rank(score_counts(df, [*keys, listener], y, p), drawn, keys, listener=listener, bounded=bounded)
 
 
-def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listener: str = "listener_id", bounded: bool | None = None) -> DataFrame:
+#: Distinct scores of all keys up to which weighted counts are shuffled; beyond it rows are ranged by score and read in place.
+MAX_SCORES = 20_000
+#: Weights of a block of resamples that tasks hold at a time (two bytes each).
+MAX_WEIGHTS = 12_000_000
+
+
+def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listener: str = "listener_id", bounded: bool | None = None,
+                   few: bool | None = None) -> DataFrame:
     """``bootstrap_rank`` from counts per (keys, listener, score).
 
-    A block's weighted counts are columns of one row a distinct score, so its resamples share one shuffle,
+    Few distinct scores: weighted counts are summed by score before they are shuffled. Many: nothing is
+    multiplied by the resamples (``_ranged_rank``).
+    """
+    if few is None:
+        few = per.select(*keys, "p").distinct().count() <= MAX_SCORES
+    return _summed_rank(per, drawn, keys, listener, bounded) if few else _ranged_rank(per, drawn, keys, listener)
+
+
+def _summed_rank(per: DataFrame, drawn: DataFrame, keys: list[str], listener: str, bounded: bool | None) -> DataFrame:
+    """A block's weighted counts are columns of one row a distinct score, so its resamples share one shuffle,
     one order and one pass of running sums.
     """
     by, each = [*keys, "blk"], range(WIDTH)
@@ -254,6 +277,123 @@ def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listene
     return per_resample(out.select(*by, "_k", *arrays), keys, ["roc_auc", "pr_auc"])
 
 
+def _ranged_rank(per: DataFrame, drawn: DataFrame, keys: list[str], listener: str) -> DataFrame:
+    """Rows are ranged by (key, score) over tasks once and stay there; only listeners' weights of some resamples
+    travel, as a broadcast of at most ``MAX_WEIGHTS`` numbers at a time.
+
+    A first pass gives the totals of each range and resample, a second the sums within ranges, which start
+    from the totals of the ranges before. Equal scores of a key lie in one range.
+    """
+    spark = per.sparkSession
+    names = [tuple(r) for r in per.select(*keys).distinct().collect()] if keys else [()]  # a row a run
+    names.sort(key=repr)
+    number = spark.createDataFrame([(*n, i) for i, n in enumerate(names)], T.StructType([*[per.schema[k] for k in keys], T.StructField("_key", T.IntegerType())]))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    numbered = per.alias("l").join(F.broadcast(number.alias("r")), reduce(Column.__and__, same)) if keys else per.alias("l").join(F.broadcast(number.alias("r")))
+    who = durable(rank_rows(drawn.select(listener).distinct(), [], [listener], rn="_who"))  # never drawn: never counted
+    parts = max(2 * spark.sparkContext.defaultParallelism, 16)
+    rows = numbered.select("_key", "p", F.col(f"l.{listener}").alias(listener), "n", "pos").join(who, listener).select(
+        "_key", "p", (F.col("_who") - 1).alias("_who"), F.col("n").cast("double").alias("n"), F.col("pos").cast("double").alias("pos"))
+    rows = durable(rows.repartitionByRange(parts, "_key", "p").sortWithinPartitions("_key", "p").withColumn("_part", F.spark_partition_id()))
+    size, n_blocks = who.count(), drawn.agg(F.max("blk")).first()[0] + 1
+    step = max(1, min(n_blocks, MAX_WEIGHTS // (WIDTH * max(size, 1))))
+    weights = stored(drawn.join(who, listener).select("blk", (F.col("_who") - 1).alias("_who"), "w"), "weights")
+    return reduce(DataFrame.unionByName, [durable(_ranged_block(rows, weights, names, number, keys, size, first, min(first + step, n_blocks)))
+                                          for first in range(0, n_blocks, step)])
+
+
+def _ranged_block(rows: DataFrame, weights: DataFrame, names: list[tuple], number: DataFrame, keys: list[str], size: int, first: int, last: int) -> DataFrame:
+    sc, width = rows.sparkSession.sparkContext, WIDTH * (last - first)
+    w, valid = np.zeros((size, width), dtype=np.int16), 0
+    table = weights.where(F.col("blk").between(first, last - 1)).toArrow()  # at most MAX_WEIGHTS numbers, or one block
+    if table.num_rows:
+        drawn = pc.list_flatten(table["w"]).fill_null(-1).to_numpy().astype(np.int16).reshape(-1, WIDTH)
+        at, to = table["_who"].to_numpy(), (table["blk"].to_numpy() - first) * WIDTH
+        for k in range(WIDTH):
+            w[at, to + k] = np.maximum(drawn[:, k], 0)
+        valid = int((to[:, None] + np.arange(WIDTH))[drawn >= 0].max()) + 1  # beyond the last resample weights are null
+    held = sc.broadcast(w[:, :valid])
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, sums = None, None
+
+        def row() -> pd.DataFrame:
+            total = np.zeros((2, valid))
+            for lo in range(0, size, 4096):
+                total += sums[:, lo:lo + 4096] @ held.value[lo:lo + 4096].astype(np.float64)
+            return pd.DataFrame({"_part": [at[0]], "_key": [at[1]], "n": [total[0]], "pos": [total[1]]})
+
+        for pdf in batches:
+            for found, g in pdf.groupby(["_part", "_key"]):  # rows come by key
+                if found != at:
+                    if at:
+                        yield row()
+                    at, sums = found, np.zeros((2, size))
+                for c, name in enumerate(("n", "pos")):
+                    sums[c] += np.bincount(g["_who"], g[name], minlength=size)
+        if at:
+            yield row()
+
+    found = rows.mapInPandas(totals, "_part int, _key int, n array<double>, pos array<double>").collect()  # a row a range and key
+    before, whole = {}, np.zeros((len(names), 2, valid))
+    for r in sorted(found, key=lambda r: (r["_key"], r["_part"])):
+        before[r["_part"], r["_key"]] = whole[r["_key"]].copy()
+        whole[r["_key"]] += np.array([r["n"], r["pos"]])
+    start, full = sc.broadcast(before), sc.broadcast(whole)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums over scores of what one score adds; a score whose rows go on in the next batch is kept open."""
+        out: dict[int, np.ndarray] = {}
+        key, score, part, at, mine = None, None, None, None, None
+
+        def close(n: np.ndarray, pos: np.ndarray) -> None:  # rows of distinct scores in order, all resamples
+            cn, cp = at[0] + np.cumsum(n, axis=0), at[1] + np.cumsum(pos, axis=0)
+            neg, all_n, all_pos = n - pos, full.value[key][0], full.value[key][1]
+            above = all_n - cn + n
+            share = np.divide(all_pos - cp + pos, above, out=np.zeros_like(above), where=above > 0)
+            mine[0] += (pos * share).sum(axis=0)
+            mine[1] += (pos * (cn - cp - neg / 2)).sum(axis=0)
+            at[0], at[1] = cn[-1], cp[-1]
+
+        for pdf in batches:
+            ks, ps, who = pdf["_key"].to_numpy(), pdf["p"].to_numpy(), pdf["_who"].to_numpy()
+            n, pos = pdf["n"].to_numpy(), pdf["pos"].to_numpy()
+            slab = max(1, min(len(ks), 400_000 // max(valid, 1)))
+            for lo in range(0, len(ks), slab):
+                hi = min(lo + slab, len(ks))
+                drawn = held.value[who[lo:hi]].astype(np.float64)
+                fresh = np.flatnonzero(np.r_[True, (ks[lo + 1:hi] != ks[lo:hi - 1]) | (ps[lo + 1:hi] != ps[lo:hi - 1])])
+                wn, wp = (np.add.reduceat(drawn * c[lo:hi, None], fresh, axis=0) for c in (n, pos))
+                heads = lo + fresh
+                if key == ks[lo] and score == ps[lo]:
+                    wn[0] += left[0]
+                    wp[0] += left[1]
+                elif key is not None:
+                    close(left[0][None], left[1][None])
+                edges = np.r_[np.flatnonzero(np.r_[True, ks[heads[1:]] != ks[heads[:-1]]]), len(heads)]
+                for a, b in zip(edges[:-1], edges[1:]):  # one key each
+                    if ks[heads[a]] != key:
+                        key, part = ks[heads[a]], pdf["_part"].iloc[lo]
+                        at, mine = start.value[part, key].copy(), out.setdefault(int(key), np.zeros((2, valid)))
+                    end = b - 1 if b == len(heads) else b
+                    if end > a:
+                        close(wn[a:end], wp[a:end])
+                score, left = ps[heads[-1]], (wn[-1], wp[-1])
+        if key is not None:
+            close(left[0][None], left[1][None])
+        for k, v in out.items():
+            yield pd.DataFrame({"_key": np.int32(k), "b": np.arange(valid) + WIDTH * first, "ap": v[0], "wins": v[1]})
+
+    of = rows.mapInPandas(sums, "_key int, b long, ap double, wins double").groupBy("_key", "b").agg(
+        F.sum(F.col("ap").cast("decimal(38,15)")).cast("double").alias("ap"), F.sum(F.col("wins").cast("decimal(38,4)")).cast("double").alias("wins"))
+    flat = [(i, WIDTH * first + b, float(whole[i, 0, b]), float(whole[i, 1, b])) for i in range(len(names)) for b in range(valid)]
+    sizes = rows.sparkSession.createDataFrame(flat, "_key int, b long, _n double, _pos double")  # a row a run and resample
+    two = (F.col("_pos") > 0) & (F.col("_n") > F.col("_pos"))
+    return of.join(sizes, ["_key", "b"]).join(F.broadcast(number), "_key").select(
+        *keys, "b", F.when(two, F.try_divide("wins", F.col("_pos") * (F.col("_n") - F.col("_pos")))).alias("roc_auc"),
+        F.when(two, F.try_divide("ap", "_pos")).alias("pr_auc"))
+
+
 def paired_difference(values: DataFrame, arm: str, a: str, b: str, value: str) -> DataFrame:
     """Difference of two arms on the same resamples: one row per b."""
     pick = lambda name: F.max(F.when(F.col(arm) == name, F.col(value)))

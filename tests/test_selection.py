@@ -208,6 +208,18 @@ def test_bootstrap_is_deterministic(tied):
     assert {(r.blk * mt.WIDTH + r.k): r.w for r in weights.collect()} == {b: 8 if b < 60 else None for b in range(3 * mt.WIDTH)}
 
 
+def test_many_scores_are_resampled_in_place(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(s, f"m{i % 2}", i % 23, rng.randrange(60) / 60 if i % 2 else rng.random(), rng.randrange(2)) for s in (1, 2) for i in range(3000)]
+    per = mt.score_counts(spark.createDataFrame(data, "seed int, model string, listener_id long, p double, y int"), ["seed", "model", "listener_id"], "y", "p")
+    drawn = mt.draws(per, 60)
+    monkeypatch.setattr(mt, "MAX_WEIGHTS", 23 * mt.WIDTH)  # a pass a block
+    both = [sorted(tuple(r) for r in mt.resampled_rank(per, drawn, ["seed", "model"], few=few).select("seed", "model", "b", "roc_auc", "pr_auc").collect()) for few in (True, False)]
+    assert len(both[0]) == len(both[1]) == 4 * 60
+    for a, b in zip(*both):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-12)
+
+
 def test_contrasts_pair_the_same_draws_and_leave_out_absent_arms(spark):
     points = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.5), (2, "a", 0.5), (2, "b", 0.5)], "seed int, arm string, v double")
     drawn = spark.createDataFrame([(s, arm, b, 0.5 + (0.1 if arm == "a" and s == 1 else 0.0) + b / 100) for s in (1, 2) for arm in "ab" for b in range(5)],
