@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,53 +14,79 @@ from phonrisk.functions.text import recogniser_text
 from phonrisk.operators.ordered import with_lag
 
 
-def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+#: Bits of kept columns, beyond which a table is swept in blocks of columns that are made again on the way back.
+KEPT_BITS = 1 << 27
+
+
+def align(ref: Sequence[str], hyp: Sequence[str]) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of one cheapest alignment, ties in that order.
 
-    Equal ends are cut off first, which changes nothing: a match always takes the diagonal.
-    The rest is swept by anti-diagonals, whose cells do not depend on each other. A cell holds its
-    cost and its S; D and I follow, since cost - S = D + I and (at the end) n - m = D - I.
+    Equal ends are cut off first, which changes nothing: a match always takes the diagonal. Columns of
+    the rest are integers with a bit a row (Myers, Hyyro): where the cost equals that on the diagonal, and
+    where it rises from the row above. The way back needs no more: a cell that matches takes the diagonal, one
+    that is dearer than its diagonal is a substitution, else it came from above (a deletion) if it is dearer
+    than that, else from the left.
     """
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(x, len(codes)) for x in ref], dtype=np.int64)
-    b = np.array([codes.setdefault(x, len(codes)) for x in hyp], dtype=np.int64)
-    for _ in range(2):  # the shared start, then (reversed) the shared end
-        k = min(len(a), len(b))
-        differ = np.flatnonzero(a[:k] != b[:k])
-        k = int(differ[0]) if differ.size else k
-        a, b = a[k:][::-1], b[k:][::-1]
+    k, n, m = 0, len(ref), len(hyp)
+    while k < n and k < m and ref[k] == hyp[k]:
+        k += 1
+    while n > k and m > k and ref[n - 1] == hyp[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = ref[k:n], hyp[k:m]
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return 0, n, m
-    # Entry i of a table is the cell (i, d - i) of diagonal d: its cost c and its substitutions s.
-    c0, s0, c1, s1 = (np.zeros(n + 1, dtype=np.int64) for _ in range(4))
-    c1[:2] = 1
-    for d in range(2, n + m + 1):
-        c2, s2 = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-        if d <= m:
-            c2[0] = d
-        if d <= n:
-            c2[d] = d
-        lo, hi = max(1, d - m), min(n, d - 1) + 1
-        cost, subs = c0[lo - 1:hi - 1] + 1, s0[lo - 1:hi - 1] + 1
-        for c, s in ((c1[lo - 1:hi - 1] + 1, s1[lo - 1:hi - 1]), (c1[lo:hi] + 1, s1[lo:hi])):  # delete, insert
-            subs = np.where(c < cost, s, subs)
-            cost = np.minimum(c, cost)
-        match = a[lo - 1:hi - 1] == b[d - hi:d - lo][::-1]
-        c2[lo:hi] = np.where(match, c0[lo - 1:hi - 1], cost)
-        s2[lo:hi] = np.where(match, s0[lo - 1:hi - 1], subs)
-        c0, s0, c1, s1 = c1, s1, c2, s2
-    subs, rest = int(s1[n]), int(c1[n] - s1[n])
-    return subs, (rest + n - m) // 2, (rest - n + m) // 2
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    rows, full = {}, (1 << n) - 1
+    for x in places.keys() & set(b):
+        bits = bytearray(n // 8 + 1)
+        for i in places[x]:
+            bits[i >> 3] |= 1 << (i & 7)
+        rows[x] = int.from_bytes(bits, "little")
+
+    def sweep(first: int, last: int, up: int, down: int) -> tuple[list[int], list[int], int, int]:
+        same_of, up_of = [], []
+        for j in range(first, last):
+            eq = rows.get(b[j], 0) | down
+            same = ((((eq & up) + up) ^ up) | eq) & full
+            right = (down | (full & ~(same | up))) << 1 | 1
+            up, down = (same & up) << 1 & full | (full & ~(same | right)), right & same
+            same_of.append(same)
+            up_of.append(up)
+        return same_of, up_of, up, down
+
+    block = max(KEPT_BITS // (2 * n), math.isqrt(m), 1)
+    starts, up, down = [], full, 0
+    for first in range(0, m, block):
+        starts.append((up, down))
+        same_of, up_of, up, down = sweep(first, min(first + block, m), up, down)
+    i, j, subs, dels, at = n, m, 0, 0, len(starts) - 1
+    while i and j:
+        if (j - 1) // block != at:
+            at = (j - 1) // block
+            same_of, up_of, _, _ = sweep(at * block, (at + 1) * block, *starts[at])
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif not same_of[j - 1 - at * block] >> (i - 1) & 1:
+            i, j, subs = i - 1, j - 1, subs + 1
+        elif up_of[j - 1 - at * block] >> (i - 1) & 1:
+            i, dels = i - 1, dels + 1
+        else:
+            j -= 1
+    dels += i
+    return subs, dels, dels - n + m
 
 
 def edit_counts(df: DataFrame, ref: str, hyp: str, prefix: str, passthrough: list[str]) -> DataFrame:
-    """Adds ``prefix``S/D/I/N for two array columns."""
+    """Adds ``prefix``S/D/I/N for two array columns, or two texts taken by character."""
     names = [f"{prefix}{c}" for c in ("sub", "del", "ins", "ref")]
+    whole = str if df.schema[ref].dataType == T.StringType() else list
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(*align(list(r), list(h)), len(r)) for r, h in zip(pdf[ref], pdf[hyp], strict=True)]
+            got = [(*align(r, h), len(r)) for r, h in zip(map(whole, pdf[ref]), map(whole, pdf[hyp]), strict=True)]
             out = pdf[passthrough].copy()
             for k, name in enumerate(names):
                 out[name] = [g[k] for g in got]
@@ -71,9 +97,9 @@ def edit_counts(df: DataFrame, ref: str, hyp: str, prefix: str, passthrough: lis
 
 
 def normalised(df: DataFrame) -> DataFrame:
-    """Normalised reference and hypothesis, as words and as characters without spaces."""
+    """Normalised reference and hypothesis, as words and as text without spaces."""
     words = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")
-    letters = lambda c: F.filter(F.split(F.replace(F.col(c), F.lit(" "), F.lit("")), ""), lambda w: w != "")
+    letters = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     base = df.withColumns({"ref_norm": recogniser_text(F.col("reference")), "hyp_norm": recogniser_text(F.col("hypothesis"))})
     return base.withColumns({"ref_words": words("ref_norm"), "hyp_words": words("hyp_norm"),
                              "ref_chars": letters("ref_norm"), "hyp_chars": letters("hyp_norm")})

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -134,6 +135,20 @@ def test_alignment_splits_its_cost():
         assert asr.align(r, h) == best[len(r), len(h)]
 
 
+def test_alignment_in_blocks_and_of_many_texts(monkeypatch):
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abcd") for _ in range(60)), "".join(rng.choice("abcd") for _ in range(50))) for _ in range(50)]
+    whole = [asr.align(r, h) for r, h in pairs]
+    assert whole == [asr.align(list(r), list(h)) for r, h in pairs]
+    texts = [("".join(rng.choice("abcd efgh") for _ in range(600)), "".join(rng.choice("abcd efgh") for _ in range(600))) for _ in range(400)]
+    start = time.process_time()
+    for r, h in texts:
+        asr.align(r, h)
+    assert time.process_time() - start < 4  # by anti-diagonals about 20 ms a pair
+    monkeypatch.setattr(asr, "KEPT_BITS", 1)
+    assert whole == [asr.align(r, h) for r, h in pairs]
+
+
 def test_long_texts_align():
     """Beyond two million units: an edge of one unit on a long shared middle, and a long insertion."""
     same = ["a", "b"] * 1_100_000
