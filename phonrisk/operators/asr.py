@@ -93,7 +93,7 @@ def edit_counts(df: DataFrame, ref: str, hyp: str, prefix: str, passthrough: lis
             yield out
 
     schema = T.StructType([df.schema[c] for c in passthrough] + [T.StructField(n, T.LongType()) for n in names])
-    return df.mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*passthrough, ref, hyp])).mapInPandas(run, schema)  # the other columns stay behind
 
 
 def normalised(df: DataFrame) -> DataFrame:
