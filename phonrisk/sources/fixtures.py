@@ -9,6 +9,7 @@ every table grows with the table it is derived from.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,7 @@ GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 class Spark:
     """Rendering rules for Spark SQL."""
 
-    def __init__(self, sf_dir: str, spread: int = 0, counts: dict[str, int] | None = None):
+    def __init__(self, sf_dir: str, spread: Callable[[str], int] | None = None, counts: dict[str, int] | None = None):
         self.sf_dir, self.spread, self.counts = sf_dir, spread, counts or {}
 
     def count(self, name: str) -> str:
@@ -27,7 +28,8 @@ class Spark:
 
     def table(self, name: str) -> str:
         path = f"parquet.`{self.sf_dir}/{name}.parquet`"
-        return f"(select /*+ REPARTITION({self.spread}) */ * from {path})" if self.spread else path
+        parts = self.spread(name) if self.spread else 0
+        return f"(select /*+ REPARTITION({parts}) */ * from {path})" if parts else path
 
     def h(self, x: str) -> str:
         return f"cast(conv(substring(md5({x}),1,8),16,10) as bigint)"
@@ -265,7 +267,7 @@ FIXTURES = {f.__name__: f for f in (
     dirty_tokens, stored_profiles, files_recorded, files_present, run_log)}
 
 
-def needed(sql: str, pool: dict[str, str]) -> list[str]:
+def needed(sql: str, pool: Mapping[str, str]) -> list[str]:
     """Names in ``pool`` that ``sql`` uses, dependencies first."""
     out: list[str] = []
 
@@ -283,19 +285,47 @@ def needed(sql: str, pool: dict[str, str]) -> list[str]:
 _VOCABULARY: dict[str, int] = {}
 
 
+class _Bodies(Mapping):
+    """Texts of the derived tables, each rendered when it is used, so that only tables in use are looked at."""
+
+    def __init__(self, dialect: Spark):
+        self.dialect = dialect
+
+    def __getitem__(self, name: str) -> str:
+        return FIXTURES[name](self.dialect)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(FIXTURES)
+
+    def __len__(self) -> int:
+        return len(FIXTURES)
+
+
+#: Rows of a given table that one task derives from: heavy arithmetic a row, few bytes.
+TASK_ROWS = 50_000
+
+
 class Tables:
     """Given and derived tables as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        # A lone small file is one scan task; spread its rows before the derivation's arithmetic.
-        parallel = spark.sparkContext.defaultParallelism
-        scan = spark.read.parquet(f"{sf_dir}/orders.parquet")
-        few = scan._jdf.queryExecution().toRdd().getNumPartitions() * 2 < parallel
         # The vocabulary size as a number: parquet footers answer this without a scan.
         if sf_dir not in _VOCABULARY:
             _VOCABULARY[sf_dir] = spark.read.parquet(f"{sf_dir}/part.parquet").count()
-        self.spark, self.dialect = spark, Spark(sf_dir, parallel if few else 0, {"part": _VOCABULARY[sf_dir]})
-        self._pool = {name: make(self.dialect) for name, make in FIXTURES.items()}
+        self.spark, self._parts = spark, {}
+        self.dialect = Spark(sf_dir, self._spread, {"part": _VOCABULARY[sf_dir]})
+        self._pool = _Bodies(self.dialect)
+
+    def _spread(self, name: str) -> int:
+        """Tasks to spread a table's rows over before the derivation's arithmetic; 0 where its scan has as many.
+
+        Each table is judged by its own files, since a small file of many rows is one scan task.
+        """
+        if name not in self._parts:
+            scan = self.spark.read.parquet(f"{self.dialect.sf_dir}/{name}.parquet")
+            tasks = max(self.spark.sparkContext.defaultParallelism, -(-scan.count() // TASK_ROWS))  # from the footers
+            self._parts[name] = tasks if scan._jdf.queryExecution().toRdd().getNumPartitions() * 2 < tasks else 0
+        return self._parts[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in GIVEN:

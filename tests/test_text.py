@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from phonrisk.functions import hangul as hg
 from phonrisk.functions import text as tx
 from phonrisk.operators import dims, stimuli, trials
+from phonrisk.sources import fixtures
 
 
 def test_every_syllable_round_trips(spark):
@@ -77,3 +78,19 @@ def test_greedy_subset_matches_direct_search(spark):
         for k, v in enumerate(part(sylls[best])):
             seen[k][v] = seen[k].get(v, 0) + 1
     assert got == want
+
+
+def test_a_small_file_of_many_rows_is_spread(spark, tmp_path, monkeypatch):
+    """Each table by its own files: here many orders, as many files, and one file of events."""
+    given = "/root/testdata/sf0.001"
+    for name in ("part", "events", "orders"):
+        df = spark.read.parquet(f"{given}/{name}.parquet")
+        df.repartition(16 if name == "orders" else 1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 50)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        t = fixtures.Tables(spark, str(tmp_path))
+        events = spark.read.parquet(f"{tmp_path}/events.parquet").count()
+        assert t.texts.rdd.getNumPartitions() >= -(-events // 50) and t.texts.count() == events
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
