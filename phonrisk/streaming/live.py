@@ -151,9 +151,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 @dataclass
 class StreamRun:
-    """Folder of a stream's rows, and what its operators said after each micro-batch."""
+    """Folders of a stream's rows and of its checkpoint, and what its operators said after each micro-batch."""
 
     out: str
+    checkpoint: str
     n_dropped_late: int
     n_state_rows: list[int]
 
@@ -173,7 +174,7 @@ def run_available(result: DataFrame, folder: str) -> StreamRun:
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
     said = [o for p in q.recentProgress for o in p["stateOperators"]]
-    return StreamRun(f"{folder}/out", sum(o["numRowsDroppedByWatermark"] for o in said), [o["numRowsTotal"] for o in said])
+    return StreamRun(f"{folder}/out", f"{folder}/checkpoint", sum(o["numRowsDroppedByWatermark"] for o in said), [o["numRowsTotal"] for o in said])
 
 
 def count_batch(batch: DataFrame, batch_id: int, out: str, state: str) -> None:
@@ -262,7 +263,25 @@ def windowed_volume(cues: DataFrame, length: str = "1 hour", slide: str | None =
 
 def sessions(cues: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     return (cues.withWatermark("observed_at", late).groupBy("stream_id", F.session_window("observed_at", gap).alias("w"))
-            .agg(F.count("*").alias("n_cues")).select("stream_id", F.col("w.start").alias("start"), "n_cues"))
+            .agg(F.count("*").alias("n_cues")).select("stream_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_cues"))
+
+
+def closed_sessions(spark, run: StreamRun, *, bounded: bool | None = None) -> DataFrame:
+    """Sessions that a stream of ``sessions`` has closed, whole: (stream, start, n_cues).
+
+    A row may be late enough to fall into a session that was written already, and yet be ahead of the
+    watermark; the operator then begins a new piece. Pieces that touch are one session. One with
+    a piece that is still held in the state is open again, and left out until that piece is written.
+    """
+    cols = ["stream_id", "start", "end", "n_cues"]
+    written = spark.read.parquet(run.out).select(*cols, F.lit(False).alias("open"))
+    held = spark.read.format("statestore").load(run.checkpoint).select(
+        "value.stream_id", "value.session_window.start", "value.session_window.end", F.col("value.count").alias("n_cues"), F.lit(True).alias("open"))
+    prev = with_lag(written.unionByName(held), ["stream_id"], ["start"], {"_end": "end"}, bounded=bounded)
+    fresh = F.coalesce(F.col("start") >= F.col("_end"), F.lit(True)).cast("int")
+    runs = running(prev.withColumn("_new", fresh), ["stream_id"], ["start"], {"_run": "_new"}, bounded=bounded)
+    whole = runs.groupBy("stream_id", "_run").agg(F.min("start").alias("start"), F.sum("n_cues").alias("n_cues"), F.bool_or("open").alias("_open"))
+    return whole.where("not _open").select("stream_id", "start", "n_cues")
 
 
 def deduplicated(cues: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -165,7 +165,7 @@ def _(t):
   case when observed_at - lag(observed_at) over (partition by stream_id order by observed_at, seq) < interval 30 minute then 0 else 1 end fresh from live_cues)) group by stream_id, s""")
 def _(t):
     cues = t.live_cues.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    return lv.sessions(cues).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return lv.sessions(cues).drop("end").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # ---- event-time streams: one cue of ten arrives 12 days late, two of ten 90 minutes late, and copies come later still
@@ -230,7 +230,7 @@ def _(t):
   having max(observed_at) + interval 30 minute <= (select e from {END}))""")
 def _(t):
     runs = _by_arrival(t, _arrived(t), "sessions", lambda s: lv.sessions(s, late=LATE))
-    return _naive(t.spark.read.parquet(runs[-1].out))
+    return _naive(lv.closed_sessions(t.spark, runs[-1]))
 
 
 AGAIN = ("0 minutes", "30 minutes", "8 days")

@@ -63,3 +63,13 @@ def test_sessions_and_windows_close_behind_the_watermark(spark, tmp_path):
     src = Source(spark, tmp_path / "w", lambda s: lv.windowed_volume(s, late="10 minutes"))
     src.deliver(*rows)
     assert src.rows("start", "n_cues") == [(START, 2), (START + timedelta(hours=1), 1)]
+
+
+def test_a_late_row_joins_a_session_that_was_written(spark, tmp_path):
+    src = Source(spark, tmp_path, lambda s: lv.sessions(s, late="10 minutes"))
+    closed = lambda run: sorted((r.stream_id, r.start - START, r.n_cues) for r in lv.closed_sessions(spark, run).collect())
+    at = lambda m: timedelta(minutes=m)
+    src.deliver((1, 0, "a", 0, 0), (1, 1, "a", 20, 0))
+    assert closed(src.deliver((2, 0, "a", 65, 0))) == [(1, at(0), 2)]
+    assert closed(src.deliver((1, 2, "a", 45, 0))) == []  # ahead of the watermark (55) by the session's end: open again
+    assert closed(src.deliver((3, 0, "a", 90, 0))) == [(1, at(0), 3)]
