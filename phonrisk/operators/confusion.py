@@ -27,19 +27,30 @@ def count_observations(obs: DataFrame, keys: list[str], weight: str | None = Non
 def target_rows(counts: DataFrame, keys: list[str], owners: DataFrame | None = None) -> DataFrame:
     """Every target of every owner with its row total and counts by perceived index.
 
-    ``owners`` adds owners without any observation. Output is dense over targets only.
+    ``owners`` adds owners without any observation. Output is dense over targets only. An owner's cells
+    meet once, and its targets are made of them in its row: the observations are read once.
     """
     spark = counts.sparkSession
     idx = dims.perceived_index(F.col("position"), F.col("perceived"))
+    counts = counts.repartition(*keys) if keys else counts  # at most 1,654 cells an owner; both groupings below keep this
     seen = counts.withColumn("_pi", idx).groupBy(*keys, "position", "target").agg(
         F.sum("n").alias("big_n"), F.map_from_entries(F.collect_list(F.struct("_pi", "n"))).alias("m"))  # <= 29
-    who = (owners if owners is not None else counts).select(*keys).distinct() if keys else None
     dim = dims.dim_target(spark).select("position", "slot", F.col("idx").alias("t_idx"),
                                         F.col("symbol").alias("target"), "k")
-    slots = F.explode_outer(F.sequence(F.lit(0), F.lit(dims.N_TARGETS - 1))).alias("slot")
-    grid = who.select(*keys, slots).join(F.broadcast(dim), "slot") if keys else dim
-    return (grid.join(seen, [*keys, "position", "target"], "left")
-            .withColumn("big_n", F.coalesce("big_n", F.lit(0)))
+    if keys:
+        slot = F.broadcast(dim.select("position", "target", "slot"))  # 68 rows
+        cell = F.when(F.col("slot").isNotNull(), F.struct("slot", F.struct("big_n", "m")))
+        packed = seen.join(slot, ["position", "target"], "left").groupBy(*keys).agg(F.map_from_entries(F.collect_list(cell)).alias("_seen"))
+        if owners is not None:
+            packed = owners.select(*keys).distinct().join(packed, keys, "left")
+        at = lambda i: F.try_element_at("_seen", i)
+        each = F.transform(F.sequence(F.lit(0), F.lit(dims.N_TARGETS - 1)), lambda i: F.struct(
+            i.alias("slot"), at(i)["big_n"].alias("big_n"), at(i)["m"].alias("m")))
+        out = packed.select(*keys, F.inline_outer(each)).join(F.broadcast(dim), "slot")
+        out = out.select(*keys, "position", "target", "slot", "t_idx", "k", "big_n", "m")
+    else:
+        out = dim.join(seen, ["position", "target"], "left")
+    return (out.withColumn("big_n", F.coalesce("big_n", F.lit(0)))
             .withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>"))))
 
 

@@ -7,9 +7,11 @@ never exploded and shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from phonrisk.operators import dims, walk
 
 EPS = 1e-6
 SPEAKERS = ("female", "male", "unknown")
-CODA0 = dims.SLOT_BASE["coda"]
+CODA0, SLOTS = dims.SLOT_BASE["coda"], dims.N_TARGETS
 FIELDS = ("p", "n", "backed_off", "own_p", "own_n", "h", "top1", "same", "nlog")
 
 # Block sets of the named arms.
@@ -154,6 +156,69 @@ def profile_vectors(est: DataFrame, keys: list[str], alpha: float = cf.ALPHA, *,
     return settled.select(*keys, *[F.col("_prof")[f].alias(f"prof_{f}") for f in FIELDS], *more, "global_error", F.lit(float(alpha)).alias("alpha"))
 
 
+# One owner's counts as a matrix of targets by perceived categories; the last column is of categories outside the alphabet.
+_WIDTH = max(len(a) for a in hg.ALPHABET.values()) + 2
+_BLOCK = 500  # owners whose matrices are held at once
+
+
+def profiles(counts: DataFrame, keys: list[str], alpha: float = cf.ALPHA) -> DataFrame:
+    """``profile_vectors`` of counts smoothed with ``alpha`` and a uniform prior, made block by block of owners.
+
+    Only the observed cells move, once, to their owner; the 68 x 29 estimates of an owner are array
+    arithmetic in its task and are never rows.
+    """
+    if alpha <= 0:
+        raise ValueError("alpha must be > 0")
+    targets = [(pos, i, s) for pos, a in hg.ALPHABET.items() for i, s in enumerate(a)]
+    k = np.array([len(hg.ALPHABET[pos]) + 1 for pos, _, _ in targets])
+    own = np.array([i for _, i, _ in targets])
+    known = np.arange(_WIDTH) < k[:, None]
+    same = np.array([[j != i and j < len(hg.ALPHABET[pos]) and dims.sound_class(pos, hg.ALPHABET[pos][j]) == dims.sound_class(pos, s) for j in range(_WIDTH)]
+                     for pos, i, s in targets])
+    surface, slots = np.array(_surface_slots()), np.arange(SLOTS)
+    may_back = (slots > CODA0) & (surface != slots)
+
+    def block(cells: pa.ListArray) -> dict[str, np.ndarray]:
+        rows, size = len(cells), SLOTS * _WIDTH
+        at = np.repeat(np.arange(rows), cells.value_lengths().to_numpy(zero_copy_only=False)) * size
+        inner = cells.flatten()
+        at = at + inner.field("cell").to_numpy(zero_copy_only=False)
+        m = np.bincount(at, inner.field("n").to_numpy(zero_copy_only=False), rows * size).reshape(rows, SLOTS, _WIDTH)
+        n = m.sum(2)
+        p = np.where(known, (m + alpha / k[:, None]) / (n + alpha)[:, :, None], 0.0)
+        own_p, hit = p[:, slots, own], m[:, slots, own].sum(1)
+        off = p.copy()
+        off[:, slots, own] = 0.0
+        back = may_back & (n == 0) & (n[:, surface] > 0)
+        settled = np.where(back, own_p[:, surface], own_p)
+        total = n.sum(1)
+        return {"p": settled, "n": np.where(back, n[:, surface], n).astype(np.int64), "backed_off": back, "own_p": own_p, "own_n": n.astype(np.int64),
+                "h": -(p * np.log(np.where(p > 0, p, 1.0))).sum(2), "top1": off.max(2), "same": (p * same).sum(2), "nlog": -np.log(np.maximum(settled, EPS)),
+                "global_error": np.where(total > 0, 1 - hit / np.maximum(total, 1), 0.5)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _BLOCK):
+                part = batch.slice(start, _BLOCK)
+                made = block(part.column("cells"))
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SLOTS)
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(made[f].ravel())) for f in FIELDS]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keys], *arrays, pa.array(made["global_error"])],
+                                                 [*keys, *[f"prof_{f}" for f in FIELDS], "global_error"])
+
+    pos = F.col("position")
+    slot = (F.when(pos == "onset", hg.position_index(hg.ONSETS, F.col("target")))
+            .when(pos == "nucleus", hg.position_index(hg.NUCLEI, F.col("target")) + dims.SLOT_BASE["nucleus"])
+            .when(pos == "coda", hg.position_index(hg.CODAS, F.col("target")) + CODA0))
+    heard = dims.perceived_index(pos, F.col("perceived"))
+    cell = (slot * _WIDTH + F.when(heard < 0, _WIDTH - 1).otherwise(heard)).cast("int")
+    packed = counts.withColumn("_cell", cell).groupBy(*keys).agg(F.collect_list(
+        F.when(F.col("_cell").isNotNull(), F.struct(F.col("_cell").alias("cell"), F.col("n").cast("double").alias("n")))).alias("cells"))  # at most 1,654
+    kind = {"n": "bigint", "own_n": "bigint", "backed_off": "boolean"}
+    schema = ", ".join([f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in keys] + [f"prof_{f} array<{kind.get(f, 'double')}>" for f in FIELDS] + ["global_error double"])
+    return packed.mapInArrow(work, schema).withColumn("alpha", F.lit(float(alpha)))
+
+
 def class_weakness(est: DataFrame, keys: list[str]) -> DataFrame:
     """Observation-weighted error per sound class; unobserved classes get the global error."""
     d = dims.dim_target(est.sparkSession).select("slot", "classes")
@@ -165,6 +230,18 @@ def class_weakness(est: DataFrame, keys: list[str]) -> DataFrame:
     return by_class.join(overall, keys).select(*keys, "class", F.coalesce("_w", "_g").alias("weakness"))
 
 
+def weakness_of(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``weak``, a map of ``class_weakness`` by class, made of each listener's own arrays."""
+    n, p = F.col("prof_own_n"), F.col("prof_own_p")
+
+    def value(slots: list[int]) -> Column:
+        total = reduce(Column.__add__, [n[s] for s in slots])
+        wrong = reduce(Column.__add__, [n[s] * (1 - p[s]) for s in slots])
+        return F.coalesce(F.try_divide(wrong, total), F.col("global_error"))
+
+    return vectors.withColumn("weak", F.create_map(*[x for c, slots in _class_slots().items() for x in (F.lit(c), value(slots))]))
+
+
 def _class_slots() -> dict[str, list[int]]:
     out: dict[str, list[int]] = {c: [] for c in dims.CLASS_NAMES}
     for pos, alphabet in hg.ALPHABET.items():
@@ -264,7 +341,8 @@ def feature_matrix(trials: DataFrame, arm: str, *, hearing: DataFrame | None = N
     """Named columns of ``arm`` for every trial, in fixed order.
 
     Words and (listener, word) pairs are scored once each and joined back. A listener without
-    the profile an arm needs is left out here; ``missing_inputs`` lists those rows.
+    the profile an arm needs is left out here; ``missing_inputs`` lists those rows. ``est`` are estimated
+    target rows, or the listeners' ``profiles``.
     """
     blocks = ARMS[arm]
     used = [b for b in blocks if b in walk.BLOCKS]
@@ -274,11 +352,9 @@ def feature_matrix(trials: DataFrame, arm: str, *, hearing: DataFrame | None = N
         raise ValueError(f"arm {arm} needs hearing measures")
     df = trials.join(word_block(trials.select("word").distinct()), "word")
     if used:
-        vec = profile_vectors(est, [key])
+        vec = est if "prof_p" in est.columns else profile_vectors(est, [key])
         if "confusion_rich" in used:
-            weak = class_weakness(est, [key]).groupBy(key).agg(
-                F.map_from_entries(F.collect_list(F.struct("class", "weakness"))).alias("weak"))  # 24 classes
-            vec = vec.join(weak, key)
+            vec = weakness_of(vec)
         ev = with_evidence(trials.select(key, "word").distinct(), vec, [key])
         df = df.join(walk.evidence_blocks(ev, [key, "word"], used, block_columns(used)), [key, "word"])
     if hearing is not None and {"pta", "clinical"} & set(blocks):

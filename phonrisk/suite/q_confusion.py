@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phonrisk.operators import confusion as cf
 from phonrisk.operators import dims, trials
+from phonrisk.operators import features as ft
 from phonrisk.suite.registry import query, r6
 
 L = ["listener_id"]
@@ -31,6 +32,10 @@ def estimated(t):
     return cf.with_probabilities(rows(t))
 
 
+def profiles(t):
+    return ft.profiles(counts(t), L)
+
+
 @query("c01_score_trials", "select trial_id, position, target, perceived, error_type from obs")
 def _(t):
     return trials.observations(scored(t), "trial_id")

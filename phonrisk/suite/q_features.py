@@ -9,7 +9,6 @@ from phonrisk.operators import confusion as cf
 from phonrisk.operators import dims
 from phonrisk.operators import features as ft
 from phonrisk.operators import walk
-from phonrisk.session import durable
 from phonrisk.suite import q_confusion as qc
 from phonrisk.suite import q_hearing as qh
 from phonrisk.suite.registry import query, r6
@@ -28,7 +27,7 @@ def pairs(t):
 
 
 def evidence(t):
-    return ft.with_evidence(pairs(t), ft.profile_vectors(qc.estimated(t), K), K)
+    return ft.with_evidence(pairs(t), qc.profiles(t), K)
 
 
 def block(t, name, wanted=lambda c: True, ev=None):
@@ -139,9 +138,7 @@ def _(t):
 
 
 def _with_weak(t):
-    est = durable(qc.estimated(t))  # read by weakness and profiles
-    weak = ft.class_weakness(est, K).groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct("class", "weakness"))).alias("weak"))
-    return ft.with_evidence(pairs(t), ft.profile_vectors(est, K).join(weak, K), K)
+    return ft.with_evidence(pairs(t), ft.weakness_of(qc.profiles(t)), K)
 
 
 @_part("f11_interaction_block", f"select p.listener_id, p.word, {_pivot('ix_', 'w*sh', 's')} from pairs p join share s on s.word=p.word join weak k on k.listener_id=p.listener_id and k.cls=s.cls group by all")
@@ -187,7 +184,7 @@ def _(t):
 
 
 def matrix(t, arm, trials=None, **kw):
-    return ft.feature_matrix(trials if trials is not None else t.word_trials, arm, hearing=qh.summary(t), est=qc.estimated(t), **kw)
+    return ft.feature_matrix(trials if trials is not None else t.word_trials, arm, hearing=qh.summary(t), est=qc.profiles(t), **kw)
 
 
 MATRIX = """select t.row_id, t.listener_id, t.misheard, {cols} from word_trials t join wblock w on w.word=t.word join xblock x on x.listener_id=t.listener_id and x.word=t.word

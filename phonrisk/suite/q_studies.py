@@ -11,7 +11,7 @@ from phonrisk.operators import splits as sp
 from phonrisk.operators import trials as tr
 from phonrisk.plans import runner as rn
 from phonrisk.plans import studies as st
-from phonrisk.session import scratch_dir
+from phonrisk.session import scratch_dir, stored
 from phonrisk.suite import q_confusion as qc
 from phonrisk.suite import q_hearing as qh
 from phonrisk.suite.q_cohort import FOLD
@@ -45,7 +45,7 @@ SPRED = f"""(select r.seed, r.listener_id, r.misheard, m.model, case when m.mode
 
 
 def study(t, arms=("confusion_only",), models=(rn.INDEPENDENCE, rn.PREVALENCE), **kw):
-    return rn.Runner(t.spark, scratch_dir(t.spark, "study"), rn.Study(arms, models, **kw), t.word_trials, hearing=qh.summary(t), est=qc.estimated(t))
+    return rn.Runner(t.spark, scratch_dir(t.spark, "study"), rn.Study(arms, models, **kw), t.word_trials, hearing=stored(qh.summary(t), "hearing"), est=stored(qc.profiles(t), "profiles"))
 
 
 @query("x01_study_folds", f"select seed, listener_id, fold from {SFOLD}")
