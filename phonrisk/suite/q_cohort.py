@@ -32,9 +32,9 @@ REF = """(select v, string_agg(chr(cast(44032 + (p%19*21+p%21)*28 + case p%8 whe
 
 @query("j03_listener_vocabulary", f"select l.listener_id, count(*) n, count(distinct r.word) n_words from cal_listeners l cross join {REF} r group by all")
 def _(t):
-    from phonrisk.streaming.live import vocabulary_grid
-    return vocabulary_grid(t.calib_trials.select("listener_id").distinct()).groupBy("listener_id").agg(
-        F.count("*").alias("n"), F.count_distinct("word").alias("n_words"))
+    from phonrisk.streaming.live import vocabulary_lists
+    return vocabulary_lists(t.calib_trials.select("listener_id").distinct()).select(
+        "listener_id", F.size("words").cast("long").alias("n"), F.size(F.array_distinct("words")).cast("long").alias("n_words"))
 
 
 def _stirred() -> str:
