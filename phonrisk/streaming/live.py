@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from phonrisk.functions.hangul import has_hangul
 from phonrisk.functions.text import cue_text
+from phonrisk.operators.features import word_slots
 from phonrisk.operators.ordered import quantile, running, with_lag
 from phonrisk.operators.stimuli import reference_vocabulary
 
@@ -200,11 +201,46 @@ def vocabulary_grid(listeners: DataFrame) -> DataFrame:
     return listeners.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(399)))).join(F.broadcast(ref), "v")  # 400 rows
 
 
+def vocabulary_lists(listeners: DataFrame) -> DataFrame:
+    """Every listener with the reference words as one array: a row a listener, where ``vocabulary_grid`` has 400."""
+    ref = reference_vocabulary(listeners.sparkSession).agg(F.array_sort(F.collect_list(F.struct("v", "word"))).alias("_w"))
+    return listeners.join(F.broadcast(ref.select(F.col("_w.word").alias("words"))))  # one row
+
+
 def reference_thresholds(scored: DataFrame, rate: float = TARGET_RATE, *, risk: str = "risk", keys: tuple[str, ...] = ("listener_id",)) -> DataFrame:
     """Per-listener quantile of the reference words' risks."""
     return quantile(scored, list(keys), risk, 1.0 - rate, out="tau")
 
 
+def listener_thresholds(profiles: DataFrame, rate: float = TARGET_RATE) -> DataFrame:
+    """``profiles`` with ``tau``: ``reference_thresholds`` of the reference words, made in each listener's row.
+
+    The 400 words' phonemes are one broadcast row; no (listener, word) row is formed, so nothing is spread or sorted.
+    """
+    ref = reference_vocabulary(profiles.sparkSession).agg(F.collect_list(word_slots(F.col("word"))).alias("_ref"))
+    risks = F.array_sort(F.transform("_ref", _risk_of))
+    at = (F.size("_risks") - 1) * F.lit(1.0 - rate)
+    lo, hi = F.col("_risks")[F.floor(at).cast("int")], F.col("_risks")[F.ceil(at).cast("int")]
+    return (profiles.join(F.broadcast(ref)).withColumn("_risks", risks)  # one row
+            .withColumn("tau", lo + (hi - lo) * (at - F.floor(at))).drop("_ref", "_risks"))
+
+
+def _risk_of(slots: Column) -> Column:
+    """Independence risk of a word by its phonemes, beside its listener's ``prof_nlog``."""
+    return 1 - F.exp(-F.aggregate(slots, F.lit(0.0), lambda a, s: a + F.col("prof_nlog")[s]))
+
+
+def score_whole_cues(cues: DataFrame, profiles: DataFrame, keep: list[str]) -> DataFrame:
+    """``score_cues`` in the cue's own row, beside its listener's ``prof_nlog`` and ``tau``: words never leave their cue."""
+    held = cues.select(*keep, "listener_id", "text").join(profiles.select("listener_id", "prof_nlog", "tau"), "listener_id", "left")
+    risk = lambda w: F.when(has_hangul(w), _risk_of(word_slots(w))).otherwise(0.0)
+    scored = held.withColumn("words", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"), risk(w).alias("risk"))))
+    shown = F.transform(F.filter("words", lambda w: has_hangul(w["word"]) & (w["risk"] >= F.col("tau"))), lambda w: w["word"])
+    reason = F.when(F.col("tau").isNull(), "no_threshold").when(F.exists("words", lambda w: w["risk"].isNull()), "unscored_words")
+    return (scored.withColumn("_shown", shown).select(*keep, F.size("words").alias("n_words"), F.size("_shown").alias("n_selected"),
+                                                      F.array_join("_shown", " ").alias("display_text"), reason.alias("reason")))
+
+
 def cue_words(cues: DataFrame, keep: list[str]) -> DataFrame:
     return cues.select(*keep, F.posexplode_outer(F.split("text", " ")).alias("word_idx", "word")).where("word is not null")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from phonrisk.functions.text import hash32
 from phonrisk.operators import confusion as cf
-from phonrisk.operators import features as ft
 from phonrisk.session import scratch_dir
 from phonrisk.streaming import live as lv
 from phonrisk.suite import q_confusion as qc
@@ -96,19 +95,13 @@ CUERISK = _risks_sql(CUEPHV).format(pairs=" and d.listener_id=v.cue_listener")
 TAU = f"(select r.listener_id, quantile_cont(r.risk,0.8) tau from {REFRISK} r join {REF} w on w.word=r.word group by all)"
 
 
-def risks_of(t, pairs):
-    ev = ft.with_evidence(pairs, ft.profile_vectors(qc.estimated(t), ["listener_id"]), ["listener_id"])
-    return ev.select("listener_id", "word", ft.independence_risk().alias("risk"))
-
-
 def taus(t):
-    ref = risks_of(t, lv.vocabulary_grid(t.calib_trials.select("listener_id").distinct()).select("listener_id", "word"))
-    return lv.reference_thresholds(ref)
+    return lv.listener_thresholds(qc.profiles(t).select("listener_id", "prof_nlog"))
 
 
 @query("l05_listener_thresholds", f"select listener_id, round(tau,6) tau from {TAU}")
 def _(t):
-    return rnd(taus(t))
+    return rnd(taus(t).select("listener_id", "tau"))
 
 
 CUEW = f"""(select c.stream_id, c.seq, w.i, w.word, k.tau, len(regexp_extract_all(w.word,'[가-힣]'))>0 and x.risk is null lost,
@@ -121,9 +114,7 @@ SCORED = f"""(select stream_id, seq, count(*) n_words, count(*) filter (where se
 
 def scored_cues(t):
     """All cues with a text, every Hangul word of theirs scored with its listener's estimates."""
-    cues = t.live_cues.where("text is not null")
-    pairs = lv.cue_words(cues, ["listener_id"]).select("listener_id", "word").distinct()
-    return lv.score_cues(cues, risks_of(t, pairs), taus(t), ["stream_id", "seq"])
+    return lv.score_whole_cues(t.live_cues.where("text is not null"), taus(t), ["stream_id", "seq"])
 
 
 @query("l06_scored_cues", f"select * from {SCORED}")

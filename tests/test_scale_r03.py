@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from phonrisk.operators import confusion as cf
 from phonrisk.operators import features as ft
 from phonrisk.operators import trials
+from phonrisk.streaming import live as lv
 
 L = ["listener_id"]
 
@@ -38,3 +39,27 @@ def test_estimates_read_the_observations_once(counts):
     lazy = counts.sparkSession.createDataFrame([(1, "onset", "ㄱ", "ㄴ", 2)], "listener_id int, position string, target string, perceived string, n long")
     plan = cf.target_rows(lazy, L)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD[listener_id") == 1
+
+
+def test_thresholds_and_cues_in_the_row(spark, counts):
+    vec = ft.profiles(counts, L)
+    grid = lv.vocabulary_grid(vec.select("listener_id"))
+    risk = lambda pairs: ft.with_evidence(pairs, vec, L).select("listener_id", "word", ft.independence_risk().alias("risk"))
+    taus = lv.reference_thresholds(risk(grid.select("listener_id", "word")))
+    with_tau = lv.listener_thresholds(vec)
+    slow, fast = ({r.listener_id: r.tau for r in x.select("listener_id", "tau").collect()} for x in (taus, with_tau))
+    assert fast == pytest.approx(slow, abs=1e-12)
+    cues = spark.createDataFrame([(1, 1, 0, "각 view 값뷁"), (1, 2, 1, ""), (2, 3, 2, "abc  봐"), (9, 4, 9, "각 x")], "stream_id long, seq long, listener_id int, text string")
+    pairs = lv.cue_words(cues, ["listener_id"]).select("listener_id", "word").distinct()
+    key = ["stream_id", "seq"]
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(lv.score_whole_cues(cues, with_tau, key)) == rows(lv.score_cues(cues, risk(pairs), taus, key))
+    plan = lv.listener_thresholds(vec)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort " not in plan and "Window" not in plan
+
+
+def test_vocabulary_of_a_listener_stays_in_its_row(counts):
+    lists = lv.vocabulary_lists(counts.select("listener_id").distinct())
+    grid = lv.vocabulary_grid(counts.select("listener_id").distinct())
+    assert lists.count() == 3
+    assert {(r.listener_id, w) for r in lists.collect() for w in r.words} == {(r.listener_id, r.word) for r in grid.collect()}
