@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from phonrisk.functions.hangul import has_hangul
 from phonrisk.functions.text import cue_text
@@ -64,66 +64,45 @@ def emitted(cues: DataFrame, *, stream: str = "stream_id", seq: str = "seq", bou
     return prev.withColumn("event", event).where("event is not null").drop("_f", "_pf", "_seen")
 
 
-class _PerStream(StatefulProcessor):
-    """One value a stream, forgotten once event time is ``idle_ms`` past the stream's last row."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", f"{self.value}, until bigint")
-
-    def _swap(self, value, batch: pd.DataFrame) -> None:  # noqa: ANN001
-        old, until = self.held.get(), int(batch["at_ms"].max()) + self.idle_ms
-        if old is None or until > old[1]:
-            if old is not None:
-                self.handle.deleteTimer(old[1])
-            self.handle.registerTimer(until)
-        else:
-            until = old[1]
-        self.held.update((value, until))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        self.held.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-class _LastMark(_PerStream):
+def _emit(batch: pd.DataFrame, mark: str | None) -> tuple[pd.DataFrame, str | None]:
     """Emission of one stream; the value is its last fingerprint."""
+    batch = batch.sort_values("seq", kind="stable")  # one stream's cues of one micro-batch
+    marks = batch["mark"].astype(object).where(batch["mark"].notna(), None).tolist()
+    event = [("clear" if b is not None else None) if m is None else (None if m == b else "cue") for m, b in zip(marks, [mark, *marks[:-1]])]
+    return batch.assign(event=event).dropna(subset=["event"])[["stream_id", "seq", "source", "text", "event"]], marks[-1]
 
-    value = "mark string"
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")  # one stream's cues of one micro-batch
-        held = self.held.get()
-        mark = batch["mark"].astype(object).where(batch["mark"].notna(), None).tolist()
-        before = [held[0] if held else None, *mark[:-1]]
-        event = [("clear" if b is not None else None) if m is None else (None if m == b else "cue") for m, b in zip(mark, before)]
-        self._swap(mark[-1], batch)
-        yield batch.assign(event=event).dropna(subset=["event"])[["stream_id", "seq", "source", "text", "event"]]
 
-
-class _TopSequence(_PerStream):
+def _staleness(batch: pd.DataFrame, top: int | None) -> tuple[pd.DataFrame, int]:
     """Staleness in one stream; the value is its highest sequence."""
+    batch = batch.sort_values(["arrival", "seq"], kind="stable")
+    tops = batch["seq"].cummax()
+    if top is not None:
+        tops = tops.clip(lower=top)
+    return batch.assign(stale=batch["seq"] < tops)[["stream_id", "seq", "stale"]], int(tops.iloc[-1])
 
-    value = "top bigint"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        batch = pd.concat(list(rows)).sort_values(["arrival", "seq"], kind="stable")
-        held = self.held.get()
-        top = batch["seq"].cummax()
-        if held:
-            top = top.clip(lower=held[0])
-        self._swap(int(top.iloc[-1]), batch)
-        yield batch.assign(stale=batch["seq"] < top)[["stream_id", "seq", "stale"]]
+def _stateful(rows: DataFrame, step: Callable, value: str, idle: str, late: str, schema: str) -> DataFrame:
+    """``step`` of each stream's rows and its value, which is forgotten once event time is ``idle`` past the stream's last row.
 
+    Values travel with the rows in Arrow batches of many streams, not by a call for each stream.
+    """
+    idle_ms = span_ms(idle)
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(batches))
+        held, until = state.get if state.exists else (None, 0)
+        out, held = step(batch, held)
+        until = max(until, int(batch["at_ms"].max()) + idle_ms)
+        state.update((held, until))
+        # A row may be so late that its stream's time is up already; it is forgotten at the next turn then.
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield out
 
-def _stateful(rows: DataFrame, processor: StatefulProcessor, late: str, schema: str) -> DataFrame:
     timed = rows.withWatermark("observed_at", late).withColumn("at_ms", F.unix_millis("observed_at"))
-    return timed.groupBy("stream_id").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return timed.groupBy("stream_id").applyInPandasWithState(work, schema, f"held {value}, until bigint", "append", "EventTimeTimeout")
 
 
 def emitted_stream(cues: DataFrame, *, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
@@ -134,13 +113,13 @@ def emitted_stream(cues: DataFrame, *, late: str = "1 hour", idle: str = "1 day"
     stream seen within that time, and a micro-batch writes only those of its own streams.
     """
     marked = cues.select("stream_id", "seq", "source", "text", "observed_at", fingerprint().alias("mark"))
-    return _stateful(marked, _LastMark(span_ms(idle)), late, "stream_id bigint, seq bigint, source string, text string, event string")
+    return _stateful(marked, _emit, "string", idle, late, "stream_id bigint, seq bigint, source string, text string, event string")
 
 
 def stale_stream(results: DataFrame, *, late: str = "1 hour", idle: str = "1 day") -> DataFrame:
     """Streaming form of ``stale``; a stream without results for ``idle`` of event time starts afresh."""
     rows = results.select("stream_id", "seq", "arrival", "observed_at")
-    return _stateful(rows, _TopSequence(span_ms(idle)), late, "stream_id bigint, seq bigint, stale boolean")
+    return _stateful(rows, _staleness, "bigint", idle, late, "stream_id bigint, seq bigint, stale boolean")
 
 
 def span_ms(span: str) -> int:
