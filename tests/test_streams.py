@@ -73,3 +73,22 @@ def test_a_late_row_joins_a_session_that_was_written(spark, tmp_path):
     assert closed(src.deliver((2, 0, "a", 65, 0))) == [(1, at(0), 2)]
     assert closed(src.deliver((1, 2, "a", 45, 0))) == []  # ahead of the watermark (55) by the session's end: open again
     assert closed(src.deliver((3, 0, "a", 90, 0))) == [(1, at(0), 3)]
+
+
+def test_state_of_many_streams_travels_in_batches(spark, tmp_path):
+    src = Source(spark, tmp_path, lambda s: lv.stale_stream(s, late="1 day", idle="2 days"))
+    assert "FlatMapGroupsInPandasWithState" in lv.stale_stream(spark.readStream.format("rate").load().selectExpr(
+        "value stream_id", "value seq", "value arrival", "timestamp observed_at"))._jdf.queryExecution().analyzed().toString()
+    rows = [(i % 40, (i * 7) % 101, "a", i % 50, i) for i in range(400)]
+    src.deliver(*rows[:150])
+    src.deliver(*rows[150:])
+    batch = lv.stale(spark.createDataFrame([(s, q, a) for s, q, _, _, a in rows], "stream_id long, seq long, arrival long"))
+    assert src.rows("stream_id", "seq", "stale") == sorted(tuple(r) for r in batch.select("stream_id", "seq", "stale").collect())
+
+
+def test_a_stream_whose_time_is_up_already_is_taken_and_forgotten(spark, tmp_path):
+    src = Source(spark, tmp_path, lambda s: lv.stale_stream(s, late="1 day", idle="60 minutes"))
+    src.deliver((1, 5, "a", 3000, 0))
+    src.deliver((2, 1, "a", 1600, 1))  # ahead of the watermark (1560) but not by the watermark of the next rows
+    src.deliver((3, 1, "a", 6000, 2))
+    assert src.rows("stream_id", "seq", "stale") == [(1, 5, False), (2, 1, False), (3, 1, False)]
