@@ -15,13 +15,14 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonrisk.operators import blocks
 from phonrisk.operators import splits as sp
+from phonrisk.operators.blocks import BLOCK
 from phonrisk.operators.lexicon import sampled_pairs
 from phonrisk.operators.ordered import rank_rows
 from phonrisk.session import durable, stored
 
 PERSONAL = ("x_", "ix_", "x2_")
-BLOCK = 2_000  # rows whose regressors are held at once
 KNOTS = 5
 # Interactions the additive model may use.
 INTERACTIONS = (("h_wrs", "x_r_phon"), ("c_snr_db", "x_r_phon"), ("h_audiogram_slope", "x2_min_p_onset"),
@@ -65,11 +66,14 @@ def fit_scaling(train: DataFrame, cols: list[str], *, centre: bool = True, imput
     if gaps and not impute_zero:
         row = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in gaps]).first()
         med |= {c: float(row[c]) if row[c] is not None else 0.0 for c in gaps}
-    filled = [F.coalesce(F.col(c), F.lit(med[c])) for c in cols]
-    stats = train.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)], *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
-    sds = [float(stats[f"s{i}"] or 0.0) for i in range(len(cols))]
-    return Scaling(cols, [med[c] for c in cols], [float(stats[f"m{i}"]) if centre else 0.0 for i in range(len(cols))],
-                   [s if s > 1e-12 else 1.0 for s in sds])
+    xs, medians, d = [F.col(c) for c in cols], np.array([med[c] for c in cols]), len(cols)
+    fill = lambda x: np.where(np.isnan(x), medians, x)
+    sums = _totals(train, xs, d + 1, lambda x: np.append(fill(x).sum(0), len(x)))
+    n = max(sums[d], 1.0)
+    mean = sums[:d] / n
+    sds = np.sqrt(_totals(train, xs, d, lambda x: ((fill(x) - mean) ** 2).sum(0)) / n)
+    return Scaling(cols, [float(m) for m in medians], [float(m) if centre else 0.0 for m in mean],
+                   [float(s) if s > 1e-12 else 1.0 for s in sds])
 
 
 def _vectors(df: DataFrame, xs: list[Column], *keep: str) -> DataFrame:
@@ -117,17 +121,18 @@ class Linear:
 
 def _totals(rows: DataFrame, xs: list[Column], width: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sums over all rows of the ``width`` numbers that ``of`` makes of a block of ``xs`` (null is NaN)."""
+    n_xs = len(xs)
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = blocks.matrix(batch.column("x"), n_xs)
             for at in range(0, len(x), BLOCK):
                 total += of(x[at:at + BLOCK])
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "v": pa.array(total[used], pa.float64())})
 
-    data = rows.select(*[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
-    sums = data.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # ``width`` numbers
+    sums = rows.select(blocks.numbers(xs).alias("x")).mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # ``width`` numbers
     out = np.zeros(width)
     out[sums["i"].to_numpy()] = sums["v"].to_numpy()
     return out
@@ -293,13 +298,13 @@ class Additive:
         ranges, coef, intercept = list(self.ranges.values()), np.array(self.coef), self.intercept
 
         def work(x: pa.Array) -> pa.Array:
-            values = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(ranges))
+            values = blocks.matrix(x, len(ranges))
             z = [_basis_of(values[at:at + BLOCK], ranges) @ coef for at in range(0, len(x), BLOCK)]
             score = np.concatenate(z) + intercept if z else np.zeros(0)
             return pa.array(1 / (1 + np.exp(-np.clip(score, -700, 700))))
 
         xs = _augmented([c for c in self.ranges if "*" not in c], self.pairs, self.medians)
-        return df.withColumn(out, F.arrow_udf(work, "double")(F.array(*[x.cast("double") for x in xs.values()])))
+        return df.withColumn(out, F.arrow_udf(work, "double")(blocks.numbers(xs.values())))
 
 
 def _augmented(cols: list[str], pairs: list[tuple[str, str]], med: dict[str, float]) -> dict[str, Column]:

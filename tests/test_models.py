@@ -174,3 +174,11 @@ def test_listeners_of_two_seeds_are_two(data):
     ar.fit_over_seeds(rows, ["x_c"], lambda d, c: seen.append(d.select("listener_id").distinct().count()), [1, 2])
     ar.fit_over_seeds(rows, ["x_c"], lambda d, c: seen.append(d.count()), [2])
     assert seen == [60, 900]
+
+
+def test_a_pass_moves_one_column_a_row(data, monkeypatch):
+    """Wide rows go through Arrow as an array: separate columns are one generated method too long to be compiled."""
+    seen, plain = [], type(data).mapInArrow
+    monkeypatch.setattr(type(data), "mapInArrow", lambda df, *a, **kw: seen.append(df.dtypes) or plain(df, *a, **kw))
+    md.fit_logistic(data, COLS)
+    assert seen and all(types == [("x", "array<double>")] for types in seen)
