@@ -12,10 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phonrisk.operators import blocks
+
 KEYS = ["seed", "fold"]
 
 
@@ -61,24 +63,44 @@ def _passes(rows: DataFrame, cols: list[str], y: str, cells: list[tuple[int, int
     for seed, fold in cells:
         by_seed.setdefault(seed, []).append((seed, fold))
     place = {cell: i for i, cell in enumerate(cells)}
+    n_cols = len(cols) + 1
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(cells), width))
-        for pdf in batches:
-            for (seed, fold), part in pdf.groupby(KEYS, sort=False):
-                x, t = part[cols].to_numpy(float), part[y].to_numpy(float)
-                for cell in by_seed.get(seed, ()):
-                    if cell[1] != fold:
-                        total[place[cell]] += of(cell, x, t)
-        used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"cell": np.repeat(used, width), "i": np.tile(np.arange(width), len(used)), "v": total[used].ravel()})
-
-    data = rows.select(*[F.col(k).cast("long") for k in KEYS], F.col(y).cast("double"), *[F.col(c).cast("double") for c in cols])
-    sums = data.mapInPandas(work, "cell int, i int, v double").groupBy("cell", "i").agg(F.sum("v").alias("v"))
-    out = np.zeros((len(cells), width))
-    for r in sums.collect():  # cells x width
-        out[r.cell, r.i] = r.v
-    return {cell: out[place[cell]] for cell in cells}
+        for batch in batches:
+            for (seed, fold), part in _by_cell(batch, n_cols):
+                for at in range(0, len(part), blocks.BLOCK):
+                    x, t = part[at:at + blocks.BLOCK, 1:], part[at:at + blocks.BLOCK, 0]
+                    for cell in by_seed.get(seed, ()):
+                        if cell[1] != fold:
+                            total[place[cell]] += of(cell, x, t)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int64()), "v": pa.array(total.ravel()[used], pa.float64())})
+
+    sums = _numbers(rows, [y, *cols]).mapInArrow(work, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # cells x width
+    out = np.zeros(len(cells) * width)
+    out[sums["at"].to_numpy()] = sums["v"].to_numpy()
+    return dict(zip(cells, out.reshape(len(cells), width), strict=True))
+
+
+def _numbers(rows: DataFrame, cols: list[str], *keep: str) -> DataFrame:
+    return rows.select(*[F.col(k).cast("long") for k in KEYS], *[F.col(c).alias(f"_{c}") for c in keep], blocks.numbers(cols).alias("x"))
+
+
+def _by_cell(batch: pa.RecordBatch, width: int) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """The rows of a batch's ``x`` of each (seed, fold) in it."""
+    x = blocks.matrix(batch.column("x"), width)
+    for cell, at in _places(batch):
+        yield cell, x if len(at) == len(x) else x[at]
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """Where the rows of each (seed, fold) of a batch stand."""
+    seed, fold = (batch.column(k).to_numpy() for k in KEYS)
+    order = np.lexsort((fold, seed))
+    starts = np.flatnonzero(np.diff(seed[order], prepend=seed[order][:1] - 1).astype(bool) | np.diff(fold[order], prepend=fold[order][:1]).astype(bool))
+    for at in np.split(order, starts[1:]) if len(order) else ():
+        yield (int(seed[at[0]]), int(fold[at[0]])), at
 
 
 def fit_logistic_cells(rows: DataFrame, cols: list[str], *, y: str = "misheard", C: float = 1.0, steps: int = 50, tol: float = 1e-8) -> dict[tuple[int, int], CellFit]:
@@ -88,6 +110,7 @@ def fit_logistic_cells(rows: DataFrame, cols: list[str], *, y: str = "misheard",
     class is an error, as for a single fit.
     """
     d = len(cols) + 1
+    upper = np.triu_indices(d)
     medians = training_medians(rows, cols)
     cells = sorted(medians)
 
@@ -113,10 +136,10 @@ def fit_logistic_cells(rows: DataFrame, cols: list[str], *, y: str = "misheard",
             z = f.features(x)
             score = z @ f.w
             mu = 1 / (1 + np.exp(-np.clip(score, -700, 700)))
-            return np.concatenate([[np.logaddexp(0, score).sum() - (t * score).sum()], z.T @ (mu - t), (z.T @ (z * (mu * (1 - mu))[:, None])).ravel()])
+            return np.concatenate([[np.logaddexp(0, score).sum() - (t * score).sum()], z.T @ (mu - t), (z.T @ (z * (mu * (1 - mu))[:, None]))[upper]])
 
         left = []
-        for cell, s in _passes(rows, cols, y, open_cells, 1 + d + d * d, parts).items():
+        for cell, s in _passes(rows, cols, y, open_cells, 1 + d + len(upper[0]), parts).items():
             f = fits[cell]
             f.steps += 1
             loss = s[0] + f.w @ ridge @ f.w / 2
@@ -125,7 +148,9 @@ def fit_logistic_cells(rows: DataFrame, cols: list[str], *, y: str = "misheard",
                 left.append(cell)
                 continue
             last[cell] = (loss, f.w)
-            move = np.linalg.lstsq(s[1 + d:].reshape(d, d) + ridge, s[1:1 + d] + ridge @ f.w, rcond=None)[0]
+            hess = np.zeros((d, d))
+            hess[upper] = s[1 + d:]
+            move = np.linalg.lstsq(hess + np.triu(hess, 1).T + ridge, s[1:1 + d] + ridge @ f.w, rcond=None)[0]
             f.w = f.w - move
             if np.abs(move).max() > tol:
                 left.append(cell)
@@ -137,14 +162,15 @@ def fit_logistic_cells(rows: DataFrame, cols: list[str], *, y: str = "misheard",
 
 def predict_held_out(rows: DataFrame, cols: list[str], fits: dict[tuple[int, int], CellFit], keep: list[str], out: str = "p") -> DataFrame:
     """``keep`` and the probability of each row under its own cell's fit, which never saw its listener."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            p = np.empty(len(pdf))
-            for cell, at in pdf.groupby(KEYS, sort=False).indices.items():
-                f = fits[tuple(int(k) for k in cell)]
-                p[at] = 1 / (1 + np.exp(-np.clip(f.features(pdf[cols].to_numpy(float)[at]) @ f.w, -700, 700)))
-            yield pdf[keep].assign(**{out: p})
-
-    need = list(dict.fromkeys([*KEYS, *keep]))
+    n_cols, kept = len(cols), [*keep, out]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, p = blocks.matrix(batch.column("x"), n_cols), np.empty(batch.num_rows)
+            for cell, at in _places(batch):
+                f = fits[cell]
+                p[at] = 1 / (1 + np.exp(-np.clip((f.features(x[at]) * f.w).sum(1), -700, 700)))  # row by row: equal rows have equal scores
+            yield pa.RecordBatch.from_arrays([*[batch.column(f"_{c}") for c in keep], pa.array(p)], kept)
+
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep) + f", {out} double"
-    return rows.select(*need, *[F.col(c).cast("double") for c in cols if c not in need]).mapInPandas(work, schema)
+    return _numbers(rows, cols, *keep).mapInArrow(work, schema)

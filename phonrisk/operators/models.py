@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonrisk.operators import blocks
+from phonrisk.operators import blocks, cells
 from phonrisk.operators import splits as sp
 from phonrisk.operators.blocks import BLOCK
 from phonrisk.operators.lexicon import sampled_pairs
@@ -463,10 +463,15 @@ MODELS: dict[str, Callable] = {
 
 def out_of_fold(matrix: DataFrame, cols: list[str], fit: Callable, *, k: int = 5, seed: int = 0, calibration: str = "none") -> tuple[DataFrame, list[dict]]:
     """(row_id, listener_id, misheard, fold, p) with every row predicted by a model that never saw
-    its listener, and the calibration log per fold. k fits, each over one stored table of the matrix with its folds."""
+    its listener, and the calibration log per fold. k fits over one stored table of the matrix with its folds;
+    plain logistic fits share their passes."""
     folds = durable(sp.listener_folds(matrix, k, seed=seed))
     sp.assert_no_leak(sp.leaked_listeners(folds))
     data = stored(matrix.join(folds, "listener_id"), "folded")  # each fit reads it once a step
+    if fit is fit_logistic and calibration == "none":
+        one = data.withColumn("seed", F.lit(0).cast("long"))  # all folds in the same passes
+        held = cells.predict_held_out(one, cols, cells.fit_logistic_cells(one, cols), ["row_id", "listener_id", "misheard", "fold"])
+        return durable(held), [{"fold": f, "requested_method": "none", "effective_method": "none", "fallback_reason": None} for f in range(k)]
     parts, log = None, []
     for f in range(k):
         m = fit_calibrated(data.where(F.col("fold") != f), cols, fit, method=calibration, seed=seed)

@@ -182,3 +182,13 @@ def test_a_pass_moves_one_column_a_row(data, monkeypatch):
     monkeypatch.setattr(type(data), "mapInArrow", lambda df, *a, **kw: seen.append(df.dtypes) or plain(df, *a, **kw))
     md.fit_logistic(data, COLS)
     assert seen and all(types == [("x", "array<double>")] for types in seen)
+
+
+def test_plain_folds_share_their_passes(data, monkeypatch):
+    """Out-of-fold logistic fits equal single ones, without a fit a fold."""
+    slow, _ = md.out_of_fold(data, COLS, lambda d, c: md.fit_logistic(d, c), k=3)
+    monkeypatch.setattr(md, "_newton", None)
+    fast, log = md.out_of_fold(data, COLS, md.fit_logistic, k=3)
+    a, b = ({r.row_id: (r.fold, r.p) for r in x.collect()} for x in (slow, fast))
+    assert a.keys() == b.keys() and all(a[i][0] == b[i][0] and abs(a[i][1] - b[i][1]) < 1e-9 for i in a)
+    assert [x["effective_method"] for x in log] == ["none"] * 3 and fast.columns == slow.columns
