@@ -108,11 +108,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_text(df: DataFrame, path: str, media: str, order: str, text: str) -> None:
-    """Text blocks per media folder, in order inside and across files."""
-    df.repartitionByRange(media, order).sortWithinPartitions(media, order).select(media, F.col(text).alias("value")).write.mode("overwrite").partitionBy(media).text(path)
-
-
 def export_listener(tables: dict[str, DataFrame], listener: int, key: str = "listener_id") -> DataFrame:
     """Everything held about one listener: (table, row as JSON)."""
     parts = [df.where(F.col(key) == listener).select(F.lit(name).alias("table"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))

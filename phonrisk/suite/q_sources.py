@@ -186,10 +186,14 @@ def _(t):
 @query("s19_srt_files", None)
 def _(t):
     from phonrisk.operators import cues as cu
+    from phonrisk.sources.caption_files import write_files
     from phonrisk.suite.q_policy import shown
     path = scratch_dir(t.spark, "srt")
-    tb.write_text(cu.srt_blocks(cu.build_cues(shown(t))), path, "media_id", "cue_idx", "block")
-    return t.spark.read.schema("value string, media_id bigint").text(path).groupBy("media_id").agg(F.count_if(F.col("value").contains("-->")).alias("n_cues"))
+    write_files(cu.srt_blocks(cu.build_cues(shown(t))), path, "srt", media="media_id", order="cue_idx", text="block")
+    lines = F.split(F.decode("content", "UTF-8"), "\n")
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").load(path)
+    return files.select(F.regexp_extract("path", r"/(\d+)\.srt$", 1).cast("long").alias("media_id"),
+                        F.size(F.filter(lines, lambda x: x.contains("-->"))).cast("long").alias("n_cues"))
 
 
 @query("s20_consumed_digests", "select source_id, count(*) n from files_recorded where source_id in (select source from documents where lang='en') group by all")

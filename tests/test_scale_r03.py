@@ -63,3 +63,15 @@ def test_vocabulary_of_a_listener_stays_in_its_row(counts):
     grid = lv.vocabulary_grid(counts.select("listener_id").distinct())
     assert lists.count() == 3
     assert {(r.listener_id, w) for r in lists.collect() for w in r.words} == {(r.listener_id, r.word) for r in grid.collect()}
+
+
+def test_srt_is_one_file_a_media(spark, tmp_path, monkeypatch):
+    """A folder a media costs a commit each; the files of all media stand in one folder."""
+    from phonrisk.suite import load, q_sources
+    monkeypatch.setattr(q_sources, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    rows = load()[0]["s19_srt_files"](spark, "/root/testdata/sf0.001").collect()
+    made = {p.name for p in (tmp_path / "srt").iterdir() if p.suffix == ".srt"}
+    blocks = load()[0]["u04_srt"](spark, "/root/testdata/sf0.001").groupBy("media_id").count().collect()
+    assert {r.media_id: r.n_cues for r in rows} == {r.media_id: r["count"] for r in blocks}
+    assert rows and made == {f"{r.media_id}.srt" for r in rows}
+    assert all((tmp_path / "srt" / f"{r.media_id}.srt").read_text().count(" --> ") == r.n_cues > 0 for r in rows)
