@@ -102,3 +102,17 @@ def test_calibrated_cells_and_unknown_models(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown models"):
         rn.Study(("clinical",), ("magic",)).runs()
     assert rn.Study(("clinical", "confusion_only"), (rn.INDEPENDENCE,)).runs() == [("confusion_only", rn.INDEPENDENCE, "none")]
+
+
+def test_narrow_arms_read_the_widest_matrix(spark, tmp_path):
+    """An arm whose columns another arm has gets no matrix of its own, and the same rows."""
+    from phonrisk.operators import features as ft
+    from phonrisk.plans import runner as rn
+    data = [(i, i % 12, ("각", "닥나", "봐")[i % 3], 5, "male", i % 7 % 2, 1 + i % 2) for i in range(240)]
+    trials = spark.createDataFrame(data, "row_id long, listener_id long, word string, snr_db int, speaker string, misheard int, seed int")
+    own = rn.Runner(spark, str(tmp_path / "own"), rn.Study(("live_word_context",), folds=2), trials)
+    both = rn.Runner(spark, str(tmp_path / "both"), rn.Study(("live_word_context", "word_context_only"), folds=2), trials)
+    cols = ["row_id", "seed", "fold", *ft.arm_columns("live_word_context")]
+    rows = lambda r: sorted(tuple(x) for x in r.matrix("live_word_context").select(*cols).collect())
+    assert rows(both) == rows(own) and len(rows(both)) == 240
+    assert [p.name for p in (tmp_path / "both" / "matrix").iterdir()] == ["word_context_only"]
