@@ -337,32 +337,35 @@ def block_columns(blocks: Iterable[str]) -> list[str]:
 
 
 def feature_matrix(trials: DataFrame, arm: str, *, hearing: DataFrame | None = None, est: DataFrame | None = None,
-                   keep: tuple[str, ...] = ("row_id", "listener_id", "misheard"), key: str = "listener_id") -> DataFrame:
-    """Named columns of ``arm`` for every trial, in fixed order.
+                   keep: tuple[str, ...] = ("row_id", "listener_id", "misheard"), key: str = "listener_id", cols: list[str] | None = None) -> DataFrame:
+    """Named columns of ``arm`` for every trial, in fixed order; with ``cols`` only those of them are made.
 
     Words and (listener, word) pairs are scored once each and joined back. A listener without
     the profile an arm needs is left out here; ``missing_inputs`` lists those rows. ``est`` are estimated
     target rows, or the listeners' ``profiles``.
     """
     blocks = ARMS[arm]
+    names = [c for c in arm_columns(arm) if cols is None or c in cols]
     used = [b for b in blocks if b in walk.BLOCKS]
     if used and est is None:
         raise ValueError(f"arm {arm} needs confusion estimates")
     if {"pta", "clinical"} & set(blocks) and hearing is None:
         raise ValueError(f"arm {arm} needs hearing measures")
-    df = trials.join(word_block(trials.select("word").distinct()), "word")
+    df = trials
+    if set(block_columns(["word"])) & set(names):
+        df = df.join(word_block(trials.select("word").distinct()), "word")
     if used:
         vec = est if "prof_p" in est.columns else profile_vectors(est, [key])
         if "confusion_rich" in used:
             vec = weakness_of(vec)
         ev = with_evidence(trials.select(key, "word").distinct(), vec, [key])
-        df = df.join(walk.evidence_blocks(ev, [key, "word"], used, block_columns(used)), [key, "word"])
+        df = df.join(walk.evidence_blocks(ev, [key, "word"], used, [c for c in block_columns(used) if c in names]), [key, "word"])
     if hearing is not None and {"pta", "clinical"} & set(blocks):
         h = clinical_columns() if "clinical" in blocks else pta_columns()
         df = df.join(hearing.select(key, *[c.alias(n) for n, c in h.items()]), key)
     if "context" in blocks:
         df = df.withColumns(context_columns())
-    return df.select(*keep, *arm_columns(arm))
+    return df.select(*keep, *names)
 
 
 def missing_inputs(trials: DataFrame, arm: str, *, hearing: DataFrame | None, est: DataFrame | None, key: str = "listener_id") -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,21 +164,41 @@ WIDTH = 25
 def draws(listeners: DataFrame, n_resamples: int, seed: int = 0, listener: str = "listener_id", *, bounded: bool | None = None) -> DataFrame:
     """How often each listener is drawn, in blocks of resamples: (blk, listener, w), where ``w[k]`` is of resample ``WIDTH * blk + k``.
 
-    Numbers run through one resample after the other, so counts of a block are summed before the shuffle.
-    A listener that a block never draws has no row in it; ``w`` is null beyond the last resample.
+    Numbers run through one resample after the other and a task draws one block, so draws are counted where they are
+    made (``WIDTH`` four-byte counts a listener) and only counts are shuffled. A listener that a block never draws has
+    no row in it; ``w`` is null beyond the last resample.
     """
     from phonrisk.functions.text import hash60
 
-    who = rank_rows(listeners.select(listener).distinct(), [], [listener], rn="_i", bounded=bounded)
-    size = who.count()
-    grid = (listeners.sparkSession.range(n_resamples * size)
-            .select(F.expr(f"id div {size}").alias("b"), (F.col("id") % size).alias("_d")))
+    who = durable(rank_rows(listeners.select(listener).distinct(), [], [listener], rn="_i", bounded=bounded))
+    size, n_blocks = who.count(), -(-n_resamples // WIDTH)
+    grid = (listeners.sparkSession.range(0, n_blocks * WIDTH * size, 1, max(n_blocks, 1))
+            .select(F.expr(f"id div {size}").alias("b"), (F.col("id") % size).alias("_d")).where(F.col("b") < n_resamples))
     key = F.concat_ws(":", F.lit(f"boot{seed}"), F.col("b"), F.col("_d"))
-    picked = grid.select("b", (F.pmod(hash60(key), F.lit(size)) + 1).alias("_i"))
-    blk, at = F.expr(f"b div {WIDTH}"), F.col("b") % WIDTH
-    weights = F.array(*[F.when(F.col("blk") * WIDTH + k < n_resamples, F.col(f"_w{k}")) for k in range(WIDTH)])
-    counted = picked.groupBy(blk.alias("blk"), "_i").agg(*[F.count_if(at == k).alias(f"_w{k}") for k in range(WIDTH)])
-    return counted.select("blk", "_i", weights.alias("w")).join(who, "_i").drop("_i")
+    picked = grid.select("b", F.pmod(hash60(key), F.lit(size)).alias("_at"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            b, at = (batch.column(c).to_numpy() for c in ("b", "_at"))
+            for blk in np.unique(b // WIDTH):
+                mine = b // WIDTH == blk
+                counts = held.setdefault(int(blk), np.zeros(size * WIDTH, np.int32))
+                np.add.at(counts, at[mine] * WIDTH + b[mine] % WIDTH, 1)
+        for blk, counts in held.items():
+            k = min(WIDTH, n_resamples - blk * WIDTH)
+            if counts.sum(dtype=np.int64) != k * size:
+                raise ValueError(f"block {blk} of resamples was drawn in more than one task")
+            counts = counts.reshape(size, WIDTH)
+            drawn = np.flatnonzero(counts.any(axis=1))
+            beyond = np.arange(WIDTH) >= k
+            for lo in range(0, len(drawn), 10_000):
+                some = drawn[lo:lo + 10_000]
+                values = pa.array(counts[some].astype(np.int64).ravel(), mask=np.tile(beyond, len(some)))
+                w = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * WIDTH), values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), blk)), pa.array(some + 1), w], ["blk", "_i", "w"])
+
+    return picked.mapInArrow(count, "blk bigint, _i bigint, w array<bigint>").join(who, "_i").drop("_i")
 
 
 def resampled_sums(per: DataFrame, drawn: DataFrame, keys: list[str], values: list[str], listener: str = "listener_id") -> DataFrame:
@@ -236,7 +256,9 @@ def bootstrap_rank(df: DataFrame, drawn: DataFrame, keys: list[str], *, y: str =
 #: Distinct scores of all keys up to which weighted counts are shuffled; beyond it rows are ranged by score and read in place.
 MAX_SCORES = 20_000
 #: Weights of a block of resamples that tasks hold at a time (two bytes each).
-MAX_WEIGHTS = 12_000_000
+MAX_WEIGHTS = 48_000_000
+#: Rows whose weights are looked up at once, and the weights of them that are summed at once.
+SLAB, CELLS = 256, 128
 
 
 def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listener: str = "listener_id", bounded: bool | None = None,
@@ -246,8 +268,8 @@ def resampled_rank(per: DataFrame, drawn: DataFrame, keys: list[str], *, listene
     Few distinct scores: weighted counts are summed by score before they are shuffled. Many: nothing is
     multiplied by the resamples (``_ranged_rank``).
     """
-    if few is None:
-        few = per.select(*keys, "p").distinct().count() <= MAX_SCORES
+    if few is None:  # both forms give the same: about is enough
+        few = per.agg(F.approx_count_distinct(F.xxhash64(*keys, "p"))).first()[0] <= MAX_SCORES
     return _summed_rank(per, drawn, keys, listener, bounded) if few else _ranged_rank(per, drawn, keys, listener)
 
 
@@ -278,11 +300,11 @@ def _summed_rank(per: DataFrame, drawn: DataFrame, keys: list[str], listener: st
 
 
 def _ranged_rank(per: DataFrame, drawn: DataFrame, keys: list[str], listener: str) -> DataFrame:
-    """Rows are ranged by (key, score) over tasks once and stay there; only listeners' weights of some resamples
-    travel, as a broadcast of at most ``MAX_WEIGHTS`` numbers at a time.
+    """Rows are ranged by (key, score) over tasks once, packed into slabs and stay there; only listeners' weights
+    of some resamples travel, as a broadcast of at most ``MAX_WEIGHTS`` numbers at a time.
 
     A first pass gives the totals of each range and resample, a second the sums within ranges, which start
-    from the totals of the ranges before. Equal scores of a key lie in one range.
+    from the totals of the ranges before. Equal scores of a key lie in one range and one slab.
     """
     spark = per.sparkSession
     names = [tuple(r) for r in per.select(*keys).distinct().collect()] if keys else [()]  # a row a run
@@ -290,20 +312,110 @@ def _ranged_rank(per: DataFrame, drawn: DataFrame, keys: list[str], listener: st
     number = spark.createDataFrame([(*n, i) for i, n in enumerate(names)], T.StructType([*[per.schema[k] for k in keys], T.StructField("_key", T.IntegerType())]))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     numbered = per.alias("l").join(F.broadcast(number.alias("r")), reduce(Column.__and__, same)) if keys else per.alias("l").join(F.broadcast(number.alias("r")))
+    drawn = stored(drawn.select("blk", listener, F.col("w").cast("array<smallint>").alias("w")), "draws")  # drawn once, read three times
     who = durable(rank_rows(drawn.select(listener).distinct(), [], [listener], rn="_who"))  # never drawn: never counted
-    parts = max(2 * spark.sparkContext.defaultParallelism, 16)
+    parts = max(2 * spark.sparkContext.defaultParallelism, 16, -(-per.count() // 1_000_000))
     rows = numbered.select("_key", "p", F.col(f"l.{listener}").alias(listener), "n", "pos").join(who, listener).select(
-        "_key", "p", (F.col("_who") - 1).alias("_who"), F.col("n").cast("double").alias("n"), F.col("pos").cast("double").alias("pos"))
-    rows = durable(rows.repartitionByRange(parts, "_key", "p").sortWithinPartitions("_key", "p").withColumn("_part", F.spark_partition_id()))
+        "_key", "p", (F.col("_who") - 1).cast("int").alias("_who"), F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    ranged = rows.repartitionByRange(parts, "_key", "p").sortWithinPartitions("_key", "p")
+    slabs = durable(ranged.withColumn("_part", F.spark_partition_id()).mapInArrow(_slabs, SLABS))
     size, n_blocks = who.count(), drawn.agg(F.max("blk")).first()[0] + 1
     step = max(1, min(n_blocks, MAX_WEIGHTS // (WIDTH * max(size, 1))))
     weights = stored(drawn.join(who, listener).select("blk", (F.col("_who") - 1).alias("_who"), "w"), "weights")
-    return reduce(DataFrame.unionByName, [durable(_ranged_block(rows, weights, names, number, keys, size, first, min(first + step, n_blocks)))
+    return reduce(DataFrame.unionByName, [durable(_ranged_block(slabs, weights, names, number, keys, size, first, min(first + step, n_blocks)))
                                           for first in range(0, n_blocks, step)])
 
 
-def _ranged_block(rows: DataFrame, weights: DataFrame, names: list[tuple], number: DataFrame, keys: list[str], size: int, first: int, last: int) -> DataFrame:
-    sc, width = rows.sparkSession.sparkContext, WIDTH * (last - first)
+#: A slab: rows of one key in the order of their scores. ``heads`` are the places where a new score begins.
+SLABS = "_part int, _key int, heads array<int>, who array<int>, n array<bigint>, pos array<bigint>"
+
+
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as slabs of up to ``SLAB`` rows of whole scores; a score of more rows (one a listener at most) is a slab alone."""
+    schema = pa.schema([("_part", pa.int32()), ("_key", pa.int32()), ("heads", pa.list_(pa.int32())), ("who", pa.list_(pa.int32())),
+                        ("n", pa.list_(pa.int64())), ("pos", pa.list_(pa.int64()))])
+    fields, held = ("_part", "_key", "p", "_who", "n", "pos"), None
+
+    def cut(c: dict[str, np.ndarray], heads: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        bounds = np.append(heads, end)
+        keys, i = c["_key"][heads], 0
+        while i < len(heads):
+            same = i + np.searchsorted(keys[i:], keys[i], "right")
+            j = min(max(np.searchsorted(bounds, bounds[i] + SLAB, "right") - 1, i + 1), same)
+            lo, hi = bounds[i], bounds[j]
+            of = [(heads[i:j] - lo).astype(np.int32), c["_who"][lo:hi], c["n"][lo:hi], c["pos"][lo:hi]]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (c["_part"][lo], c["_key"][lo], *of), strict=True))], schema)
+            i = j
+
+    for batch in batches:
+        c = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in fields}
+        if held is not None:
+            c = {f: np.concatenate([held[f], c[f]]) for f in fields}
+        if not len(c["p"]):
+            continue
+        heads = np.flatnonzero(np.r_[True, (c["_key"][1:] != c["_key"][:-1]) | (c["p"][1:] != c["p"][:-1])])
+        yield from cut(c, heads[:-1], heads[-1])
+        held = {f: v[heads[-1]:] for f, v in c.items()}  # the last score may go on in the next batch
+    if held is not None:
+        yield from cut(held, np.zeros(1, int), len(held["p"]))
+
+
+def _each_slab(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(part, key, heads, who, n, pos) of each slab."""
+    for batch in batches:
+        lists = [batch.column(c) for c in ("heads", "who", "n", "pos")]
+        for i, (part, key) in enumerate(zip(batch.column("_part").to_pylist(), batch.column("_key").to_pylist(), strict=True)):
+            yield part, key, *[x[i].values.to_numpy() for x in lists]
+
+
+def _weighted(w: np.ndarray, who: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows counted as often as each resample draws their listener; one count a row is left in two bytes."""
+    drawn = w.take(who, axis=0)
+    return drawn if (n == 1).all() else drawn * n[:, None]
+
+
+def _slab_sum(w: np.ndarray, who: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return sum((_weighted(w, who[at:at + SLAB], n[at:at + SLAB]).sum(axis=0, dtype=np.int64) for at in range(0, len(who), SLAB)), np.zeros(w.shape[1], np.int64))
+
+
+def _running(rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each row, and of all; of two bytes a row, ``SLAB`` rows stay within four."""
+    out = np.zeros((len(rows) + 1, rows.shape[1]), np.int32 if rows.dtype == np.int16 else np.int64)
+    np.cumsum(rows, axis=0, dtype=out.dtype, out=out[1:])
+    return out
+
+
+def _add_slab(w: np.ndarray, heads: np.ndarray, who: np.ndarray, n: np.ndarray, pos: np.ndarray, before: np.ndarray, whole: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` what the slab's scores add to average precision (times positives) and to wins; ``before`` is moved behind the slab.
+
+    Only scores with a positive row add anything, so sums are looked up at those.
+    """
+    if len(heads) == 1:
+        gn, gp = _slab_sum(w, who, n)[None], _slab_sum(w, who[pos > 0], pos[pos > 0])[None]
+        en = ep = np.zeros_like(gn)
+        total = np.array([gn[0], gp[0]])
+    else:
+        at = np.flatnonzero(pos)
+        hit, first = np.unique(np.searchsorted(heads, at, "right") - 1, return_index=True)
+        cn, cp = _running(_weighted(w, who, n)), _running(_weighted(w, who[at], pos[at]))
+        en, ep = cn.take(heads[hit], axis=0), cp.take(first, axis=0)
+        gn = cn.take(np.append(heads[1:], len(who))[hit], axis=0) - en
+        gp = cp.take(np.append(first[1:], len(at)), axis=0) - ep
+        total = np.array([cn[-1], cp[-1]])
+    above = (whole[0] - before[0]) - en
+    share = (whole[1] - before[1]) - ep
+    share /= np.maximum(above, 1, out=above)  # nothing above: nothing drawn here
+    share *= gp
+    out[0] += share.sum(axis=0)
+    below = np.subtract(2 * en + gn, 2 * ep + gp) * 0.5  # negatives below, and half of those beside
+    below += before[0] - before[1]
+    below *= gp
+    out[1] += below.sum(axis=0)
+    before += total
+
+
+def _ranged_block(slabs: DataFrame, weights: DataFrame, names: list[tuple], number: DataFrame, keys: list[str], size: int, first: int, last: int) -> DataFrame:
+    sc, width = slabs.sparkSession.sparkContext, WIDTH * (last - first)
     w, valid = np.zeros((size, width), dtype=np.int16), 0
     table = weights.where(F.col("blk").between(first, last - 1)).toArrow()  # at most MAX_WEIGHTS numbers, or one block
     if table.num_rows:
@@ -312,82 +424,41 @@ def _ranged_block(rows: DataFrame, weights: DataFrame, names: list[tuple], numbe
         for k in range(WIDTH):
             w[at, to + k] = np.maximum(drawn[:, k], 0)
         valid = int((to[:, None] + np.arange(WIDTH))[drawn >= 0].max()) + 1  # beyond the last resample weights are null
-    held = sc.broadcast(w[:, :valid])
-
-    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, sums = None, None
-
-        def row() -> pd.DataFrame:
-            total = np.zeros((2, valid))
-            for lo in range(0, size, 4096):
-                total += sums[:, lo:lo + 4096] @ held.value[lo:lo + 4096].astype(np.float64)
-            return pd.DataFrame({"_part": [at[0]], "_key": [at[1]], "n": [total[0]], "pos": [total[1]]})
-
-        for pdf in batches:
-            for found, g in pdf.groupby(["_part", "_key"]):  # rows come by key
-                if found != at:
-                    if at:
-                        yield row()
-                    at, sums = found, np.zeros((2, size))
-                for c, name in enumerate(("n", "pos")):
-                    sums[c] += np.bincount(g["_who"], g[name], minlength=size)
-        if at:
-            yield row()
-
-    found = rows.mapInPandas(totals, "_part int, _key int, n array<double>, pos array<double>").collect()  # a row a range and key
+    held = sc.broadcast([np.ascontiguousarray(w[:, lo:min(lo + CELLS, valid)]) for lo in range(0, valid, CELLS)])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for part, key, _, who, n, pos in _each_slab(batches):
+            mine = sums.setdefault((part, key), np.zeros((2, valid)))
+            for lo, part_w in zip(range(0, valid, CELLS), held.value, strict=True):
+                mine[:, lo:lo + CELLS] += [_slab_sum(part_w, who, n), _slab_sum(part_w, who[pos > 0], pos[pos > 0])]
+        rows = [{"_part": p, "_key": k, "n": v[0], "pos": v[1]} for (p, k), v in sums.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("_part", pa.int32()), ("_key", pa.int32()), ("n", pa.list_(pa.float64())), ("pos", pa.list_(pa.float64()))]))
+
+    found = slabs.mapInArrow(totals, "_part int, _key int, n array<double>, pos array<double>").collect()  # a row a range and key
     before, whole = {}, np.zeros((len(names), 2, valid))
     for r in sorted(found, key=lambda r: (r["_key"], r["_part"])):
         before[r["_part"], r["_key"]] = whole[r["_key"]].copy()
         whole[r["_key"]] += np.array([r["n"], r["pos"]])
     start, full = sc.broadcast(before), sc.broadcast(whole)
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums over scores of what one score adds; a score whose rows go on in the next batch is kept open."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over scores of what one score adds."""
         out: dict[int, np.ndarray] = {}
-        key, score, part, at, mine = None, None, None, None, None
-
-        def close(n: np.ndarray, pos: np.ndarray) -> None:  # rows of distinct scores in order, all resamples
-            cn, cp = at[0] + np.cumsum(n, axis=0), at[1] + np.cumsum(pos, axis=0)
-            neg, all_n, all_pos = n - pos, full.value[key][0], full.value[key][1]
-            above = all_n - cn + n
-            share = np.divide(all_pos - cp + pos, above, out=np.zeros_like(above), where=above > 0)
-            mine[0] += (pos * share).sum(axis=0)
-            mine[1] += (pos * (cn - cp - neg / 2)).sum(axis=0)
-            at[0], at[1] = cn[-1], cp[-1]
-
-        for pdf in batches:
-            ks, ps, who = pdf["_key"].to_numpy(), pdf["p"].to_numpy(), pdf["_who"].to_numpy()
-            n, pos = pdf["n"].to_numpy(), pdf["pos"].to_numpy()
-            slab = max(1, min(len(ks), 400_000 // max(valid, 1)))
-            for lo in range(0, len(ks), slab):
-                hi = min(lo + slab, len(ks))
-                drawn = held.value[who[lo:hi]].astype(np.float64)
-                fresh = np.flatnonzero(np.r_[True, (ks[lo + 1:hi] != ks[lo:hi - 1]) | (ps[lo + 1:hi] != ps[lo:hi - 1])])
-                wn, wp = (np.add.reduceat(drawn * c[lo:hi, None], fresh, axis=0) for c in (n, pos))
-                heads = lo + fresh
-                if key == ks[lo] and score == ps[lo]:
-                    wn[0] += left[0]
-                    wp[0] += left[1]
-                elif key is not None:
-                    close(left[0][None], left[1][None])
-                edges = np.r_[np.flatnonzero(np.r_[True, ks[heads[1:]] != ks[heads[:-1]]]), len(heads)]
-                for a, b in zip(edges[:-1], edges[1:]):  # one key each
-                    if ks[heads[a]] != key:
-                        key, part = ks[heads[a]], pdf["_part"].iloc[lo]
-                        at, mine = start.value[part, key].copy(), out.setdefault(int(key), np.zeros((2, valid)))
-                    end = b - 1 if b == len(heads) else b
-                    if end > a:
-                        close(wn[a:end], wp[a:end])
-                score, left = ps[heads[-1]], (wn[-1], wp[-1])
-        if key is not None:
-            close(left[0][None], left[1][None])
+        at: dict[int, np.ndarray] = {}
+        for part, key, heads, who, n, pos in _each_slab(batches):
+            mine = out.setdefault(key, np.zeros((2, valid)))
+            begun = at.setdefault(key, start.value[part, key].copy())
+            for lo, part_w in zip(range(0, valid, CELLS), held.value, strict=True):
+                cols = slice(lo, lo + CELLS)
+                _add_slab(part_w, heads, who, n, pos, begun[:, cols], full.value[key][:, cols], mine[:, cols])
         for k, v in out.items():
-            yield pd.DataFrame({"_key": np.int32(k), "b": np.arange(valid) + WIDTH * first, "ap": v[0], "wins": v[1]})
+            yield pa.RecordBatch.from_pydict({"_key": np.full(valid, k, np.int32), "b": np.arange(valid) + WIDTH * first, "ap": v[0], "wins": v[1]})
 
-    of = rows.mapInPandas(sums, "_key int, b long, ap double, wins double").groupBy("_key", "b").agg(
+    of = slabs.mapInArrow(sums, "_key int, b long, ap double, wins double").groupBy("_key", "b").agg(
         F.sum(F.col("ap").cast("decimal(38,15)")).cast("double").alias("ap"), F.sum(F.col("wins").cast("decimal(38,4)")).cast("double").alias("wins"))
     flat = [(i, WIDTH * first + b, float(whole[i, 0, b]), float(whole[i, 1, b])) for i in range(len(names)) for b in range(valid)]
-    sizes = rows.sparkSession.createDataFrame(flat, "_key int, b long, _n double, _pos double")  # a row a run and resample
+    sizes = slabs.sparkSession.createDataFrame(flat, "_key int, b long, _n double, _pos double")  # a row a run and resample
     two = (F.col("_pos") > 0) & (F.col("_n") > F.col("_pos"))
     return of.join(sizes, ["_key", "b"]).join(F.broadcast(number), "_key").select(
         *keys, "b", F.when(two, F.try_divide("wins", F.col("_pos") * (F.col("_n") - F.col("_pos")))).alias("roc_auc"),

@@ -105,15 +105,19 @@ class Runner:
         return out
 
     def matrix(self, arm: str) -> DataFrame:
-        """The arm's rows with seed and fold, in folders by both. It is read from the widest arm of the study that has its columns."""
-        cols = ft.arm_columns(arm)
-        wide = max((a for a in self.study.arms if set(cols) <= set(ft.arm_columns(a))), key=lambda a: len(ft.arm_columns(a)), default=arm)
+        """The arm's rows with seed and fold, in folders by both. It is read from the widest arm of the study that has its columns.
+
+        A study whose models are not fitted has no use for other columns than the independence risk.
+        """
+        fitted = set(self.study.models) - {INDEPENDENCE, PREVALENCE}
+        cols = [c for c in ft.arm_columns(arm) if fitted or c == "x_r_phon"]
+        wide = max((a for a in self.study.arms if set(ft.arm_columns(arm)) <= set(ft.arm_columns(a))), key=lambda a: len(ft.arm_columns(a)), default=arm)
 
         def make() -> DataFrame:
-            rows = ft.feature_matrix(self.rows(), wide, hearing=self.hearing, est=self.est, keep=("row_id", "listener_id", "misheard", "seed"))
+            rows = ft.feature_matrix(self.rows(), wide, hearing=self.hearing, est=self.est, keep=("row_id", "listener_id", "misheard", "seed"), cols=None if fitted else ["x_r_phon"])
             return rows.join(self.folds(), ["seed", "listener_id"])
 
-        return self._table(f"matrix/{wide}", make, "seed", "fold").select("row_id", "listener_id", "misheard", *cols, "seed", "fold")
+        return self._table(f"matrix/{wide}" if fitted else f"risk/{wide}", make, "seed", "fold").select("row_id", "listener_id", "misheard", *cols, "seed", "fold")
 
     def log(self) -> DataFrame:
         """What became of each cell that was tried; the last entry of a cell counts."""

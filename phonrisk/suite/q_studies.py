@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phonrisk.operators import confusion as cf
+from phonrisk.operators import features as ft
 from phonrisk.operators import metrics as mt
 from phonrisk.operators import policy as po
 from phonrisk.operators import splits as sp
@@ -45,7 +46,9 @@ SPRED = f"""(select r.seed, r.listener_id, r.misheard, m.model, case when m.mode
 
 
 def study(t, arms=("confusion_only",), models=(rn.INDEPENDENCE, rn.PREVALENCE), **kw):
-    return rn.Runner(t.spark, scratch_dir(t.spark, "study"), rn.Study(arms, models, **kw), t.word_trials, hearing=stored(qh.summary(t), "hearing"), est=stored(qc.profiles(t), "profiles"))
+    heard = any({"pta", "clinical"} & set(ft.ARMS[a]) for a in arms)
+    hearing = stored(qh.summary(t), "hearing") if heard else None
+    return rn.Runner(t.spark, scratch_dir(t.spark, "study"), rn.Study(arms, models, **kw), t.word_trials, hearing=hearing, est=stored(qc.profiles(t), "profiles"))
 
 
 @query("x01_study_folds", f"select seed, listener_id, fold from {SFOLD}")
