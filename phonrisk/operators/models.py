@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,15 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phonrisk.functions.text import hash60
 from phonrisk.operators import blocks, cells
 from phonrisk.operators import splits as sp
 from phonrisk.operators.blocks import BLOCK
-from phonrisk.operators.lexicon import sampled_pairs
-from phonrisk.operators.ordered import rank_rows
+from phonrisk.operators.lexicon import ROUNDS, sampled_pairs
+from phonrisk.operators.ordered import is_bounded, rank_rows
 from phonrisk.session import durable, stored
 
 PERSONAL = ("x_", "ix_", "x2_")
@@ -123,16 +125,25 @@ def _totals(rows: DataFrame, xs: list[Column], width: int, of: Callable[[np.ndar
     """Sums over all rows of the ``width`` numbers that ``of`` makes of a block of ``xs`` (null is NaN)."""
     n_xs = len(xs)
 
+    def each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        x = blocks.matrix(batch.column("x"), n_xs)
+        for at in range(0, len(x), BLOCK):
+            yield of(x[at:at + BLOCK])
+
+    return _summed(rows.select(blocks.numbers(xs).alias("x")), width, each)
+
+
+def _summed(rows: DataFrame, width: int, each: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """Sums of all ``width`` numbers that ``each`` makes of the batches of ``rows``."""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            x = blocks.matrix(batch.column("x"), n_xs)
-            for at in range(0, len(x), BLOCK):
-                total += of(x[at:at + BLOCK])
+            for numbers in each(batch):
+                total += numbers
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "v": pa.array(total[used], pa.float64())})
 
-    sums = rows.select(blocks.numbers(xs).alias("x")).mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # ``width`` numbers
+    sums = rows.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # ``width`` numbers
     out = np.zeros(width)
     out[sums["i"].to_numpy()] = sums["v"].to_numpy()
     return out
@@ -142,13 +153,12 @@ def _newton(rows: DataFrame, given: list[Column], xs: list[Column], design: Call
     """Coefficients that minimise the weighted sum of logistic losses plus sum(penalty * w^2) / 2.
 
     ``given`` are label, weight and offset; ``design`` makes the regressors of a block of ``xs``. A pass over
-    the rows sums loss, gradient and the upper half of the Hessian; a step is halved while it raises the loss.
+    the rows sums loss, gradient and the upper half of the Hessian.
     """
-    d = len(penalty)
-    upper = np.triu_indices(d)
-    w, last = np.zeros(d), (np.inf, np.zeros(d))
-    for _ in range(steps):
-        def of(block: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+    upper = np.triu_indices(len(penalty))
+
+    def sums_at(w: np.ndarray) -> np.ndarray:
+        def of(block: np.ndarray) -> np.ndarray:
             y, weight, offset = block[:, :3].T
             z = design(block[:, 3:])
             score = offset + z @ w
@@ -157,7 +167,18 @@ def _newton(rows: DataFrame, given: list[Column], xs: list[Column], design: Call
             hess = z.T @ (z * (weight * mu * (1 - mu))[:, None])
             return np.concatenate([[loss], z.T @ (weight * (mu - y)), hess[upper]])
 
-        sums = _totals(rows, [*given, *xs], 1 + d + len(upper[0]), of)
+        return _totals(rows, [*given, *xs], 1 + len(penalty) + len(upper[0]), of)
+
+    return _minimise(sums_at, penalty, steps, tol)
+
+
+def _minimise(sums_at: Callable[[np.ndarray], np.ndarray], penalty: np.ndarray, steps: int = 50, tol: float = 1e-8) -> np.ndarray:
+    """Newton steps on a loss whose sums (loss, gradient, upper half of the Hessian) are given at any coefficients; a step is halved while it raises the loss."""
+    d = len(penalty)
+    upper = np.triu_indices(d)
+    w, last = np.zeros(d), (np.inf, np.zeros(d))
+    for _ in range(steps):
+        sums = sums_at(w)
         loss = sums[0] + (penalty * w * w).sum() / 2
         if loss > last[0] + 1e-9 * abs(loss):
             w = (w + last[1]) / 2
@@ -350,44 +371,181 @@ def fit_additive(train: DataFrame, cols: list[str], *, y: str = "misheard", C: f
 
 
 def _deltas(train: DataFrame, cols: list[str], cap: int, y: str, seed: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The drawn pairs' differences as rows: what a ranker is fitted to, which the fit itself never writes out."""
     pairs = sampled_pairs(train, cap, y=y, keep=(*cols, *extra), seed=seed)
     diff = [(F.coalesce(F.col(f"pos_{c}"), F.lit(0.0)) - F.coalesce(F.col(f"neg_{c}"), F.lit(0.0))).alias(c) for c in cols]
     return pairs.select(*diff, *[F.col(f"{s}_{e}") for e in extra for s in ("pos", "neg")])
 
 
-def _fit_pairs(delta: DataFrame, cols: list[str], C: float, weight: Column | None) -> Linear:
-    d = stored(delta.select(*cols, (weight if weight is not None else F.lit(1.0)).alias("_w")), "pairs")
-    size = d.agg(F.count("*").alias("n"), F.avg("_w").alias("w"), *[F.avg(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    n = size.n
+def _placed(train: DataFrame, cols: list[str], y: str, seed: int, score: str | None, listener: str = "listener_id", row: str = "row_id") -> DataFrame:
+    """Rows with what drawing needs: their place ``_k`` on their side of the listener, the sides' sizes ``_m`` and ``_n``, and with ``score`` their ``_rank``.
+
+    Listeners' rows come together, after one shuffle of the matrix; a listener too large for a window is ranked over tasks before.
+    """
+    xs = blocks.numbers([F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
+    order = [] if score is None else [F.col("_score").desc(), row]
+    df = train.select(listener, y, row, xs.alias("x"), *([] if score is None else [F.col(score).alias("_score")]), hash60(F.concat_ws(":", F.lit(f"side{seed}"), F.col(row))).alias("_h"))
+    m, n = F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)
+    if is_bounded(train, [listener]):
+        whole = Window.partitionBy(listener)
+        df = df.repartition(listener)
+        if order:
+            df = df.withColumn("_rank", F.row_number().over(whole.orderBy(*order)).cast("long"))
+        df = df.withColumns({"_m": m.over(whole), "_n": n.over(whole)})
+        df = df.withColumn("_k", F.row_number().over(Window.partitionBy(listener, y).orderBy("_h", row)).cast("long"))
+    else:
+        sizes = df.groupBy(listener).agg(m.alias("_m"), n.alias("_n"))
+        if order:
+            df = rank_rows(df, [listener], order, rn="_rank", bounded=False)
+        df = rank_rows(df, [listener, y], ["_h", row], rn="_k", bounded=False).join(sizes, listener)
+        df = df.repartition(listener).sortWithinPartitions(listener)
+    rank = F.col("_rank") if order else F.lit(None).cast("long")
+    return df.select(F.col(listener).cast("string").alias("_name"), F.col(y).cast("int").alias("_y"), "_k", "_m", "_n", rank.alias("_rank"), "x")
+
+
+def _drawn(name: str, m: int, n: int, cap: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (from 1) on the two sides of a listener's pairs: those of ``lexicon.sampled_pairs``, with one hash for each place a shift depends on."""
+    i = np.arange(min(m * n, cap))
+    a, b = i // n, i % n
+    for r in range(ROUNDS):
+        moved, other, size, places = (a, b, m, n) if r % 2 == 0 else (b, a, n, m)
+        asked, at = (np.arange(places), other) if places <= len(i) else np.unique(other, return_inverse=True)
+        key = f"pair{seed}:{name}:{r}:".encode()
+        shift = [(int.from_bytes(md5(key + b"%d" % o).digest()[:8]) >> 4) % size for o in asked.tolist()]  # ``hash60``
+        moved = (moved + np.array(shift)[at]) % size
+        a, b = (moved, b) if r % 2 == 0 else (a, moved)
+    return a + 1, b + 1
+
+
+#: A listener's rows that may stand in pairs, column by column and without the columns that are the same in all of them (``cols`` are the others), the
+#: pairs as places of a misheard and a heard row, and their weights: as bytes, since Parquet takes an array's numbers one by one.
+PAIRED = "cols binary, x binary, a binary, b binary, v binary"
+
+
+def _paired(placed: DataFrame, n_cols: int, cap: int, seed: int) -> DataFrame:
+    """One ``PAIRED`` row for each listener with both kinds of words. Pairs are never rows: at most 2 ``cap`` rows of a listener are held."""
+    def close(name: str, pieces: list[tuple], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        y, k, rank, x = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        places = [np.flatnonzero(y == side) for side in (1, 0)]
+        ends = []
+        for mine, at in zip(places, (a, b), strict=True):
+            order = mine[np.argsort(k[mine])]
+            ends.append(order[np.searchsorted(k[order], at)])
+        weights = np.ones(len(a)) if np.isnan(rank).any() else np.abs(1 / np.log2(rank[ends[0]] + 1) - 1 / np.log2(rank[ends[1]] + 1))
+        varied = np.flatnonzero((x != x[0]).any(axis=0)).astype(np.int32)
+        return varied, np.ascontiguousarray(x.T[varied]), *(e.astype(np.int32) for e in ends), weights
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in values], pa.binary()) for values in zip(*rows, strict=True)], ["cols", "x", "a", "b", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, pieces, a, b, out = None, [], None, None, []
+        for batch in batches:
+            names = batch.column("_name").to_numpy(zero_copy_only=False)
+            y, k, m, n = (batch.column(c).to_numpy() for c in ("_y", "_k", "_m", "_n"))
+            rank = batch.column("_rank").to_numpy(zero_copy_only=False).astype(float)
+            x = blocks.matrix(batch.column("x"), n_cols)
+            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, int)
+            for lo, hi in zip(starts, np.append(starts[1:], len(names)), strict=True):
+                if names[lo] != name:
+                    if pieces:
+                        out.append(close(name, pieces, a, b))
+                        if len(out) == 50:
+                            yield batch_of(out)
+                            out = []
+                    name, pieces = names[lo], []
+                    a, b = _drawn(name, int(m[lo]), int(n[lo]), cap, seed) if m[lo] and n[lo] else (None, None)
+                if a is not None:
+                    used = slice(None) if max(m[lo], n[lo]) <= cap else np.where(y[lo:hi] == 1, np.isin(k[lo:hi], a), np.isin(k[lo:hi], b) & (y[lo:hi] == 0))
+                    pieces.append((y[lo:hi][used], k[lo:hi][used], rank[lo:hi][used], x[lo:hi][used]))
+        if pieces:
+            out.append(close(name, pieces, a, b))
+        if out:
+            yield batch_of(out)
+
+    return placed.mapInArrow(work, PAIRED)
+
+
+def _each_paired(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cols, columns x rows, a, b, v) of each listener."""
+    kinds = {"cols": np.int32, "x": float, "a": np.int32, "b": np.int32, "v": float}
+    for row in zip(*(batch.column(c) for c in kinds), strict=True):
+        cols, x, *pairs = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(row, kinds.values(), strict=True))
+        yield cols, x.reshape(len(cols), -1) if len(cols) else np.zeros((0, 1 + max(p.max() for p in pairs[:2]))), *pairs
+
+
+def _fit_pairs(placed: DataFrame, cols: list[str], cap: int, seed: int, C: float) -> Linear:
+    """A pair's loss reads the scores of its two rows, so sums over pairs are sums over a listener's rows: X c and X L X'."""
+    d = len(cols)
+    pairs = stored(_paired(placed, d, cap, seed), "pairs")
+    upper = np.triu_indices(d)
+
+    def sizes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        total = np.zeros(2 + d)
+        for at, x, a, b, v in _each_paired(batch):
+            diff = x[:, a] - x[:, b]
+            total[:2] += len(a), v.sum()
+            total[2 + at] += (diff * diff).sum(axis=1)
+        yield total
+
+    size = _summed(pairs, 2 + d, sizes)
+    n = int(size[0])
     if n == 0:
         raise ValueError("no listener has both misheard and heard words; a ranker cannot be fitted")
-    # A pair and its mirror image have the same loss and add up to means of zero: each is read once, with twice its weight.
-    sds = [float(np.sqrt(size[f"s{i}"])) for i in range(len(cols))]
-    scaling = Scaling(cols, [0.0] * len(cols), [0.0] * len(cols), [s if s > 1e-12 else 1.0 for s in sds])
-    coef, _ = _fit_linear(d, scaling, F.lit(1.0), 2 * F.col("_w"), F.lit(0.0), size.w / C, intercept=False)
-    return Linear(scaling, coef, 0.0, name="pairwise", meta={"n_pairs": n, "output_is_probability": False})
+    sds = [s if s > 1e-12 else 1.0 for s in np.sqrt(size[2:] / n).tolist()]
+
+    def sums_at(w: np.ndarray) -> np.ndarray:
+        def each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            loss, gradient, hess = 0.0, np.zeros(d), np.zeros((d, d))
+            for at, x, a, b, v in _each_paired(batch):
+                x, r = x / np.array(sds)[at, None], x.shape[1]
+                score = w[at] @ x
+                gap = score[a] - score[b]
+                mu = 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
+                pull, bend = 2 * v * (mu - 1), 2 * v * mu * (1 - mu)  # a pair and its mirror image have the same loss: each is read once, with twice its weight
+                loss += (2 * v * np.logaddexp(0, -gap)).sum()
+                gradient[at] += x @ (np.bincount(a, pull, r) - np.bincount(b, pull, r))
+                if r * (r + d) < d * len(a):
+                    links = np.bincount(a * r + b, bend, r * r).reshape(r, r)
+                    lap = np.diag(links.sum(0) + links.sum(1)) - links - links.T
+                    hess[np.ix_(at, at)] += (x @ lap) @ x.T
+                else:
+                    z = x[:, a] - x[:, b]
+                    hess[np.ix_(at, at)] += (z * bend) @ z.T
+            yield np.concatenate([[loss], gradient, hess[upper]])
+
+        return _summed(pairs, 1 + d + len(upper[0]), each)
+
+    w = _minimise(sums_at, np.full(d, size[1] / n / C))
+    # Differences and their mirror images add up to means of zero.
+    scaling = Scaling(cols, [0.0] * d, [0.0] * d, sds)
+    return Linear(scaling, [float(v) for v in w], 0.0, name="pairwise", meta={"n_pairs": n, "output_is_probability": False})
 
 
 def _squash(model: Linear, train: DataFrame) -> Linear:
     """Centre and scale of the training scores, so that the sigmoid keeps the order unsaturated."""
-    row = train.select(model.score().alias("z")).agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
-    model.centre, model.spread = float(row.m), float(row.s) if row.s and row.s > 1e-12 else 1.0
+    medians, of = np.array(model.scaling.medians), np.array(model.coef) / np.array(model.scaling.sds)
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        z = (np.where(np.isnan(x), medians, x) - np.array(model.scaling.means)) @ of + model.intercept
+        return np.array([len(z), z.sum(), (z * z).sum()])
+
+    n, total, square = _totals(train, [F.col(c) for c in model.scaling.cols], 3, moments)
+    sd = float(np.sqrt(max(square / n - (total / n) ** 2, 0.0)))
+    model.centre, model.spread = float(total / n), sd if sd > 1e-12 else 1.0
     return model
 
 
 def fit_pairwise_ranker(train: DataFrame, cols: list[str], *, cap: int = 400, C: float = 1.0, y: str = "misheard", seed: int = 0) -> Linear:
     """Linear ranker on differences of (misheard, heard) words of one listener."""
     require_two_classes(train, y)
-    return _squash(_fit_pairs(_deltas(train, cols, cap, y, seed), cols, C, None), train)
+    return _squash(_fit_pairs(_placed(train, cols, y, seed, None), cols, cap, seed, C), train)
 
 
 def fit_listwise_ranker(train: DataFrame, cols: list[str], *, cap: int = 400, C: float = 1.0, y: str = "misheard", seed: int = 0) -> Linear:
     """Pairs weighted by how much swapping them would change the listener's nDCG under a first model."""
     first = fit_logistic(train, cols, y=y)
-    ranked = rank_rows(first.predict(train, "_p"), ["listener_id"], [F.col("_p").desc(), "row_id"], rn="_rank")
-    swap = F.abs(1 / F.log2(F.col("pos__rank") + 1) - 1 / F.log2(F.col("neg__rank") + 1))
-    delta = _deltas(ranked, cols, cap, y, seed, ("_rank",))
-    return _squash(_fit_pairs(delta, cols, C, swap), train)
+    return _squash(_fit_pairs(_placed(first.predict(train, "_p"), cols, y, seed, "_p"), cols, cap, seed, C), train)
 
 
 # ---- trees

@@ -2,10 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from phonrisk.operators import metrics as mt
+from phonrisk.operators import models as md
+from phonrisk.operators import ordered
+from phonrisk.session import stored
 
 
 def test_scores_stay_whole_in_slabs(spark, monkeypatch):
@@ -36,3 +40,37 @@ def test_a_study_without_fits_makes_no_other_columns(spark):
     cells = q_studies.study(Tables(spark, "/root/testdata/sf0.001"))
     assert cells.hearing is None
     assert cells.matrix("confusion_only").columns == ["row_id", "listener_id", "misheard", "x_r_phon", "seed", "fold"]
+
+
+@pytest.fixture(scope="module")
+def heard(spark):
+    rng = random.Random(8)
+    rows = [(i, f"a/{i % 9}" if i % 9 else "hot", int(rng.random() < 0.4), None if i % 7 == 0 else float(i % 5), rng.random(), 1.0) for i in range(700)]
+    rows += [(700 + i, "hot", int(i % 50 == 0), 1.0, rng.random(), 1.0) for i in range(900)] + [(2000, "one", 1, 1.0, 2.0, 1.0)]
+    return spark.createDataFrame(rows, "row_id long, listener_id string, misheard int, h_a double, x_b double, w_c double").cache()
+
+
+RANKED = ["h_a", "x_b", "w_c"]
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 100])
+@pytest.mark.parametrize("listwise", [False, True])
+def test_rankers_fit_the_drawn_pairs_without_writing_them(heard, monkeypatch, limit, listwise):
+    """The optimum over ``sampled_pairs``, from one row a listener; large listeners are ranked over tasks."""
+    monkeypatch.setattr(ordered, "MAX_GROUP", limit)
+    kept = {}
+    monkeypatch.setattr(md, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    m = (md.fit_listwise_ranker if listwise else md.fit_pairwise_ranker)(heard, RANKED, cap=60)
+    assert kept["pairs"].count() == 9 and kept["pairs"].agg(F.max(F.octet_length("x"))).first()[0] <= 8 * 3 * 120
+    rows = heard
+    if listwise:
+        rows = ordered.rank_rows(md.fit_logistic(heard, RANKED).predict(heard, "_p"), ["listener_id"], [F.col("_p").desc(), "row_id"], rn="_rank")
+    d = md._deltas(rows, RANKED, 60, "misheard", 0, ("_rank",) if listwise else ()).toPandas()
+    x, v = d[RANKED].to_numpy(), np.ones(len(d))
+    if listwise:
+        v = np.abs(1 / np.log2(d["pos__rank"] + 1) - 1 / np.log2(d["neg__rank"] + 1)).to_numpy()
+    sd = np.sqrt((x * x).mean(0))
+    z = x / np.where(sd > 1e-12, sd, 1.0)
+    w = np.array(m.coef)
+    grad = z.T @ (2 * v * (1 / (1 + np.exp(-z @ w)) - 1)) + v.mean() * w
+    assert np.abs(grad).max() < 1e-6 and m.meta["n_pairs"] == len(d) and np.allclose(m.scaling.sds, np.where(sd > 1e-12, sd, 1.0))
