@@ -74,3 +74,13 @@ def test_rankers_fit_the_drawn_pairs_without_writing_them(heard, monkeypatch, li
     w = np.array(m.coef)
     grad = z.T @ (2 * v * (1 / (1 + np.exp(-z @ w)) - 1)) + v.mean() * w
     assert np.abs(grad).max() < 1e-6 and m.meta["n_pairs"] == len(d) and np.allclose(m.scaling.sds, np.where(sd > 1e-12, sd, 1.0))
+
+
+def test_ranks_and_places_share_one_shuffle_of_the_matrix(heard):
+    """The rank under the first model and the places that pairs are drawn by are both counted where the listener's rows are."""
+    placed = md._placed(heard.withColumn("_p", F.col("x_b") / 2), RANKED, "misheard", 0, "_p")
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {r["_name"]: r for r in placed.groupBy("_name").agg(F.max("_rank").alias("n"), F.max("_m").alias("m"), F.max(F.when(F.col("_y") == 1, F.col("_k"))).alias("k")).collect()}
+    want = {r.listener_id: r for r in heard.groupBy("listener_id").agg(F.count("*").alias("n"), F.sum("misheard").alias("m")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[who].n == r.n and got[who].m == r.m == (got[who].k or 0) for who, r in want.items())
